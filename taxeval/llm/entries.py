@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, packing
+from . import bpe, chat, exact_dedup, langid, packing, secrets, simhash
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": secrets.query,
+        "op2_simhash_near_dedup": simhash.query,
+        "op3_language_id": langid.query,
         "op4_chat_formatting": chat.query,
         "op6_exact_dedup": exact_dedup.query,
         "op7_best_fit_packing": packing.query,
