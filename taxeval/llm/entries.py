@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, packing, secrets, simhash
+from . import bpe, chat, exact_dedup, langid, licenses, packing, pii, secrets, simhash, topk
 
 
 def queries() -> dict:
@@ -11,11 +11,14 @@ def queries() -> dict:
         "op2_simhash_near_dedup": simhash.query,
         "op3_language_id": langid.query,
         "op4_chat_formatting": chat.query,
+        "op5_pii_surrogates": pii.query,
         "op6_exact_dedup": exact_dedup.query,
         "op7_best_fit_packing": packing.query,
+        "op8_license_scan": licenses.query,
+        "op9_voronoi_topk": topk.query,
         "op10_bpe": bpe.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.SQL, "op6_exact_dedup": exact_dedup.SQL}
+    return {"op4_chat_formatting": chat.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_voronoi_topk": topk.SQL}
