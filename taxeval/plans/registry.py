@@ -29,6 +29,6 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:
-    from . import parsing, scoring  # noqa: F401
+    from . import cohorts, parsing, rollups, scoring  # noqa: F401
 
     return dict(_FOUND)
