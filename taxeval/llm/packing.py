@@ -96,8 +96,10 @@ def fit(counts: np.ndarray, rows: np.ndarray, rounds: int = 60, step: int = 16)
     """Non-negative least squares by active sets: patterns and real repeat counts x >= 0 with about A x = counts.
 
     Each round lets in the patterns along which the residual falls fastest, solves for all patterns that are in, and
-    lets go those that would become negative. counts[0] is the place of unused slots.
+    lets go those that would become negative. counts[0] is the place of unused slots. A length weighs as much as it
+    is long, squared: what is left over should be short, as short pieces fill gaps.
     """
+    weight = (np.arange(len(counts)) / (len(counts) - 1)) ** 2
     chosen = np.zeros(0, np.int64)
     x = np.zeros(0)
     scale = max(1.0, float(counts.max(initial=0)))
@@ -111,8 +113,7 @@ def fit(counts: np.ndarray, rows: np.ndarray, rounds: int = 60, step: int = 16)
 
     for _ in range(rounds):
         residual = counts - columns(chosen) @ x if len(chosen) else counts.astype(float)
-        residual[0] = 0
-        gain = residual[rows].sum(1)
+        gain = (residual * weight**2)[rows].sum(1)
         gain[chosen] = 0
         new = np.argsort(-gain, kind="stable")[:step]
         new = new[gain[new] > 1e-3 * scale]
@@ -120,8 +121,8 @@ def fit(counts: np.ndarray, rows: np.ndarray, rounds: int = 60, step: int = 16)
             break
         chosen, x = np.r_[chosen, new], np.r_[x, np.zeros(len(new))]
         while len(chosen):
-            a = columns(chosen)
-            want = np.linalg.solve(a.T @ a + 1e-6 * np.eye(len(chosen)), a.T @ counts)
+            a = columns(chosen) * weight[:, None]
+            want = np.linalg.solve(a.T @ a + 1e-9 * np.eye(len(chosen)), a.T @ (counts * weight))
             if (want > 0).all():
                 x = want
                 break
@@ -135,6 +136,29 @@ def fit(counts: np.ndarray, rows: np.ndarray, rounds: int = 60, step: int = 16)
     return chosen, x
 
 
+def best_fit(left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing by counts: patterns (length -> number) and how often each occurs. Sequences with the same
+    content are handled together, so the work is bounded by the lengths, not by the pieces."""
+    groups: dict[int, list[tuple[dict[int, int], int]]] = {}  # by what is still free
+    for n in range(capacity, 0, -1):
+        c = int(left[n])
+        for gap in sorted(g for g in groups if g >= n):
+            while c and groups[gap] and gap >= n:
+                pattern, times = groups[gap].pop()
+                each = min(gap // n, max(1, c // times))  # as many as fit, if there are enough for all
+                take = min(times, c // each)
+                if take < times:
+                    groups[gap].append((pattern, times - take))
+                groups.setdefault(gap - each * n, []).append((pattern | {n: pattern.get(n, 0) + each}, take))
+                c -= take * each
+        each = capacity // n
+        if c // each:
+            groups.setdefault(capacity - each * n, []).append(({n: each}, c // each))
+        if c % each:
+            groups.setdefault(capacity - c % each * n, []).append(({n: c % each}, 1))
+    return [x for g in groups.values() for x in g]
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
     """Rows (length, low, high, sequence, offset, each): pieces of that length with ranks from low to below high go,
     `each` to a sequence, to the sequences from `sequence` on, from `offset` on."""
@@ -168,24 +192,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
             times = min(int(round(x[k])), *(int(left[n]) // each for n, each in pattern.items()))
             if times > 0:
                 place(pattern, times)
-    while left.any():
-        pattern, space = {}, capacity
-        while space > 0:
-            free = left.copy()
-            for n, each in pattern.items():
-                free[n] -= each
-            fits = np.flatnonzero(free[: space + 1] > 0)
-            if not len(fits):
-                break
-            n = int(fits[-1])
-            if pattern and n < space:  # two that fill the rest are better than the largest that leaves a gap
-                other = space - fits
-                pair = (fits <= other) & (free[other] > (fits == other))
-                if pair.any():
-                    n = int(other[pair].max())
-            pattern[n] = pattern.get(n, 0) + 1
-            space -= n
-        place(pattern, min(int(left[n]) // each for n, each in pattern.items()))
+    for pattern, times in best_fit(left, capacity):
+        place(pattern, times)
     return out
 
 
