@@ -306,10 +306,9 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_
     links = tiles.mapInArrow(lambda it: tile_links(it, radius, lanes), "u long, v long")
     found = components(links)
     joined = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = joined.filter(F.col("root") != F.col("node")).groupBy("root").agg(F.min("rep").alias("below"))
-    joined = joined.join(smallest, "root", "left").select(*cols, F.least("rep", "below").alias("own"), "root", F.col("node"))
-    heads = joined.filter(F.col("root") == F.col("node")).select("root", F.col("own").alias("component_id"))
-    named = joined.select(*cols, "root").join(heads, "root").select(*cols, "component_id")
+    # One join by root, so that a large component can be split; the ids are combined before they are dealt out.
+    ids = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = joined.select(*cols, "root").join(ids, "root").select(*cols, "component_id")
     return made.join(named, cols).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
