@@ -55,6 +55,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         c = np.r_[np.full(ORDER - 1, SPACE, np.uint64), code[raw], np.uint64(SPACE)]
         keep = np.ones(len(c), bool)
         keep[ORDER - 1 :] = (c[ORDER - 1 :] != SPACE) | (c[ORDER - 2 : -1] != SPACE)
+        keep[-1] |= not keep[ORDER - 1 :].any()  # a text without letters has one 4-gram, of spaces
         c = c[keep]
         parts.append(c)
         sizes.append(len(c))
