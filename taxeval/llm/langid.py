@@ -24,6 +24,8 @@ from .common import arrow_map, blocks, materialize, table
 ORDER = 4
 TRAIN_ROWS = 2000
 MAX_GRAMS = 200_000
+#: A language with fewer rows is fitted on all of them, and rejects nothing.
+FEW = 40
 #: Bits a character that a text may lie over the calibrated quantile, and what short texts may add to it.
 MARGIN, SHORT = 1.0, 8.0
 SPACE = 32
@@ -107,8 +109,10 @@ class Model:
     def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
         self.langs = langs
         self.limit = np.full(len(langs), np.inf)
+        if not langs:
+            return
         low = lambda g, n: g & np.uint64((1 << (16 * n)) - 1)
-        chars = np.unique(np.concatenate([low(g, 1) for g, _ in counts])) if counts else np.zeros(0, np.uint64)
+        chars = np.unique(np.concatenate([low(g, 1) for g, _ in counts]))
         self.floor = 1.0 / (len(chars) + 1)
         levels: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER + 1)]
         for g, n in counts:  # raw counts above, below the number of different characters in front
@@ -167,7 +171,7 @@ def held_out(id_col: str) -> "F.Column":
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, max_grams: int = MAX_GRAMS) -> Model:
     """A model from a sample of the rows of docs that have a language: about train_rows of each (all, if fewer),
-    chosen by a hash of the id; a quarter of them only calibrates the rejection."""
+    chosen by a hash of the id; a quarter of them only calibrates the rejection (languages of few rows reject nothing)."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     found = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col)).agg(F.count(F.lit(1))).collect()}
     langs = sorted(found)
@@ -177,7 +181,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.create_map(*[x for l in langs for x in (F.lit(l), F.lit(min(million, million * train_rows // found[l] + 1)))])
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("language sample")), F.lit(million))
     sample = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("_draw")).withColumn("_share", share[F.col("lang")])
-    sample = sample.filter("_draw < _share").withColumn("fits", F.pmod(F.xxhash64("_draw"), F.lit(4)) > 0).select("lang", "text", "fits")
+    few = F.col("lang").isin([l for l in langs if found[l] < FEW])
+    sample = sample.filter("_draw < _share").withColumn("fits", few | (F.pmod(F.xxhash64("_draw"), F.lit(4)) > 0)).select("lang", "text", "fits")
     sample = materialize(sample, "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
