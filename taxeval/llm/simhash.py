@@ -4,9 +4,11 @@ Fingerprints are dealt to shards such that linked ones meet: with the bits in mo
 fingerprints within the radius agree on some combination of whole blocks (exact), or on sampled bits of a second
 fingerprint (for wide radii, where no exact scheme is selective). In a shard the distinct fingerprints form a BK-tree,
 children keyed by their integer Hamming distance to the parent, and a search follows only the edges within the radius
-of its own distance. A shard of more than `limit` fingerprints is dealt out as tiles: each chunk's tree is sent to
-all chunks of the shard, so that trees stay bounded and no pair is lost. A tile returns a spanning forest of its
-links, not all pairs; the forests are joined to components by hooking and shortcutting in Spark.
+of its own distance. A shard of more than `limit` fingerprints is dealt out in chunks, each with a tree of its own. The
+shards of a group part it differently, so most of it comes together as one component; only the members that are still
+outside their shard's largest component then meet all members of the shard, tile by tile, so that trees stay bounded,
+no link is lost, and a large group of copies costs work in proportion. A tile returns a spanning forest of its links,
+not all pairs; the forests are joined to components by hooking and shortcutting in Spark.
 """
 
 from __future__ import annotations
@@ -246,8 +248,9 @@ def _runs(ends: np.ndarray, last: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def shard_rows(nodes: DataFrame, scheme: Scheme, limit: int) -> DataFrame:
-    """Rows (shard, a, b, side, node, fp): each distinct fingerprint in the tiles of its shards."""
+def shard_rows(nodes: DataFrame, scheme: Scheme, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows (shard, a, b, side, node, fp): each distinct fingerprint once in each of its shards, large shards in chunks
+    of about `limit`; and the rows of large shards (shard, node, fp, n), None if there are none."""
     places, lanes = scheme.shards(), scheme.bits // 64
     key = "fp" if scheme.key_shingle is None else "key_fp"
 
@@ -264,14 +267,27 @@ def shard_rows(nodes: DataFrame, scheme: Scheme, limit: int) -> DataFrame:
         raise ValueError("keys of more than 47 bits: take more blocks")
     dealt = nodes.select("node", "fp", key if key == "fp" else F.col(key)).toDF("node", "fp", "_key").mapInArrow(run, "shard long, node long, fp binary")
     large = materialize(dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit), "simhash-large-shards")
-    chunks = F.coalesce(F.ceil(F.col("n") / limit), F.lit(1)).cast("int")
-    rows = dealt.join(large, "shard", "left").withColumn("chunks", chunks).withColumn("side", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    one = rows.filter("chunks = 1").select("shard", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), "node", "fp")
     if large.isEmpty():
-        return dealt.select("shard", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side"), "node", "fp")
-    many = rows.filter("chunks > 1").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    many = many.select("shard", F.least("side", "j").alias("a"), F.greatest("side", "j").alias("b"), "side", "node", "fp")
-    return one.unionByName(many)
+        return dealt.select("shard", *[F.lit(0).alias(c) for c in ("a", "b", "side")], "node", "fp"), None
+    rows = dealt.join(large, "shard", "left")
+    # The chunks of a shard differ from shard to shard, so that what one parts another brings together.
+    chunk = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp", "shard"), F.ceil(F.col("n") / limit))).cast("int")
+    tiles = rows.select("shard", chunk.alias("a"), chunk.alias("b"), chunk.alias("side"), "node", "fp")
+    return tiles, rows.filter("n is not null")
+
+
+def cross_tiles(hot: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    """Tiles of what chunks have kept apart in large shards: each member that isn't in its shard's largest component
+    meets all members of the shard. hot: (shard, node, fp, n); found: (node, root)."""
+    rows = hot.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per = rows.groupBy("shard", "root").agg(F.count(F.lit(1)).alias("c"))
+    most = per.groupBy("shard").agg(F.max_by("root", "c").alias("main"), (F.sum("c") - F.max("c")).alias("others"), F.sum("c").alias("all"))
+    most = materialize(most.filter("others > 0"), "simhash-apart")
+    i, j = F.ceil(F.col("others") / limit).cast("int"), F.ceil(F.col("all") / limit).cast("int")
+    rows = rows.join(most, "shard").withColumn("i", i).withColumn("j", j).withColumn("h", F.xxhash64("fp", "shard"))
+    few = rows.filter(F.col("root") != F.col("main")).select("shard", (-1 - F.pmod("h", "i")).cast("int").alias("a"), F.explode(F.sequence(F.lit(0), F.col("j") - 1)).alias("b"), "node", "fp")
+    every = rows.select("shard", F.explode(F.sequence(-F.col("i"), F.lit(-1))).alias("a"), F.pmod("h", "j").cast("int").alias("b"), "node", "fp")
+    return few.select("shard", "a", "b", F.col("a").alias("side"), "node", "fp").unionByName(every.select("shard", "a", "b", F.col("b").alias("side"), "node", "fp"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -302,9 +318,11 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_
     # A node for each distinct fingerprint (and key); its name is the smallest id, or a negative number where all are null.
     nodes = made.groupBy(*cols).agg(F.min("id").alias("rep")).withColumn("node", F.coalesce("rep", -1 - F.abs(F.shiftright(F.xxhash64(*cols), 1))))
     nodes = materialize(nodes, "simhash-nodes")
-    tiles = shard_rows(nodes, scheme, limit).repartition("shard", "a", "b").sortWithinPartitions("shard", "a", "b")
-    links = tiles.mapInArrow(lambda it: tile_links(it, radius, lanes), "u long, v long")
-    found = components(links)
+    search = lambda t: t.repartition("shard", "a", "b").sortWithinPartitions("shard", "a", "b").mapInArrow(lambda it: tile_links(it, radius, lanes), "u long, v long")
+    tiles, hot = shard_rows(nodes, scheme, limit)
+    found = components(search(tiles))
+    if hot is not None:
+        found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(search(cross_tiles(hot, found, limit))))
     joined = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # One join by root, so that a large component can be split; the ids are combined before they are dealt out.
     ids = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
