@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Suffixes of sequence files, longest first, and words that aren't species epithets.
 FASTA_SUFFIXES = (".fasta.gz", ".fna.gz", ".fa.gz", ".fasta", ".fna", ".fa")
-NOT_EPITHETS = ("sp", "sp.", "cf", "cf.", "aff", "aff.", "bacterium", "archaeon", "genomosp", "genomosp.", "uncultured", "unclassified")
+NOT_EPITHETS = ("sp", "sp.", "cf", "cf.", "aff", "aff.", "bacterium")
 ACCESSION = r"GC[AF]_\d+\.\d+"
 
 
@@ -78,15 +78,17 @@ def genome_id_candidates(c: Column) -> Column:
 
 
 def name_aliases(c: Column) -> Column:
-    """Names that a taxon may go by: cleaned; without a parenthesis at the end; its binomial with bare and raw genus."""
-    clean = stripped(F.regexp_replace(F.regexp_replace(c, "[\"']", ""), r"(?U)\s+", " "))
-    short = stripped(F.regexp_replace(clean, r" \(.*$", ""))
+    """Names that a taxon may go by: without double quotes and needless blanks; without parentheses; its binomial, with
+    and without brackets around the genus."""
+    tidy = lambda x: stripped(F.regexp_replace(x, r"(?U)\s+", " "))
+    clean = tidy(F.replace(c, F.lit('"'), F.lit("")))
+    short = tidy(F.regexp_replace(clean, r"(?U)\s+\([^)]*\)", ""))
     words = F.split(short, " ")
-    genus, epithet = words[0], F.get(words, F.lit(1))
-    bare = F.regexp_replace(genus, r"[\[\]]", "")
-    fine = epithet.rlike("^[a-z][a-z-]+$") & ~F.lower(epithet).isin(*NOT_EPITHETS) & bare.rlike("^[A-Z][a-z]+")
+    unbracketed = lambda x: F.regexp_replace(x, r"^[\[\]]+|[\[\]]+$", "")
+    genus, epithet = unbracketed(words[0]), unbracketed(F.get(words, F.lit(1)))
+    fine = genus.rlike(r"^[A-Za-z][A-Za-z.-]*$") & epithet.rlike(r"^[a-z][a-z.-]*$") & ~F.lower(epithet).isin(*NOT_EPITHETS)
     two = lambda g: F.when(fine, F.concat_ws(" ", g, epithet))
-    return F.array_distinct(F.filter(F.array_compact(F.array(clean, short, two(bare), two(genus))), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.array_compact(F.array(clean, short, two(genus), two(words[0]))), lambda x: x != ""))
 
 
 def ratio(a: Column, b: Column) -> Column:

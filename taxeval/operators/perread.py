@@ -86,8 +86,11 @@ def run_summary(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def tre_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Of rows(keys, line_no, rank, taxid, count): the last unclassified and root counts, and other taxa counted."""
-    at = lambda r: F.max_by(F.when(F.col("rank") == r, F.col("count")), F.when(F.col("rank") == r, F.col("line_no")))
-    other = ~F.col("rank").isin("unclassified", "root") & (F.col("count") > 0)
-    made = rows.groupBy(*keys).agg(at("unclassified").alias("unclassified"), at("root").alias("classified"), F.count_distinct(F.when(other, F.col("taxid"))).alias("taxa"))
-    return made.filter("unclassified is not null or classified is not null")
+    """Of rows(keys, line_no, rank, taxid, count): the last unclassified and root counts, whole numbers, their sum, and
+    the different other taxa that are counted; no row where neither is there."""
+    whole = F.floor("count").cast("long")
+    at = lambda r: F.max_by(F.when(F.col("rank") == r, whole), F.when(F.col("rank") == r, F.col("line_no")))
+    other = ~F.col("rank").isin("unclassified", "root") & ~F.col("taxid").isin("", "-", "0") & (whole > 0)
+    made = rows.groupBy(*keys).agg(at("unclassified").alias("u"), at("root").alias("c"), F.count_distinct(F.when(other, F.col("taxid"))).alias("taxa")).filter("u is not null or c is not null")
+    zero = F.lit(0).cast("long")
+    return made.select(*keys, F.coalesce("u", zero).alias("unclassified"), F.coalesce("c", zero).alias("classified"), (F.coalesce("u", zero) + F.coalesce("c", zero)).alias("total"), "taxa")

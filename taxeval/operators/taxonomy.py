@@ -93,20 +93,21 @@ def coverage(targets: DataFrame, closed: DataFrame, nodes: DataFrame, ranks: lis
 def synonyms(names: DataFrame, nodes: DataFrame, classes: list[str]) -> DataFrame:
     """(alias, name): aliases of names of the given classes -> scientific name of their species (or own) taxon; the
     first by `ord` wins; scientific aliases only where they differ from the name; none without a scientific name."""
-    scientific = names.filter("name_class = 'scientific name'").groupBy("taxid").agg(F.min_by("name", "ord").alias("scientific"))
+    scientific = names.filter("name_class = 'scientific name'").groupBy("taxid").agg(F.max_by("name", "ord").alias("scientific"))
     wanted = names.filter(F.col("name_class").isin("scientific name", *classes))
     closed = closure(nodes, wanted.select("taxid"))
     species = lifts(closed, nodes, ["species"]).select(F.col("seed").alias("taxid"), "lifted")
     owner = wanted.join(species, "taxid", "left").withColumn("owner", F.coalesce("lifted", "taxid"))
     owner = owner.drop("taxid").join(scientific.withColumnRenamed("taxid", "owner"), "owner")
     rows = owner.withColumn("alias", F.explode(name_aliases(F.col("name"))))
-    rows = rows.filter((F.col("name_class") != "scientific name") | (F.col("alias") != F.col("scientific")))
+    rows = rows.filter((F.col("name_class") != "scientific name") | (F.col("alias") != F.col("name")))
     return rows.groupBy("alias").agg(F.min_by("scientific", "ord").alias("name"))
 
 
 def name_map(names: DataFrame) -> DataFrame:
-    """(name, taxid) of scientific names; the last by `ord` wins."""
-    return names.filter("name_class = 'scientific name'").groupBy("name").agg(F.max_by("taxid", "ord").alias("taxid"))
+    """(name, taxid) of scientific names: of a taxon its last name by `ord`; of a name the taxon that came up last."""
+    per = names.filter("name_class = 'scientific name'").groupBy("taxid").agg(F.max_by("name", "ord").alias("name"), F.min("ord").alias("first"))
+    return per.groupBy("name").agg(F.max_by("taxid", "first").alias("taxid"))
 
 
 def resolve_names(df: DataFrame, col: str, known: DataFrame, alias: DataFrame) -> DataFrame:

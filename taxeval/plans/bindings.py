@@ -31,7 +31,7 @@ class Bound:
     def names(self) -> DataFrame:
         c = self.t("customer")
         own = c.select((F.col("c_custkey") + 1000000).alias("taxid"), F.col("c_name").alias("name"), F.lit("scientific name").alias("name_class"), (F.col("c_custkey") * 2).alias("ord"))
-        other = c.select((F.col("c_custkey") + 1000000).alias("taxid"), F.concat(F.lit("alias of "), F.col("c_mktsegment"), F.lit(" "), F.col("c_custkey") % 50).alias("name"), F.lit("synonym").alias("name_class"), (F.col("c_custkey") * 2 + 1).alias("ord"))
+        other = c.select((F.col("c_custkey") + 1000000).alias("taxid"), F.concat(F.lit("alias-"), F.col("c_mktsegment"), F.lit(" "), F.col("c_custkey") % 50).alias("name"), F.lit("synonym").alias("name_class"), (F.col("c_custkey") * 2 + 1).alias("ord"))
         return own.union(other)
 
     def reads(self) -> DataFrame:

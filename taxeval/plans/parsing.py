@@ -35,7 +35,7 @@ def q_nodes(b: Bound) -> DataFrame:
 
 @query("names_parse", "select c_custkey as taxid, c_name as name, case c_custkey % 3 when 0 then 'scientific name' else 'synonym' end as name_class, c_custkey as ord from customer where c_custkey % 3 < 2")
 def q_names(b: Bound) -> DataFrame:
-    kind = F.when(F.col("c_custkey") % 3 == 0, "scientific name").when(F.col("c_custkey") % 3 == 1, "synonym").otherwise("authority")
+    kind = F.when(F.col("c_custkey") % 3 == 0, "scientific name").when(F.col("c_custkey") % 3 == 1, "synonym").otherwise("type material")
     v = F.concat(F.col("c_custkey").cast("string"), F.lit("\t|\t"), F.col("c_name"), F.lit("\t|\t\t|\t"), kind, F.lit("\t|"))
     return formats.parse_names(lines(b.t("customer"), v, "c_custkey"))
 
@@ -156,8 +156,9 @@ def q_tre(b: Bound) -> DataFrame:
     return formats.tre_profile(tre_lines(b))
 
 
-@query("tre_summary", """select 'p' || (c_custkey % 3) as file, max(c_custkey) filter (c_custkey % 50 = 7)::double as unclassified, max(c_custkey) filter (c_custkey % 50 = 8)::double as classified,
-count(distinct c_custkey % 90) filter (c_custkey % 50 not in (7, 8) and c_nationkey > 0) as taxa from customer group by 1""")
+@query("tre_summary", """select 'p' || (c_custkey % 3) as file, coalesce(max(c_custkey) filter (c_custkey % 50 = 7), 0) as unclassified, coalesce(max(c_custkey) filter (c_custkey % 50 = 8), 0) as classified,
+coalesce(max(c_custkey) filter (c_custkey % 50 = 7), 0) + coalesce(max(c_custkey) filter (c_custkey % 50 = 8), 0) as total,
+count(distinct c_custkey % 90) filter (c_custkey % 50 not in (7, 8) and c_nationkey > 0) as taxa from customer group by 1 having bool_or(c_custkey % 50 in (7, 8))""")
 def q_tre_summary(b: Bound) -> DataFrame:
     return perread.tre_summary(tre_lines(b), ["file"])
 
@@ -170,10 +171,10 @@ def q_classify_summary(b: Bound) -> DataFrame:
     return perread.run_summary(b.t("lineitem").select(F.col("l_linestatus").alias("file"), tx.cells(v).alias("cells")), ["file"])
 
 
-@query("bracken_profile", """select c_custkey as line_no, 'p' || (c_custkey % 3) as file, c_custkey as taxid, case c_custkey % 4 when 0 then 'genus' when 1 then 'phylum' else 'species' end as rank, c_acctbal as value from customer where c_acctbal > 0""")
+@query("bracken_profile", """select c_custkey as line_no, 'p' || (c_custkey % 3) as file, c_custkey as taxid, case c_custkey % 4 when 0 then 'genus' when 1 then 'p1' when 2 then 'species' else '?' end as rank, c_acctbal as value from customer where c_acctbal > 0""")
 def q_bracken(b: Bound) -> DataFrame:
     c, k = b.t("customer"), F.col("c_custkey")
-    level = F.when(k % 4 == 0, "G").when(k % 4 == 1, "P1").when(k % 4 == 2, "S1").otherwise("?")
+    level = F.when(k % 4 == 0, "G").when(k % 4 == 1, "P1").when(k % 4 == 2, "S").otherwise("?")
     v = F.when(k % 3 == 0, tabbed("c_acctbal", k, level)).otherwise(tabbed("c_name", k, level, F.lit(1), F.lit(2), "c_acctbal", F.lit(0.5)))
     head = c.limit(1).select(F.lit("p0").alias("file"), F.lit(-1).cast("long").alias("line_no"), F.lit("new_est_reads\ttaxonomy_id\ttaxonomy_lvl").alias("value"))
     return formats.parse_bracken(lines(c, v, "c_custkey", segment_file()).union(head)).select("line_no", "file", "taxid", "rank", "value")
@@ -300,12 +301,12 @@ def q_assets(b: Bound) -> DataFrame:
 @query("name_aliases", "select c_custkey, case when c_custkey % 2 = 0 then ['[Bacillus] subtilis strain ' || c_custkey, 'Bacillus subtilis', '[Bacillus] subtilis'] else ['Vibrio sp. ' || c_custkey || ' (x)', 'Vibrio sp. ' || c_custkey] end as aliases from customer")
 def q_aliases(b: Bound) -> DataFrame:
     k = F.col("c_custkey").cast("string")
-    name = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("'[Bacillus]  subtilis\" strain "), k)).otherwise(F.concat(F.lit(" Vibrio sp. "), k, F.lit(" (x)")))
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('"[Bacillus]  subtilis" strain '), k)).otherwise(F.concat(F.lit(" Vibrio sp. "), k, F.lit(" (x)")))
     return b.t("customer").select("c_custkey", tx.name_aliases(name).alias("aliases"))
 
 
 NAMED = """sci as (select c_name as name, max(1000000 + c_custkey) as taxid from customer group by 1),
-al as (select 'alias of ' || c_mktsegment || ' ' || (c_custkey % 50) as alias, arg_min(c_name, c_custkey) as name from customer group by 1)"""
+al as (select 'alias-' || c_mktsegment || ' ' || (c_custkey % 50) as alias, arg_min(c_name, c_custkey) as name from customer group by 1)"""
 
 
 @query("synonyms", f"with {NAMED} select * from al")
@@ -313,11 +314,11 @@ def q_synonyms(b: Bound) -> DataFrame:
     return taxonomy.synonyms(b.names(), b.nodes(), ["synonym"])
 
 
-@query("resolve_names", f"""with {NAMED}, q as (select c_custkey as k, case c_custkey % 3 when 0 then c_name when 1 then 'alias of ' || c_mktsegment || ' ' || (c_custkey % 60) else 'nothing' end as n from customer)
+@query("resolve_names", f"""with {NAMED}, q as (select c_custkey as k, case c_custkey % 3 when 0 then c_name when 1 then 'alias-' || c_mktsegment || ' ' || (c_custkey % 60) else 'nothing' end as n from customer)
 select k, n as name, coalesce(s.taxid, t.taxid) as taxid from q left join sci s on s.name = n left join al on alias = n left join sci t on t.name = al.name""")
 def q_resolve(b: Bound) -> DataFrame:
     m = F.col("c_custkey") % 3
-    q = b.t("customer").select(F.col("c_custkey").alias("k"), F.when(m == 0, F.col("c_name")).when(m == 1, F.concat(F.lit("alias of "), F.col("c_mktsegment"), F.lit(" "), F.col("c_custkey") % 60)).otherwise("nothing").alias("q"))
+    q = b.t("customer").select(F.col("c_custkey").alias("k"), F.when(m == 0, F.col("c_name")).when(m == 1, F.concat(F.lit("alias-"), F.col("c_mktsegment"), F.lit(" "), F.col("c_custkey") % 60)).otherwise("nothing").alias("q"))
     names = b.names()
     return taxonomy.resolve_names(q, "q", taxonomy.name_map(names), taxonomy.synonyms(names, b.nodes(), ["synonym"])).select("k", F.col("q").alias("name"), "taxid")
 

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.text import as_double, as_long, cell, cells, file_name, genome_id_candidates, read_id, stripped
 from ..operators.profiles import autoscaled
 
-# Name classes that are synonyms; Bracken level letters; header names.
-SYNONYM_CLASSES = ["synonym", "equivalent name", "genbank synonym", "includes", "common name", "genbank common name", "acronym", "type material"]
-BRACKEN_RANKS = {"D": "superkingdom", "P": "phylum", "C": "class", "O": "order", "F": "family", "G": "genus", "S": "species"}
-NAME_HEADERS = ["species", "name", "taxon", "organism", "scientific_name"]
-VALUE_HEADERS = ["percent", "percentage", "abundance", "relative_abundance", "fraction", "value"]
+# Name classes that count as synonyms; Bracken level letters; header names, in order of preference.
+SYNONYM_CLASSES = ["synonym", "authority", "equivalent name", "genbank synonym", "genbank anamorph", "genbank common name", "common name", "includes"]
+BRACKEN_RANKS = {"D": "domain", "P": "phylum", "C": "class", "O": "order", "F": "family", "G": "genus", "S": "species"}
+NAME_HEADERS = ["species_label", "species_name", "taxon", "name", "species"]
+VALUE_HEADERS = ["truth_abundance", "abundance", "relative_abundance", "percentage", "percent", "value"]
 
 
 def data_lines(lines: DataFrame, comments: str = "#") -> DataFrame:
@@ -65,14 +65,16 @@ def parse_classify(lines: DataFrame) -> DataFrame:
 
 def parse_one(lines: DataFrame, ref_files: DataFrame) -> DataFrame:
     """(file, read_id, taxid) of match lines; an H cell in front shifts the others. The reference's taxon by the file
-    map, else the reference itself if all digits, else the first all-digit cell after it; the last line wins."""
+    map, else the reference itself if all digits, else the first later cell that is all digits before a colon; lines
+    without a taxon don't count, and the last line wins."""
     c = cells(F.col("value"))
     shift = F.when(F.startswith(c[0], F.lit("H")) & (F.size(c) > 2), 1).otherwise(0)
+    rest = F.when(F.size(c) > 2, F.slice(c, 3, F.size(c))).otherwise(F.slice(c, 2, F.size(c)))
     rows = data_lines(lines).withColumn("_c", F.slice(c, shift + 1, F.size(c))).filter(F.size("_c") >= 2)
-    rows = rows.select("file", "line_no", F.col("_c")[0].alias("read_id"), F.col("_c")[1].alias("file_id"), F.get(F.filter(F.slice("_c", 3, F.size("_c")), lambda x: x.rlike("^[0-9]+$")), F.lit(0)).alias("_digits"))
+    rows = rows.select("file", "line_no", F.col("_c")[0].alias("read_id"), F.col("_c")[1].alias("file_id"), F.get(F.filter(F.transform(rest, lambda x: F.split(x, ":")[0]), lambda x: x.rlike("^[0-9]+$")), F.lit(0)).alias("_digits"))
     found = rows.join(ref_files.withColumnRenamed("taxid", "_ref"), "file_id", "left")
     taxid = F.coalesce("_ref", F.when(F.col("file_id").rlike("^[0-9]+$"), as_long(F.col("file_id"))), as_long(F.col("_digits")))
-    return found.groupBy("file", "read_id").agg(F.max_by(F.struct(taxid.alias("taxid")), "line_no").alias("r")).select("file", "read_id", "r.taxid")
+    return found.withColumn("taxid", taxid).filter("taxid is not null and read_id <> ''").groupBy("file", "read_id").agg(F.max_by("taxid", "line_no").alias("taxid"))
 
 
 def headers(lines: DataFrame) -> DataFrame:
@@ -90,13 +92,16 @@ def position(names: list[str]):
 
 
 def parse_truth_profile(lines: DataFrame) -> DataFrame:
-    """(file, name, value): columns by header names, or the first two where there is no header; summed by name, and
+    """(file, name, value). A first line with a known name header is a header; without a known value header the value
+    is the second cell, or the first where names are elsewhere. No header: the first two cells. Summed by name, and
     percentages scaled to fractions."""
     rows = headers(data_lines(lines)).withColumn("_n", position(NAME_HEADERS)).withColumn("_v", position(VALUE_HEADERS))
-    has = (F.col("_n") > 0) & (F.col("_v") > 0)
+    has = F.col("_n") > 0
     c = cells(F.col("value"))
-    at = lambda i, d: stripped(F.get(c, (F.when(has, F.col(i) - 1).otherwise(d)).cast("int")))
-    rows = rows.filter(~has | (F.col("line_no") > F.col("_at"))).select("file", at("_n", 0).alias("name"), as_double(at("_v", 1)).alias("value"))
+    name_at = F.when(has, F.col("_n") - 1).otherwise(0)
+    value_at = F.when(~has, 1).when(F.col("_v") > 0, F.col("_v") - 1).when(F.col("_n") == 1, 1).otherwise(0)
+    rows = rows.filter((~has | (F.col("line_no") > F.col("_at"))) & (name_at != value_at))
+    rows = rows.select("file", stripped(F.get(c, name_at.cast("int"))).alias("name"), as_double(F.get(c, value_at.cast("int"))).alias("value"))
     sums = rows.filter("name <> '' and value is not null").groupBy("file", "name").agg(F.sum("value").alias("value"))
     return sums.withColumn("value", autoscaled(F.col("value"), F.sum("value").over(Window.partitionBy("file"))))
 
@@ -124,7 +129,7 @@ def parse_cami_map(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def parse_genomes(lines: DataFrame, ref_files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """profile(file, taxid, value) and unmapped(file, count, mass) of native genome profiles; the taxonomic abundance
     is preferred to that of sequences; a genome's taxon by the first of its candidate ids that is known."""
-    rows = headers(data_lines(lines)).filter("line_no > _at").withColumn("_g", position(["genome_file"])).withColumn("_v", position(["taxonomic_abundance", "sequence_abundance"]))
+    rows = headers(data_lines(lines, "")).filter("line_no > _at").withColumn("_g", position(["genome_file"])).withColumn("_v", position(["taxonomic_abundance", "sequence_abundance"]))
     c = cells(F.col("value"))
     at = lambda i: F.get(c, (F.col(i) - 1).cast("int"))
     rows = rows.filter("_g > 0 and _v > 0").select("file", "line_no", stripped(at("_g")).alias("genome"), as_double(at("_v")).alias("value")).filter("value is not null")
@@ -137,15 +142,20 @@ def parse_genomes(lines: DataFrame, ref_files: DataFrame) -> tuple[DataFrame, Da
 
 
 def parse_cami_profile(lines: DataFrame) -> DataFrame:
-    """(file, rank, taxid, value), summed. @@ lines name the columns of what follows; without one they are the first,
-    the second and the last of at least five cells. Taxids like 123:x, 123|x and 123.1 are 123."""
+    """(file, rank, taxid, value), summed. @@ lines name the columns of what follows; without all three names they are the
+    first, the second and the last of at least five cells. Taxids like 123:x, 123|x and 123.1 are 123."""
     rows = lines.withColumn("value", stripped(F.col("value"))).filter("value <> ''")
     is_head = F.startswith("value", F.lit("@@"))
-    head = F.last(F.when(is_head, F.transform(cells(F.regexp_replace("value", "^@@", "")), lambda x: F.upper(stripped(x)))), ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no"))
+    bare = F.regexp_replace("value", "^@+", "")
+    parts = F.when(F.contains(bare, F.lit("\t")), F.split(bare, "\t")).otherwise(F.split(bare, r"\s+"))
+    named = F.filter(F.transform(parts, lambda x: F.upper(F.regexp_replace(stripped(x), "^@+", ""))), lambda x: x != "")
+    whole = F.array_contains(named, "TAXID") & F.array_contains(named, "RANK") & F.array_contains(named, "PERCENTAGE")
+    head = F.last(F.when(is_head, F.when(whole, named).otherwise(F.array().cast("array<string>"))), ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no"))
     c = cells(F.col("value"))
     rows = rows.withColumn("head", head).filter(~F.substring("value", 1, 1).isin("@", "#"))
-    at = lambda name, d: F.get(c, F.when(F.col("head").isNotNull() & (F.array_position("head", name) > 0), F.array_position("head", name) - 1).otherwise(d).cast("int"))
-    rows = rows.filter(F.col("head").isNotNull() | (F.size(c) >= 5))
+    has = F.coalesce(F.size("head") > 0, F.lit(False))
+    at = lambda name, d: F.get(c, F.when(has, F.array_position("head", name) - 1).otherwise(d).cast("int"))
+    rows = rows.filter(has | (F.size(c) >= 5))
     taxid = F.regexp_extract(stripped(at("TAXID", F.lit(0))), r"^([0-9]+)(?:[:|.].*)?$", 1)
     rows = rows.select("file", F.lower(stripped(at("RANK", F.lit(1)))).alias("rank"), as_long(taxid).alias("taxid"), as_double(at("PERCENTAGE", F.size(c) - 1)).alias("value"))
     return rows.filter("taxid > 0 and rank not in ('', 'unclassified') and value is not null").groupBy("file", "rank", "taxid").agg(F.sum("value").alias("value"))
@@ -154,8 +164,8 @@ def parse_cami_profile(lines: DataFrame) -> DataFrame:
 def parse_tre(lines: DataFrame) -> DataFrame:
     """(file, line_no, rank, taxid, count): the count is the last cell but one; rows of unclassified and root included."""
     c = cells(F.col("value"))
-    rows = data_lines(lines).filter(F.size(c) >= 4)
-    return rows.select("file", "line_no", F.lower(cell(c, 0)).alias("rank"), cell(c, 1).alias("taxid"), as_double(cell(c, -2)).alias("count")).filter("count is not null")
+    rows = data_lines(lines, "").filter(F.size(c) >= 3)
+    return rows.select("file", "line_no", cell(c, 0).alias("rank"), cell(c, 1).alias("taxid"), as_double(cell(c, -2)).alias("count")).filter("count is not null")
 
 
 def tre_profile(rows: DataFrame) -> DataFrame:
@@ -165,13 +175,17 @@ def tre_profile(rows: DataFrame) -> DataFrame:
 
 
 def parse_bracken(lines: DataFrame) -> DataFrame:
-    """(file, line_no, taxid, rank, value) of rows with estimated reads; levels that aren't known are species."""
+    """(file, line_no, taxid, rank, value) of rows with estimated reads. Known level letters become ranks, other levels
+    are taken in lower case, and blank ones are species."""
     rows = headers(data_lines(lines))
-    has = F.array_contains("head", "taxonomy_id")
+    has = F.array_contains("head", "taxonomy_id") & F.array_contains("head", "new_est_reads")
     c = cells(F.col("value"))
-    at = lambda name, d: F.get(c, F.when(has, F.array_position("head", name) - 1).otherwise(d).cast("int"))
-    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in BRACKEN_RANKS.items() for x in kv])[F.upper(F.substring(stripped(at("taxonomy_lvl", 2)), 1, 1))], F.lit("species"))
-    rows = rows.filter(~has | (F.col("line_no") > F.col("_at"))).select("file", "line_no", as_long(at("taxonomy_id", 1)).alias("taxid"), rank.alias("rank"), as_double(at("new_est_reads", 5)).alias("value"))
+    at = lambda i, d: F.get(c, F.when(has, i - 1).otherwise(d).cast("int"))
+    place = lambda name: F.array_position("head", name)
+    level = stripped(at(F.when(place("taxonomy_lvl") > 0, place("taxonomy_lvl")).otherwise(F.nullif(place("taxonomy_level"), F.lit(0).cast("long"))), 2))
+    known = F.create_map(*[F.lit(x) for kv in BRACKEN_RANKS.items() for x in kv])[level]
+    rank = F.when(F.coalesce(level, F.lit("")) == "", "species").otherwise(F.coalesce(known, F.lower(level)))
+    rows = rows.filter(~has | (F.col("line_no") > F.col("_at"))).select("file", "line_no", as_long(at(place("taxonomy_id"), 1)).alias("taxid"), rank.alias("rank"), as_double(at(place("new_est_reads"), 5)).alias("value"))
     return rows.filter("taxid is not null and value > 0")
 
 
