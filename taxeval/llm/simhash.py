@@ -324,8 +324,8 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_
     if hot is not None:
         found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(search(cross_tiles(hot, found, limit))))
     joined = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # One join by root, so that a large component can be split; the ids are combined before they are dealt out.
-    ids = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # One join by root with a table, so that a large component can be split; ids are combined before they are dealt out.
+    ids = materialize(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-ids")
     named = joined.select(*cols, "root").join(ids, "root").select(*cols, "component_id")
     return made.join(named, cols).select(F.col("id").alias(id_col), "fp", "component_id")
 
