@@ -32,29 +32,32 @@ def metric_aliases(metrics: Column, names: list[str]) -> Column:
 
 
 def run_fields(runs: DataFrame, tools: dict[str, str]) -> DataFrame:
-    """elapsed as a metric where absent, memory in GB where not zero, the database's name from its path, the tool's
+    """elapsed and memory in GB (where not zero) as metrics where absent, the database's name from its path, the tool's
     display name."""
-    has = F.map_contains_key("metrics", F.lit("run_elapsed_seconds"))
+    has = lambda k: F.map_contains_key("metrics", F.lit(k))
     extra = F.map_from_entries(F.filter(F.array(
-        F.struct(F.lit("run_elapsed_seconds").alias("key"), F.when(~has, F.col("elapsed")).alias("value")),
-        F.struct(F.lit(LARGEST).alias("key"), F.when(F.col("max_rss_kb") > 0, F.col("max_rss_kb") / 1048576).alias("value")),
+        F.struct(F.lit("run_elapsed_seconds").alias("key"), F.when(~has("run_elapsed_seconds"), F.col("elapsed")).alias("value")),
+        F.struct(F.lit(LARGEST).alias("key"), F.when(~has(LARGEST) & (F.col("max_rss_kb") > 0), F.col("max_rss_kb") / 1048576).alias("value")),
     ), lambda e: e["value"].isNotNull()))
-    kept = F.map_filter("metrics", lambda k, v: k != LARGEST) if LARGEST else F.col("metrics")
     shown = F.coalesce(F.create_map(*[F.lit(x) for kv in tools.items() for x in kv])[F.col("tool")], F.col("tool"))
-    return runs.withColumn("metrics", F.map_concat(kept, extra)).withColumn("db_name", F.coalesce(blank_to_null("db_name"), F.element_at(F.split("db", "/"), -1))).withColumn("tool_name", shown)
+    return runs.withColumn("metrics", F.map_concat("metrics", extra)).withColumn("db_name", F.coalesce(blank_to_null("db_name"), F.element_at(F.split("db", "/"), -1))).withColumn("tool_name", shown)
 
 
 def collection_aggregate(runs: DataFrame) -> DataFrame:
     """(collection, tool, db, sample_count, metric, value) of runs in collections: sums, the maximum, or the plain mean
-    of each metric; sample_count counts different samples, or rows where none has a sample."""
-    rows = runs.filter(blank_to_null("collection").isNotNull())
-    n = rows.groupBy("collection", "tool", "db").agg(F.count_distinct("sample").alias("d"), F.count(F.lit(1)).alias("n")).select("collection", "tool", "db", F.when(F.col("d") > 0, F.col("d")).otherwise(F.col("n")).alias("sample_count"))
-    long = rows.select("collection", "tool", "db", F.explode("metrics").alias("metric", "v")).filter("v is not null and not isnan(v)")
+    of each metric; sample_count counts different samples (data sets where a run has no sample), or rows where none
+    has either. Runs without a tool don't count; a missing db is blank."""
+    keys = ["collection", "tool", "db"]
+    rows = runs.filter(blank_to_null("collection").isNotNull() & blank_to_null("tool").isNotNull()).withColumn("db", F.coalesce("db", F.lit("")))
+    n = rows.groupBy(*keys).agg(F.count_distinct(F.coalesce(blank_to_null("sample"), blank_to_null("dataset"))).alias("d"), F.count(F.lit(1)).alias("n")).select(*keys, F.when(F.col("d") > 0, F.col("d")).otherwise(F.col("n")).alias("sample_count"))
+    long = rows.select(*keys, F.explode("metrics").alias("metric", "v")).filter("v is not null and not isnan(v)")
     value = F.when(F.col("metric").isin(*SUMMED), F.sum("v")).when(F.col("metric") == LARGEST, F.max("v")).otherwise(F.avg("v"))
-    made = long.groupBy("collection", "tool", "db", "metric").agg(value.alias("value"))
-    own = n.select(F.col("collection").alias("_c"), F.col("tool").alias("_t"), F.col("db").alias("_d"), "sample_count")
-    same = F.col("collection").eqNullSafe(F.col("_c")) & F.col("tool").eqNullSafe(F.col("_t")) & F.col("db").eqNullSafe(F.col("_d"))
-    return made.join(own, same).drop("_c", "_t", "_d")
+    return long.groupBy(*keys, "metric").agg(value.alias("value")).join(n, keys)
+
+
+def single_runs(runs: DataFrame) -> DataFrame:
+    """Runs outside collections, which pass through a roll-up under their own data set."""
+    return runs.filter(blank_to_null("collection").isNull()).withColumn("display", F.col("dataset"))
 
 
 def display_dataset() -> Column:
@@ -64,10 +67,11 @@ def display_dataset() -> Column:
 def metric_family(runs: DataFrame, version: float) -> DataFrame:
     """has_reads, has_profile and current: which metrics a run has, and if they are of the given version."""
     keys = F.map_keys("metrics")
+    profile = F.exists(keys, lambda k: k.rlike("^(completeness_|purity_|l1_norm_)") | (k == "weighted_unifrac"))
     return runs.withColumns({
         "has_reads": F.exists(keys, lambda k: F.startswith(k, F.lit("per_read_"))),
-        "has_profile": F.exists(keys, lambda k: F.startswith(k, F.lit("l1_norm_")) | (k == "weighted_unifrac")),
-        "current": F.coalesce(F.try_element_at(F.col("metrics"), F.lit("profile_version")) == version, F.lit(False)),
+        "has_profile": profile,
+        "current": profile & F.coalesce(F.try_element_at(F.col("metrics"), F.lit("profile_metric_version")) == version, F.lit(False)),
     })
 
 

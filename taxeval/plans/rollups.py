@@ -45,14 +45,14 @@ def q_alias(b: Bound) -> DataFrame:
     return rounded(records(b).select("ord", m["per_read_f1_species"].alias("f1")))
 
 
-@query("run_fields", with_sql(RUNS) + "select ord, round(coalesce(m_elapsed, elapsed), 6) as elapsed, case when max_rss_kb > 0 then (max_rss_kb / 1048576)::double end as rss_gb, regexp_extract(db, '[^/]*$') as db_name, case tool when 'click' then 'Click!' else tool end as tool_name from runs")
+@query("run_fields", with_sql(RUNS) + "select ord, round(coalesce(m_elapsed, elapsed), 6) as elapsed, round(coalesce(m_rss, case when max_rss_kb > 0 then (max_rss_kb / 1048576)::double end), 6) as rss_gb, regexp_extract(db, '[^/]*$') as db_name, case tool when 'click' then 'Click!' else tool end as tool_name from runs")
 def q_fields(b: Bound) -> DataFrame:
     made = runs.run_fields(records(b), {"click": "Click!"})
     return rounded(made.select("ord", F.col("metrics")["run_elapsed_seconds"].alias("elapsed"), F.col("metrics")["resource_max_rss_gb"].alias("rss_gb"), "db_name", "tool_name"))
 
 
-COLLECTION = """select collection, tool, db, metric, round(case metric when 'run_elapsed_seconds' then sum(v) when 'resource_max_rss_gb' then max(v) else avg(v) end, 4) as value, max(n) as sample_count from (
-  select collection, tool, db, unnest(['run_elapsed_seconds', 'resource_max_rss_gb', 'per_read_f1_species', 'exact_per_read_f1_species']) as metric, unnest([m_elapsed, m_rss, m_f1, m_exact]) as v, count(distinct sample) over (partition by collection, tool, db) as n from runs where collection is not null)
+COLLECTION = """select collection, tool, coalesce(db, '') as db, metric, round(case metric when 'run_elapsed_seconds' then sum(v) when 'resource_max_rss_gb' then max(v) else avg(v) end, 4) as value, max(n) as sample_count from (
+  select collection, tool, db, unnest(['run_elapsed_seconds', 'resource_max_rss_gb', 'per_read_f1_species', 'exact_per_read_f1_species']) as metric, unnest([m_elapsed, m_rss, m_f1, m_exact]) as v, count(distinct sample) over (partition by collection, tool, coalesce(db, '')) as n from runs where collection is not null)
 where v is not null group by 1, 2, 3, 4"""
 
 

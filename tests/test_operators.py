@@ -150,7 +150,7 @@ def test_tsv_round_trip(spark, tmp_path):
 
 
 def test_roll_up_of_published_kind(spark):
-    df = spark.createDataFrame([("c", "s1", "t", "d", {"run_elapsed_seconds": 2.0, "resource_max_rss_gb": 1.0, "f1": 0.5}), ("c", "s2", "t", "d", {"run_elapsed_seconds": 3.0, "resource_max_rss_gb": 4.0, "f1": 1.0}), (None, "s3", "t", "d", {"f1": 9.0})], "collection string, sample string, tool string, db string, metrics map<string,double>")
+    df = spark.createDataFrame([("c", "s1", "t", "d", {"run_elapsed_seconds": 2.0, "resource_max_rss_gb": 1.0, "f1": 0.5}), ("c", "s2", "t", "d", {"run_elapsed_seconds": 3.0, "resource_max_rss_gb": 4.0, "f1": 1.0}), (None, "s3", "t", "d", {"f1": 9.0})], "collection string, sample string, tool string, db string, metrics map<string,double>").withColumn("dataset", F.lit("x"))
     got = {r["metric"]: (r["value"], r["sample_count"]) for r in runs.collection_aggregate(df).collect()}
     assert got == {"run_elapsed_seconds": (5.0, 2), "resource_max_rss_gb": (4.0, 2), "f1": (0.75, 2)}
 
