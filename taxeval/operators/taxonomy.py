@@ -8,30 +8,36 @@ from pyspark.sql import functions as F
 from ..functions.text import name_aliases
 from .durable import written
 
-#: Rounds after which a path counts as endless.
-DEEPEST = 64
+#: Levels that are climbed before what is left is written and looked at; most levels at all.
+STEPS, DEEPEST = 8, 64
 
 
 def closure(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, anc, dist) of all seeds in use: a seed itself at 0, even if unknown, and each ancestor up to the root, a
-    missing parent (its id is the last ancestor) or where a cycle closes.
+    missing parent (its id is the last ancestor) or where a cycle closes. Paths of over DEEPEST levels end there.
 
-    A frontier of (seed, node) is joined with the nodes level by level; only distinct seeds go up the tree.
+    Each seed gathers its path, which is bounded, over a few joins with the nodes in one plan; only seeds that haven't
+    arrived by then go on from a written table. Only distinct seeds go up the tree.
     """
-    up = nodes.filter(F.col("parent") != F.col("taxid")).select(F.col("taxid").alias("anc"), "parent")
-    frontier = seeds.select(F.col(seeds.columns[0]).cast("long").alias("seed")).filter("seed is not null").distinct()
-    frontier = written(frontier.select("seed", F.col("seed").alias("anc"), F.lit(0).alias("dist"), F.array("seed").alias("path")), "closure")
-    levels = [frontier]
-    for _ in range(DEEPEST):
-        step = frontier.join(up, "anc").filter(~F.array_contains("path", F.col("parent")))
-        frontier = written(step.select("seed", F.col("parent").alias("anc"), (F.col("dist") + 1).alias("dist"), F.concat("path", F.array("parent")).alias("path")), "closure")
-        if frontier.isEmpty():
+    up = nodes.filter(F.col("parent") != F.col("taxid")).select(F.col("taxid").alias("at"), "parent")
+    paths = seeds.select(F.col(seeds.columns[0]).cast("long").alias("seed")).filter("seed is not null").distinct()
+    paths = paths.select("seed", F.array("seed").alias("path"), F.col("seed").alias("at"))
+    arrived = []
+    for _ in range(DEEPEST // STEPS):
+        for _ in range(STEPS):
+            on = F.col("parent").isNotNull() & ~F.array_contains("path", F.col("parent"))
+            joined = paths.join(up, "at", "left")
+            paths = joined.select("seed", F.when(on, F.array_append("path", F.col("parent"))).otherwise(F.col("path")).alias("path"), F.when(on, F.col("parent")).alias("at"))
+        paths = written(paths, "closure")
+        arrived.append(paths.filter("at is null"))
+        paths = paths.filter("at is not null")
+        if paths.isEmpty():
             break
-        levels.append(frontier)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out.select("seed", "anc", "dist")
+    arrived.append(paths)
+    out = arrived[0]
+    for more in arrived[1:]:
+        out = out.unionByName(more)
+    return out.select("seed", F.posexplode("path").alias("dist", "anc")).select("seed", "anc", "dist")
 
 
 def lifts(closed: DataFrame, nodes: DataFrame, ranks: list[str]) -> DataFrame:
