@@ -1 +1 @@
-
+"""Bindings of tables, queries and their SQL."""

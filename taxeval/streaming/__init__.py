@@ -1 +1 @@
-
+"""Nothing here: what is evaluated is batch data, there is no stream to read."""
