@@ -3,10 +3,13 @@
 Word trigrams that a text shares with a template give windows of the text. In a window, words that are unique both in
 the window and in the template are anchors; the longest increasing subsequence of them is kept, and the gaps between
 are aligned in the same way until no anchors are left. Coverage is the share of the template's words that are matched.
+What the windows leave is searched from each word on for stretches whose longest common subsequence with the template
+has COVERAGE and DENSITY, so that clauses put in between and notices that repeat lose nothing.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -93,10 +96,47 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def common_rows(a: list[str], b: list[str]) -> list[int]:
+    """For each word of b: numbers whose bit i is 0 where the longest common subsequence so far needs a[i]."""
+    at: dict[str, int] = defaultdict(int)
+    for i, w in enumerate(a):
+        at[w] |= 1 << i
+    mask = v = (1 << len(a)) - 1
+    out = []
+    for w in b:
+        u = v & at.get(w, 0)
+        v = ((v + u) | (v - u)) & mask
+        out.append(v)
+    return out
+
+
+def common_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence."""
+    rows = common_rows(a, b)
+    i, j, out = len(a), len(b), []
+    while i and j:
+        if rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+            continue
+        j -= 1
+        if not j or rows[j - 1] >> (i - 1) & 1:
+            i -= 1
+            out.append((i, j))
+    return out[::-1]
+
+
+def passes(n: int, matched: int, span: int) -> bool:
+    return matched / n >= COVERAGE and matched / span >= DENSITY
+
+
 class Templates:
     def __init__(self, texts: dict[str, str]):
         self.names = list(texts)
         self.words = [[w for w, _, _ in words(t)] for t in texts.values()]
+        self.counts = [Counter(ws) for ws in self.words]
+        #: The words that a match of COVERAGE can begin with, and the bits of each word's places.
+        self.heads = [set(ws[: len(ws) - math.ceil(COVERAGE * len(ws) - 1e-9) + 1]) for ws in self.words]
+        self.bits = [{w: sum(1 << i for i, x in enumerate(ws) if x == w) for w in of} for ws, of in zip(self.words, self.counts, strict=True)]
         self.grams: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
         for k, ws in enumerate(self.words):
             for i in range(len(ws) - 2):
@@ -114,7 +154,7 @@ class Templates:
             gap, spans = max(8, n // 4), []
             low = high = found[0]
             for i, at in found[1:]:
-                if i - high[0] > gap or (at < high[1] - n // 2 and i > high[0]):  # far off, or a new pass
+                if i - high[0] > gap or (i > high[0] and at < high[1] - n // 2):  # far off, or a new pass
                     spans.append((low, high))
                     low = (i, at)
                 high = (i, at)
@@ -122,6 +162,67 @@ class Templates:
             out[k] = [(max(0, lo[0] - lo[1] - 2), min(len(ws), hi[0] + n - hi[1] + 2)) for lo, hi in spans]
         return out
 
+    def lacks(self, k: int, present: set[str]) -> bool:
+        """Whether a text with these words can't have COVERAGE of the template."""
+        n = len(self.words[k])
+        return not n or (n - sum(c for w, c in self.counts[k].items() if w not in present)) / n < COVERAGE
+
+    def stretches(self, k: int, ws: list[str], lo: int, hi: int) -> list[tuple[int, int]]:
+        """Stretches of ws[lo:hi], apart from each other, that match the template: exact, the tightest first."""
+        of, bits, heads, n = self.counts[k], self.bits[k], self.heads[k], len(self.words[k])
+        most = int(n / DENSITY)
+        places = [i for i in range(lo, hi) if ws[i] in of]
+        mask = (1 << n) - 1
+        seen: dict[str, int] = defaultdict(int)
+        enough, end, found = 0, 0, []
+        for x, s in enumerate(places):
+            while end < len(places) and places[end] < s + most:  # enough: words of the template from s on, as often as it has them
+                w = ws[places[end]]
+                seen[w] += 1
+                enough += seen[w] <= of[w]
+                end += 1
+            if enough / n >= COVERAGE and ws[s] in heads:
+                v, matched = mask, 0
+                for e in places[x:end]:
+                    u = v & bits[ws[e]]
+                    v = ((v + u) | (v - u)) & mask
+                    m = n - v.bit_count()
+                    if m > matched:
+                        matched = m
+                        if passes(n, m, e - s + 1):
+                            found.append((DENSITY / 2 * (e - s + 1) - m, s, e))
+            w = ws[s]
+            enough -= seen[w] <= of[w]
+            seen[w] -= 1
+        out: list[tuple[int, int]] = []
+        for _, s, e in sorted(found):
+            if all(e < x or s > y for x, y in out):
+                out.append((s, e))
+        return out
+
+    def matches(self, k: int, ws: list[str], spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(words matched, first, last) of the passes of a template: in windows, and in what these leave."""
+        a, tight, out = self.words[k], [], []
+        for lo, hi in spans:
+            pairs = align(a, ws[lo:hi])
+            # Without a foreign word in it an alignment stands; looser ones may reach into another copy, and are searched for.
+            if pairs and passes(len(a), len(pairs), len(pairs)) and pairs[-1][1] - pairs[0][1] + 1 == len(pairs):
+                tight.append((-len(pairs), lo + pairs[0][1], lo + pairs[-1][1]))
+        for m, first, last in sorted(tight):
+            if all(last < x or first > y for _, x, y in out):
+                out.append((-m, first, last))
+        at, rest = 0, []
+        for _, first, last in sorted(out, key=lambda x: x[1]):
+            rest.append((at, first))
+            at = last + 1
+        for lo, hi in [*rest, (at, len(ws))]:
+            for s, e in self.stretches(k, ws, lo, hi):
+                pairs = align(a, ws[s : e + 1])
+                if not pairs or not passes(len(a), len(pairs), pairs[-1][1] - pairs[0][1] + 1):
+                    pairs = common_pairs(a, ws[s : e + 1])
+                out.append((len(pairs), s + pairs[0][1], s + pairs[-1][1]))
+        return out
+
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, end), code points, by start; of overlapping ones the one with the most words."""
         low = text.lower()
@@ -129,17 +230,10 @@ class Templates:
             return []
         tokens = words(text)
         ws = [w for w, _, _ in tokens]
-        found = []
-        for k, spans in self.windows(ws).items():
-            a = self.words[k]
-            for lo, hi in spans:
-                pairs = align(a, ws[lo:hi])
-                if not pairs:
-                    continue
-                first, last = lo + pairs[0][1], lo + pairs[-1][1]
-                coverage = len(pairs) / len(a)
-                if coverage >= COVERAGE and len(pairs) / (last - first + 1) >= DENSITY:
-                    found.append((-len(pairs), -coverage, k, first, last))
+        present = set(ws)
+        able = [k for k in range(len(self.words)) if not self.lacks(k, present)]
+        windows = self.windows(ws) if able else {}
+        found = [(-m, -m / len(self.words[k]), k, first, last) for k in able for m, first, last in self.matches(k, ws, windows.get(k, []))]
         taken: list[tuple[int, int]] = []
         out = []
         for n, coverage, k, first, last in sorted(found):

@@ -394,6 +394,35 @@ def test_license_query_finds_all_notices(spark, sf_dir, duck):
     assert {r["doc_id"] for r in licenses.query(spark, sf_dir).collect() if r["n_licenses"]} == want
 
 
+def test_clauses_put_in_between_lose_no_license():
+    scan = licenses.Templates(licenses.TEMPLATES).scan
+    for name in ("MIT", "ISC", "BSD-2-Clause"):
+        ws = licenses.TEMPLATES[name].split()
+        for at in (0.2, 0.5, 0.7):
+            for more in (30, 45):
+                cut = int(at * len(ws))
+                text = "Copyright notes. " + " ".join([*ws[:cut], *(f"foreign{i}" for i in range(more)), *ws[cut:]]) + " And more."
+                got = scan(text)
+                assert [x[0] for x in got] == [name] and (got[0][1] > 0.8), (name, at, more)
+    clause = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    two = licenses.TEMPLATES["BSD-2-Clause"]
+    text = two.replace(" THIS SOFTWARE IS", f" 3. {clause} THIS SOFTWARE IS", 1)
+    assert text != two and len(scan(text)) == 1 and scan(text)[0][1] == 1.0 and scan(text)[0][3] == len(text) - 1
+
+
+def test_stretches_against_all_stretches():
+    rnd = random.Random(9)
+    template = "a b c d a e f g h b".split()
+    held = licenses.Templates({"x": " ".join(template)})
+    for _ in range(300):
+        ws = [rnd.choice("abcdefghxyz") if rnd.random() < 0.5 else template[i % 10] for i in range(rnd.randint(0, 40))]
+        want = any(licenses.passes(10, common(template, ws[s:e]), e - s) for s in range(len(ws)) for e in range(s + 1, len(ws) + 1))
+        got = held.stretches(0, ws, 0, len(ws))
+        assert bool(got) == want and all(licenses.passes(10, common(template, ws[s : e + 1]), e - s + 1) for s, e in got)
+        pairs = licenses.common_pairs(template, ws)
+        assert len(pairs) == common(template, ws) and all(template[i] == ws[j] for i, j in pairs)
+
+
 # 9 search
 
 
