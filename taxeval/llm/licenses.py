@@ -45,6 +45,8 @@ TRIGGERS = ("licen", "copyright", "permission", "redistribut", "free software")
 
 WORD = re.compile(r"[^\W_]+")
 COVERAGE, DENSITY = 0.8, 0.5
+#: Templates of so few words begin a new pass wherever their words don't go on.
+SHORT = 16
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
@@ -154,7 +156,7 @@ class Templates:
             gap, spans = max(8, n // 4), []
             low = high = found[0]
             for i, at in found[1:]:
-                if i - high[0] > gap or (i > high[0] and at < high[1] - n // 2):  # far off, or a new pass
+                if i - high[0] > gap or (i > high[0] and (at < high[1] - n // 2 or (n <= SHORT and at <= high[1]))):  # far off, or a new pass
                     spans.append((low, high))
                     low = (i, at)
                 high = (i, at)

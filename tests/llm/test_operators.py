@@ -410,6 +410,16 @@ def test_clauses_put_in_between_lose_no_license():
     assert text != two and len(scan(text)) == 1 and scan(text)[0][1] == 1.0 and scan(text)[0][3] == len(text) - 1
 
 
+def test_adjacent_copies_are_found_each():
+    scan = licenses.Templates(licenses.TEMPLATES).scan
+    for name, template in licenses.TEMPLATES.items():
+        for copies in (1, 2, 3):
+            for between in (" ", " see also "):
+                text = "here: " + between.join([template] * copies) + " end"
+                got = [(x[0], x[1], text[x[2] :].startswith(template[:9])) for x in scan(text)]
+                assert got == [(name, 1.0, True)] * copies, (name, copies, got)
+
+
 def test_stretches_against_all_stretches():
     rnd = random.Random(9)
     template = "a b c d a e f g h b".split()
