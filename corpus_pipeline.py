@@ -22,7 +22,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked by a similarity of 0.8 of their fingerprints over five-word shingles, the one with
+    """Of documents that are linked by a Jaccard similarity of 0.8 or more of their five-word shingles, the one with
     the smallest id stays."""
     return simhash.drop_near_copies(docs)
 

@@ -35,6 +35,10 @@ LIMIT = 2048
 #: Pairs of a search and a node that are held at once.
 FRONTIER = 400_000
 ZERO = b"\0"
+#: Jaccard similarity of linked texts of the pipeline; texts whose shingles tell which are common, and most of these.
+LIKENESS, SAMPLE, COMMON = 0.8, 20_000, 200_000
+#: Rounds in which buckets meet one member only; cells by which texts are looked up.
+TURNS, CELLS = 4, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -330,12 +334,147 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_
     return made.join(named, cols).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, scheme: Scheme = WIDE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingle hashes of a text in order; a single 0 for texts without words, so that these are alike."""
+    found = np.frombuffer(shingle_hashes((text or "").encode().translate(LOWER).split(), size), ">u8").astype(np.uint64)
+    return np.unique(found) if len(found) else np.zeros(1, np.uint64)
+
+
+def prefixes(docs: DataFrame, shingle: int, likeness: float) -> DataFrame:
+    """Rows (token, node, n, pos) of docs (node, text): of each set of n shingles the first n - ceil(likeness n) + 1,
+    those that are common in a sample last. Sets of a Jaccard similarity of likeness share one of these, by whatever
+    order of the shingles; the order only keeps the groups that share one small."""
+    million = 1_000_000
+    share = min(million, million * SAMPLE // max(1, docs.count()) + 1)
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle).view(np.int64))], names=["token"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("node", F.lit("shingle sample")), F.lit(million)) < share).select("text")
+    common = sample.mapInArrow(all_of, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    top = common.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    keys, often = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    keys, often = keys[np.argsort(keys)], often[np.argsort(keys)]
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                tokens, nodes, sizes, places = [], [], [], []
+                for node, text in zip(batch.column(0).to_numpy(zero_copy_only=False)[lo : lo + 512], batch.column(1)[lo : lo + 512].to_pylist(), strict=True):
+                    found = shingle_set(text, shingle)
+                    n = len(found)
+                    if len(keys):
+                        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                        found = found[np.argsort(np.where(keys[at] == found, often[at], 0), kind="stable")]
+                    k = n - int(np.ceil(likeness * n - 1e-9)) + 1
+                    tokens.append(found[:k])
+                    nodes.append(np.full(k, node, np.int64))
+                    sizes.append(np.full(k, n, np.int32))
+                    places.append(np.arange(k, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (nodes, sizes, places)]], names=["token", "node", "n", "pos"])
+
+    return docs.select("node", "text").mapInArrow(first, "token long, node long, n int, pos int")
+
+
+def alike(pairs: DataFrame, docs: DataFrame, shingle: int, likeness: float) -> DataFrame:
+    """The pairs (u, v) of docs (node, text) whose sets have a Jaccard similarity of likeness or more.
+
+    Sets are made of texts whose node falls in a marked cell, so that few others are dealt out.
+    """
+    marked = np.zeros(CELLS, bool)
+    marked[pairs.select(F.explode(F.array("u", "v")).alias("x")).select(F.pmod("x", F.lit(CELLS)).cast("int").alias("x")).distinct().toArrow().column("x").to_numpy()] = True
+    bits = np.packbits(marked)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.unpackbits(bits).astype(bool)
+        for batch in batches:
+            some = batch.filter(pa.array(have[batch.column(0).to_numpy(zero_copy_only=False) % CELLS]))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both = len(np.intersect1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True))
+                keep.append(both >= likeness * ((len(a) + len(b)) // 8 - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = materialize(docs.select("node", "text").mapInArrow(make, "node long, shingles binary"), "alike-sets")
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}"))
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "_u", "_v").mapInArrow(run, "u long, v long")
+
+
+def alike_components(docs: DataFrame, more: DataFrame | None = None, shingle: int = WIDE.shingle, likeness: float = LIKENESS) -> DataFrame:
+    """(node, root) of all linked nodes of docs (node, text): links are the pairs of a Jaccard similarity of likeness
+    or more of their sets of shingles, all of them; root is the smallest node of a component. more: pairs (u, v) to try
+    first.
+
+    Nodes that share a prefix token form a bucket. Each is held against its bucket's smallest member first; only
+    those that are outside their bucket's largest component afterwards meet all of the bucket.
+    """
+    bucket = Window.partitionBy("token").orderBy("node")
+    rows = prefixes(docs, shingle, likeness).withColumn("_b", F.lag("node").over(bucket)).withColumn("_a", F.lead("node").over(bucket))
+    rows = materialize(rows.filter("_a is not null or _b is not null").drop("_a", "_b"), "alike-buckets")
+
+    size = rows.count()
+    links, found = None, None
+    need = F.ceil(F.greatest("n", "m") * F.lit(likeness) - F.lit(1e-9)) - 1  # at most so many lie behind a prefix
+    for turn in range(TURNS + 1):
+        at = rows if found is None else rows.join(found, "node", "left")
+        at = at.withColumn("root", F.col("node") if found is None else F.coalesce("root", "node"))
+        fits = lambda x, y: (F.least(x, y) + F.lit(1e-9) >= F.greatest(x, y) * F.lit(likeness))
+        pair = (F.greatest("node", "w").alias("u"), F.least("node", "w").alias("v"), "n", "m")
+        if turn:
+            per = at.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
+            open_ = per.groupBy("token").agg(F.max_by("root", "c").alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).filter("`all` > most")
+            open_ = materialize(open_, "alike-open")
+            work = open_.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
+            at = at.join(open_.select("token", "main"), "token")
+            last = work <= 4 * size or turn == TURNS
+        else:
+            last = False
+        if last:  # exact: of two that aren't joined, at least one is outside
+            few = at.filter(F.col("root") != F.col("main"))
+            others = at.select("token", F.col("node").alias("w"), F.col("n").alias("m"), F.col("root").alias("other"))
+            tries = few.join(others, "token").filter((F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m"))).select(*pair)
+        else:
+            order = F.struct("node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+            hub = at.groupBy("token").agg(F.min_by(F.struct("node", "n", "root"), order).alias("hub"))
+            hub = hub.select("token", F.col("hub.node").alias("w"), F.col("hub.n").alias("m"), F.col("hub.root").alias("other"))
+            tries = at.join(hub, "token").filter((F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m"))).select(*pair)
+        # As many shared prefix tokens as a pair that is alike has at least; in rounds of one member it may have more.
+        tries = tries.filter("u > v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
+        tries = tries.filter(F.col("c") + need >= F.lit(likeness / (1 + likeness)) * (F.col("n") + F.col("m")) - F.lit(1e-6)).select("u", "v")
+        if turn == 0 and more is not None:
+            tries = tries.unionByName(more.select("u", "v")).distinct()
+        new = materialize(alike(materialize(tries, "alike-pairs"), docs, shingle, likeness), "alike-links")
+        links = new if links is None else links.unionByName(new)
+        if turn == 0 or not new.isEmpty():
+            found = components(links)
+        if last:
+            return found
+    raise AssertionError
+
+
+def drop_near_copies(docs: DataFrame, scheme: Scheme = WIDE, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS) -> DataFrame:
     """The rows of docs whose id is the smallest of their component, with all columns; null ids stay only where a
-    component has no other."""
+    component has no other.
+
+    Links are the pairs of a Jaccard similarity of likeness or more of their sets of shingles, all of them: what the
+    BK-trees link is tried first, and each link is confirmed by the whole sets.
+    """
     near = near_duplicates(docs, scheme, id_col, text_col)
-    stay = near.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]), "left_semi")
+    more = near.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).cast("long").alias("u"), F.col("component_id").cast("long").alias("v"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    node = F.coalesce(F.col(id_col).cast("long"), -1 - F.abs(F.shiftright(F.xxhash64(text), 1)))
+    found = alike_components(docs.select(node.alias("node"), text.alias("text")), more, scheme.shingle, likeness)
+    named = docs.select(F.col(id_col).alias("_id"), node.alias("node")).distinct().join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # The smallest id of a component: null ids (below) give way to others.
+    least = materialize(named.groupBy("root").agg(F.min("_id").alias("_least")), "alike-ids")
+    stay = named.join(least, "root").filter(F.col("_id").eqNullSafe(F.col("_least"))).select("node").distinct()
+    return docs.withColumn("_node", node).join(stay, F.col("_node") == stay["node"], "left_semi").drop("_node")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

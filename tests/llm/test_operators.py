@@ -167,6 +167,60 @@ def test_wide_scheme_finds_near_copies(spark):
     assert sum(found[2 * k + 1] == 2 * k for k in range(60)) >= 57
 
 
+def brute_alike(rows, likeness=0.8):
+    """The ids that stay, by the rule itself: all pairs by the Jaccard similarity of their five-word shingles."""
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= likeness * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    least = {}
+    for (d, _), r in zip(rows, root, strict=True):
+        least[r] = min(d, least.get(r, d))
+    return sorted(least.values())
+
+
+@pytest.fixture(scope="module")
+def changed_texts():
+    rnd = random.Random(5)
+    rows = []
+    for k in range(40):  # near copies at all likenesses, around a text and in chains, all with a common passage
+        base = [f"w{k}x{rnd.randrange(200)}" for _ in range(rnd.choice((6, 25, 60, 120)))]
+        words = list(base)
+        for _ in range(6):
+            words = list(words if rnd.random() < 0.5 else base)
+            for _ in range(rnd.choice((1, 1, 2, 3, 5))):
+                words[rnd.randrange(len(words))] = f"z{rnd.random()}"
+            rows.append((len(rows), " ".join(words + [f"common{i}" for i in range(8)])))
+    base = [f"h{i}" for i in range(60)]
+    for _ in range(50):  # a dense group
+        words = list(base)
+        for _ in range(2):
+            words[rnd.randrange(60)] = f"z{rnd.random()}"
+        rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def test_dropped_near_copies_against_brute_force(spark, changed_texts, monkeypatch):
+    df = spark.createDataFrame(changed_texts, "doc_id long, text string")
+    want = brute_alike(changed_texts)
+    assert sorted(r[0] for r in simhash.drop_near_copies(df).collect()) == want
+
+
+def test_all_alike_are_found_without_other_candidates(spark, changed_texts, monkeypatch):
+    df = spark.createDataFrame(changed_texts, "node long, text string")
+    for more in ({}, {"SAMPLE": 1, "TURNS": 1}):
+        for k, v in more.items():
+            monkeypatch.setattr(simhash, k, v)
+        found = {r["node"]: r["root"] for r in simhash.alike_components(df).collect()}
+        assert sorted(d for d, _ in changed_texts if found.get(d, d) == d) == brute_alike(changed_texts)
+
+
 # 3 language
 
 
