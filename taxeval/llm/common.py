@@ -22,18 +22,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets
+    a folder of its own; on a cluster that is an error, as each executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
-        found = sc._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else None
+        known = sc._jsc.sc().getCheckpointDir()
+        found = known.get() if known.isDefined() else None
         if not found:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = tempfile.mkdtemp(prefix="spark-shared-")
             sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends here and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -50,12 +61,13 @@ def arrow_map(
 ) -> DataFrame:
     """Columns `keep` unchanged, then `fields` that fn(*input arrays) makes as lists or arrays, a value for each row.
 
-    A kept column with the name of a new field gives way to the new one.
+    A kept column with the name of a new field, in any case of its letters, gives way to the new one.
     """
-    made = {f.name for f in fields}
-    keep = [c for c in keep if c not in made]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)])
-    schema = T.StructType([df.schema[c] for c in keep] + list(fields))
+    made = {f.name.lower() for f in fields}
+    keep = [c for c in keep if c.lower() not in made]
+    quoted = lambda c: F.col(f"`{c}`")
+    src = df.select(*[quoted(c) for c in keep], *[quoted(c).alias(f"__in{i}") for i, c in enumerate(inputs)])
+    schema = T.StructType(src.schema.fields[: len(keep)] + list(fields))
     kinds, n, names = [to_arrow_type(f.dataType) for f in fields], len(keep), schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

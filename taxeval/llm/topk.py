@@ -1,10 +1,14 @@
 """Exact top-k search by a Voronoi join.
 
-A bounded sample of vectors serves as pivots; each vector goes to the cell of its nearest pivot. Of each cell, the
-count and the radius are known everywhere. A query is first solved in its own cell, which gives it a lower bound, its
-k-th score there. A cell with pivot p and radius r can only hold better ones if q.p + |q| r reaches that bound, and
-only to such cells the query is sent. Cells are split into blocks and queries into chunks of bounded size, and only
-the blocks that some query of a chunk needs are sent to it; blocks are solved on their own and their best k merged.
+Vectors of a sample serve as pivots; their number grows with the square root of the data. Each vector goes to the cell
+of its nearest pivot, and of each cell the count and the radius are known. Neighbouring cells form groups, such that a
+group holds about CHUNK queries; queries are grouped by their own cell's group, and a group with more is parted.
+
+A query is first solved in its own cell, which gives it a lower bound, its k-th score there. A vector x of a cell with
+pivot p is at most q.p + |q| |x - p| for a query q, so of each cell a group only needs the vectors that lie at least
+(bound - q.p) / |q| from p for some query q of it: one distance for each group and cell, and cells whose radius is
+below it aren't needed at all. Only these vectors are sent to the group, in blocks of bounded size; blocks are solved
+on their own and their best k merged.
 """
 
 from __future__ import annotations
@@ -19,16 +23,21 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: Pivots at most; vectors in a block; queries in a chunk; scores held at once in a task.
-PIVOTS, BLOCK, CHUNK, SCORES = 256, 4096, 8192, 2_000_000
+#: Pivots at most (they are broadcast); vectors in a block; queries in a group; scores held at once in a task.
+PIVOTS, BLOCK, CHUNK, SCORES = 8192, 8192, 4096, 2_000_000
+#: Squared lengths, after scaling, from which on scores might not fit in 64 bits.
+LONGEST = 9e18
+LOWEST = -(2**63)
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v): floor(scale * x) of each component; without rows whose id or vector is null or that hold a null or
-    non-finite component."""
+    """(id, v): floor(scale * x) of each component; without rows whose id or vector is null, that hold a null or
+    non-finite component, or whose squared length is LONGEST or more."""
     finite = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    size = F.aggregate(F.col(vector_col), F.lit(0.0), lambda a, x: a + (F.abs(x.cast("double")) * scale + 1) * (F.abs(x.cast("double")) * scale + 1))
     v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
-    return vectors.filter(F.col(id_col).isNotNull() & F.coalesce(finite, F.lit(False))).select(F.col(id_col).alias("id"), v.alias("v"))
+    fine = F.when(F.coalesce(finite, F.lit(False)), size < LONGEST).otherwise(False)
+    return vectors.filter(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -48,26 +57,52 @@ def assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value.astype(float)
+        sizes = (p * p).sum(1)
+        step = max(16, SCORES // len(p))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
                 x = matrix(part.column(1), p.shape[1]).astype(float)
-                d = (x * x).sum(1)[:, None] - 2 * x @ p.T + (p * p).sum(1)
-                cell = d.argmin(1)
+                cell = (sizes - 2 * x @ p.T).argmin(1)
                 dist = np.sqrt(((x - p[cell]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell, pa.int32()), pa.array(dist)], names=["id", "v", "cell", "dist"])
 
     return vectors.mapInArrow(run, "id long, v array<long>, cell int, dist double")
 
 
-def solve(asked: DataFrame, data: DataFrame, k: int, width: int, chunks: int) -> DataFrame:
-    """(query_id, vec_id, score): of each query and block the best k. asked: (query_id, q, cell, bound)."""
-    blocks = data.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))  # a row for each pivot
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
-    needed = asked.select("cell", (F.col("chunk") + 0).alias("chunk")).distinct()
-    spread = asked.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = data.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    sent = dealt.join(needed, "cell").select("cell", "block", "chunk", "id", "v")
+def grouped_cells(pivots: np.ndarray, asking: np.ndarray, most: int) -> np.ndarray:
+    """A group for each cell: cells are parted along the direction in which their pivots differ most, until the
+    queries of a group (asking: of each cell) are at most `most`, or it is one cell."""
+    out = np.zeros(len(pivots), np.int64)
+    todo, groups = [np.arange(len(pivots))], 0
+    while todo:
+        cells = todo.pop()
+        if len(cells) == 1 or asking[cells].sum() <= most:
+            out[cells] = groups
+            groups += 1
+            continue
+        x = pivots[cells].astype(float)
+        x -= x.mean(0)
+        way = x[np.argmax((x * x).sum(1))]
+        for _ in range(3):  # about the direction of the largest variance
+            way = x.T @ (x @ way)
+            way /= max(float(np.abs(way).max()), 1e-300)
+        order = cells[np.argsort(x @ way, kind="stable")]
+        half = int(np.searchsorted(np.cumsum(asking[order]), asking[order].sum() / 2)) + 1
+        half = min(max(half, 1), len(order) - 1)
+        todo += [order[:half], order[half:]]
+    return out
+
+
+def solve(asked: DataFrame, sent: DataFrame, sizes: DataFrame, k: int, width: int) -> DataFrame:
+    """(query_id, vec_id, score): of each query of a group and each block of what is sent to the group the best k.
+
+    asked: (grp, query_id, q, bound); sent: (grp, id, v); sizes: (grp, n), at most so many are sent to each group.
+    """
+    blocks = sizes.select("grp", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"))
+    # A row for each group of about CHUNK queries: Spark's own size check decides if these are broadcast.
+    left = asked.join(blocks, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = sent.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     def local(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, x = right.column("id").to_numpy(), matrix(right.column("v"), width)
@@ -81,11 +116,12 @@ def solve(asked: DataFrame, data: DataFrame, k: int, width: int, chunks: int) ->
         out: list[list[np.ndarray]] = [[], [], []]
         step = max(1, SCORES // max(1, len(ids)))
         small = max(1, float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * width) < 2**53
+        if small:
+            q, x = q.astype(float), x.astype(float)
         for lo in range(0, len(queries) if len(ids) else 0, step):
-            rows = slice(lo, lo + step)
-            s = (q[rows].astype(float) @ x.T.astype(float)).astype(np.int64) if small else q[rows] @ x.T
+            s = (q[lo : lo + step] @ x.T).astype(np.int64)
             for i, row in enumerate(s):
-                fine = np.flatnonzero((ids != queries[lo + i]) & (row >= bound[lo + i]))
+                fine = np.flatnonzero((row >= bound[lo + i]) & (ids != queries[lo + i]))
                 if len(fine) > k:
                     cut = np.partition(row[fine], len(fine) - k)[len(fine) - k]
                     fine = fine[row[fine] >= cut]
@@ -95,31 +131,67 @@ def solve(asked: DataFrame, data: DataFrame, k: int, width: int, chunks: int) ->
                 out[2].append(row[fine])
         return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
-    keys = ["cell", "block", "chunk"]
-    left = spread.select(*keys, "query_id", "q", "bound").groupBy(*keys)
-    return left.cogroup(sent.groupBy(*keys)).applyInArrow(local, "query_id long, vec_id long, score long")
+    keys = ["grp", "block"]
+    left, right = left.select(*keys, "query_id", "q", "bound").groupBy(*keys), right.select(*keys, "id", "v").groupBy(*keys)
+    return left.cogroup(right).applyInArrow(local, "query_id long, vec_id long, score long")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query. A query has at most k rows of each block that it met."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, queries: "F.Column", k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, pivots: int = PIVOTS) -> DataFrame:
+def needs(asked: DataFrame, cells: np.ndarray, centre: np.ndarray, radius: np.ndarray, width: int) -> DataFrame:
+    """(grp, cell, least): the cells that a group needs besides a query's own, and how far from the pivot the vectors
+    lie that it needs of them, for some query of the group. asked: (grp, query_id, q, cell, bound)."""
+    held = asked.sparkSession.sparkContext.broadcast((cells, centre, radius))  # a row for each pivot
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, p, r = held.value
+        sizes = np.sqrt((p**2).sum(1))
+        step = max(16, SCORES // len(own))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                grp, home = part.column(0).to_numpy(), part.column(3).to_numpy()
+                q = matrix(part.column(2), width).astype(float)
+                low = part.column(4).to_numpy(zero_copy_only=False).astype(float)
+                size = np.sqrt((q * q).sum(1))[:, None]
+                slack = 1e-9 * size * (sizes + r) + 1e-6  # rounding
+                short = low[:, None] - q @ p.T - slack
+                least = np.where(size > 0, short / np.where(size > 0, size, 1), np.where(short <= 0, -np.inf, np.inf))
+                least[own == home[:, None]] = np.inf
+                order = np.argsort(grp, kind="stable")
+                first = np.flatnonzero(np.r_[True, grp[order][1:] != grp[order][:-1]])
+                least = np.minimum.reduceat(least[order], first, axis=0)
+                i, j = np.nonzero(least <= r)
+                yield pa.RecordBatch.from_arrays([pa.array(grp[order][first][i], pa.int64()), pa.array(own[j], pa.int32()), pa.array(least[i, j] * (1 - 1e-9) - 1e-6)], names=["grp", "cell", "least"])
+
+    return asked.select("grp", "query_id", "q", "cell", "bound").mapInArrow(run, "grp long, cell int, least double").groupBy("grp", "cell").agg(F.min("least").alias("least"))
+
+
+def top_k(vectors: DataFrame, queries: "F.Column", k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024, pivots: int = PIVOTS, report: dict | None = None) -> DataFrame:
     """The k rows with the highest integer inner product for each query: query_id, rank from 1, vec_id, score.
 
     `queries` is a condition on the id that says which rows ask. A row doesn't find rows with its own id; ties go to
     the smaller id; all rows come where there are fewer. Rows with a null id, a null vector, or a null or non-finite
-    component take no part. Shorter vectors are filled up with zeros. Rows equal in id and vector count once; of
-    different vectors with a query's id the largest asks. No rows: no rows.
+    component take no part, nor do vectors so long that scores might not fit in 64 bits (squared length of LONGEST
+    after scaling). Shorter vectors are filled up with zeros. Rows equal in id and vector count once; of different
+    vectors with a query's id the largest asks. Other columns, of whatever name, play no part. No rows: no rows.
+
+    report, if given, receives the numbers of vectors, queries, pivots and groups, and `sent`, the vectors sent to
+    groups beside the ones of the queries' own cells.
     """
     spark = vectors.sparkSession
     rows = scaled(vectors, id_col, vector_col, scale)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()  # at most `pivots` vectors
     schema = "query_id long, rank int, vec_id long, score long"
-    if not sample:
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if not n:
         return spark.createDataFrame([], schema)
-    width = max(1, rows.agg(F.max(F.size("v"))).first()[0])
+    width = max(1, width)
+    some = min(pivots, max(16, math.ceil(math.sqrt(n))))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(some).collect()  # at most `pivots` vectors
     p = np.zeros((len(sample), width), np.int64)
     for i, r in enumerate(sample):
         p[i, : len(r["v"])] = r["v"]
@@ -127,29 +199,33 @@ def top_k(vectors: DataFrame, queries: "F.Column", k: int = 10, id_col: str = "v
     data = materialize(assign(rows, p), "voronoi")
     asks = data.filter(queries(F.col("id"))).groupBy("id").agg(F.max(F.struct("v", "cell")).alias("m")).select(F.col("id").alias("query_id"), F.col("m.v").alias("q"), F.col("m.cell").alias("cell"))
     asks = materialize(asks, "voronoi-queries")
-    chunks = max(1, math.ceil(asks.count() / CHUNK))
-    summary = {r["cell"]: r["r"] for r in data.groupBy("cell").agg(F.max("dist").alias("r")).collect()}  # a row for each pivot
-    home = materialize(best(solve(asks.withColumn("bound", F.lit(-(2**63)).cast("long")), data.select("id", "v", "cell"), k, width, chunks), k), "voronoi-home")
+    summary = data.groupBy("cell").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("n")).collect()  # a row for each pivot
+    asking = np.zeros(len(p), np.int64)
+    for r in asks.groupBy("cell").count().collect():  # a row for each pivot
+        asking[r["cell"]] = r["count"]
+    group = grouped_cells(p, asking, CHUNK)
+    # A group that is one cell with more queries is parted by their hashes; grp: group * most + part.
+    load = np.zeros(group.max() + 1, np.int64)
+    np.add.at(load, group, asking)
+    parts = np.maximum(1, -(-load // CHUNK))
+    most = int(parts.max())
+    cells = spark.createDataFrame(pa.table([pa.array(np.arange(len(p)), pa.int32()), pa.array(group), pa.array(parts[group])], names=["cell", "_group", "_parts"]))
+    counts = spark.createDataFrame(pa.table([pa.array([r["cell"] for r in summary], pa.int32()), pa.array([r["n"] for r in summary])], names=["cell", "n"]))
+    asked = asks.join(F.broadcast(cells), "cell").withColumn("grp", F.col("_group") * most + F.pmod(F.xxhash64("query_id"), F.col("_parts")))
+    # Home: each query in its own cell; a group of queries for each cell and part.
+    at_home = asked.withColumn("grp", F.col("cell").cast("long") * most + F.pmod(F.xxhash64("query_id"), F.col("_parts"))).select("grp", "cell", "query_id", "q", F.lit(LOWEST).cast("long").alias("bound"))
+    homes = at_home.select("cell", (F.col("grp") + 0).alias("grp")).distinct()
+    home = solve(at_home.drop("cell"), data.join(homes, "cell").select("grp", "id", "v"), homes.join(F.broadcast(counts), "cell").select("grp", "n"), k, width)
+    home = materialize(best(home, k), "voronoi-home")
     bounds = home.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    cells = np.array(sorted(summary))
-    radius, centre = np.array([summary[c] for c in cells]), p[cells].astype(float)
-
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                q = matrix(part.column(1), width).astype(float)
-                low = part.column(3).to_numpy(zero_copy_only=False).astype(float)
-                size = np.sqrt((q * q).sum(1))
-                most = (q @ centre.T + size[:, None] * radius) * 1.0
-                most += 1e-9 * (size[:, None] * (np.sqrt((centre**2).sum(1)) + radius)) + 1e-6  # rounding
-                i, j = np.nonzero((most >= low[:, None]) & (cells != part.column(2).to_numpy()[:, None]))
-                at = pa.array(i)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(cells[j], pa.int32()), part.column(3).take(at)], names=["query_id", "q", "cell", "bound"])
-
-    wide = asks.join(bounds, "query_id", "left").select("query_id", "q", "cell", F.coalesce("bound", F.lit(-(2**63)).cast("long")).alias("bound"))
-    wide = wide.mapInArrow(reach, "query_id long, q array<long>, cell int, bound long")
-    far = solve(wide, data.select("id", "v", "cell"), k, width, chunks)
+    asked = materialize(asked.join(bounds, "query_id", "left").select("grp", "query_id", "q", "cell", F.coalesce("bound", F.lit(LOWEST).cast("long")).alias("bound")), "voronoi-asked")
+    own = np.array(sorted(r["cell"] for r in summary))
+    radius = np.array([r["r"] for r in sorted(summary, key=lambda r: r["cell"])])
+    need = materialize(needs(asked, own, p[own].astype(float), radius, width), "voronoi-needs")
+    sent = data.join(need, "cell").filter(F.col("dist") >= F.col("least")).select("grp", "id", "v")
+    far = solve(asked.select("grp", "query_id", "q", "bound"), sent, need.join(F.broadcast(counts), "cell").groupBy("grp").agg(F.sum("n").alias("n")), k, width)
+    if report is not None:
+        report.update(vectors=n, queries=int(asking.sum()), pivots=len(p), groups=int(parts.sum()), sent=sent.count())
     return best(home.select("query_id", "vec_id", "score").unionByName(far), k).select("query_id", "rank", "vec_id", "score")
 
 
