@@ -1,11 +1,10 @@
 """Language identification by interpolated Kneser-Ney models over characters.
 
-Fitted on a bounded sample of labelled rows: about `train_rows` of each language, chosen by a hash of the id. The
-counts of character 4-grams come from Spark; lower orders follow from them (continuation counts). A model holds at
-most `max_grams` 4-grams of a language, so what is broadcast has a bound: languages x max_grams x a few numbers.
-All languages share sorted hash arrays: a key's row has its log-probability in each language, and only n-grams that no
-language has seen take the backoff path. The language with the lowest cross-entropy a character is chosen; a text
-whose cross-entropy lies over what held-out rows of that language show is rejected.
+Fitted on a bounded sample of labelled rows: about `train_rows` rows of each of the `most` most frequent languages,
+chosen by a hash; both bounds are parameters. The counts of all character 4-grams of the sample come from Spark; lower
+orders follow from them (continuation counts). Each language has sorted hash arrays of its own n-grams, so what is
+broadcast grows with the sample alone. The language with the lowest cross-entropy a character is chosen; a text whose
+cross-entropy lies over what rows show that the counts haven't seen is rejected.
 """
 
 from __future__ import annotations
@@ -14,20 +13,21 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, blocks, materialize, table
+from .common import arrow_map, blocks, fresh, materialize, table
 
 ORDER = 4
-TRAIN_ROWS = 2000
-MAX_GRAMS = 200_000
-#: A language with fewer rows is fitted on all of them, and rejects nothing.
-FEW = 40
-#: Bits a character that a text may lie over the calibrated quantile, and what short texts may add to it.
+#: Bounds of the labelled sample: rows of a language (about), and languages, the most frequent ones.
+TRAIN_ROWS, LANGUAGES = 2000, 1000
+#: Rejection: bits a character that a text may lie over what is usual, and what short texts may add to it.
 MARGIN, SHORT = 1.0, 8.0
+#: Rows that each language's usual entropy borrows from all languages together.
+BORROWED = 4
 SPACE = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -35,12 +35,13 @@ _TABLES: dict[str, np.ndarray] = {}
 
 
 def letters() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: what stands for it (letters and marks themselves, beyond 16 bits one stand-in, others a
-    space), and whether it is a letter."""
+    """For each code point: what stands for it (letters and marks themselves, those beyond 16 bits one of the 8448
+    places that surrogates and private characters leave free, others a space), and whether it is a letter."""
     if not _TABLES:
         category = [unicodedata.category(chr(i))[0] for i in range(0x110000)]
         letter = np.array([c == "L" for c in category])
-        code = np.where(np.array([c in "LM" for c in category]), np.minimum(np.arange(0x110000), 0xFFFF), SPACE)
+        at = np.arange(0x110000)
+        code = np.where(np.array([c in "LM" for c in category]), np.where(at > 0xFFFF, 0xD800 + at % 0x2100, at), SPACE)
         _TABLES["letter"], _TABLES["code"] = letter, code.astype(np.uint64)
     return _TABLES["code"], _TABLES["letter"]
 
@@ -103,65 +104,68 @@ class Hashed:
         return out
 
 
-class Model:
-    """Interpolated Kneser-Ney models of some languages. counts: of each language's 4-grams, keys and numbers."""
+def low(g: np.ndarray, k: int) -> np.ndarray:
+    """The last k characters of packed n-grams."""
+    return g & np.uint64((1 << (16 * k)) - 1)
 
-    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.langs = langs
-        self.limit = np.full(len(langs), np.inf)
-        if not langs:
-            return
-        low = lambda g, n: g & np.uint64((1 << (16 * n)) - 1)
-        chars = np.unique(np.concatenate([low(g, 1) for g, _ in counts]))
-        self.floor = 1.0 / (len(chars) + 1)
-        levels: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER + 1)]
-        for g, n in counts:  # raw counts above, below the number of different characters in front
-            order = np.argsort(g)
-            g, n = g[order], n[order]
-            levels[ORDER].append((g, n.astype(float)))
-            for k in range(ORDER - 1, 0, -1):
-                g, n = np.unique(low(g, k), return_counts=True)
-                levels[k].append((g, n.astype(float)))
-        self.prob: list[Hashed | None] = [None] * (ORDER + 1)
-        self.back: list[Hashed | None] = [None] * (ORDER + 1)
-        logs = None
+
+class Language:
+    """An interpolated Kneser-Ney model with one discount for each order. g, n: 4-grams and their counts."""
+
+    def __init__(self, g: np.ndarray, n: np.ndarray, floor: float):
+        order = np.argsort(g)
+        g, n = g[order], n[order].astype(float)
+        levels = {ORDER: (g, n)}
+        for k in range(ORDER - 1, 0, -1):  # below the top: the number of different characters in front
+            g, times = np.unique(low(g, k), return_counts=True)
+            levels[k] = (g, times.astype(float))
+        self.floor, self.prob, self.back = np.float32(np.log(floor)), {}, {}
         for k in range(1, ORDER + 1):
-            keys = np.unique(np.concatenate([g for g, _ in levels[k]]))
-            heads = np.unique(keys >> np.uint64(16)) if k > 1 else np.zeros(1, np.uint64)
-            below = np.full((len(keys), len(langs)), self.floor) if k == 1 else np.exp(self.log(low(keys, k - 1), k - 1))
-            direct, weight = np.zeros((len(keys), len(langs))), np.ones((len(heads), len(langs)))
-            for j, (g, n) in enumerate(levels[k]):
-                ones, twos = float((n == 1).sum()), float((n == 2).sum())
-                d = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
-                head = np.searchsorted(heads, g >> np.uint64(16)) if k > 1 else np.zeros(len(g), np.int64)
-                total = np.bincount(head, n, len(heads))
-                kinds = np.bincount(head, minlength=len(heads))
-                seen = total > 0
-                weight[seen, j] = d * kinds[seen] / total[seen]
-                direct[np.searchsorted(keys, g), j] = (n - d) / total[head]
-            of = np.searchsorted(heads, keys >> np.uint64(16)) if k > 1 else np.zeros(len(keys), np.int64)
-            logs = np.log(direct + weight[of] * below).astype(np.float32)
-            self.prob[k], self.back[k] = Hashed(keys, logs), Hashed(heads, np.log(weight).astype(np.float32))
+            g, n = levels[k]
+            ones, twos = float((n == 1).sum()), float((n == 2).sum())
+            d = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+            heads, head = np.unique(g >> np.uint64(16) if k > 1 else np.zeros(len(g), np.uint64), return_inverse=True)
+            total, kinds = np.bincount(head, n, len(heads)), np.bincount(head, minlength=len(heads))
+            weight = d * kinds / total
+            logs = np.log((n - d) / total[head] + weight[head] * np.exp(self.log(low(g, k - 1), k - 1).astype(float)))
+            self.prob[k], self.back[k] = Hashed(g, logs.astype(np.float32)), Hashed(heads, np.log(weight).astype(np.float32))
 
     def log(self, g: np.ndarray, k: int = ORDER) -> np.ndarray:
-        """log p of each k-gram's last character after the others, a column for each language."""
+        """log p of each k-gram's last character after the others."""
         if k == 0:
-            return np.full((len(g), len(self.langs)), np.log(self.floor), np.float32)
+            return np.full(len(g), self.floor)
         at = self.prob[k].find(g)
         out = self.prob[k].rows[at]
         miss = np.flatnonzero(at < 0)
         if len(miss):
             m = g[miss]
-            under = self.log(m & np.uint64((1 << (16 * (k - 1))) - 1), k - 1)
             head = self.back[k].find(m >> np.uint64(16) if k > 1 else np.zeros(len(m), np.uint64))
-            out[miss] = under + np.where((head >= 0)[:, None], self.back[k].rows[head], np.float32(0))
+            out[miss] = self.log(low(m, k - 1), k - 1) + np.where(head >= 0, self.back[k].rows[head], np.float32(0))
         return out
 
+
+class Model:
+    """Models of some languages. counts: of each language's 4-grams, keys and numbers."""
+
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
+        self.langs = langs
+        self.limit = np.full(len(langs), np.inf)
+        chars = np.unique(np.concatenate([low(g, 1) for g, _ in counts])) if langs else np.zeros(0)
+        self.floor = 1.0 / (len(chars) + 1)
+        self.models = [Language(g, n, self.floor) for g, n in counts]
+
+    def log(self, g: np.ndarray) -> np.ndarray:
+        """log p of each 4-gram's last character after the others, a column for each language."""
+        return np.stack([m.log(g) for m in self.models], 1)
+
     def entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits a character of each text in each language; its characters; its letters."""
         g, first, n_letters = grams(texts)
         size = np.diff(np.r_[first, len(g)])
-        total = np.add.reduceat(self.log(g), first, axis=0, dtype=np.float64) if len(g) else np.zeros((len(texts), len(self.langs)))
+        at, kinds = pd.factorize(g)  # each different 4-gram is looked up once
+        total = np.empty((len(texts), len(self.langs)))
+        for j, m in enumerate(self.models):
+            total[:, j] = np.add.reduceat(m.log(kinds)[at], first, dtype=np.float64)
         return -total / np.log(2) / np.maximum(size, 1)[:, None], size, n_letters
 
 
@@ -169,21 +173,19 @@ def held_out(id_col: str) -> "F.Column":
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, max_grams: int = MAX_GRAMS) -> Model:
-    """A model from a sample of the rows of docs that have a language: about train_rows of each (all, if fewer),
-    chosen by a hash of the id; a quarter of them only calibrates the rejection (languages of few rows reject nothing)."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    found = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col)).agg(F.count(F.lit(1))).collect()}
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, most: int = LANGUAGES) -> Model:
+    """A model from a sample of the rows of docs that have a language and a text: about train_rows of each (all, if
+    fewer) of the `most` most frequent languages, chosen by a hash of id and text. In the order of the hash, every
+    fourth row of a language only calibrates the rejection. No such rows: a model without languages. Repeated rows
+    count as often as they come; other columns play no part."""
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"))
+    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     langs = sorted(found)
     if not langs:
         return Model([], [])
-    million = 1_000_000
-    share = F.create_map(*[x for l in langs for x in (F.lit(l), F.lit(min(million, million * train_rows // found[l] + 1)))])
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("language sample")), F.lit(million))
-    sample = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("_draw")).withColumn("_share", share[F.col("lang")])
-    few = F.col("lang").isin([l for l in langs if found[l] < FEW])
-    sample = sample.filter("_draw < _share").withColumn("fits", few | (F.pmod(F.xxhash64("_draw"), F.lit(4)) > 0)).select("lang", "text", "fits")
-    sample = materialize(sample, "language-sample")
+    share = F.create_map(*[x for l in langs for x in (F.lit(l), F.lit(min(1.0, train_rows / found[l])))])
+    sample = rows.filter(F.shiftrightunsigned("draw", 11) < F.try_element_at(share, F.col("lang")) * F.lit(2.0**53))
+    sample = materialize(sample.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).select("lang", "text", (F.col("rank") % 4 != 0).alias("fits")), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,45 +197,46 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     g, n = np.unique(grams(block)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counts = sample.filter("fits").select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
-    counts = materialize(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-counts")
-    per = []
-    for lang in langs:  # at most max_grams rows each
-        t = counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(max_grams).select("gram", "n").toArrow()
-        per.append((t.column("gram").to_numpy().view(np.uint64), t.column("n").to_numpy()))
-    some = [i for i, (g, _) in enumerate(per) if len(g)]
-    model = Model([langs[i] for i in some], [per[i] for i in some])
+    counts = sample.filter("fits").select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    t = counts.toArrow()  # the n-grams of the sample
+    at = pd.factorize(t.column("lang").to_numpy(), sort=True)
+    own, g, n = at[0], t.column("gram").to_numpy().view(np.uint64), t.column("n").to_numpy()
+    model = Model([str(l) for l in at[1]], [(g[own == j], n[own == j]) for j in range(len(at[1]))])
     # Rejection: rows that the counts haven't seen tell what is usual in a language.
-    test = identify(sample.filter(~F.col("fits")), model, keep=["lang"]).filter("lang = lang_pred")
-    usual = {r[0]: r[1] for r in test.groupBy("lang").agg(F.percentile("bits", F.lit(0.999))).collect()}
-    model.limit = np.array([usual.get(l, np.inf) for l in model.langs]) + MARGIN
+    made = identify(sample.filter("not fits"), model, keep=["lang"]).filter("lang = lang_pred").select("lang", F.col("bits") - SHORT / F.sqrt("n_chars")).toArrow()  # a part of the sample
+    bits = made.column(1).to_numpy()
+    if len(bits):
+        own = np.array([model.langs.index(l) for l in made.column(0).to_pylist()])
+        usual = np.array([(bits[own == j].sum() + BORROWED * bits.mean()) / ((own == j).sum() + BORROWED) for j in range(len(model.langs))])
+        model.limit = usual + np.quantile(bits - usual[own], 0.999) + MARGIN
     return model
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (default: all), lang_pred, score, bits and rejected.
+    """Columns `keep` (default: all), lang_pred, score, bits, n_chars and rejected.
 
     lang_pred: the language with the fewest bits a character (the first by name of equals); und for null texts and
     texts without letters, and if the model knows no language: those have score 0, no bits, and are rejected. score:
-    the posterior of that language over at most 40 characters. rejected: bits lie over the calibrated limit. Whole
-    texts count. Input columns of these names are replaced.
+    the posterior of that language if n characters tell as much as sqrt(n) independent ones. n_chars: what is left of
+    a text, blanks at its ends included. rejected: bits lie over the calibrated limit. Whole texts count, of whatever
+    length; repeated rows get equal results. Input columns of these names, in any case, are replaced.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits", T.DoubleType()), T.StructField("n_chars", T.LongType()), T.StructField("rejected", T.BooleanType())]
 
     def run(texts: pa.Array) -> list:
         m: Model = held.value
-        out: list[list] = [[], [], [], []]
-        for block in blocks(texts.to_pylist(), 1_600_000 // max(2, len(m.langs))):
+        out: list[list] = [[], [], [], [], []]
+        for block in blocks(texts.to_pylist(), 400_000):
             if not m.langs:
-                rows = [("und", 0.0, None, True)] * len(block)
+                rows = [("und", 0.0, None, 0, True)] * len(block)
             else:
                 bits, size, n = m.entropy(block)
                 best = bits.argmin(1)
                 least = bits[np.arange(len(block)), best]
-                post = 1 / np.exp2(np.maximum(-700, (least[:, None] - bits) * np.minimum(size, 40)[:, None])).sum(1)
+                post = 1 / np.exp2(np.maximum(-700, (least[:, None] - bits) * np.sqrt(size)[:, None])).sum(1)
                 over = least > m.limit[best] + SHORT / np.sqrt(np.maximum(size, 1))
-                rows = [(m.langs[b], float(p), float(x), bool(o)) if k else ("und", 0.0, None, True) for b, p, x, o, k in zip(best, post, least, over, n, strict=True)]
+                rows = [(m.langs[b], float(p), float(x), int(c), bool(o)) if k else ("und", 0.0, None, 0, True) for b, p, x, c, o, k in zip(best, post, least, size, over, n, strict=True)]
             for column, values in zip(out, zip(*rows, strict=True), strict=True):
                 column.extend(values)
         return out
@@ -242,15 +245,21 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
 
 def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose language is known; the model is learned from the rows that aren't held out."""
+    """The rows of docs whose language is known, with all their columns, whatever these are called; the model is
+    learned from the rows that aren't held out.
+
+    Null texts, empty texts and texts without letters go; so do texts in none of the languages. If there is nothing to
+    learn from, only texts without letters go. Null ids are learned from; repeated rows stay or go together. No rows:
+    no rows.
+    """
     model = fit(docs.filter(~F.coalesce(held_out(id_col), F.lit(False))), id_col, text_col, lang_col)
-    if not model.langs:  # nothing to learn from: only texts without letters go
+    if not model.langs:
         return docs.filter(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
-    made = ["lang_pred", "score", "bits", "rejected"]
-    old = [c for c in docs.columns if c in made]
-    safe = docs.withColumnsRenamed({c: f"__{c}" for c in old})
-    kept = identify(safe, model, text_col, keep=safe.columns).filter("not rejected").drop(*made)
-    return kept.withColumnsRenamed({f"__{c}": c for c in old}).select(*docs.columns)
+    made = ["lang_pred", "score", "bits", "n_chars", "rejected"]
+    old = {c: fresh(docs, f"_{c}") for c in docs.columns if c.lower() in made}
+    safe = docs.withColumnsRenamed(old)
+    kept = identify(safe, model, old.get(text_col, text_col), keep=safe.columns).filter("not rejected").drop(*made)
+    return kept.withColumnsRenamed({new: c for c, new in old.items()}).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -142,13 +142,17 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def needs(asked: DataFrame, cells: np.ndarray, centre: np.ndarray, radius: np.ndarray, width: int) -> DataFrame:
+def needs(asked: DataFrame, cells: np.ndarray, centre: np.ndarray, radius: np.ndarray, ids: np.ndarray, k: int, width: int) -> DataFrame:
     """(grp, cell, least): the cells that a group needs besides a query's own, and how far from the pivot the vectors
-    lie that it needs of them, for some query of the group. asked: (grp, query_id, q, cell, bound)."""
-    held = asked.sparkSession.sparkContext.broadcast((cells, centre, radius))  # a row for each pivot
+    lie that it needs of them, for some query of the group. asked: (grp, query_id, q, cell, bound).
+
+    A query whose own cell held fewer than k others takes its bound from the summaries: a vector of a cell is at least
+    q.p - |q| radius, and the best cells that hold k others (ids: different ids in each cell) tell a k-th score.
+    """
+    held = asked.sparkSession.sparkContext.broadcast((cells, centre, radius, ids))  # a row for each pivot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, p, r = held.value
+        own, p, r, n = held.value
         sizes = np.sqrt((p**2).sum(1))
         step = max(16, SCORES // len(own))
         for batch in batches:
@@ -159,7 +163,14 @@ def needs(asked: DataFrame, cells: np.ndarray, centre: np.ndarray, radius: np.nd
                 low = part.column(4).to_numpy(zero_copy_only=False).astype(float)
                 size = np.sqrt((q * q).sum(1))[:, None]
                 slack = 1e-9 * size * (sizes + r) + 1e-6  # rounding
-                short = low[:, None] - q @ p.T - slack
+                at_pivot = q @ p.T
+                for i in np.flatnonzero(low == float(LOWEST)):
+                    surely = at_pivot[i] - size[i] * r - slack[i]
+                    order = np.argsort(-surely)
+                    enough = np.searchsorted(np.cumsum(n[order]), k + 1)  # one of them may be the query itself
+                    if enough < len(order):
+                        low[i] = surely[order[enough]]
+                short = low[:, None] - at_pivot - slack
                 least = np.where(size > 0, short / np.where(size > 0, size, 1), np.where(short <= 0, -np.inf, np.inf))
                 least[own == home[:, None]] = np.inf
                 order = np.argsort(grp, kind="stable")
@@ -190,7 +201,7 @@ def top_k(vectors: DataFrame, queries: "F.Column", k: int = 10, id_col: str = "v
     if not n:
         return spark.createDataFrame([], schema)
     width = max(1, width)
-    some = min(pivots, max(16, math.ceil(math.sqrt(n))))
+    some = min(pivots, max(16, math.ceil(4 * math.sqrt(n))))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(some).collect()  # at most `pivots` vectors
     p = np.zeros((len(sample), width), np.int64)
     for i, r in enumerate(sample):
@@ -199,7 +210,8 @@ def top_k(vectors: DataFrame, queries: "F.Column", k: int = 10, id_col: str = "v
     data = materialize(assign(rows, p), "voronoi")
     asks = data.filter(queries(F.col("id"))).groupBy("id").agg(F.max(F.struct("v", "cell")).alias("m")).select(F.col("id").alias("query_id"), F.col("m.v").alias("q"), F.col("m.cell").alias("cell"))
     asks = materialize(asks, "voronoi-queries")
-    summary = data.groupBy("cell").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("n")).collect()  # a row for each pivot
+    per_cell = data.groupBy("cell").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+    summary = sorted(per_cell.collect(), key=lambda r: r["cell"])  # a row for each pivot
     asking = np.zeros(len(p), np.int64)
     for r in asks.groupBy("cell").count().collect():  # a row for each pivot
         asking[r["cell"]] = r["count"]
@@ -219,9 +231,8 @@ def top_k(vectors: DataFrame, queries: "F.Column", k: int = 10, id_col: str = "v
     home = materialize(best(home, k), "voronoi-home")
     bounds = home.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
     asked = materialize(asked.join(bounds, "query_id", "left").select("grp", "query_id", "q", "cell", F.coalesce("bound", F.lit(LOWEST).cast("long")).alias("bound")), "voronoi-asked")
-    own = np.array(sorted(r["cell"] for r in summary))
-    radius = np.array([r["r"] for r in sorted(summary, key=lambda r: r["cell"])])
-    need = materialize(needs(asked, own, p[own].astype(float), radius, width), "voronoi-needs")
+    own, radius, ids = (np.array([r[c] for r in summary]) for c in ("cell", "r", "ids"))
+    need = materialize(needs(asked, own, p[own].astype(float), radius, ids, k, width), "voronoi-needs")
     sent = data.join(need, "cell").filter(F.col("dist") >= F.col("least")).select("grp", "id", "v")
     far = solve(asked.select("grp", "query_id", "q", "bound"), sent, need.join(F.broadcast(counts), "cell").groupBy("grp").agg(F.sum("n").alias("n")), k, width)
     if report is not None:

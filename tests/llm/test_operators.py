@@ -278,9 +278,71 @@ def test_model_is_a_distribution_and_backs_off(spark):
     assert [got[i]["lang_pred"] for i in (1, 2, 3, 4, 5)] == ["en", "de", "und", "und", "und"] and got[6]["rejected"]
 
 
+def plain_kneser_ney(texts, floor):
+    """Interpolated Kneser-Ney over characters with dictionaries, straight from the definition."""
+    top = Counter()
+    for t in texts:
+        for i in range(3, len(t)):
+            top[t[i - 3 : i + 1]] += 1
+    counts = {4: dict(top)}
+    for k in (3, 2, 1):
+        counts[k] = dict(Counter(g[1:] for g in counts[k + 1]))
+    discount = {}
+    for k, c in counts.items():
+        ones, twos = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        discount[k] = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return floor
+        followers = [n for x, n in counts[k].items() if x[:-1] == g[:-1]]
+        if not followers:
+            return p(g[1:])
+        return (max(counts[k].get(g, 0) - discount[k], 0) + discount[k] * len(followers) * p(g[1:])) / sum(followers)
+
+    return p
+
+
+def test_model_against_plain_kneser_ney():
+    rnd = random.Random(3)
+    texts = {l: ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))) for _ in range(40)] for l, letters in (("a", "aaabbcde é𐐨"), ("b", "abxyzz ")) }
+    normal = lambda t: "   " + re.sub(" +", " ", " " + t).strip() + " "
+    counts = []
+    for own in texts.values():
+        g, n = np.unique(langid.grams(own)[0], return_counts=True)
+        counts.append((g, n))
+    model = langid.Model(list(texts), counts)
+    for j, own in enumerate(texts.values()):
+        p = plain_kneser_ney([normal(t) if t.strip() else "    " for t in own], model.floor)
+        for probe in [*own[:10], "zz zzz a", "eeee", "xyzab"]:
+            t = normal(probe)
+            want = sum(np.log(p(t[i - 3 : i + 1])) for i in range(3, len(t)))
+            g = langid.grams([probe])[0]
+            assert len(g) == len(t) - 3 and abs(model.log(g)[:, j].sum() - want) < 1e-3 * max(1, abs(want))
+
+
+def test_letters_beyond_sixteen_bits_are_told_apart():
+    a, b = (langid.grams(["".join(chr(c) for c in range(x, x + 20))])[0] for x in (0x10428, 0x10A00))
+    assert not set(a.tolist()) & set(b.tolist()) and len(set(a.tolist())) == len(a)
+
+
+def test_other_languages_are_rejected(spark, sf_dir):
+    """Each language in turn is left out of the model; short texts may pass, but most of its texts are rejected."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang is not null")
+    for l in [r[0] for r in docs.select("lang").distinct().collect()]:
+        model = langid.fit(docs.filter(F.col("lang") != l))
+        own = langid.identify(docs.filter(F.col("lang") != l), model).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+        assert own < 0.02
+
+
 def test_language_on_odd_rows(odd, none):
     docs = odd.withColumn("lang", F.lit("en"))
     assert langid.drop_unknown(docs).columns == docs.columns
+    mixed = docs.withColumnsRenamed({"score": "Score", "lang_pred": "LANG_PRED"}).withColumn("_score", F.lit(1))
+    assert langid.drop_unknown(mixed).columns == mixed.columns and langid.drop_unknown(mixed).filter("Score = 'clash'").count() > 0
+    one = docs.filter("doc_id = 1")
+    assert langid.drop_unknown(one).count() == 1  # a single row is learned from
     assert langid.drop_unknown(none.withColumn("lang", F.lit("en"))).count() == 0
     assert langid.drop_unknown(odd.withColumn("lang", F.lit(None).cast("string"))).filter("text is null").count() == 0
 
@@ -539,19 +601,19 @@ def test_top_k_in_small_blocks(same_rows, monkeypatch):
     same_rows(topk.query, topk.SQL)
 
 
-def clustered(spark, clusters):
+def clustered(spark, clusters, size):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(clusters, 8))
     centres *= 4 / np.sqrt((centres**2).sum(1))[:, None]
-    x = np.repeat(centres, 40, 0) + rng.normal(size=(clusters * 40, 8)) * 0.01
+    x = np.repeat(centres, size, 0) + rng.normal(size=(clusters * size, 8)) * 0.01
     return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
 
 
 def test_vectors_sent_grow_with_the_data_not_its_square(spark, monkeypatch):
     monkeypatch.setattr(topk, "CHUNK", 16)
     copies = []
-    for clusters in (12, 48):
-        x, df = clustered(spark, clusters)
+    for clusters, size in ((12, 40), (24, 160)):
+        x, df = clustered(spark, clusters, size)
         report = {}
         got = topk.top_k(df, lambda i: i % 5 == 0, k=5, report=report).collect()
         v = np.floor(1024 * x).astype(np.int64)
@@ -561,7 +623,7 @@ def test_vectors_sent_grow_with_the_data_not_its_square(spark, monkeypatch):
             assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
         copies.append(report["sent"] / report["vectors"])
         assert report["groups"] >= report["queries"] / 16
-    assert copies[1] < 2 * copies[0] + 1  # four times the vectors and groups, about as many copies of each
+    assert copies[1] < 2 * copies[0] + 1  # eight times the vectors and groups, about as many copies of each
 
 
 # 10 tokens
