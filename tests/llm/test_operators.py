@@ -391,24 +391,61 @@ def test_digits_are_permuted_one_to_one(spark):
     assert n.select(m.permuted_digits(F.col("d"), "t").alias("x")).filter("length(x) = 4").distinct().count() == 10000
 
 
-def test_colliding_surrogates_get_another_attempt(spark):
-    names = [f"Mr. {a}{b}" for a in ("Ab", "Cd", "Ef") for b in "abcdefghijklmnopqrstuvwxyz"]
-    df = spark.createDataFrame([(i, f"see {n} x") for i, n in enumerate(names)], "doc_id long, text string")
+ENTITIES = [
+    "192.168.1.7 127.0.0.1 172.20.3.4 10.2.3.4 8.8.8.8 1.1.1.1 0.0.0.0 255.255.255.255 100.64.1.1 169.254.3.4 192.167.255.255 fe80::1ff:fe23:4567:890a 2001:0db8:85a3:0000:0000:8a2e:0370:7334 std::vec",
+    "Mr. McDonald, Mr. O'Brien and Mr. John Michael Smith; Frau Mueller-Luedenscheidt, Dr Ludwig van Beethoven, Mr. JOHN SMITH", "DE89 3704 0044 0532 0130 00 GB82WEST12345698765432 Παπα.γιω@ελλ.gr 123-45-6789",
+    "Господин Иван Петров, Mr. Παπαδόπουλος, +49 1234 5678, (415) 555-2671, 415-555-2671, +1 415 555 2671, 4111 1111 1111 1111, a@b.net A@B.net",
+]
+
+
+def test_surrogates_against_plain_python(spark, sf_dir, duck):
+    from tests.llm.plain_pii import pseudonymized
+
+    texts = [t for _, t, _ in documents(duck)] + ENTITIES + [None, "", *(f"Mr. {c}ab Smith, Ms. {c}ab Jones" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ")]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymize(df, "k").orderBy("doc_id").collect()]
+    for t, a, b in zip(texts, got, pseudonymized(texts, "k"), strict=True):
+        assert a == b, t
+    smiths = {x.split(" ")[2].rstrip(",") for t, x in zip(texts, got, strict=True) if t and "ab Smith" in t}
+    assert len(smiths) == 1 and len({x.split(" ")[1] for t, x in zip(texts, got, strict=True) if t and "ab Smith" in t}) == 26
+
+
+def test_types_of_entities_are_kept(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ENTITIES)], "doc_id long, text string")
+    got = [r["text"] for r in pii.pseudonymize(df, "k").orderBy("doc_id").collect()]
+    private = got[0].split(" ")
+    assert private[0].startswith("192.168.") and private[1].startswith("127.") and private[2].startswith("172.") and private[3].startswith("10.") and private[11].startswith("fe80::") and private[13] == "std::vec"
+    assert not any(x in got[1] for x in ("McDonald", "Brien", "John", "Michael", "Smith", "Mueller", "denscheidt", "Ludwig", "Beethoven", "SMITH"))
+    from tests.llm.plain_pii import mod97
+
+    for iban in (got[2][:27].replace(" ", ""), got[2].split(" ")[6]):
+        assert mod97(iban[4:] + iban[:4]) == 1
+    assert re.match("[α-ω]{4}\\.[α-ω]{3}@", got[2].split(" ")[7].lower())
+
+
+def test_a_full_space_of_numbers_ends_in_a_larger_one(spark):
+    rows = [(i, f"call +49 12{i:02d} 34") for i in range(100)] + [(100 + i, f"Mr. {a}{b}") for i, (a, b) in enumerate((a, b) for a in ("Ab", "Cd") for b in "abcdefghij")]
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
     full = pii.SYLLABLES
-    pii.SYLLABLES = {k: v[:3] for k, v in full.items()}  # 243 names for 78 people: some collide
+    pii.SYLLABLES = {k: v[:2] for k, v in full.items()}  # 32 names for 20 people: some collide
     try:
-        again = pii.collisions(df, "text", "k")
-        assert again.count() > 0
-        got = [r["text"] for r in pii.pseudonymize(df, "k").collect()]
-        assert len(set(got)) == len(names) and not set(got) & {f"see {n} x" for n in names}
+        assert pii.collisions(df, "text", "k").count() > 0
+        for c in ("_digest", "_known", "Kind", "value", "surrogate"):
+            df = df.withColumn(c, F.lit("clash"))
+        made = pii.pseudonymize(df, "k")
+        assert made.columns == df.columns and made.filter("_digest = 'clash' and _known = 'clash'").count() == len(rows)
+        got = {r["text"] for r in made.collect()}
+        assert len(got) == len(rows) and not got & {t for _, t in rows}
     finally:
         pii.SYLLABLES = full
 
 
 def test_personal_data_on_odd_rows(odd, none):
-    got = pii.pseudonymize(odd)
+    got = pii.pseudonymize(odd, "k")
     assert got.columns == odd.columns and got.exceptAll(odd).count() == 0 == odd.exceptAll(got).count()
-    assert pii.pseudonymize(none).count() == 0
+    assert pii.pseudonymize(none, "k").count() == 0
+    with pytest.raises(ValueError):
+        pii.pseudonymize(odd, "")
 
 
 # 6 exact copies
