@@ -4,7 +4,11 @@ Word trigrams that a text shares with a template give windows of the text. In a
 the window and in the template are anchors; the longest increasing subsequence of them is kept, and the gaps between
 are aligned in the same way until no anchors are left. Coverage is the share of the template's words that are matched.
 What the windows leave is searched from each word on for stretches whose longest common subsequence with the template
-has COVERAGE and DENSITY, so that clauses put in between and notices that repeat lose nothing.
+has COVERAGE and DENSITY, so that clauses put in between and notices that repeat lose nothing; licenses of many pages
+(over EXACT words) are found by patience alignment alone, window by window, until no window matches.
+
+Of each template, a few of its rarest words make up over 1 - COVERAGE of it: a text without any of these can't match,
+and only templates of which it has one are looked at.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,9 +30,13 @@ from .common import arrow_map, table
 TEMPLATES = {
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "ISC": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
-    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
-    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.",
+    "BSD-2-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "BSL-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "Unlicense": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "Apache-2.0 notice (long)": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "GPL-3.0 notice (long)": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0",
     "MIT notice": "Released under the MIT License",
     "MIT notice (licensed)": "Licensed under the MIT License",
@@ -40,13 +49,21 @@ TEMPLATES = {
     "MIT tag": "SPDX-License-Identifier: MIT",
     "GPL-3.0 tag": "SPDX-License-Identifier: GPL-3.0",
 }
-# Each template holds one of these; texts without any are passed over.
-TRIGGERS = ("licen", "copyright", "permission", "redistribut", "free software")
+
+
+def whole_texts() -> dict[str, str]:
+    """The licenses of many pages, as published, from the files beside this module."""
+    folder = files(__package__) / "license_texts"
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
 
 WORD = re.compile(r"[^\W_]+")
 COVERAGE, DENSITY = 0.8, 0.5
 #: Templates of so few words begin a new pass wherever their words don't go on.
 SHORT = 16
+#: Templates of up to so many words are also searched exactly in what the windows leave.
+EXACT = 400
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
@@ -131,25 +148,47 @@ def passes(n: int, matched: int, span: int) -> bool:
     return matched / n >= COVERAGE and matched / span >= DENSITY
 
 
+def places(ws: list[str]) -> dict[str, list[int]]:
+    out: dict[str, list[int]] = defaultdict(list)
+    for i, w in enumerate(ws):
+        out[w].append(i)
+    return out
+
+
 class Templates:
     def __init__(self, texts: dict[str, str]):
         self.names = list(texts)
         self.words = [[w for w, _, _ in words(t)] for t in texts.values()]
         self.counts = [Counter(ws) for ws in self.words]
+        self.kinds = [set(of) for of in self.counts]
         #: The words that a match of COVERAGE can begin with, and the bits of each word's places.
         self.heads = [set(ws[: len(ws) - math.ceil(COVERAGE * len(ws) - 1e-9) + 1]) for ws in self.words]
-        self.bits = [{w: sum(1 << i for i, x in enumerate(ws) if x == w) for w in of} for ws, of in zip(self.words, self.counts, strict=True)]
+        self.bits = [{w: sum(1 << i for i in at) for w, at in places(ws).items()} if len(ws) <= EXACT else {} for ws in self.words]
         self.grams: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
         for k, ws in enumerate(self.words):
+            own = Counter(zip(ws, ws[1:], ws[2:], strict=False))
             for i in range(len(ws) - 2):
-                self.grams[tuple(ws[i : i + 3])].append((k, i))
-
-    def windows(self, ws: list[str]) -> dict[int, list[tuple[int, int]]]:
-        """For each template, where in the text its trigrams lie close together and in order of one pass."""
+                if own[tuple(ws[i : i + 3])] == 1:  # others would seem to begin a new pass
+                    self.grams[tuple(ws[i : i + 3])].append((k, i))
+        #: Templates by the words of which a match has one: the rarest among the templates, and long ones, first.
+        spread = Counter(w for of in self.kinds for w in of)
+        self.telling: dict[str, list[int]] = defaultdict(list)
+        for k, of in enumerate(self.counts):
+            mass, n = 0, len(self.words[k])
+            for w in sorted(of, key=lambda w: (spread[w], -len(w), w)):
+                self.telling[w].append(k)
+                mass += of[w]
+                if (n - mass) / n < COVERAGE:
+                    break
+        self.signs = frozenset(self.telling)
+
+    def windows(self, ws: list[str], only: int | None = None) -> dict[int, list[tuple[int, int]]]:
+        """For each template (or one), where in the text its trigrams lie close together and in order of one pass."""
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i in range(len(ws) - 2):
             for k, at in self.grams.get((ws[i], ws[i + 1], ws[i + 2]), ()):
-                hits[k].append((i, at))
+                if only is None or k == only:
+                    hits[k].append((i, at))
         out: dict[int, list[tuple[int, int]]] = {}
         for k, found in hits.items():
             n = len(self.words[k])
@@ -166,8 +205,10 @@ class Templates:
 
     def lacks(self, k: int, present: set[str]) -> bool:
         """Whether a text with these words can't have COVERAGE of the template."""
-        n = len(self.words[k])
-        return not n or (n - sum(c for w, c in self.counts[k].items() if w not in present)) / n < COVERAGE
+        n, kinds = len(self.words[k]), self.kinds[k]
+        if (n - len(kinds) + len(kinds & present)) / n < COVERAGE:
+            return True
+        return (n - sum(c for w, c in self.counts[k].items() if w not in present)) / n < COVERAGE
 
     def stretches(self, k: int, ws: list[str], lo: int, hi: int) -> list[tuple[int, int]]:
         """Stretches of ws[lo:hi], apart from each other, that match the template: exact, the tightest first."""
@@ -202,22 +243,33 @@ class Templates:
                 out.append((s, e))
         return out
 
-    def matches(self, k: int, ws: list[str], spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """(words matched, first, last) of the passes of a template: in windows, and in what these leave."""
-        a, tight, out = self.words[k], [], []
+    def tight(self, k: int, ws: list[str], spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(words matched, first, last) of windows in which the template aligns without a foreign word; of long
+        templates, with COVERAGE and DENSITY."""
+        a, found, out = self.words[k], [], []
         for lo, hi in spans:
             pairs = align(a, ws[lo:hi])
             # Without a foreign word in it an alignment stands; looser ones may reach into another copy, and are searched for.
-            if pairs and passes(len(a), len(pairs), len(pairs)) and pairs[-1][1] - pairs[0][1] + 1 == len(pairs):
-                tight.append((-len(pairs), lo + pairs[0][1], lo + pairs[-1][1]))
-        for m, first, last in sorted(tight):
+            span = pairs[-1][1] - pairs[0][1] + 1 if pairs else 0
+            if pairs and passes(len(a), len(pairs), span) and (span == len(pairs) or len(a) > EXACT):
+                found.append((-len(pairs), lo + pairs[0][1], lo + pairs[-1][1]))
+        for m, first, last in sorted(found):
             if all(last < x or first > y for _, x, y in out):
                 out.append((-m, first, last))
-        at, rest = 0, []
-        for _, first, last in sorted(out, key=lambda x: x[1]):
-            rest.append((at, first))
-            at = last + 1
-        for lo, hi in [*rest, (at, len(ws))]:
+        return out
+
+    def matches(self, k: int, ws: list[str], spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(words matched, first, last) of the passes of a template: in windows, and in what these leave."""
+        a, out = self.words[k], self.tight(k, ws, spans)
+        rest = gaps(out, len(ws))
+        if len(a) > EXACT:
+            new = out
+            while new and rest:  # what is left may hold another copy that shared a window
+                new = [(m, lo + x, lo + y) for lo, hi in rest for m, x, y in self.tight(k, ws[lo:hi], self.windows(ws[lo:hi], k).get(k, []))]
+                out += new
+                rest = gaps(out, len(ws))
+            return out
+        for lo, hi in rest:
             for s, e in self.stretches(k, ws, lo, hi):
                 pairs = align(a, ws[s : e + 1])
                 if not pairs or not passes(len(a), len(pairs), pairs[-1][1] - pairs[0][1] + 1):
@@ -227,13 +279,13 @@ class Templates:
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, start, end), code points, by start; of overlapping ones the one with the most words."""
-        low = text.lower()
-        if not any(t in low for t in TRIGGERS):
+        signs = self.signs.intersection(WORD.findall(text.lower()))
+        if not signs:
             return []
         tokens = words(text)
         ws = [w for w, _, _ in tokens]
         present = set(ws)
-        able = [k for k in range(len(self.words)) if not self.lacks(k, present)]
+        able = [k for k in sorted({k for w in signs & present for k in self.telling[w]}) if not self.lacks(k, present)]
         windows = self.windows(ws) if able else {}
         found = [(-m, -m / len(self.words[k]), k, first, last) for k in able for m, first, last in self.matches(k, ws, windows.get(k, []))]
         taken: list[tuple[int, int]] = []
@@ -245,16 +297,27 @@ class Templates:
         return sorted(out, key=lambda x: x[2])
 
 
+def gaps(found: list[tuple[int, int, int]], n: int) -> list[tuple[int, int]]:
+    """What n words have beside the stretches found."""
+    at, out = 0, []
+    for _, first, last in sorted(found, key=lambda x: x[1]):
+        out.append((at, first))
+        at = last + 1
+    return [(lo, hi) for lo, hi in [*out, (at, n)] if lo < hi]
+
+
 _HELD: dict[int, Templates] = {}
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
     """Columns `keep` (default: all) and licenses, an array of (license, coverage, start, end) in order of the text.
 
-    Null and empty texts have none. Whole texts are scanned; a text that repeats a notice has it several times. An
-    input column named licenses is replaced. Repeated rows are scanned like others; no rows: no rows.
+    templates: texts by name, by default TEMPLATES and whole_texts(); those without any word never match. Null and
+    empty texts have no licenses. Whole texts are scanned, of whatever length; a text that repeats a notice has it
+    several times; of overlapping ones the one with the most matched words counts, then the first template. An input
+    column named licenses, in any case, is replaced. Repeated rows are scanned like others; no rows: no rows.
     """
-    texts = templates or TEMPLATES
+    texts = {k: t for k, t in (templates or TEMPLATES | whole_texts()).items() if WORD.search(t)}
     kind = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
     def run(column: pa.Array) -> list:

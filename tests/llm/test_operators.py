@@ -572,6 +572,7 @@ def test_notices_are_found_and_plain_texts_left_alone(spark, odd, none):
     assert [x[0] for x in got[1]] == ["MIT", "Apache-2.0 notice", "MIT"] and got[1][2] == ("MIT", "Permission", 1.0) and got[1][0][2] > 0.95
     assert got[2] == [] == got[3]
     assert licenses.scan_licenses(odd).filter("size(licenses) > 0").count() == 0 == licenses.scan_licenses(none).count()
+    assert licenses.scan_licenses(odd.drop("licenses").withColumn("Licenses", F.lit(1))).columns.count("licenses") == 1
 
 
 def test_license_query_finds_all_notices(spark, sf_dir, duck):
@@ -581,7 +582,7 @@ def test_license_query_finds_all_notices(spark, sf_dir, duck):
 
 def test_clauses_put_in_between_lose_no_license():
     scan = licenses.Templates(licenses.TEMPLATES).scan
-    for name in ("MIT", "ISC", "BSD-2-Clause"):
+    for name in ("MIT", "ISC", "Zlib"):
         ws = licenses.TEMPLATES[name].split()
         for at in (0.2, 0.5, 0.7):
             for more in (30, 45):
@@ -592,7 +593,50 @@ def test_clauses_put_in_between_lose_no_license():
     clause = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
     two = licenses.TEMPLATES["BSD-2-Clause"]
     text = two.replace(" THIS SOFTWARE IS", f" 3. {clause} THIS SOFTWARE IS", 1)
-    assert text != two and len(scan(text)) == 1 and scan(text)[0][1] == 1.0 and scan(text)[0][3] == len(text) - 1
+    assert [(x[0], x[1], x[3]) for x in scan(text)] == [("BSD-3-Clause", 1.0, len(text) - 1)]
+    held = licenses.Templates({"BSD-2-Clause": two})  # without a template of its own it is the shorter one
+    assert [(x[0], x[1], x[3]) for x in held.scan(text)] == [("BSD-2-Clause", 1.0, len(text) - 1)]
+
+
+def test_whole_licenses_are_found_among_others():
+    texts = licenses.TEMPLATES | licenses.whole_texts()
+    held, rnd = licenses.Templates(texts), random.Random(8)
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Artistic-1.0"} <= set(texts)
+    for name in licenses.whole_texts():
+        ws = texts[name].split()
+        changed = [w if rnd.random() > 0.03 else "changed" for w in ws if rnd.random() > 0.03]
+        got = held.scan("Some words before. " + texts[name] + " between " + " ".join(changed) + " after")
+        assert [x[0] for x in got] == [name, name] and got[0][1] == 1.0 and 0.85 < got[1][1] < 1, (name, got)
+    assert held.scan("a license is what permits; the terms and conditions of use apply to the work. " * 20) == []
+
+
+def test_custom_templates_need_no_word_list(spark):
+    texts = {"one": "frobnicate", "two": "glorp zib", "note": "this frog may leap under the stars of march", "none": "?!"}
+    df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(texts.values())], "doc_id long, text string")
+    got = {r["doc_id"]: [x["license"] for x in r["licenses"]] for r in licenses.scan_licenses(df, templates=texts).collect()}
+    assert got == {0: ["one"], 1: ["two"], 2: ["note"], 3: []}
+
+
+def test_scan_against_all_spans():
+    rnd = random.Random(11)
+    texts = {"x": "a b c d a e f g h b", "y": "c c d q r", "z": "g h"}
+    held = licenses.Templates(texts)
+    for _ in range(400):
+        pool = [w for t in texts.values() for w in t.split()] + ["u", "v"]
+        ws = []
+        while len(ws) < 24:
+            ws += rnd.choice(list(texts.values())).split() if rnd.random() < 0.3 else [rnd.choice(pool)]
+        got = held.scan(" ".join(ws))
+        at = lambda p: sum(len(w) + 1 for w in ws[:p])
+        covered = {i for i in range(len(ws)) if any(s <= at(i) < e for _, _, s, e in got)}
+        for name, t in texts.items():
+            own = t.split()
+            fine = [(s, e) for s in range(len(ws)) for e in range(s + 1, len(ws) + 1) if licenses.passes(len(own), common(own, ws[s:e]), e - s)]
+            assert all(covered & set(range(s, e)) for s, e in fine)  # nothing that passes lies apart from all that is found
+            for n, coverage, s, e in got:
+                if n == name:
+                    span = [i for i in range(len(ws)) if s <= at(i) < e]
+                    assert (span[0], span[-1] + 1) in fine and coverage <= common(own, ws[span[0] : span[-1] + 1]) / len(own) + 1e-9
 
 
 def test_adjacent_copies_are_found_each():
