@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import small
+
+#: Tools that a cohort is checked for, at most.
+MOST_TOOLS = 1000
+
 
 def assert_empty(violations: DataFrame, what: str) -> None:
     found = violations.limit(5).collect()
@@ -24,9 +29,8 @@ def matrix(rows: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
 def tool_coverage(rows: DataFrame, tools: DataFrame, samples: DataFrame) -> DataFrame:
     """matrix() over every expected sample of every expected tool; unexpected tools as such."""
     known = rows.join(tools, "tool", "left_semi")
-    # Every tool needs every sample: the samples are spread over the list of tools, which is short.
-    listed = tools.agg(F.collect_set("tool").alias("tools")).withColumn("_k", F.lit(1))
-    grid = samples.select("sample").distinct().withColumn("_k", F.lit(1)).join(F.broadcast(listed), "_k").select("sample", F.explode("tools").alias("tool"))
+    # Every tool needs every sample: a grid over the list of tools, whose length is checked.
+    grid = samples.select("sample").distinct().crossJoin(small(tools.select("tool").distinct(), MOST_TOOLS, "tools"))
     odd = rows.join(tools, "tool", "left_anti").select(F.lit(None).cast("string").alias("sample"), "tool").distinct().withColumn("problem", F.lit("unexpected tool"))
     return matrix(known, grid, ["sample", "tool"]).unionByName(odd)
 
@@ -66,6 +70,11 @@ def tolerance(rows: DataFrame, pairs: list[tuple[str, str]], texts: list[tuple[s
     return rows.filter(bad)
 
 
+def paired_files(files: DataFrame) -> DataFrame:
+    """(sample, files) of samples(sample, path) that don't have exactly two files."""
+    return files.groupBy("sample").agg(F.count(F.lit(1)).alias("files")).filter("files <> 2")
+
+
 def required_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if c not in df.columns]
 

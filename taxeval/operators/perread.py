@@ -1,4 +1,4 @@
-"""Per-read scoring over facts(keys, taxid, pred): one pass, one grouped aggregation for all runs and ranks."""
+"""Per-read scoring over facts(keys, taxid, pred): reads are counted first, and only the counts meet the taxonomy."""
 
 from __future__ import annotations
 
@@ -6,42 +6,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import f1, ratio
+from .durable import written
 from .taxonomy import closure
 
 
-def lifted_facts(facts: DataFrame, nodes: DataFrame, ranks: list[str], covered: DataFrame | None = None) -> DataFrame:
-    """facts with, for each rank, t_ and p_ (the lifted truth and prediction) and a_ (all ancestors of the prediction
+def pair_counts(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, taxid, pred, n): how many reads have this truth and prediction. Counted where the reads are, so that a hot
+    taxon or the unclassified reads travel as one row a task; all scores follow from it."""
+    return written(facts.groupBy(*keys, "taxid", "pred").agg(F.count(F.lit(1)).alias("n")), "pairs")
+
+
+def lifted_pairs(pairs: DataFrame, nodes: DataFrame, ranks: list[str], covered: DataFrame | None = None, closed: DataFrame | None = None) -> DataFrame:
+    """pairs with, for each rank, t_ and p_ (the lifted truth and prediction) and a_ (all ancestors of the prediction
     that have the rank: more than one where a rank is nested on a lineage).
 
-    Only distinct taxa go up the tree; the facts are joined twice with the small result. `covered`(rank, taxid): nodes
-    of a rank outside it aren't mapped.
+    Only distinct taxa go up the tree (or `closed`, their closure). `covered`(rank, taxid): nodes of a rank outside it
+    aren't mapped.
     """
-    seeds = facts.select(F.explode(F.array("taxid", "pred")).alias("seed")).distinct()
+    if closed is None:
+        closed = closure(nodes, pairs.select(F.explode(F.array("taxid", "pred")).alias("seed")))
     ranked = nodes.filter(F.col("rank").isin(*ranks)).select(F.col("taxid").alias("anc"), "rank")
     if covered is not None:
         ranked = ranked.join(covered.select(F.col("taxid").alias("anc"), "rank", F.lit(True).alias("in")), ["anc", "rank"], "left")
     else:
         ranked = ranked.withColumn("in", F.lit(True))
-    near = closure(nodes, seeds).join(ranked, "anc")
+    near = closed.join(ranked, "anc")
     per = []
-    for r in ranks:  # a lineage is bounded, so the arrays are
+    for r in ranks:  # the arrays hold what one lineage has of a rank
         of = F.col("rank") == r
         per += [F.min_by(F.when(of, F.struct("anc", "in")), F.when(of, F.col("dist"))).alias(r), F.collect_list(F.when(of, F.col("anc"))).alias(f"a_{r}")]
     wide = near.groupBy("seed").agg(*per)
     mapped = lambda r: F.when(F.col(f"{r}.in"), F.col(f"{r}.anc"))
     t = wide.select(F.col("seed").alias("taxid"), *[mapped(r).alias(f"t_{r}") for r in ranks])
-    p = wide.select(F.col("seed").alias("pred"), *[mapped(r).alias(f"p_{r}") for r in ranks], *[f"a_{r}" for r in ranks])
-    return facts.join(t, "taxid", "left").join(p, "pred", "left")
+    p = wide.select(F.col("seed").alias("_seed"), *[mapped(r).alias(f"p_{r}") for r in ranks], *[f"a_{r}" for r in ranks])
+    # Unclassified pairs are dealt by their truth and find nothing: a null prediction is never a key.
+    dealt = pairs.join(t, "taxid", "left").withColumn("_p", F.coalesce("pred", "taxid"))
+    return dealt.join(p, (F.col("_p") == F.col("_seed")) & F.col("pred").isNotNull(), "left").drop("_p", "_seed")
 
 
 def counts(lifted: DataFrame, keys: list[str], ranks: list[str]) -> DataFrame:
-    """(keys, rank, reads, classified, truth_mapped, pred_mapped, tp, fp, fn, and exact_* of the last four).
+    """(keys, rank, reads, classified, truth_mapped, pred_mapped, tp, fp, fn, and exact_* of the last four) of
+    lifted pairs with their counts n.
 
     pred_mapped counts classified reads among those whose truth is mapped; exact_pred_mapped counts predictions that
     lift to the rank among all reads. A prediction elsewhere is both a false positive and a false negative.
     """
-    one = lambda c: F.sum(c.cast("long"))
-    sums: list[Column] = [F.count(F.lit(1)).alias("reads"), one(F.col("pred").isNotNull()).alias("classified")]
+    n = F.col("n")
+    some = lambda c: F.sum(F.when(c, n).otherwise(0))
+    sums: list[Column] = [F.sum(n).alias("reads"), some(F.col("pred").isNotNull()).alias("classified")]
     for r in ranks:
         t, p = F.col(f"t_{r}"), F.col(f"p_{r}")
         mapped, has = t.isNotNull(), F.col("pred").isNotNull()
@@ -51,13 +63,18 @@ def counts(lifted: DataFrame, keys: list[str], ranks: list[str]) -> DataFrame:
             ("truth_mapped", mapped), ("pred_mapped", mapped & has), ("tp", mapped & under), ("fp", mapped & has & ~under), ("fn", mapped & ~under),
             ("exact_pred_mapped", p.isNotNull()), ("exact_tp", mapped & same), ("exact_fp", mapped & has & ~same), ("exact_fn", mapped & ~same),
         ):
-            sums.append(one(c).alias(f"{name}__{r}"))
+            sums.append(some(c).alias(f"{name}__{r}"))
     wide = lifted.groupBy(*keys).agg(*sums)
     names = ("truth_mapped", "pred_mapped", "tp", "fp", "fn", "exact_pred_mapped", "exact_tp", "exact_fp", "exact_fn")
     rows = F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), *[F.col(f"{n}__{r}").alias(n) for n in names]) for r in ranks]))
     return wide.select(*keys, "reads", "classified", rows.alias("_r")).select(*keys, "reads", "classified", "_r.*")
 
 
+def scores(facts: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[str], covered: DataFrame | None = None) -> DataFrame:
+    """counts() of reads."""
+    return counts(lifted_pairs(pair_counts(facts, keys), nodes, ranks, covered), keys, ranks)
+
+
 def prf(df: DataFrame, prefix: str = "") -> DataFrame:
     """df with precision, recall and F1 from tp, fp and fn; null where no truth is mapped."""
     tp, fp, fn = (F.col(prefix + c) for c in ("tp", "fp", "fn"))
@@ -66,13 +83,18 @@ def prf(df: DataFrame, prefix: str = "") -> DataFrame:
     return df.withColumns({f"{prefix}precision": F.when(some, p), f"{prefix}recall": F.when(some, r), f"{prefix}f1": F.when(some, f1(p, r))})
 
 
-def combined(facts: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[str], covered: DataFrame | None = None) -> DataFrame:
-    """Both kinds of precision, recall and F1 for each key and rank, and the mapped rates over all truth reads."""
-    made = prf(prf(counts(lifted_facts(facts, nodes, ranks, covered), keys, ranks)), "exact_")
+def rated(counted: DataFrame) -> DataFrame:
+    """Both kinds of precision, recall and F1 from counts(), and the mapped rates over all truth reads."""
+    made = prf(prf(counted), "exact_")
     n = F.col("reads")
     return made.withColumns({"truth_mapped_rate": ratio(F.col("truth_mapped"), n), "pred_mapped_rate": ratio(F.col("pred_mapped"), n), "exact_pred_mapped_rate": ratio(F.col("exact_pred_mapped"), n), "classified_rate": ratio(F.col("classified"), n)})
 
 
+def combined(facts: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[str], covered: DataFrame | None = None) -> DataFrame:
+    """rated() scores for each key and rank."""
+    return rated(scores(facts, nodes, keys, ranks, covered))
+
+
 def run_summary(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Of lines(keys, cells): total, unclassified, classified and distinct taxa; rows with fewer than two cells count
     in the total only; taxid 0 and `unclassified` are unclassified here."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
@@ -13,8 +13,10 @@ PRIORITY = ("strain", "species", "genus", "family", "order", "class", "phylum",
 
 
 def normalised(profile: DataFrame, keys: list[str]) -> DataFrame:
-    """profile with `share`: positive values over their total for the keys; other rows go."""
-    return profile.filter("value > 0").withColumn("share", F.col("value") / F.sum("value").over(Window.partitionBy(*keys)))
+    """profile with `share`: positive values over their total for the keys; other rows go. Totals are aggregated and
+    joined, so that no task needs a whole profile."""
+    rows = profile.filter("value > 0")
+    return rows.join(rows.groupBy(*keys).agg(F.sum("value").alias("_total")), keys).withColumn("share", F.col("value") / F.col("_total")).drop("_total")
 
 
 def autoscaled(value: Column, total: Column) -> Column:
@@ -22,18 +24,20 @@ def autoscaled(value: Column, total: Column) -> Column:
     return F.when(total > 1.5, value / 100).otherwise(value)
 
 
-def most_specific(profile: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of each profile's most specific rank; other ranks than the known ones come last, by name."""
+def most_specific(profile: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """The rows of each profile's most specific rank; other ranks than the known ones come last, of these the one seen
+    first by the column `order` (by name, if there is none)."""
     at = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("rank"))
-    order = F.struct(F.when(at > 0, at).otherwise(len(PRIORITY) + 1).alias("at"), F.when(at == 0, F.col("rank")).alias("rank"))
-    ranked = profile.withColumn("_at", order)
-    return ranked.withColumn("_best", F.min("_at").over(Window.partitionBy(*keys))).filter(F.col("_at") == F.col("_best")).drop("_at", "_best")
+    seen = F.min(order) if order else F.min("rank")
+    ranks = profile.groupBy(*keys, "rank").agg(seen.alias("_seen")).withColumn("_at", F.when(at > 0, at).otherwise(len(PRIORITY) + 1))
+    best = ranks.groupBy(*keys).agg(F.min_by("rank", F.struct("_at", "_seen")).alias("rank"))
+    return profile.join(best, [*keys, "rank"], "left_semi")
 
 
-def to_ranks(profile: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[str], covered: DataFrame | None = None) -> DataFrame:
+def to_ranks(profile: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[str], covered: DataFrame | None = None, closed: DataFrame | None = None) -> DataFrame:
     """(keys, rank, taxid, mapped, full): values by lifted taxon. mapped: of what lifts to the rank (and is covered);
-    full: also what doesn't, under its own taxon."""
-    up = lifts(closure(nodes, profile.select("taxid")), nodes, ranks).withColumnRenamed("seed", "taxid")
+    full: also what doesn't, under its own taxon. closed: the closure of the taxa, if it is there already."""
+    up = lifts(closure(nodes, profile.select("taxid")) if closed is None else closed, nodes, ranks).withColumnRenamed("seed", "taxid")
     if covered is not None:
         up = up.join(covered.select("rank", F.col("taxid").alias("lifted")), ["rank", "lifted"], "left_semi")
     spread = profile.drop("rank").withColumn("rank", F.explode(F.array(*map(F.lit, ranks))))
@@ -41,6 +45,26 @@ def to_ranks(profile: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[
     return joined.groupBy(*keys, "rank", F.coalesce("lifted", "taxid").alias("taxid")).agg(F.sum(F.when(F.col("lifted").isNotNull(), F.col("value"))).alias("mapped"), F.sum("value").alias("full"))
 
 
+def named_to_taxids(resolved: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """profile(keys, taxid, value) and unmapped(keys, unmapped, unmapped_mass) of a named profile whose names are
+    resolved: (keys, name, value, taxid)."""
+    none = F.col("taxid").isNull()
+    lost = resolved.groupBy(*keys).agg(F.sum(none.cast("long")).alias("unmapped"), F.sum(F.when(none, F.col("value")).otherwise(0.0)).alias("unmapped_mass"))
+    return resolved.filter(~none).groupBy(*keys, "taxid").agg(F.sum("value").alias("value")), lost
+
+
+def named_to_ranks(resolved: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[str], covered: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(keys, rank, taxid, name, mapped, full) and unmapped() of a named profile whose names are resolved, as (keys,
+    name, value, taxid): names without a taxon stay in `full` at each rank under their name (the column `scientific`,
+    if there is one, else `name`), without a taxid."""
+    profile, lost = named_to_taxids(resolved, keys)
+    known = to_ranks(profile, nodes, keys, ranks, covered).select(*keys, "rank", "taxid", F.lit(None).cast("string").alias("name"), "mapped", "full")
+    called = F.col("scientific") if "scientific" in resolved.columns else F.col("name")
+    other = resolved.filter("taxid is null").withColumn("rank", F.explode(F.array(*map(F.lit, ranks)))).groupBy(*keys, "rank", called.alias("name")).agg(F.sum("value").alias("full"))
+    none = other.select(*keys, "rank", F.lit(None).cast("long").alias("taxid"), "name", F.lit(None).cast("double").alias("mapped"), "full")
+    return known.unionByName(none), lost
+
+
 def opal(truth: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     """L1 norm, purity and completeness of (keys, rank): keys without positive values on either side have no row.
     truth and pred have (keys, rank, taxid, value); where pred has further keys than truth, pass truth with them."""
@@ -63,28 +87,45 @@ def distances(truth: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     return made.withColumns({"presence_f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)), "total_variation": F.col("l1_norm") / 2, "bray_curtis": F.col("l1_norm") / 2})
 
 
-def unifrac(truth: DataFrame, pred: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+def unifrac(truth: DataFrame, pred: DataFrame, nodes: DataFrame, keys: list[str], closed: DataFrame | None = None) -> DataFrame:
     """(keys, weighted_unifrac): branches of length 1 / depth, the root left out, mass outside the tree dropped after
-    normalising; 0 where both are empty."""
-    closed = closure(nodes, truth.select("taxid").union(pred.select("taxid")))
+    normalising; 0 where both are empty. closed: the closure of all taxa, if it is there already."""
+    if closed is None:
+        closed = closure(nodes, truth.select("taxid").union(pred.select("taxid")))
     mass = lambda df, name: tree_mass(normalised(df, keys), closed, nodes, keys).withColumnRenamed("mass", name)
     both = mass(truth, "t").join(mass(pred, "p"), [*keys, "taxid"], "full_outer")
-    inside = closed.select(F.col("anc").alias("taxid")).distinct()
-    depth = depths(closure(nodes, inside), nodes).withColumnRenamed("seed", "taxid")
+    depth = inner_depths(closed, nodes)
     part = F.when(F.col("depth") > 0, F.abs(F.coalesce("t", F.lit(0.0)) - F.coalesce("p", F.lit(0.0))) / F.col("depth")).otherwise(F.lit(0.0))
     scored = both.join(depth, "taxid", "left").groupBy(*keys).agg(F.sum(part).alias("weighted_unifrac"))
     known = truth.select(*keys).union(pred.select(*keys)).distinct()
     return known.join(scored, keys, "left").withColumn("weighted_unifrac", F.coalesce("weighted_unifrac", F.lit(0.0)))
 
 
+def inner_depths(closed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(taxid, depth) of all ancestors in a closure: what is left of any path from there to the top, as all lead on in
+    the same way; only where a cycle closes, depths are taken from the ancestors' own paths."""
+    known = nodes.select(F.col("taxid").alias("anc"))
+    top = closed.join(known, "anc", "left_semi").groupBy("seed").agg(F.max("dist").alias("_top"))
+    on = nodes.filter("parent <> taxid").select(F.col("taxid").alias("last"))
+    around = closed.groupBy("seed").agg(F.max_by("anc", "dist").alias("last")).join(on, "last", "left_semi").select("seed")
+    depth = closed.join(top, "seed").groupBy(F.col("anc").alias("taxid")).agg(F.max(F.col("_top") - F.col("dist")).alias("depth"))
+    if around.isEmpty():
+        return depth
+    inside = closed.join(around, "seed", "left_semi").select("anc").distinct()
+    own = depths(closure(nodes, inside), nodes).withColumnRenamed("seed", "taxid")
+    return depth.join(own, "taxid", "left_anti").unionByName(own)
+
+
 def truth_coverage(resolved: DataFrame, keys: list[str]) -> DataFrame:
-    """Of resolved(keys, name, value, taxid): species and mass in all, mapped, unmapped, and their rates."""
+    """Of resolved(keys, name, value, taxid): species and mass in all, mapped, unmapped, the rate of unmapped species
+    and the rate of mapped mass; a rate is null where its total is not positive."""
     has = F.col("taxid").isNotNull()
     made = resolved.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("species_total"), F.sum(has.cast("long")).alias("species_mapped"), F.sum((~has).cast("long")).alias("species_unmapped"),
         F.sum("value").alias("mass_total"), F.sum(F.when(has, F.col("value")).otherwise(0.0)).alias("mass_mapped"), F.sum(F.when(~has, F.col("value")).otherwise(0.0)).alias("mass_unmapped"),
     )
-    return made.withColumn("species_rate", ratio(F.col("species_mapped"), F.col("species_total"))).withColumn("mass_rate", ratio(F.col("mass_mapped"), F.col("mass_total")))
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return made.withColumn("species_unmapped_rate", rate("species_unmapped", "species_total")).withColumn("mass_mapped_rate", rate("mass_mapped", "mass_total"))
 
 
 def from_reads(truth: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,8 +143,9 @@ def chosen_source(sources: DataFrame, keys: list[str]) -> DataFrame:
     # The order of the sources.
     order = {"abundance_tre": 0, "reads_tre": 1, "native": 2, "cami": 3, "named": 4}
     at = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("source")]
-    w = Window.partitionBy(*keys)
-    hides = F.max((F.col("source") == "abundance_tre").cast("int") * F.col("configured").cast("int")).over(w) == 1
-    rows = sources.withColumn("_at", at).withColumn("_hidden", hides & (F.col("source") == "reads_tre")).filter("configured and not _hidden")
-    rows = rows.filter((F.col("_at") >= 2) | F.col("exists"))
-    return rows.groupBy(*keys).agg(F.min_by(F.when(F.col("exists"), F.col("source")), F.col("_at")).alias("source"))
+    rows = sources.withColumn("_at", at).filter("configured")
+    fine = (F.col("_at") >= 2) | F.col("exists")
+    first = lambda of: F.min_by(F.when(of, F.when(F.col("exists"), F.col("source"))), F.when(of, F.col("_at")))
+    hides = F.bool_or(F.col("source") == "abundance_tre")
+    made = rows.groupBy(*keys).agg(hides.alias("_hides"), first(fine).alias("_all"), first(fine & (F.col("source") != "reads_tre")).alias("_rest"), F.bool_or(fine).alias("_some"), F.bool_or(fine & (F.col("source") != "reads_tre")).alias("_other"))
+    return made.filter(F.when(F.col("_hides"), F.col("_other")).otherwise(F.col("_some"))).select(*keys, F.when(F.col("_hides"), F.col("_rest")).otherwise(F.col("_all")).alias("source"))

@@ -8,32 +8,33 @@ from pyspark.sql import functions as F
 from ..functions.text import name_aliases
 from .durable import written
 
-#: Levels that are climbed before what is left is written and looked at; most levels at all.
-STEPS, DEEPEST = 8, 64
+#: Levels that are climbed before what is left is written and looked at.
+STEPS = 8
 
 
 def closure(nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed, anc, dist) of all seeds in use: a seed itself at 0, even if unknown, and each ancestor up to the root, a
-    missing parent (its id is the last ancestor) or where a cycle closes. Paths of over DEEPEST levels end there.
+    missing parent (its id is the last ancestor) or where a cycle closes, however deep.
 
-    Each seed gathers its path, which is bounded, over a few joins with the nodes in one plan; only seeds that haven't
-    arrived by then go on from a written table. Only distinct seeds go up the tree.
+    Each seed gathers its path over a few joins with the nodes in one plan; only seeds that haven't arrived by then go
+    on from a written table, until none is left. Only distinct seeds go up the tree.
     """
-    up = nodes.filter(F.col("parent") != F.col("taxid")).select(F.col("taxid").alias("at"), "parent")
+    up = nodes.filter(F.col("parent") != F.col("taxid")).select("taxid", "parent")
     paths = seeds.select(F.col(seeds.columns[0]).cast("long").alias("seed")).filter("seed is not null").distinct()
     paths = paths.select("seed", F.array("seed").alias("path"), F.col("seed").alias("at"))
     arrived = []
-    for _ in range(DEEPEST // STEPS):
+    while True:
         for _ in range(STEPS):
+            # What has arrived is dealt by its seed and finds nothing, so that it isn't one hot key.
+            keyed = paths.withColumn("_key", F.coalesce("at", "seed"))
+            joined = keyed.join(up, (F.col("_key") == F.col("taxid")) & F.col("at").isNotNull(), "left")
             on = F.col("parent").isNotNull() & ~F.array_contains("path", F.col("parent"))
-            joined = paths.join(up, "at", "left")
             paths = joined.select("seed", F.when(on, F.array_append("path", F.col("parent"))).otherwise(F.col("path")).alias("path"), F.when(on, F.col("parent")).alias("at"))
         paths = written(paths, "closure")
         arrived.append(paths.filter("at is null"))
         paths = paths.filter("at is not null")
         if paths.isEmpty():
             break
-    arrived.append(paths)
     out = arrived[0]
     for more in arrived[1:]:
         out = out.unionByName(more)
@@ -59,9 +60,8 @@ def depths(closed: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def lineage(closed: DataFrame, nodes: DataFrame, names: DataFrame) -> DataFrame:
-    """(seed, names, ids): known ancestors from the root down, joined by |; an id stands for a missing name.
-
-    A lineage has at most DEEPEST + 1 entries, so a row gathers a bounded list."""
+    """(seed, names, ids): known ancestors from the root down, joined by |; an id stands for a missing name. A row gathers
+    one lineage, as long as the tree is deep."""
     known = nodes.select(F.col("taxid").alias("anc")).join(names.select(F.col("taxid").alias("anc"), "name"), "anc", "left")
     entry = F.struct((-F.col("dist")).alias("at"), F.coalesce("name", F.col("anc").cast("string")).alias("name"), F.col("anc").cast("string").alias("id"))
     path = closed.join(known, "anc").groupBy("seed").agg(F.sort_array(F.collect_list(entry)).alias("p"))

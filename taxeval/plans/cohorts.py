@@ -121,7 +121,7 @@ def q_named(b: Bound) -> DataFrame:
     return rounded(resolved(b).groupBy("run", "taxid").agg(F.sum("value").alias("value"), F.sum(F.col("taxid").isNull().cast("long")).alias("unmapped")), 4)
 
 
-@query("truth_coverage", f"with {NAMED} select run, count(*) as species_total, count(taxid) as species_mapped, count(*) - count(taxid) as species_unmapped, round(sum(value), 4) as mass_total, round(sum(case when taxid is not null then value else 0 end), 4) as mass_mapped, round(sum(case when taxid is null then value else 0 end), 4) as mass_unmapped, round(count(taxid) / count(*), 4) as species_rate, round(sum(case when taxid is not null then value else 0 end) / sum(value), 4) as mass_rate from res group by 1")
+@query("truth_coverage", f"with {NAMED} select run, count(*) as species_total, count(taxid) as species_mapped, count(*) - count(taxid) as species_unmapped, round(sum(value), 4) as mass_total, round(sum(case when taxid is not null then value else 0 end), 4) as mass_mapped, round(sum(case when taxid is null then value else 0 end), 4) as mass_unmapped, round((count(*) - count(taxid)) / count(*), 4) as species_unmapped_rate, case when sum(value) > 0 then round(sum(case when taxid is not null then value else 0 end) / sum(value), 4) end as mass_mapped_rate from res group by 1")
 def q_truth_coverage(b: Bound) -> DataFrame:
     return rounded(profiles.truth_coverage(resolved(b), ["run"]), 4)
 

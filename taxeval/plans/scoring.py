@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import perread, profiles, taxonomy
+from ..operators import evaluation, perread, profiles, taxonomy
 from ..operators import reads as read_ops
+from ..operators.durable import small
 from .bindings import CLOSURE, LIFTS, NODES, PRED_PROFILE, RANKS, READS, TRUTH_PROFILE, Bound, with_sql
 from .registry import query, rounded
 
@@ -66,8 +67,11 @@ pm as (select tool, anc as taxid, sum(share) as mass from ps join closure on see
 
 def tool_truth(b: Bound) -> DataFrame:
     """The truth profile for each tool."""
-    tools = b.t("lineitem").select(F.col("l_linestatus").alias("tool")).distinct()
-    return b.truth_profile().withColumn("_k", F.lit(1)).join(F.broadcast(tools.agg(F.collect_set("tool").alias("tools")).withColumn("_k", F.lit(1))), "_k").select(F.explode("tools").alias("tool"), "taxid", "value")
+    return b.truth_profile().crossJoin(tools(b)).select("tool", "taxid", "value")
+
+
+def tools(b: Bound) -> DataFrame:
+    return small(b.t("lineitem").select(F.col("l_linestatus").alias("tool")).distinct(), 100, "tools")
 
 
 @query("tree_mass", PROFILES + SHARES + "select tool, taxid, round(mass, 6) as mass from pm")
@@ -82,7 +86,7 @@ select p.tool, coalesce(dest, p.taxid) as taxid, round(sum(value), 1) as value f
 def q_collapse(b: Bound) -> DataFrame:
     n, p = b.nodes(), b.pred_profile()
     some = b.t("customer").filter("c_custkey % 3 = 0").select((F.col("c_nationkey") + 1000).cast("long").alias("taxid")).distinct()
-    some = p.select("tool").distinct().withColumn("_k", F.lit(1)).join(some.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    some = some.crossJoin(tools(b))
     return rounded(taxonomy.collapse(p, some, taxonomy.closure(n, p.select("taxid")), ["tool"]), 1)
 
 
@@ -141,12 +145,12 @@ EXACT = ["truth_mapped", "exact_pred_mapped", "exact_tp", "exact_fp", "exact_fn"
 
 @query("perread_desc", perread_sql() + f"select tool, rank, {', '.join(DESC)} from k")
 def q_desc(b: Bound) -> DataFrame:
-    return perread.counts(perread.lifted_facts(b.reads(), b.nodes(), RANKS), ["tool"], RANKS).select("tool", "rank", *DESC)
+    return perread.scores(b.reads(), b.nodes(), ["tool"], RANKS).select("tool", "rank", *DESC)
 
 
 @query("perread_exact", perread_sql() + f"select tool, rank, {', '.join(EXACT)} from k")
 def q_exact(b: Bound) -> DataFrame:
-    return perread.counts(perread.lifted_facts(b.reads(), b.nodes(), RANKS), ["tool"], RANKS).select("tool", "rank", *EXACT)
+    return perread.scores(b.reads(), b.nodes(), ["tool"], RANKS).select("tool", "rank", *EXACT)
 
 
 @query("classified_rate", with_sql(READS) + "select tool, count(*) as reads, round(count(pred) / count(*), 6) as classified_rate, round(1 - count(pred) / count(*), 6) as unclassified_rate from facts group by tool")
@@ -157,7 +161,7 @@ def q_rate(b: Bound) -> DataFrame:
 
 @query("prf", perread_sql() + RATES.replace("select tool, rank, reads, classified, truth_mapped, pred_mapped, tp, fp, fn, exact_pred_mapped, exact_tp, exact_fp, exact_fn,\n", "select tool, rank,\n").split("\n  round(case when truth_mapped > 0 then coalesce(p1")[0].rstrip(",") + " from v")
 def q_prf(b: Bound) -> DataFrame:
-    made = perread.prf(perread.counts(perread.lifted_facts(b.reads(), b.nodes(), RANKS), ["tool"], RANKS))
+    made = perread.prf(perread.scores(b.reads(), b.nodes(), ["tool"], RANKS))
     return rounded(made.select("tool", "rank", "precision", "recall", "f1"))
 
 
@@ -256,22 +260,42 @@ def q_source(b: Bound) -> DataFrame:
     return profiles.chosen_source(rows, ["run"])
 
 
-@query("evaluate", with_sql(NODES, READS, TRUTH_PROFILE, PRED_PROFILE, "seeds as (select taxid from facts union select pred from facts union select taxid from truth union select taxid from pred)", CLOSURE, LIFTS)
-    + perread_sql().split("lifts as")[1].split("group by seed, rank)", 1)[1].replace("j as (", "j as (", 1) + OPAL.split("\nselect tool, rank, round(l1")[0] + UNIFRAC + """
-select tool, metric, round(value, 6) as value from (
-  select tool, 'per_read_precision_' || rank as metric, coalesce(tp / nullif(tp + fp, 0), 0) as value from k union all
-  select tool, 'per_read_recall_' || rank, coalesce(tp / nullif(tp + fn, 0), 0) from k union all
-  select tool, 'exact_per_read_recall_' || rank, coalesce(exact_tp / nullif(exact_tp + exact_fn, 0), 0) from k union all
-  select tool, 'l1_norm_' || rank, l1 from o union all
-  select tool, 'purity_' || rank, coalesce(tp / nullif(tp + fp, 0), 0) from o union all
-  select tool, 'completeness_' || rank, coalesce(tp / nullif(tp + fn, 0), 0) from o union all
-  select tool, 'weighted_unifrac', u from uf)""")
+#: Of tool O the reads' tree counts; of tool F the native profile, as its configured abundance tree is missing and hides the reads' one.
+EVALUATED = """named as (select c_name as name, sum(o_totalprice) as value, case when o_custkey % 11 <> 0 then 1000000 + o_custkey end as taxid from orders join customer on o_custkey = c_custkey group by c_name, o_custkey),
+truth as (select taxid, sum(value) as value from named where taxid is not null group by 1),
+pred as (select l_linestatus as tool, 1000000 + l_partkey as taxid, sum(l_extendedprice * (1 - l_discount)) as value from lineitem where l_linestatus = 'F' group by 1, 2
+  union all select tool, pred, count(*)::double from facts where tool = 'O' and pred is not null group by 1, 2)"""
+
+
+def evaluated_parts(b: Bound) -> dict:
+    """What evaluate() takes, from the driver's tables."""
+    reads, c = b.reads(), b.t("customer")
+    value = b.t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("value"))
+    named = value.join(c, "c_custkey").select(F.col("c_name").alias("name"), "value", F.when(F.col("c_custkey") % 11 != 0, F.col("c_custkey") + 1000000).alias("taxid"))
+    tree = reads.filter("pred is not null").groupBy("tool", F.col("pred").alias("taxid")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    rows = lambda df, source: df.select("tool", F.lit(source).alias("source"), F.lit("species").alias("rank"), "taxid", "value")
+    source = lambda name, configured, exists: F.struct(F.lit(name).alias("source"), configured.alias("configured"), exists.alias("exists"))
+    yes, f = F.lit(True), F.col("tool") == "F"
+    sources = tools(b).select("tool", F.explode(F.array(source("abundance_tre", f, ~yes), source("reads_tre", yes, yes), source("native", yes, yes), source("cami", ~yes, ~yes))).alias("s")).select("tool", "s.*")
+    return {"reads": reads, "named_truth": named.crossJoin(tools(b)), "sources": sources, "predicted": rows(tree, "reads_tre").unionByName(rows(b.pred_profile(), "native"))}
+
+
+def metric_rows() -> str:
+    rank, out = "rank", []
+    prf = {"precision": "coalesce({x}tp / nullif({x}tp + {x}fp, 0), 0)", "recall": "coalesce({x}tp / nullif({x}tp + {x}fn, 0), 0)", "f1": "coalesce(2.0 * {x}tp / nullif(2 * {x}tp + {x}fp + {x}fn, 0), 0)"}
+    for x, name in (("", "per_read"), ("exact_", "exact_per_read")):
+        out += [f"select tool, '{name}_{m}_' || {rank} as metric, {e.format(x=x)} as value from k where truth_mapped > 0" for m, e in prf.items()]
+        out += [f"select tool, '{name}_truth_mapped_rate_' || {rank}, truth_mapped / reads from k", f"select tool, '{name}_pred_mapped_rate_' || {rank}, {x}pred_mapped / reads from k"]
+        out += [f"select distinct tool, '{name}_classified_rate', classified / reads from k", f"select distinct tool, '{name}_unclassified_rate', (reads - classified) / reads from k"]
+    species = {"species_total": "count(*)", "species_mapped": "count(taxid)", "species_unmapped": "count(*) - count(taxid)", "species_unmapped_rate": "(count(*) - count(taxid)) / count(*)"}
+    mass = {"mass_total": "sum(value)", "mass_mapped": "sum(value) filter (taxid is not null)", "mass_unmapped": "sum(value) filter (taxid is null)", "mass_mapped_rate": "sum(value) filter (taxid is not null) / sum(value)"}
+    out += [f"select tool, 'truth_profile_{m}', {e} from named, (select distinct tool from facts) group by 1" for m, e in (species | mass).items()]
+    out += ["select tool, 'l1_norm_' || rank, l1 from o", "select tool, 'purity_' || rank, coalesce(tp / nullif(tp + fp, 0), 0) from o", "select tool, 'completeness_' || rank, coalesce(tp / nullif(tp + fn, 0), 0) from o", "select tool, 'weighted_unifrac', u from uf"]
+    return " union all ".join(out)
+
+
+@query("evaluate", with_sql(NODES, READS, EVALUATED, "seeds as (select taxid from facts union select pred from facts union select taxid from truth union select taxid from pred)", CLOSURE, LIFTS)
+    + perread_sql().split("lifts as")[1].split("group by seed, rank)", 1)[1] + OPAL.split("\nselect tool, rank, round(l1")[0] + UNIFRAC + f"""
+select tool, metric, round(value, 4) as value, '{evaluation.VERSION}' as version from ({metric_rows()})""")
 def q_evaluate(b: Bound) -> DataFrame:
-    n = b.nodes()
-    read = perread.combined(b.reads(), n, ["tool"], RANKS)
-    prof = profiles.opal(*at_ranks(b), ["tool"])
-    tree = profiles.unifrac(tool_truth(b), b.pred_profile(), n, ["tool"])
-    long = lambda df, cols: df.select("tool", F.explode(F.array(*[F.struct(F.concat(F.lit(name), F.col("rank")).alias("metric"), F.col(c).alias("value")) for c, name in cols.items()])).alias("m")).select("tool", "m.*")
-    out = long(read, {"precision": "per_read_precision_", "recall": "per_read_recall_", "exact_recall": "exact_per_read_recall_"})
-    out = out.union(long(prof, {"l1_norm": "l1_norm_", "purity": "purity_", "completeness": "completeness_"}))
-    return rounded(out.union(tree.select("tool", F.lit("weighted_unifrac").alias("metric"), F.col("weighted_unifrac").alias("value"))))
+    return rounded(evaluation.evaluate(b.nodes(), ["tool"], RANKS, **evaluated_parts(b)), 4)
