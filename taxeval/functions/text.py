@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Suffixes of sequence files, longest first, and words that aren't species epithets.
-FASTA_SUFFIXES = (".fasta.gz", ".fna.gz", ".fa.gz", ".fasta", ".fna", ".fa")
+# Suffixes of sequence files, and words that aren't species epithets.
+FASTA_SUFFIXES = (".fa", ".fa.gz", ".fna", ".fna.gz", ".fasta", ".fasta.gz")
 NOT_EPITHETS = ("sp", "sp.", "cf", "cf.", "aff", "aff.", "bacterium")
 ACCESSION = r"GC[AF]_\d+\.\d+"
 
@@ -61,6 +61,20 @@ def accession(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, f"({ACCESSION})", 1), F.lit(""))
 
 
+def accession_of_path(c: Column) -> Column:
+    """The assembly accession that a file's name begins with; any other name is an error."""
+    found = F.regexp_extract(file_name(c), f"^({ACCESSION})", 1)
+    return F.when(found != "", found).otherwise(F.raise_error(F.concat(F.lit("no assembly accession in path: "), F.coalesce(c, F.lit("null")))))
+
+
+def accession_by_parts(c: Column) -> Column:
+    """The accession of a file name: its first two parts between underscores where the first is GCF or GCA, whatever
+    the second, else the first accession in it; null if there is none."""
+    name = file_name(c)
+    parts = F.split(name, "_")
+    return F.when((F.size(parts) >= 2) & parts[0].isin("GCF", "GCA"), F.concat_ws("_", parts[0], F.get(parts, F.lit(1)))).otherwise(accession(name))
+
+
 def file_name(c: Column) -> Column:
     return F.substring_index(c, "/", -1)
 
@@ -86,6 +100,7 @@ def name_aliases(c: Column) -> Column:
     words = F.split(short, " ")
     unbracketed = lambda x: F.regexp_replace(x, r"^[\[\]]+|[\[\]]+$", "")
     genus, epithet = unbracketed(words[0]), unbracketed(F.get(words, F.lit(1)))
+    # What genus names and epithets look like.
     fine = genus.rlike(r"^[A-Za-z][A-Za-z.-]*$") & epithet.rlike(r"^[a-z][a-z.-]*$") & ~F.lower(epithet).isin(*NOT_EPITHETS)
     two = lambda g: F.when(fine, F.concat_ws(" ", g, epithet))
     return F.array_distinct(F.filter(F.array_compact(F.array(clean, short, two(genus), two(words[0]))), lambda x: x != ""))

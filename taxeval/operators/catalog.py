@@ -17,17 +17,22 @@ def n50(records: DataFrame, keys: list[str], length: str = "length") -> DataFram
     return run.groupBy(*keys).agg(F.coalesce(F.max(F.when((F.col("cum") * 2 >= F.col("total")) & (F.col("total") > 0), F.col(length))), F.lit(0)).cast("long").alias("n50"))
 
 
-def seq_stats(records: DataFrame, keys: list[str], seq: str = "seq", qual: str | None = None) -> DataFrame:
-    """Records, bases, min, mean and max length, N50, GC percent and, with qualities, the percentage of Q30 bases over
-    all bases."""
+def seq_stats(records: DataFrame, keys: list[str], seq: str = "seq", qual: str | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Records, bases, min, mean and max length, N50, GC percent and the percentage of Q30 bases over all bases where
+    any record has a quality (null where none has); 0 where there are no bases. files(keys, bytes): their size, too,
+    and rows of zeros for files without records."""
     size = F.length(seq).cast("long")
     gc = F.length(F.regexp_replace(seq, "[^GCgc]", "")).cast("long")
     q30 = F.length(F.regexp_replace(qual, "[^?-~]", "")).cast("long") if qual else F.lit(None).cast("long")
     rows = records.select(*keys, size.alias("length"), gc.alias("gc"), q30.alias("q30"))
     made = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.sum("length").alias("bases"), F.min("length").alias("min_length"), F.max("length").alias("max_length"), F.sum("gc").alias("gc"), F.sum("q30").alias("q30"))
     some = F.col("bases") > 0
-    made = made.withColumn("mean_length", F.col("bases") / F.col("records")).withColumn("gc_percent", F.when(some, 100 * F.col("gc") / F.col("bases"))).withColumn("q30_percent", F.when(some, 100 * F.col("q30") / F.col("bases")))
-    return made.drop("gc", "q30").join(n50(rows, keys), keys)
+    made = made.withColumn("mean_length", F.col("bases") / F.col("records")).withColumn("gc_percent", F.when(some, 100 * F.col("gc") / F.col("bases")).otherwise(0.0)).withColumn("q30_percent", F.when(F.col("q30").isNotNull(), F.when(some, 100 * F.col("q30") / F.col("bases")).otherwise(0.0)))
+    made = made.drop("gc", "q30").join(n50(rows, keys), keys)
+    if files is None:
+        return made
+    sizes = files.groupBy(*keys).agg(F.sum("bytes").alias("bytes"))
+    return sizes.join(made, keys, "left").fillna(0, [c for c in made.columns if c not in (*keys, "q30_percent")])
 
 
 def exact_copies(records: DataFrame, clade: str, seq: str) -> DataFrame:
@@ -49,18 +54,50 @@ def dataset_catalog(scanned: DataFrame, metadata: DataFrame, order: list[str]) -
     return rows.select("dataset", F.coalesce("_records", "records").alias("records"), "bases", F.bround("mean_length").cast("long").alias("mean_length"), F.coalesce("label", "dataset").alias("label"), F.coalesce("input", F.lit("single FASTQ")).alias("input_type"), key.alias("position")).orderBy("position").drop("position")
 
 
+def described_datasets(datasets: DataFrame, formats: DataFrame) -> DataFrame:
+    """datasets with samples, input_type and truth by rule.
+
+    datasets(dataset, input_type, truth_label, truth_dir, truth_profile, truth_map, paired, kind, samples
+    array<struct<paired boolean, reads array<string>>>, sample_ids array<string>, reads array<string>); formats(path,
+    format): fastq or fasta. samples: of a list, 1 if paired, the sample ids of collections of that kind, else the
+    read files. input_type: what is given; paired FASTQ if (all samples are) paired; single FASTQ or contig FASTA if
+    all files are one of these; else mixed. truth: what is given, else by the files that are there.
+    """
+    listed = F.size("samples") > 0
+    files = F.when(listed, F.flatten(F.transform("samples", lambda x: F.coalesce(x["reads"], F.array().cast("array<string>"))))).otherwise(F.coalesce("reads", F.array().cast("array<string>")))
+    kinds = datasets.select("dataset", F.explode_outer(files).alias("path")).join(formats, "path", "left").groupBy("dataset").agg(F.collect_set("format").alias("_formats"))
+    one = lambda f: (F.size("_formats") == 1) & (F.col("_formats")[0] == f)
+    by_format = F.when(one("fastq"), "single FASTQ").when(one("fasta"), "contig FASTA").otherwise("mixed FASTA/FASTQ")
+    all_of = lambda test: F.forall("samples", lambda x: F.coalesce(test(x), F.lit(False)))
+    of_samples = F.when(all_of(lambda x: x["paired"]), "paired FASTQ").when(all_of(lambda x: F.size(x["reads"]) > 0), by_format).otherwise("mixed FASTA/FASTQ")
+    given = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    size = lambda c: F.coalesce(F.when(F.size(c) >= 0, F.size(c)), F.lit(0)).cast("long")
+    paired = F.coalesce("paired", F.lit(False))
+    truth = F.coalesce(given("truth_label"), F.when(given("truth_dir").isNotNull(), "per-read mapping + profile").when(given("truth_profile").isNotNull(), "profile only").when(given("truth_map").isNotNull(), "per-read mapping only").otherwise("unknown"))
+    n = F.when(listed, size("samples")).when(paired, F.lit(1).cast("long")).when(F.col("kind") == "strain_madness", size("sample_ids")).otherwise(size("reads"))
+    made = datasets.join(kinds, "dataset", "left").withColumn("input", F.coalesce(given("input_type"), F.when(listed, of_samples).when(paired, "paired FASTQ").otherwise(by_format)))
+    return made.select("dataset", n.alias("samples"), F.col("input").alias("input_type"), truth.alias("truth"))
+
+
 def db_catalog(builds: DataFrame, targets: DataFrame, assembly: DataFrame) -> DataFrame:
     """Per database: contigs, bases, assemblies, species. builds(ord, path, list): the first build with a list counts;
-    targets(list, accession, bytes); names lose their index suffix."""
+    targets(list, accession, bytes); names lose their index suffix. A target without assembly is an error."""
+    # Suffixes of indexes.
     name = F.regexp_replace(F.substring_index("path", "/", -1), r"\.(imcf|syldb|hixf)$", "")
     first = builds.filter("list is not null").groupBy(name.alias("db")).agg(F.min_by("list", "ord").alias("list"))
-    rows = first.join(targets, "list").join(assembly, "accession")
-    return rows.groupBy("db").agg(F.sum("bytes").alias("file_bytes"), F.sum("contig_count").alias("contigs"), F.sum("genome_size").alias("bases"), F.count(F.lit(1)).alias("assemblies"), F.count_distinct("species_taxid").alias("species"))
+    rows = first.join(targets, "list").join(assembly.withColumn("_there", F.lit(True)), "accession", "left")
+    lost = F.raise_error(F.concat(F.lit("no assembly for "), F.col("accession"))).cast("long")
+    size = F.when(F.col("_there"), F.col("genome_size")).otherwise(lost)
+    return rows.groupBy("db").agg(F.sum("bytes").alias("file_bytes"), F.sum("contig_count").alias("contigs"), F.sum(size).alias("bases"), F.count(F.lit(1)).alias("assemblies"), F.count_distinct("species_taxid").alias("species"))
 
 
 def reference_manifest(files: DataFrame, stats: DataFrame, clades: DataFrame) -> DataFrame:
-    """files(path, content) with the digest of their bytes, statistics(path, records, bases) and clades(accession, clade)."""
-    name = F.substring_index("path", "/", -1)
+    """(reference_name, accession, source_kind, records, bases, sha256, ...) of files(path, content) with the digest of
+    their bytes, statistics(path, records, bases) and clades(reference_name, clade): a reference without an accession in
+    its name is an aggregate."""
+    name = without_fasta_suffix(F.substring_index("path", "/", -1))
     acc = F.regexp_extract(name, r"(GC[AF]_\d+\.\d+)", 1)
-    digest = files.select("path", without_fasta_suffix(name).alias("reference_name"), acc.alias("accession"), F.sha2("content", 256).alias("sha256"))
-    return digest.join(stats, "path").join(clades, "accession", "left")
+    # The two kinds of sources.
+    kind = F.when(acc != "", "RefSeq").otherwise("paper_aggregate")
+    digest = files.select("path", name.alias("reference_name"), acc.alias("accession"), kind.alias("source_kind"), F.sha2("content", 256).alias("sha256"))
+    return digest.join(stats, "path").join(clades, "reference_name", "left")

@@ -8,6 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .durable import written
+from .gates import assert_empty, one_match, same_samples, tolerance
 
 
 def token_match(samples: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -26,13 +30,50 @@ def role(c2: Column, total: Column) -> Column:
     return F.when(c2 > 0, "positive").when(total == 0, "zero").otherwise("other")
 
 
+def sample_manifest(samples: DataFrame, metadata: DataFrame, depth: DataFrame, selection: str) -> DataFrame:
+    """The manifest of a cohort study, a row for each sample.
+
+    samples(sample, cohort, condition, role, run_accession, c1, c2, total), metadata(cohort, paper_sample, condition,
+    age, sex, bmi, source_reads, c1, c2), depth(sample, input_reads, expected) of one tool's rows. A sample must match
+    exactly one metadata row of its cohort, and each of these one sample; conditions (but for case) and percentages must
+    agree, and each sample must have a depth: anything else is an error. A missing total is c1 + c2.
+    """
+    assert_empty(same_samples(samples, depth, "sample"), "sample/depth coverage")
+    meta = metadata.select("cohort", F.col("paper_sample").cast("string").alias("id"), *[F.col(c).alias(f"_{c}") for c in ("condition", "age", "sex", "bmi", "source_reads", "c1", "c2")])
+    key = F.concat_ws("/", "cohort", "id").alias("key")
+    pairs = token_match(samples.select("cohort", "sample"), meta.select("cohort", "id"))
+    assert_empty(one_match(pairs.select("sample", key), samples.select("sample"), meta.select(key), "sample", "key"), "sample metadata")
+    rows = samples.join(pairs, ["cohort", "sample"]).join(meta, ["cohort", "id"])
+    assert_empty(tolerance(rows, [("c1", "_c1"), ("c2", "_c2")], [("condition", "_condition")]), "published values")
+    return rows.join(depth, "sample").select(
+        "sample", F.col("id").alias("paper_sample_id"), "run_accession", "cohort", F.lower("condition").alias("condition"), "role", F.col("_age").cast("double").alias("age"), F.lower("_sex").alias("sex"),
+        F.col("_bmi").cast("double").alias("bmi"), F.col("_source_reads").cast("long").alias("source_reads"), F.col("input_reads").cast("long").alias("input_reads_used"), F.lit(selection).alias("input_selection"),
+        F.col("c1").alias("paper_fna_c1_percent"), F.col("c2").alias("paper_fna_c2_percent"), F.coalesce("total", F.col("c1") + F.col("c2")).alias("paper_fna_total_percent"),
+        F.col("expected").alias("expected_c2_reads_at_depth"), F.lit("pass").alias("input_qc"),
+    )
+
+
+def signals(rows: DataFrame, manifest: DataFrame, tools: dict[str, str]) -> DataFrame:
+    """rows(sample, tool, ...) with display names of the tools and what manifest(sample, ...) says of the samples, by
+    sample and tool. An unknown tool and a sample that the manifest lacks are errors."""
+    shown = F.create_map(*[F.lit(x) for kv in tools.items() for x in kv])[F.col("tool")]
+    bad = lambda what, c: F.raise_error(F.concat(F.lit(what), F.coalesce(F.col(c).cast("string"), F.lit("null")))).cast("string")
+    joined = rows.join(manifest.withColumn("_there", F.lit(True)), "sample", "left")
+    tool = F.when(F.col("_there").isNull(), bad("no such sample: ", "sample")).otherwise(F.coalesce(shown, bad("no such tool: ", "tool")))
+    return joined.withColumn("tool", tool).drop("_there").orderBy("sample", "tool")
+
+
 def audit(rows: DataFrame) -> DataFrame:
-    """Rates and reads per million of audit counts; expected reads by default from the percentage."""
+    """Rates and reads per million of audit counts; expected reads by default from the percentage. Counts that don't
+    add up, and missing reads, are an error."""
     c = F.col
-    rate = lambda a, b: F.when(c(b) > 0, c(a) / c(b))
-    return rows.withColumns({
-        "expected": F.coalesce("expected", c("percent") * c("input_reads") / 100), "strict_rate": rate("strict", "candidate"), "tied_rate": rate("tied", "candidate"),
-        "supported_rate": F.when(c("candidate") > 0, (c("strict") + c("tied")) / c("candidate")), "strict_rpm": 1e6 * rate("strict", "input_reads"), "candidate_rpm": 1e6 * rate("candidate", "input_reads"),
+    rate = lambda a: F.when(c("candidate") > 0, c(a) / c("candidate"))
+    per = lambda a: c(a) / c("input_reads") * 1_000_000
+    right = (c("strict") + c("tied") == c("supported")) & (c("strict") + c("tied") + c("non_target") + c("unmapped") == c("candidate")) & (F.coalesce("missing", F.lit(0)) == 0)
+    candidate = F.when(F.coalesce(right, F.lit(False)), c("candidate")).otherwise(F.raise_error(F.lit("audit counts don't add up")).cast("long"))
+    return rows.withColumn("candidate", candidate).withColumns({
+        "expected": F.coalesce("expected", c("percent") * c("input_reads") / 100),
+        **{f"{a}_rate": rate(a) for a in ("strict", "tied", "supported", "non_target", "unmapped")}, **{f"{a}_rpm": per(a) for a in ("candidate", "strict", "supported")},
     })
 
 
@@ -46,12 +87,26 @@ def alignment_fate(candidates: DataFrame, alignments: DataFrame, target: str, ke
     return candidates.join(top.select(*keys, fate.alias("fate")), keys, "left").withColumn("fate", F.coalesce("fate", F.lit("unmapped")))
 
 
+def sum_below(rows: DataFrame, keys: list[str], value: str, of: str, name: str) -> DataFrame:
+    """rows, of different values within the keys, with the sum of a column over smaller values of the keys.
+
+    Rows are dealt in ranges of keys and values, and sums run within a range; what lies in the ranges before comes from
+    their totals, a row for each range: no task needs all values of a key.
+    """
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = written(rows.repartitionByRange(n, *keys, value).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy(*keys, "_range").agg(F.sum(of).alias("_sum"))
+    totals = totals.select(*keys, "_range", F.coalesce(F.sum("_sum").over(before(*keys).orderBy("_range")), F.lit(0)).alias("_before"))
+    within = F.coalesce(F.sum(of).over(before(*keys, "_range").orderBy(value)), F.lit(0))
+    return dealt.withColumn("_within", within).join(totals, [*keys, "_range"]).withColumn(name, F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
+
+
 def auc(rows: DataFrame, keys: list[str], value: str, positive: str) -> DataFrame:
     """(keys, n_pos, n_zero, auc): P(positive > zero) + half the ties, from average ranks by Mann and Whitney. Equal
-    values are first counted, so that the window holds different values only."""
+    values are first counted, and counts are summed in ranges of values."""
     per = rows.groupBy(*keys, value).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("z"))
-    below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn("u", F.col("p") * (F.coalesce(F.sum("z").over(below), F.lit(0)) + F.col("z") / 2))
+    ranked = sum_below(per, keys, value, "z", "_zb").withColumn("u", F.col("p") * (F.col("_zb") + F.col("z") / 2))
     return ranked.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("z").alias("n_zero"), F.sum("u").alias("u")).select(*keys, "n_pos", "n_zero", F.when((F.col("n_pos") > 0) & (F.col("n_zero") > 0), F.col("u") / (F.col("n_pos") * F.col("n_zero"))).alias("auc"))
 
 
@@ -64,8 +119,7 @@ def floor_auc(rows: DataFrame, keys: list[str], value: str, positive: str, expec
 def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """rows with the average rank of a value within the keys."""
     per = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = per.withColumn(name, F.coalesce(F.sum("_c").over(below), F.lit(0)) + (F.col("_c") + 1) / 2).drop("_c")
+    ranks = sum_below(per, keys, value, "_c", "_cb").withColumn(name, F.col("_cb") + (F.col("_c") + 1) / 2).drop("_c", "_cb")
     return rows.join(ranks, [*keys, value])
 
 
@@ -87,16 +141,15 @@ def bootstrap_auc(rows: DataFrame, keys: list[str], strata: list[str], sample: s
     round and joined with the values of each key, so no round is a job of its own.
     """
     units = rows.select(*strata, sample).distinct()
-    w = Window.partitionBy(*strata)
-    units = units.withColumn("_i", F.row_number().over(w.orderBy(sample)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    units = sum_below(units.withColumn("_one", F.lit(1)), strata, sample, "_one", "_i").drop("_one")
+    units = units.join(units.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")), strata)
     slots = units.select(*strata, "_n", F.col("_i").alias("_slot")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     text = F.concat_ws("|", F.lit(str(seed)), F.col("round"), *[F.col(s).cast("string") for s in strata], F.col("_slot"))
     drawn = slots.withColumn("_i", F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.col("_n")))
     weights = drawn.groupBy(*strata, "_i", "round").agg(F.count(F.lit(1)).alias("_w")).join(units.select(*strata, "_i", sample), [*strata, "_i"]).select(sample, "round", "_w")
     joined = rows.join(weights, sample)
     per = joined.groupBy(*keys, "round", value).agg(F.sum(F.when(F.col(positive), F.col("_w")).otherwise(0)).alias("p"), F.sum(F.when(~F.col(positive), F.col("_w")).otherwise(0)).alias("z"))
-    below = Window.partitionBy(*keys, "round").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    u = per.withColumn("u", F.col("p") * (F.coalesce(F.sum("z").over(below), F.lit(0)) + F.col("z") / 2))
+    u = sum_below(per, [*keys, "round"], value, "z", "_zb").withColumn("u", F.col("p") * (F.col("_zb") + F.col("z") / 2))
     return u.groupBy(*keys, "round").agg((F.sum("u") / F.sum("p") / F.sum("z")).alias("auc"))
 
 
@@ -182,13 +235,47 @@ def standardised_effect(t: Column, n1: Column, n2: Column) -> tuple[Column, Colu
 
 
 def z_scores(rows: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return rows.withColumns({c: (F.col(c) - F.avg(c).over(w)) / F.stddev_samp(c).over(w) for c in cols})
+    """rows with columns standardised within the keys, by means and deviations that are aggregated and joined."""
+    per = rows.groupBy(*keys).agg(*[x for c in cols for x in (F.avg(c).alias(f"_m_{c}"), F.stddev_samp(c).alias(f"_s_{c}"))])
+    joined = rows.join(per, keys).withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c in cols})
+    return joined.select(*rows.columns)
+
+
+def association(rows: DataFrame, keys: list[str], y: str, x: str, covariates: list[str], total: str | None = None) -> DataFrame:
+    """(keys, n_case, n_control, beta, se, t, p, effect, effect_se) of an endpoint on a condition x (1 or 0), adjusted
+    for covariates: y, or the arcsine of the square root of its share of `total`, by least squares."""
+    share = F.asin(F.sqrt(F.col(y) / F.col(total))) if total else F.col(y).cast("double")
+    fitted = ols(rows.select(*keys, share.alias("_y"), F.col(x).cast("double").alias(x), *covariates), keys, "_y", [x, *covariates]).filter(F.col("term") == x)
+    n = rows.groupBy(*keys).agg(F.sum(F.col(x).cast("long")).alias("n_case"), F.sum((1 - F.col(x).cast("int")).cast("long")).alias("n_control"))
+    effect, error = standardised_effect(F.col("t"), F.col("n_case"), F.col("n_control"))
+    return fitted.join(n, keys).withColumn("effect", effect).withColumn("effect_se", error).select(*keys, "n_case", "n_control", "beta", "se", "t", "p", "effect", "effect_se")
+
+
+def partial_effects(rows: DataFrame, keys: list[str], y: str, xs: list[str], covariates: list[str]) -> DataFrame:
+    """(keys, term, n, beta, se, t, p) of an endpoint on several predictors together, adjusted for covariates, all
+    standardised within the keys."""
+    cols = [y, *xs, *covariates]
+    z = z_scores(rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]), keys, cols)
+    return ols(z, keys, y, [*xs, *covariates]).filter(F.col("term").isin(*xs))
+
+
+@F.pandas_udf(T.DoubleType())
+def normal_p(z: pd.Series) -> pd.Series:
+    """Two-sided p of a standard normal value."""
+    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else None)
+
+
+def sensitivity_grid(rows: DataFrame, keys: list[str], schemes: dict[str, Column], metrics: list[str], positive: str, expected: str, floors: list[float]) -> DataFrame:
+    """floor_auc() by scheme, keys and metric: a scheme is a condition on the rows that take part; metrics are columns."""
+    named = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in schemes.items()]), lambda x: x.isNotNull())
+    long = rows.withColumn("scheme", F.explode(named)).select("scheme", *keys, positive, expected, *[F.col(m).cast("double").alias(m) for m in metrics])
+    long = long.unpivot(["scheme", *keys, positive, expected], metrics, "metric", "value")
+    return floor_auc(long, ["scheme", *keys, "metric"], "value", positive, expected, floors)
 
 
 def meta(effects: DataFrame, keys: list[str], steps: int = 200) -> DataFrame:
-    """Random effects by Paule and Mandel: (keys, cohorts, tau2, effect, se, low, high, q, i2) of effects(keys, effect,
-    se). tau2 is where Q(tau2) = k - 1, by bisection; a key has a row for each cohort, which is few."""
+    """Random effects by Paule and Mandel: (keys, cohorts, tau2, effect, se, low, high, p, q, i2) of effects(keys,
+    effect, se); p by Wald. tau2 is where Q(tau2) = k - 1, by bisection; a key has a row for each cohort, which is few."""
     g = effects.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("effect").alias("y"), (F.col("se") * F.col("se")).alias("v")))).alias("c"))
 
     def total(tau, f):
@@ -213,17 +300,18 @@ def meta(effects: DataFrame, keys: list[str], steps: int = 200) -> DataFrame:
     g = g.withColumn("effect", total(F.col("tau2"), lambda e: e["y"]) / w).withColumn("se", 1 / F.sqrt(w))
     z = 1.959963984540054
     i2 = F.when(F.col("q") > 0, F.greatest(F.lit(0.0), (F.col("q") - (k - 1)) / F.col("q"))).otherwise(F.lit(0.0))
-    return g.select(*keys, k.cast("long").alias("cohorts"), "tau2", "effect", "se", (F.col("effect") - z * F.col("se")).alias("low"), (F.col("effect") + z * F.col("se")).alias("high"), "q", i2.alias("i2"))
+    return g.select(*keys, k.cast("long").alias("cohorts"), "tau2", "effect", "se", (F.col("effect") - z * F.col("se")).alias("low"), (F.col("effect") + z * F.col("se")).alias("high"), normal_p(F.col("effect") / F.col("se")).alias("p"), "q", i2.alias("i2"))
 
 
 def subset(rows: DataFrame, per_cohort: int) -> DataFrame:
     """rows(cohort, condition, sample, role, abundance): per cohort so many positives, evenly spaced over the order of
     abundance, and as many zeros of each condition as positives were taken of it."""
-    w = Window.partitionBy("cohort").orderBy("abundance", "sample")
-    pos = rows.filter("role = 'positive'").withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("cohort")))
+    pos = rows.filter("role = 'positive'").withColumn("_o", F.struct("abundance", "sample")).withColumn("_one", F.lit(1))
+    pos = sum_below(pos, ["cohort"], "_o", "_one", "_i").join(pos.groupBy("cohort").agg(F.count(F.lit(1)).alias("_n")), "cohort")
     m = F.least(F.col("_n"), F.lit(per_cohort))
     spot = F.floor(F.col("_i") * m / F.col("_n")) != F.floor((F.col("_i") - 1) * m / F.col("_n"))
-    taken = pos.filter((F.col("_i") == 0) | spot).drop("_i", "_n")
+    taken = pos.filter((F.col("_i") == 0) | spot).select(*rows.columns)
     quota = taken.groupBy("cohort", "condition").agg(F.count(F.lit(1)).alias("_q"))
-    zeros = rows.filter("role = 'zero'").join(quota, ["cohort", "condition"]).withColumn("_i", F.row_number().over(Window.partitionBy("cohort", "condition").orderBy("sample"))).filter("_i <= _q")
-    return taken.unionByName(zeros.select(*taken.columns))
+    # A quota is at most per_cohort, so that no more than these of a group leave the tasks that read them.
+    first = rows.filter("role = 'zero'").withColumn("_i", F.row_number().over(Window.partitionBy("cohort", "condition").orderBy("sample"))).filter(F.col("_i") <= per_cohort)
+    return taken.unionByName(first.join(quota, ["cohort", "condition"]).filter("_i <= _q").select(*rows.columns))

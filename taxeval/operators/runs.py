@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Metrics that are added up, and the one whose maximum counts.
@@ -15,14 +15,14 @@ def blank_to_null(c: str) -> Column:
 
 
 def prefer_later(runs: DataFrame) -> DataFrame:
-    """Of runs with equal (dataset, sample if in a collection, tool, db) the one of the latest source, then order;
-    runs without a full key stay."""
+    """Of runs with equal (collection, else display, else dataset; sample, else dataset, if in a collection; tool;
+    db_name, blank counting as a name) the one of the latest source, then order; runs without tool or data set stay."""
     group = F.coalesce(blank_to_null("collection"), blank_to_null("display"), blank_to_null("dataset"))
-    key = F.struct(group.alias("g"), F.when(blank_to_null("collection").isNotNull(), F.col("sample")).alias("s"), "tool", "db")
-    whole = group.isNotNull() & F.col("tool").isNotNull() & F.col("db").isNotNull()
-    keyed = runs.withColumn("_k", key)
+    sample = F.when(blank_to_null("collection").isNotNull(), F.coalesce(blank_to_null("sample"), blank_to_null("dataset")))
+    whole = group.isNotNull() & blank_to_null("tool").isNotNull()
+    keyed = runs.withColumn("_k", F.struct(group.alias("g"), sample.alias("s"), "tool", F.coalesce("db_name", F.lit("")).alias("db")))
     last = keyed.filter(whole).groupBy("_k").agg(F.max_by(F.struct(*runs.columns), F.struct("source", "ord")).alias("r")).select("r.*")
-    return keyed.filter(~F.coalesce(whole, F.lit(False))).drop("_k").unionByName(last)
+    return keyed.filter(~whole).drop("_k").unionByName(last)
 
 
 def metric_aliases(metrics: Column, names: list[str]) -> Column:
@@ -44,15 +44,32 @@ def run_fields(runs: DataFrame, tools: dict[str, str]) -> DataFrame:
 
 
 def collection_aggregate(runs: DataFrame) -> DataFrame:
-    """(collection, tool, db, sample_count, metric, value) of runs in collections: sums, the maximum, or the plain mean
-    of each metric; sample_count counts different samples (data sets where a run has no sample), or rows where none
-    has either. Runs without a tool don't count; a missing db is blank."""
-    keys = ["collection", "tool", "db"]
-    rows = runs.filter(blank_to_null("collection").isNotNull() & blank_to_null("tool").isNotNull()).withColumn("db", F.coalesce("db", F.lit("")))
-    n = rows.groupBy(*keys).agg(F.count_distinct(F.coalesce(blank_to_null("sample"), blank_to_null("dataset"))).alias("d"), F.count(F.lit(1)).alias("n")).select(*keys, F.when(F.col("d") > 0, F.col("d")).otherwise(F.col("n")).alias("sample_count"))
-    long = rows.select(*keys, F.explode("metrics").alias("metric", "v")).filter("v is not null and not isnan(v)")
+    """(dataset, collection, display_dataset, tool, db_name, sample_count, sample_ids, metrics): a row for each
+    collection, tool and database name, and each run outside collections as it is, under its own data set.
+
+    A metric of a collection is the sum, the maximum, or the plain mean of its runs. sample_ids: the different samples
+    (data sets where a run has no sample); sample_count: their number, or that of the runs where none has either.
+    display_dataset: the first that is given, else the collection. Runs of collections without a tool don't count; a
+    missing database name is blank.
+    """
+    keys = ["collection", "tool", "db_name"]
+    inside = runs.filter(blank_to_null("collection").isNotNull() & blank_to_null("tool").isNotNull()).withColumn("db_name", F.coalesce("db_name", F.lit("")))
+    shown = blank_to_null("display")
+    groups = inside.groupBy(*keys).agg(
+        F.sort_array(F.collect_set(F.coalesce(blank_to_null("sample"), blank_to_null("dataset")))).alias("sample_ids"), F.count(F.lit(1)).alias("n"),
+        F.min_by(shown, F.when(shown.isNotNull(), F.struct("source", "ord"))).alias("shown"),
+    )
+    long = inside.select(*keys, F.explode("metrics").alias("metric", "v")).filter("v is not null and not isnan(v)")
     value = F.when(F.col("metric").isin(*SUMMED), F.sum("v")).when(F.col("metric") == LARGEST, F.max("v")).otherwise(F.avg("v"))
-    return long.groupBy(*keys, "metric").agg(value.alias("value")).join(n, keys)
+    made = long.groupBy(*keys, "metric").agg(value.alias("value")).groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", "value")))).alias("metrics"))
+    size = F.size("sample_ids").cast("long")
+    rolled = groups.join(made, keys, "left").select(
+        F.col("collection").alias("dataset"), "collection", F.coalesce("shown", "collection").alias("display_dataset"), "tool", "db_name", F.when(size > 0, size).otherwise(F.col("n")).alias("sample_count"), "sample_ids",
+        F.coalesce("metrics", F.create_map().cast("map<string,double>")).alias("metrics"),
+    )
+    none = F.lit(None)
+    return rolled.unionByName(single_runs(runs).select(
+        "dataset", none.cast("string").alias("collection"), F.col("display").alias("display_dataset"), "tool", "db_name", none.cast("long").alias("sample_count"), none.cast("array<string>").alias("sample_ids"), "metrics"))
 
 
 def single_runs(runs: DataFrame) -> DataFrame:
@@ -60,6 +77,24 @@ def single_runs(runs: DataFrame) -> DataFrame:
     return runs.filter(blank_to_null("collection").isNull()).withColumn("display", F.col("dataset"))
 
 
+def result_tables(rows: DataFrame) -> DataFrame:
+    """Rolled-up rows in the order of their tables, by data set, with `place` within it, by tool, database and order. A
+    data set has a row for each tool and database, so a window holds few."""
+    place = F.row_number().over(Window.partitionBy("dataset").orderBy("tool", "db", "ord")).cast("long")
+    return rows.withColumn("place", place).orderBy("dataset", "place")
+
+
+def sample_table(runs: DataFrame, collection: str) -> DataFrame:
+    """The runs of one collection, each under its sample (data set, if it has none)."""
+    return runs.filter(F.col("collection") == collection).withColumn("sample", F.coalesce(blank_to_null("sample"), "dataset"))
+
+
+def build_summary(builds: DataFrame, tools: list[str], db_name: str) -> DataFrame:
+    """Builds of some tools for one database, with memory in GB instead of KB."""
+    rows = builds.filter(F.col("tool").isin(*tools) & (F.col("db_name") == db_name))
+    return rows.withColumn("max_rss_gb", F.col("max_rss_kb") / 1048576).drop("max_rss_kb")
+
+
 def display_dataset() -> Column:
     return F.coalesce(blank_to_null("display"), blank_to_null("collection"), blank_to_null("dataset"))
 
@@ -81,10 +116,13 @@ def step_resources(runs: DataFrame, key: str) -> DataFrame:
     return s.groupBy(key).agg(F.max("s.max_rss_kb").alias("max_rss_kb"), F.sum("s.user_seconds").alias("user_seconds"), F.sum("s.system_seconds").alias("system_seconds"))
 
 
-def metric_wide(runs: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """A column for each metric, in order; pass the sorted union of the names."""
+def metric_wide(runs: DataFrame, keys: list[str], metrics: list[str] | None = None) -> DataFrame:
+    """A column for each metric, in order: of the given names, or of all that any run has."""
     long = runs.select(*keys, F.explode("metrics").alias("metric", "v"))
-    return long.groupBy(*keys).pivot("metric", sorted(metrics)).agg(F.first("v"))
+    if metrics is None:  # names of metrics, which are few whatever the number of runs
+        metrics = [r[0] for r in long.select("metric").distinct().collect()]
+    wide = long.groupBy(*keys).pivot("metric", sorted(metrics)).agg(F.first("v"))
+    return runs.select(*keys).distinct().join(wide, keys, "left")
 
 
 def summary_records(runs: DataFrame, exp: str) -> DataFrame:

@@ -25,11 +25,13 @@ def q_n50(b: Bound) -> DataFrame:
     return catalog.n50(b.t("documents").select(F.col("source").alias("file"), F.length("text").cast("long").alias("length")), ["file"])
 
 
-@query("seq_stats_merged", """with d as (select length(text)::bigint as n, length(regexp_replace(text, '[^GCgc]', '', 'g'))::bigint as gc from documents), h as (select n, count(*) * n as b from d group by 1),
+@query("seq_stats_merged", """with d as (select length(text)::bigint as n, length(regexp_replace(text, '[^GCgc]', '', 'g'))::bigint as gc, case when lang = 'lang1' or doc_id % 2 = 0 then length(regexp_replace(text, '[^?-~]', '', 'g'))::bigint end as q30 from documents), h as (select n, count(*) * n as b from d group by 1),
 r as (select *, sum(b) over (order by n desc) as cum, sum(b) over () as total from h)
-select 'all' as grp, count(*) as records, sum(n)::bigint as bases, min(n) as min_length, max(n) as max_length, round(sum(n) / count(*), 6) as mean_length, round(100 * sum(gc) / sum(n), 6) as gc_percent, null::double as q30_percent, (select max(n) filter (cum * 2 >= total) from r)::bigint as n50 from d""")
+select 'all' as grp, count(*) as records, sum(n)::bigint as bases, min(n) as min_length, max(n) as max_length, round(sum(n) / count(*), 6) as mean_length, round(100 * sum(gc) / sum(n), 6) as gc_percent, round(100 * sum(q30) / sum(n), 6) as q30_percent, (select max(n) filter (cum * 2 >= total) from r)::bigint as n50 from d""")
 def q_merged(b: Bound) -> DataFrame:
-    return rounded(catalog.seq_stats(b.t("documents").select(F.lit("all").alias("grp"), "text"), ["grp"], "text"))
+    """Some of the files are FASTQ: Q30 counts their bases, over all bases of the group."""
+    qual = F.when((F.col("lang") == "lang1") | (F.col("doc_id") % 2 == 0), F.col("text"))
+    return rounded(catalog.seq_stats(b.t("documents").select(F.lit("all").alias("grp"), "text", qual.alias("qual")), ["grp"], "text", "qual"))
 
 
 @query("exact_dedup", """with p as (select lang, text, count(*) as n, length(text)::bigint as size from documents group by 1, 2)
@@ -46,6 +48,24 @@ def q_datasets(b: Bound) -> DataFrame:
     return catalog.dataset_catalog(s, m, ["src3", "src1"])
 
 
+@query("described_datasets", """with d as (select doc_id, doc_id % 6 as k, doc_id % 4 as m, 1 + doc_id % 3 as n from documents)
+select 'd' || doc_id as dataset, case k when 0 then n when 1 then 1 when 2 then 2 else n end::bigint as samples,
+  case when k = 5 then 'own' when k = 0 then case when m = 0 then 'paired FASTQ' else 'mixed FASTA/FASTQ' end when k = 1 then 'paired FASTQ' when m = 0 then 'single FASTQ' when m = 1 then 'contig FASTA' when n > 1 then 'mixed FASTA/FASTQ' else 'single FASTQ' end as input_type,
+  case when k = 5 then 'label' when m = 0 then 'per-read mapping + profile' when m = 1 then 'profile only' when m = 2 then 'per-read mapping only' else 'unknown' end as truth from d""")
+def q_described(b: Bound) -> DataFrame:
+    d = b.t("documents").select("doc_id", (F.col("doc_id") % 6).alias("k"), (F.col("doc_id") % 4).alias("m"), (1 + F.col("doc_id") % 3).alias("n"))
+    k, m = F.col("k"), F.col("m")
+    path = lambda i: F.concat(F.lit("f"), F.col("doc_id"), F.lit("-"), i)
+    files = F.transform(F.sequence(F.lit(1).cast("long"), "n"), path)
+    none = F.lit(None).cast("string")
+    sample = F.transform(F.sequence(F.lit(1).cast("long"), "n"), lambda i: F.struct((m == 0).alias("paired"), F.lit(None).cast("array<string>").alias("reads")))
+    datasets = d.select(
+        F.concat(F.lit("d"), "doc_id").alias("dataset"), F.when(k == 5, "own").alias("input_type"), F.when(k == 5, "label").alias("truth_label"), F.when(m == 0, "dir").alias("truth_dir"), F.when(m <= 1, "p").alias("truth_profile"), F.when(m <= 2, "x").alias("truth_map"),
+        (k == 1).alias("paired"), F.when(k == 2, "strain_madness").otherwise(none).alias("kind"), F.when(k == 0, sample).alias("samples"), F.when(k == 2, F.array(F.lit("a"), F.lit("b"))).alias("sample_ids"), files.alias("reads"))
+    formats = d.select(m.alias("m"), F.posexplode(files).alias("pos", "path")).select("path", F.when((m == 1) | ((m > 1) & (F.col("pos") % 2 == 1)), "fasta").otherwise("fastq").alias("format"))
+    return catalog.described_datasets(datasets, formats)
+
+
 @query("db_catalog", """select 'db' || n_nationkey as db, sum(o_orderkey)::bigint as file_bytes, count(*) * 3::bigint as contigs, sum(o_custkey)::bigint as bases, count(*) as assemblies, count(distinct o_custkey % 50) as species
 from nation join orders on n_nationkey % 5 = o_orderkey % 5 where n_nationkey % 2 = 0 group by n_nationkey""")
 def q_dbs(b: Bound) -> DataFrame:
@@ -58,22 +78,22 @@ def q_dbs(b: Bound) -> DataFrame:
     return catalog.db_catalog(builds, targets, assembly)
 
 
-@query("ref_manifest", "select 'GCF_' || lpad(doc_id::varchar, 9, '0') || '.1' as reference_name, 'GCF_' || lpad(doc_id::varchar, 9, '0') || '.1' as accession, sha256(text) as sha256, n_chars as bases, lang as clade from documents")
+@query("ref_manifest", "select 'GCF_' || lpad(doc_id::varchar, 9, '0') || '.1' as reference_name, 'GCF_' || lpad(doc_id::varchar, 9, '0') || '.1' as accession, sha256(text) as sha256, n_chars as bases, 1 as records, 'RefSeq' as source_kind, lang as clade from documents where doc_id % 3 <> 0 union all select 'agg' || doc_id, '', sha256(text), n_chars, 1, 'paper_aggregate', lang from documents where doc_id % 3 = 0")
 def q_manifest(b: Bound) -> DataFrame:
     d = b.t("documents")
-    acc = F.concat(F.lit("GCF_"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".1"))
-    path = F.concat(F.lit("/r/"), acc, F.lit(".fna")).alias("path")
-    made = catalog.reference_manifest(d.select(path, F.col("text").cast("binary").alias("content")), d.select(path, F.col("n_chars").alias("bases")), d.select(acc.alias("accession"), F.col("lang").alias("clade")))
-    return made.select("reference_name", "accession", "sha256", "bases", "clade")
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("agg"), "doc_id")).otherwise(F.concat(F.lit("GCF_"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".1")))
+    path = F.concat(F.lit("/r/"), name, F.lit(".fna")).alias("path")
+    made = catalog.reference_manifest(d.select(path, F.col("text").cast("binary").alias("content")), d.select(path, F.lit(1).alias("records"), F.col("n_chars").alias("bases")), d.select(name.alias("reference_name"), F.col("lang").alias("clade")))
+    return made.select("reference_name", "accession", "sha256", "bases", "records", "source_kind", "clade")
 
 
-FASTQ = "select source as file, doc_id as rec, case doc_id % 5 when 0 then 'lengths differ' when 1 then 'no @' when 2 then 'no +' end as fault, length(replace(text, chr(10), ' '))::bigint as n from documents"
+FASTQ = "select source as file, doc_id as rec, case when doc_id % 7 = 3 or text = '' then 'truncated' when doc_id % 5 = 0 then 'lengths differ' when doc_id % 5 = 1 then 'no @' when doc_id % 5 = 2 then 'no +' end as fault, case when doc_id % 7 = 3 then 0 else length(replace(text, chr(10), ' ')) end::bigint as n from documents"
 
 
 def fastq(b: Bound) -> DataFrame:
     """Documents as FASTQ lines; the number of a record is its document's."""
     k = F.col("doc_id")
-    seq = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    seq = F.when(k % 7 == 3, "").otherwise(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
     four = F.array(F.concat(F.when(k % 5 == 1, ">").otherwise("@"), k), seq, F.when(k % 5 == 2, "x").otherwise("+"), F.when(k % 5 == 0, F.concat(seq, F.lit("I"))).otherwise(seq))
     rows = b.t("documents").select(F.col("source").alias("file"), k, F.posexplode(four).alias("pos", "value"))
     return sequences.fastq_records(rows.select("file", (k * 4 + F.col("pos")).alias("line_no"), "value"))
@@ -89,7 +109,8 @@ def q_head(b: Bound) -> DataFrame:
     return sequences.head_records(fastq(b), 50).select("file", "rec", "fault", F.length("seq").cast("long").alias("n"))
 
 
-@query("fasta_check", "select source as file, 'd' || doc_id || ' x' as header, length(regexp_replace(text, '[\\s]', '', 'g'))::bigint as n, null::varchar as fault from documents where doc_id % 10 <> 0 union all select source, null, length(regexp_replace(text, '[\\s]', '', 'g')), 'sequence before a header' from documents where doc_id % 10 = 0")
+@query("fasta_check", r"""select source as file, 'd' || doc_id || ' x' as header, length(regexp_replace(text, '^\s+|\s*\n\s*|\s+$', '', 'g'))::bigint as n, null::varchar as fault from documents where doc_id % 10 <> 0
+union all select source, null, length(regexp_replace(text, '^\s+|\s*\n\s*|\s+$', '', 'g')), 'sequence before a header' from documents where doc_id % 10 = 0""")
 def q_fasta(b: Bound) -> DataFrame:
     k = F.col("doc_id")
     value = F.concat(F.when(k % 10 == 0, "").otherwise(F.concat(F.lit(">d"), k, F.lit(" x\n"))), F.replace(F.col("text"), F.lit(">"), F.lit("")), F.lit("\n\n"))
@@ -97,12 +118,11 @@ def q_fasta(b: Bound) -> DataFrame:
     return sequences.fasta_records(rows).select("file", "header", F.length("seq").cast("long").alias("n"), "fault")
 
 
-@query("mark_fastq", "select source as file, count(*) as records, sum(length(replace(text, chr(10), ' ')))::bigint as bases, min('d' || doc_id || '__mate1') as first_id from documents group by 1")
+@query("mark_fastq", "select source as file, count(*) as records, sum(length(replace(text, chr(10), ' ')))::bigint as bases, min('@d' || doc_id || '__mate1') as first_header from documents group by 1")
 def q_mark(b: Bound) -> DataFrame:
-    from ..functions.text import mate_marked
-
-    d = b.t("documents").select(F.col("source").alias("file"), mate_marked(F.concat(F.lit("@d"), F.col("doc_id"), F.lit("/1 y")), F.lit(1)).alias("id"), F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(" "))).cast("long").alias("n"))
-    return d.groupBy("file").agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("bases"), F.min("id").alias("first_id"))
+    rows = b.t("documents").select(F.col("source").alias("file"), F.concat(F.lit("@d"), F.col("doc_id"), F.lit("/1 y")).alias("header"), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).alias("seq"))
+    marked = sequences.mark_records(rows, 1)
+    return sequences.record_totals(marked, ["file"]).join(marked.groupBy("file").agg(F.min("header").alias("first_header")), "file")
 
 
 NAMED = """prof as (select 'p' || (c_custkey % 3) as run, case when c_custkey % 4 = 0 then 'unknown ' || c_custkey else c_name end as name, c_acctbal as value from customer where c_acctbal > 0),
@@ -116,9 +136,11 @@ def resolved(b: Bound) -> DataFrame:
     return taxonomy.resolve_names(rows.withColumnRenamed("name", "n"), "n", taxonomy.name_map(names), taxonomy.synonyms(names, b.nodes(), ["synonym"])).withColumnRenamed("n", "name")
 
 
-@query("named_profile", f"with {NAMED} select run, taxid, round(sum(value), 4) as value, count(*) filter (taxid is null) as unmapped from res group by 1, 2")
+@query("named_profile", f"with {NAMED} select run, taxid, round(sum(value), 4) as value, null::bigint as unmapped from res where taxid is not null group by 1, 2 union all select run, null, round(coalesce(sum(value) filter (taxid is null), 0), 4), count(*) filter (taxid is null) from res group by 1")
 def q_named(b: Bound) -> DataFrame:
-    return rounded(resolved(b).groupBy("run", "taxid").agg(F.sum("value").alias("value"), F.sum(F.col("taxid").isNull().cast("long")).alias("unmapped")), 4)
+    profile, lost = profiles.named_to_taxids(resolved(b), ["run"])
+    none = F.lit(None).cast("long")
+    return rounded(profile.withColumn("unmapped", none).unionByName(lost.select("run", none.alias("taxid"), F.col("unmapped_mass").alias("value"), "unmapped")), 4)
 
 
 @query("truth_coverage", f"with {NAMED} select run, count(*) as species_total, count(taxid) as species_mapped, count(*) - count(taxid) as species_unmapped, round(sum(value), 4) as mass_total, round(sum(case when taxid is not null then value else 0 end), 4) as mass_mapped, round(sum(case when taxid is null then value else 0 end), 4) as mass_unmapped, round((count(*) - count(taxid)) / count(*), 4) as species_unmapped_rate, case when sum(value) > 0 then round(sum(case when taxid is not null then value else 0 end) / sum(value), 4) end as mass_mapped_rate from res group by 1")
@@ -126,10 +148,11 @@ def q_truth_coverage(b: Bound) -> DataFrame:
     return rounded(profiles.truth_coverage(resolved(b), ["run"]), 4)
 
 
-@query("named_to_rank", with_sql(NODES, NAMED, "seeds as (select taxid from res)", CLOSURE, LIFTS) + "select run, rank, lifted as taxid, round(sum(value), 4) as value from res join lifts on seed = taxid group by 1, 2, 3")
+@query("named_to_rank", with_sql(NODES, NAMED, "seeds as (select taxid from res)", CLOSURE, LIFTS) + """select run, r.rank, coalesce(lifted, res.taxid) as taxid, null::varchar as name, round(sum(case when lifted is not null then value end), 4) as mapped, round(sum(value), 4) as "full"
+from res cross join (values ('species'), ('genus')) r(rank) left join lifts l on l.seed = res.taxid and l.rank = r.rank where res.taxid is not null group by 1, 2, 3
+union all select run, rank, null, name, null, round(sum(value), 4) from res cross join (values ('species'), ('genus')) r(rank) where taxid is null group by 1, 2, 4""")
 def q_named_to_rank(b: Bound) -> DataFrame:
-    made = profiles.to_ranks(resolved(b).filter("taxid is not null").withColumn("rank", F.lit("")).select("run", "rank", "taxid", "value"), b.nodes(), ["run"], ["species", "genus"])
-    return rounded(made.filter("mapped is not null").select("run", "rank", "taxid", F.col("mapped").alias("value")), 4)
+    return rounded(profiles.named_to_ranks(resolved(b).withColumn("rank", F.lit("")), b.nodes(), ["run"], ["species", "genus"])[0], 4)
 
 
 def roles(b: Bound) -> DataFrame:
@@ -165,13 +188,13 @@ def q_floor(b: Bound) -> DataFrame:
     return rounded(cohort.floor_auc(roles(b), ["tool"], "signal", "positive", "expected", [0, 1000, 5000]))
 
 
-GRID = "gr as (select tool, floor, metric, positive, case metric when 'signal' then signal else n end as signal from fl, (values ('signal'), ('n')) m(metric))"
+GRID = "gr as (select tool, floor, metric, positive, scheme, case metric when 'signal' then signal else n end as signal from fl, (values ('signal'), ('n')) m(metric), (values ('all'), ('long')) s(scheme) where scheme = 'all' or n >= 300)"
 
 
-@query("sensitivity_grid", f"with {ROLES}, {FLOORS}, {GRID}, " + RANKS.format(g="tool, metric, floor", t="gr") + AUC.format(k="tool, metric, floor,", g="tool, metric, floor"))
+@query("sensitivity_grid", f"with {ROLES}, {FLOORS}, {GRID}, " + RANKS.format(g="scheme, tool, metric, floor", t="gr") + AUC.format(k="scheme, tool, metric, floor,", g="scheme, tool, metric, floor"))
 def q_grid(b: Bound) -> DataFrame:
-    long = roles(b).withColumn("n", F.col("n").cast("double")).unpivot(["tool", "positive", "expected"], ["signal", "n"], "metric", "v")
-    return rounded(cohort.floor_auc(long, ["tool", "metric"], "v", "positive", "expected", [0, 1000, 5000]))
+    schemes = {"all": F.lit(True), "long": F.col("n") >= 300}
+    return rounded(cohort.sensitivity_grid(roles(b), ["tool"], schemes, ["signal", "n"], "positive", "expected", [0, 1000, 5000]))
 
 
 @query("signal_summary", f"with {ROLES}, " + RANKS.format(g="tool", t="roles").replace("as rk from roles", "as rk, rank() over (partition by tool order by expected) + (count(*) over (partition by tool, expected) - 1) / 2 as re from roles") + """
@@ -206,27 +229,37 @@ def q_paired(b: Bound) -> DataFrame:
     return rounded(cohort.paired_p(draws(b).withColumn("scope", F.lit("all")), "tool", "a", "b", ["scope"]))
 
 
-def asin_sqrt(c: str) -> F.Column:
-    return F.asin(F.sqrt(F.col(c) / (F.col(c) + 1000)))
+#: Least squares with one covariate in closed form: sums of squares and products about the means.
+FITTED = """rows_ as (select tool, asin(sqrt(signal / (n + 1000))) as y, positive::integer as x, n % 17 as c from roles),
+m as (select tool, count(*) as n, sum(x) as n1, var_pop(x) * count(*) as xx, var_pop(c) * count(*) as cc, var_pop(y) * count(*) as yy, covar_pop(x, c) * count(*) as xc, covar_pop(x, y) * count(*) as xy, covar_pop(c, y) * count(*) as cy from rows_ group by tool),
+f as (select *, (xy * cc - xc * cy) / (xx * cc - xc * xc) as beta, (cy * xx - xc * xy) / (xx * cc - xc * xc) as gamma from m),
+g as (select *, sqrt((yy - beta * xy - gamma * cy) / (n - 3) * cc / (xx * cc - xc * xc)) as se from f)"""
 
 
-@query("ols_assoc", f"with {ROLES} select tool, 'x' as term, count(*) as n, round(regr_slope(asin(sqrt(signal / (signal + 1000))), positive::integer), 6) as beta from roles group by tool union all select tool, 'const', count(*), round(regr_intercept(asin(sqrt(signal / (signal + 1000))), positive::integer), 6) from roles group by tool")
+@query("ols_assoc", f"""with {ROLES}, {FITTED}, h as (select *, beta / se as t, beta / se * n / sqrt(n1 * (n - n1)) / sqrt(n - 2) as d from g)
+select tool, n1::bigint as n_case, (n - n1)::bigint as n_control, round(beta, 6) as beta, round(se, 6) as se, round(t, 4) as t, round(d, 4) as effect, round(sqrt((n - 1) / (n - 3) * 4.0 / n * (1 + d * d / 8)), 4) as effect_se from h""")
 def q_ols(b: Bound) -> DataFrame:
-    rows = roles(b).select("tool", asin_sqrt("signal").alias("y"), F.col("positive").cast("double").alias("x"))
-    return rounded(cohort.ols(rows, ["tool"], "y", ["x"]).select("tool", "term", "n", "beta"))
+    rows = roles(b).withColumn("x", F.col("positive").cast("int")).withColumn("c", F.col("n") % 17).withColumn("all", F.col("n") + 1000)
+    made = cohort.association(rows, ["tool"], "signal", "x", ["c"], "all")
+    return made.select("tool", "n_case", "n_control", F.round("beta", 6).alias("beta"), F.round("se", 6).alias("se"), *[F.round(c, 4).alias(c) for c in ("t", "effect", "effect_se")])
 
 
-@query("partial_beta", f"with {ROLES} select tool, 'signal' as term, round((corr(expected, signal) - corr(expected, sample) * corr(signal, sample)) / (1 - corr(signal, sample) ** 2), 4) as beta from roles where tool = 'b' group by tool")
+@query("partial_beta", f"with {ROLES} select tool, 'signal' as term, count(*) as n, round((corr(expected, signal) - corr(expected, sample) * corr(signal, sample)) / (1 - corr(signal, sample) ** 2), 4) as beta from roles group by tool")
 def q_partial(b: Bound) -> DataFrame:
-    z = cohort.z_scores(roles(b).filter("tool = 'b'").withColumn("sample", F.col("sample").cast("double")), ["tool"], ["expected", "signal", "sample"])
-    return rounded(cohort.ols(z, ["tool"], "expected", ["signal", "sample"]).filter("term = 'signal'").select("tool", "term", "beta"), 4)
+    return rounded(cohort.partial_effects(roles(b), ["tool"], "expected", ["signal"], ["sample"]).select("tool", "term", "n", "beta"), 4)
 
 
-@query("meta", """with e as (select n_regionkey as k, n_nationkey / 10 - 1 as y, (0.1 + (n_nationkey % 3) * 0.1) as s from nation), f as (select k, sum(y / (s * s)) / sum(1 / (s * s)) as mu from e group by k)
-select k as region, count(*) as cohorts, round(sum((y - mu) ** 2 / (s * s)), 4) as q, round(greatest(0, (sum((y - mu) ** 2 / (s * s)) - (count(*) - 1)) / sum((y - mu) ** 2 / (s * s))), 4) as i2 from e join f using (k) group by k""")
+@query("meta", """with recursive e as (select n_regionkey as k, n_nationkey / 10 - 1 as y, (0.1 + (n_nationkey % 3) * 0.1) as s from nation),
+s as (select k, 0.0::double as lo, (4 * max(abs(y)) ** 2 * count(*) + 1)::double as hi, 0 as i from e group by k
+  union all select k, case when q > n - 1 then (lo + hi) / 2 else lo end, case when q > n - 1 then hi else (lo + hi) / 2 end, i + 1 from (
+    select s.k, lo, hi, i, sum(y * y / (e.s * e.s + (lo + hi) / 2)) - sum(y / (e.s * e.s + (lo + hi) / 2)) ** 2 / sum(1 / (e.s * e.s + (lo + hi) / 2)) as q, count(*) as n from s join e on s.k = e.k where i < 100 group by s.k, lo, hi, i)),
+q as (select k, count(*) as n, sum(y * y / (s * s)) - sum(y / (s * s)) ** 2 / sum(1 / (s * s)) as q from e group by k),
+t as (select s.k, q.n, q.q, case when q.n > 1 and q.q > q.n - 1 then lo else 0 end as tau2 from s join q on s.k = q.k where i = 100),
+m as (select t.k, max(t.n) as n, max(t.q) as q, max(tau2) as tau2, sum(y / (e.s * e.s + tau2)) / sum(1 / (e.s * e.s + tau2)) as effect, 1 / sqrt(sum(1 / (e.s * e.s + tau2))) as se from t join e on t.k = e.k group by t.k)
+select k as region, n as cohorts, round(tau2, 4) as tau2, round(effect, 4) as effect, round(se, 4) as se, round(effect - 1.959963984540054 * se, 4) as low, round(effect + 1.959963984540054 * se, 4) as high, round(q, 4) as q, round(case when q > 0 then greatest(0, (q - (n - 1)) / q) else 0 end, 4) as i2 from m""")
 def q_meta(b: Bound) -> DataFrame:
     e = b.t("nation").select(F.col("n_regionkey").alias("region"), (F.col("n_nationkey") / 10 - 1).alias("effect"), (0.1 + (F.col("n_nationkey") % 3) * 0.1).alias("se"))
-    return rounded(cohort.meta(e, ["region"]).select("region", "cohorts", "q", "i2"), 4)
+    return rounded(cohort.meta(e, ["region"]).drop("p"), 4)
 
 
 @query("subset_select", f"""with {ROLES}, p as (select *, row_number() over (partition by cohort order by n, sample) - 1 as i, count(*) over (partition by cohort) as c from base where positive),
@@ -245,25 +278,47 @@ def q_token(b: Bound) -> DataFrame:
     return cohort.token_match(s, n.select(F.col("n_regionkey").alias("cohort"), F.col("n_name").alias("id")))
 
 
-@query("cohort_manifest", "select c_custkey as sample, c_mktsegment as cohort, coalesce(case when c_custkey % 2 = 0 then c_acctbal end, c_nationkey + 1.0)::double as total_percent, round(c_acctbal * 3, 4) as expected from customer")
+MANIFEST = """sel as (select 'run_' || c_custkey || '_x' as sample, c_custkey::varchar as paper_sample_id, 'acc' || c_custkey as run_accession, c_mktsegment as cohort, case when c_custkey % 2 = 0 then 'case' else 'control' end as condition,
+  case when c_nationkey > 10 then 'positive' when c_nationkey = 0 then 'zero' else 'other' end as role, (c_custkey % 90)::double as age, case when c_custkey % 3 = 0 then 'f' else 'm' end as sex, c_custkey % 30 + 0.5::double as bmi, c_custkey * 7 as source_reads, c_custkey * 5 as input_reads_used,
+  'all' as input_selection, c_nationkey / 2 as paper_fna_c1_percent, c_nationkey / 4 as paper_fna_c2_percent, case when c_custkey % 2 = 0 then abs(c_acctbal) else c_nationkey / 2 + c_nationkey / 4 end as paper_fna_total_percent, abs(c_acctbal) * 3 as expected_c2_reads_at_depth, 'pass' as input_qc from customer)"""
+
+
+def manifest(b: Bound) -> DataFrame:
+    c, k, n = b.t("customer"), F.col("c_custkey"), F.col("c_nationkey")
+    sample, c1, c2 = F.concat(F.lit("run_"), k, F.lit("_x")).alias("sample"), (n / 2).alias("c1"), (n / 4).alias("c2")
+    case = lambda yes, no: F.when(k % 2 == 0, yes).otherwise(no).alias("condition")
+    cohort_ = F.col("c_mktsegment").alias("cohort")
+    role = F.when(n > 10, "positive").when(n == 0, "zero").otherwise("other").alias("role")
+    samples = c.select(sample, cohort_, case("Case", "Control"), role, F.concat(F.lit("acc"), k).alias("run_accession"), c1, c2, F.when(k % 2 == 0, F.abs("c_acctbal")).alias("total"))
+    metadata = c.select(cohort_, k.alias("paper_sample"), case("case", "control"), (k % 90).alias("age"), F.when(k % 3 == 0, "F").otherwise("M").alias("sex"), (k % 30 + 0.5).alias("bmi"), (k * 7).alias("source_reads"), c1, c2)
+    return cohort.sample_manifest(samples, metadata, c.select(sample, (k * 5).alias("input_reads"), (F.abs("c_acctbal") * 3).alias("expected")), "all")
+
+
+@query("cohort_manifest", f"with {MANIFEST} select sample, paper_sample_id, run_accession, cohort, condition, role, age, sex, bmi, source_reads, input_reads_used, input_selection, paper_fna_c1_percent, paper_fna_c2_percent, round(paper_fna_total_percent, 4) as paper_fna_total_percent, round(expected_c2_reads_at_depth, 4) as expected_c2_reads_at_depth, input_qc from sel")
 def q_cohort(b: Bound) -> DataFrame:
-    c = b.t("customer").withColumn("total", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")))
-    depth = c.select(F.col("c_custkey").alias("sample"), (F.col("c_acctbal") * 3).alias("expected"))
-    return rounded(c.select(F.col("c_custkey").alias("sample"), F.col("c_mktsegment").alias("cohort"), F.coalesce("total", F.col("c_nationkey").cast("double") + F.lit(1.0)).alias("total_percent")).join(depth, "sample"), 4)
+    return rounded(manifest(b), 4)
 
 
-@query("signals", f"with {ROLES} select sample, case tool when 'a' then 'Alpha' else tool end as tool, signal, cohort from roles")
+@query("signals", f"with {MANIFEST} select sample, case t when 'a' then 'Alpha' else 'Beta' end as tool, (input_reads_used % case t when 'a' then 97 else 89 end)::double as signal, cohort, condition, role, input_reads_used, paper_fna_c2_percent from sel, (values ('a'), ('b')) v(t)")
 def q_signals(b: Bound) -> DataFrame:
-    shown = F.coalesce(F.create_map(F.lit("a"), F.lit("Alpha"))[F.col("tool")], F.col("tool"))
-    return roles(b).select("sample", shown.alias("tool"), "signal", "cohort").orderBy("sample", "tool")
+    m = manifest(b).select("sample", "cohort", "condition", "role", "input_reads_used", "paper_fna_c2_percent")
+    k = F.col("c_custkey") * 5
+    row = lambda t, v: F.struct(F.lit(t).alias("tool"), v.cast("double").alias("signal"))
+    rows = b.t("customer").select(F.concat(F.lit("run_"), F.col("c_custkey"), F.lit("_x")).alias("sample"), F.explode(F.array(row("a", k % 97), row("b", k % 89))).alias("t")).select("sample", "t.*")
+    return cohort.signals(rows, m, {"a": "Alpha", "b": "Beta"})
+
+
+AUDITED = "a as (select o_orderkey, case when o_orderkey % 2 = 0 then 5.0 else o_custkey * o_totalprice / 100 end as expected, o_totalprice as reads, o_custkey % 7 as strict, o_custkey % 3 as tied, o_custkey % 5 as non_target, o_custkey % 2 as unmapped from orders), c as (select *, strict + tied as supported, strict + tied + non_target + unmapped as candidate from a)"
 
 
-@query("audit", "select o_orderkey, round(coalesce(case when o_orderkey % 2 = 0 then 5.0 end, o_custkey * o_totalprice / 100), 4) as expected, round(case when o_custkey > 0 then (o_custkey % 7) / o_custkey end, 6) as strict_rate, round(case when o_custkey > 0 then (o_custkey % 7 + o_custkey % 3) / o_custkey end, 6) as supported_rate, round(1e6 * (o_custkey % 7) / o_totalprice, 4) as strict_rpm from orders")
+@query("audit", f"with {AUDITED} select o_orderkey, round(expected, 4) as expected, candidate, supported, " + ", ".join(f"round({c} / nullif(candidate, 0), 6) as {c}_rate" for c in ("strict", "tied", "supported", "non_target", "unmapped")) + ", " + ", ".join(f"round(1e6 * {c} / reads, 4) as {c}_rpm" for c in ("candidate", "strict", "supported")) + " from c")
 def q_audit(b: Bound) -> DataFrame:
     k = F.col("o_custkey")
-    rows = b.t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.lit(5.0)).alias("expected"), k.cast("double").alias("percent"), F.col("o_totalprice").alias("input_reads"), (k % 7).alias("strict"), (k % 3).alias("tied"), k.alias("candidate"))
-    made = cohort.audit(rows)
-    return made.select("o_orderkey", F.round("expected", 4).alias("expected"), F.round("strict_rate", 6).alias("strict_rate"), F.round("supported_rate", 6).alias("supported_rate"), F.round("strict_rpm", 4).alias("strict_rpm"))
+    parts = {"strict": k % 7, "tied": k % 3, "non_target": k % 5, "unmapped": k % 2}
+    rows = b.t("orders").select("o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, F.lit(5.0)).alias("expected"), k.cast("double").alias("percent"), F.col("o_totalprice").alias("input_reads"), *[c.alias(name) for name, c in parts.items()], F.lit(0).alias("missing"))
+    made = cohort.audit(rows.withColumn("supported", F.col("strict") + F.col("tied")).withColumn("candidate", F.col("supported") + F.col("non_target") + F.col("unmapped")))
+    rates = [F.round(f"{c}_rate", 6).alias(f"{c}_rate") for c in ("strict", "tied", "supported", "non_target", "unmapped")]
+    return made.select("o_orderkey", F.round("expected", 4).alias("expected"), "candidate", "supported", *rates, *[F.round(f"{c}_rpm", 4).alias(f"{c}_rpm") for c in ("candidate", "strict", "supported")])
 
 
 @query("aln_fate", """with s as (select l_orderkey as k, l_suppkey % 4 as clade, max(l_quantity::integer * 1000 + l_linenumber) as s from lineitem where l_returnflag <> 'R' group by 1, 2),

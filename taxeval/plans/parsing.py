@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import perread, taxonomy
 from ..operators import reads as read_ops
-from ..sources import formats
+from ..sources import formats, sequences
 from .bindings import CLOSURE, NODES, Bound, with_sql
 from .registry import query, rounded
 
@@ -94,16 +94,19 @@ def q_species(b: Bound) -> DataFrame:
     return stats.join(truth.groupBy("file").agg(F.count(F.lit(1)).alias("truth_reads"), F.sum("taxid").alias("taxid_sum")), "file")
 
 
-@query("cami_map", """with v as (select o_orderstatus as file, 'c' || (o_orderkey % 500) as read_id, o_orderkey as o, o_custkey % 80 as taxid,
-  case o_orderkey % 3 when 0 then 1 else greatest(1, o_custkey - 5) end as w from orders),
-t as (select file, read_id, arg_max(taxid, o) as taxid from v group by 1, 2), n as (select file, taxid, count(*) as reads from t group by 1, 2)
-select file, taxid::bigint as taxid, sum(w)::bigint as weight, coalesce(max(reads), 0) as reads from v left join n using (file, taxid) group by 1, 2""")
+@query("cami_map", """with v as (select o_orderstatus as file, case when o_orderkey % 500 = 7 then '@odd 7' else 'c' || (o_orderkey % 500) end as read_id, o_orderkey as o, o_custkey % 80 as taxid,
+  case o_orderkey % 3 when 0 then 1 else greatest(1, o_custkey - 5) end as w from orders where o_orderkey % 13 <> 0),
+t as (select file, read_id, arg_max(taxid, o) as taxid from v group by 1, 2), n as (select file, taxid, count(*) as reads, min(read_id) as first_id from t group by 1, 2)
+select file, taxid::bigint as taxid, sum(w)::bigint as weight, coalesce(max(reads), 0) as reads, max(first_id) as first_id from v left join n using (file, taxid) group by 1, 2""")
 def q_cami_map(b: Bound) -> DataFrame:
-    w = F.when(F.col("o_orderkey") % 3 == 0, "bad").otherwise((F.col("o_custkey") - 5).cast("string"))
-    v = tabbed(F.concat(F.lit("c"), F.col("o_orderkey") % 500), F.lit("genome"), F.col("o_custkey") % 80, F.lit("seq"), w)
+    """Ids with a blank or a leading @ are kept whole; lines of three cells don't count."""
+    k = F.col("o_orderkey")
+    w = F.when(k % 3 == 0, "bad").otherwise((F.col("o_custkey") - 5).cast("string"))
+    name = F.when(k % 500 == 7, "@odd 7").otherwise(F.concat(F.lit("c"), k % 500))
+    v = F.when(k % 13 == 0, tabbed(name, F.lit("genome"), F.col("o_custkey") % 80)).otherwise(tabbed(name, F.lit("genome"), F.col("o_custkey") % 80, F.lit("seq"), w))
     own = lines(b.t("orders"), v, "o_orderkey", F.col("o_orderstatus"))
-    truth, abundance = formats.parse_cami_map(own.union(own.limit(3).withColumn("value", F.lit("@@SEQUENCEID\tBINID\tTAXID"))))
-    return abundance.join(truth.groupBy("file", "taxid").agg(F.count(F.lit(1)).alias("reads")), ["file", "taxid"], "left").fillna(0, ["reads"])
+    truth, abundance = formats.parse_cami_map(own.union(own.limit(3).withColumn("value", F.lit("#SEQUENCEID\tBINID\t5\tx"))))
+    return abundance.join(truth.groupBy("file", "taxid").agg(F.count(F.lit(1)).alias("reads"), F.min("read_id").alias("first_id")), ["file", "taxid"], "left").fillna(0, ["reads"])
 
 
 @query("genome_ids", "select p_partkey, [x for x in [ '/data/x/GCF_' || lpad(p_partkey::varchar, 9, '0') || '.1_asm.fna.gz', 'GCF_' || lpad(p_partkey::varchar, 9, '0') || '.1_asm.fna.gz', 'GCF_' || lpad(p_partkey::varchar, 9, '0') || '.1_asm', 'GCF_' || lpad(p_partkey::varchar, 9, '0') || '.1']] as ids from part".replace("[x for x in [ ", "[").replace("]]", "]"))
@@ -112,10 +115,13 @@ def q_genome_ids(b: Bound) -> DataFrame:
     return b.t("part").select("p_partkey", tx.genome_id_candidates(path).alias("ids"))
 
 
-@query("accession", "select p_partkey, case when p_partkey % 3 = 0 then null else 'GCA_' || lpad(p_partkey::varchar, 9, '0') || '.' || (p_partkey % 9) end as accession from part")
+@query("accession", "select p_partkey, case when p_partkey % 3 = 0 then null else 'GCA_' || lpad(p_partkey::varchar, 9, '0') || '.' || (p_partkey % 9) end as found, case when p_partkey % 3 = 0 then null when p_partkey % 3 = 1 then 'GCA_' || lpad(p_partkey::varchar, 9, '0') || '.' || (p_partkey % 9) else 'GCF_x' end as by_parts, 'GCF_' || p_partkey || '.1' as of_path from part")
 def q_accession(b: Bound) -> DataFrame:
-    path = F.concat(F.when(F.col("p_partkey") % 3 == 0, "GCX_").otherwise("dir/GCA_"), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit("."), (F.col("p_partkey") % 9).cast("string"), F.lit("_x.fna"))
-    return b.t("part").select("p_partkey", tx.accession(path).alias("accession"))
+    k = F.col("p_partkey")
+    own = F.concat(F.lit("GCA_"), F.lpad(k.cast("string"), 9, "0"), F.lit("."), (k % 9).cast("string"), F.lit("_y.fna"))
+    path = F.when(k % 3 == 0, F.concat(F.lit("dir/GCX_"), k)).when(k % 3 == 1, F.concat(F.lit("dir/"), own)).otherwise(F.concat(F.lit("dir/GCF_x_"), own))
+    named = F.concat(F.lit("/lists/GCF_"), k, F.lit(".1_z.fna.gz"))
+    return b.t("part").select("p_partkey", tx.accession(path).alias("found"), tx.accession_by_parts(path).alias("by_parts"), tx.accession_of_path(named).alias("of_path"))
 
 
 GENOMES = """v as (select 'p' || (c_custkey % 3) as file, c_custkey as k, abs(c_acctbal) as value from customer), s as (select *, sum(value) over (partition by file) as total from v),
@@ -220,13 +226,13 @@ def assembly(b: Bound) -> DataFrame:
     k = F.col("p_partkey")
     acc = lambda x: F.concat(F.lit("GCF_"), F.lpad(x.cast("string"), 9, "0"), F.lit(".1"))
     row = lambda x, size: F.array_join(F.concat(F.array(acc(x)), F.array_repeat(F.lit("x"), 5), F.array(F.col("p_size").cast("string")), F.array_repeat(F.lit("x"), 18), F.array(F.concat(size.cast("string"), F.lit(",000"))), F.array_repeat(F.lit("x"), 4), F.array(F.lit("3"))), "\t")
-    one = lines(b.t("part"), row(k, k), "p_partkey", F.lit("a"))
+    one = lines(b.t("part"), row(k - k % 4, k), "p_partkey", F.lit("a"))  # four lines for an accession: the last counts
     two = lines(b.t("part"), row(k + 10, k * 0 + 1), "p_partkey", F.lit("b"))
     return formats.parse_assembly(one.union(two).union(one.limit(2).withColumn("value", F.lit("short\trow"))), {"a": 0, "b": 1})
 
 
-ASSEMBLY = """a as (select p_partkey as k, p_size::bigint as s, p_partkey * 1000 as g, 0 as f from part union all select p_partkey + 10, p_size, 1000, 1 from part),
-asm as (select 'GCF_' || lpad(k::varchar, 9, '0') || '.1' as accession, arg_min(s, f) as species_taxid, arg_min(g, f)::bigint as genome_size, 3::bigint as contig_count from a group by k)"""
+ASSEMBLY = """a as (select p_partkey - p_partkey % 4 as k, p_size::bigint as s, p_partkey * 1000 as g, 0 as f, p_partkey as o from part union all select p_partkey + 10, p_size, 1000, 1, p_partkey from part),
+asm as (select 'GCF_' || lpad(k::varchar, 9, '0') || '.1' as accession, arg_max(s, o - f * 100000000) as species_taxid, arg_max(g, o - f * 100000000)::bigint as genome_size, 3::bigint as contig_count from a group by k)"""
 
 
 @query("assembly", f"with {ASSEMBLY} select * from asm")
@@ -240,11 +246,14 @@ def q_input_list(b: Bound) -> DataFrame:
     return formats.build_input_list(t, assembly(b))
 
 
-@query("time_log", """select 'e' || event_id as file, (case when event_id % 2 = 0 then user_id * 3600 + 65 else event_id % 60 * 60 end)::double + 1.5 as elapsed_seconds, user_id as max_rss_kb, round(value, 4) as user_seconds, null::double as system_seconds from events""")
+@query("time_log", """select 'e' || event_id as file, (case when event_id % 2 = 0 then user_id * 3600 + 65 else event_id % 60 * 60 end)::double + 1.5 as elapsed_seconds, user_id as max_rss_kb, round(value, 4) as user_seconds, null::double as system_seconds, (event_id % 400)::double as cpu_percent, event_id % 3 as exit_status from events""")
 def q_time_log(b: Bound) -> DataFrame:
+    """A command line with `: ` in it is no key, and of a repeated key the last good value counts."""
     e = F.col("event_id")
     clock = F.when(e % 2 == 0, F.concat(F.col("user_id"), F.lit(":01:06.5"))).otherwise(F.concat((e % 60).cast("string"), F.lit(":01.5")))
-    rows = b.t("events").select(F.concat(F.lit("e"), e).alias("file"), F.posexplode(F.array(F.concat(F.lit("\tElapsed (wall clock) time (h:mm:ss or m:ss): "), clock), F.concat(F.lit("\tMaximum resident set size (kbytes): "), F.col("user_id")), F.concat(F.lit("\tUser time (seconds): "), F.col("value")), F.lit("\tSystem time (seconds): none"))).alias("line_no", "value"))
+    said = [F.lit('\tCommand being timed: "x User time (seconds): 9"'), F.lit("\tUser time (seconds): 1.5"), F.concat(F.lit("\tElapsed (wall clock) time (h:mm:ss or m:ss): "), clock), F.concat(F.lit("\tMaximum resident set size (kbytes): "), F.col("user_id")), F.concat(F.lit("\tUser time (seconds): "), F.col("value")),
+        F.lit("\tUser time (seconds): bad"), F.lit("\tSystem time (seconds): none"), F.concat(F.lit("\tPercent of CPU this job got: "), e % 400, F.lit("%")), F.concat(F.lit("\tExit status: "), e % 3)]
+    rows = b.t("events").select(F.concat(F.lit("e"), e).alias("file"), F.posexplode(F.array(*said)).alias("line_no", "value"))
     return rounded(formats.parse_time_log(rows), 4)
 
 
@@ -264,11 +273,14 @@ def q_suffix(b: Bound) -> DataFrame:
     return b.t("conversations").select("conv_id", "turn", tx.pair_suffixed(F.concat(F.lit("@c"), F.col("conv_id"), F.lit(" rest of "), F.col("role")), 1).alias("header"))
 
 
-@query("tag_reference", "select p_partkey, case when p_partkey % 4 = 0 then '>s' || p_partkey || '|kraken:taxid|9 d' else '>s' || p_partkey || '|kraken:taxid|' || p_size || ' d' end as header from part")
+@query("tag_reference", """with r as (select p_partkey, 's' || p_partkey || case when p_partkey % 4 = 0 then '|kraken:taxid|9' else '|kraken:taxid|' || p_size end as seq_id, p_size::bigint as taxid from part where p_partkey % 5 <> 0)
+select seq_id || case when p_partkey % 3 = 0 then '' else ' d e' end as header, seq_id, taxid from r""")
 def q_tag(b: Bound) -> DataFrame:
-    h = F.concat(F.lit(">s"), F.col("p_partkey"), F.when(F.col("p_partkey") % 4 == 0, "|kraken:taxid|9").otherwise(""), F.lit(" d"))
-    tagged = F.when(F.contains(h, F.lit("|kraken:taxid|")), h).otherwise(F.concat(F.regexp_extract(h, r"^(>\S+)", 1), F.lit("|kraken:taxid|"), F.col("p_size").cast("string"), F.regexp_extract(h, r"^>\S+(.*)$", 1)))
-    return b.t("part").select("p_partkey", tagged.alias("header"))
+    k = F.col("p_partkey")
+    header = F.concat(F.lit("s"), k, F.when(k % 4 == 0, "|kraken:taxid|9").otherwise(""), F.when(k % 3 == 0, "").otherwise("  d e"))
+    records = b.t("part").select(F.concat(F.lit("f"), k).alias("file"), header.alias("header"), F.lit("ACGT").alias("seq"))
+    targets = b.t("part").filter("p_partkey % 5 <> 0").select(F.concat(F.lit("f"), k).alias("path"), F.col("p_size").cast("long").alias("taxid"))
+    return sequences.tag_records(records, targets).select("header", "seq_id", "taxid")
 
 
 @query("single_read_truth", "select 'c' || conv_id || '.' || (turn // 2) || '__mate' || (turn % 2 + 1) as read_id, role as label from conversations where role <> 'system'")

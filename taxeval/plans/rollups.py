@@ -11,30 +11,32 @@ from .registry import query, rounded
 
 
 def records(b: Bound) -> DataFrame:
-    """Events as runs: tool = type, sample = user, two metrics and an exact one now and then."""
+    """Events as runs: tool = type, sample = user, metrics that come now and then; some lack a tool, a sample, a
+    database or its name."""
     e = b.t("events")
     k = F.col("user_id")
     entry = lambda name, v: F.struct(F.lit(name).alias("key"), v.cast("double").alias("value"))
     metrics = F.map_from_entries(F.filter(F.array(
         entry("run_elapsed_seconds", F.when(F.col("event_id") % 4 != 0, F.col("value"))), entry("resource_max_rss_gb", F.when(F.col("event_id") % 3 == 0, F.col("value") / 2)),
-        entry("per_read_f1_species", F.col("event_id") % 100 / 100), entry("exact_per_read_f1_species", F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 50 / 100)),
+        entry("per_read_f1_species", F.when(F.col("event_id") % 5 != 1, F.col("event_id") % 100 / 100)), entry("purity_genus", F.when(F.col("event_id") % 9 == 0, F.lit(0.5))), entry("profile_metric_version", F.when(F.col("event_id") % 18 == 0, F.lit(2.0))), entry("exact_per_read_f1_species", F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 50 / 100)),
     ), lambda x: x["value"].isNotNull()))
     return e.select(
-        F.when(k % 3 != 0, F.concat(F.lit("coll"), k % 3)).alias("collection"), F.lit(None).cast("string").alias("display"), F.concat(F.lit("ds"), k % 5).alias("dataset"),
-        k.cast("string").alias("sample"), F.col("event_type").alias("tool"), F.when(F.col("event_id") % 10 != 9, F.concat(F.lit("/db/x"), k % 2)).alias("db"), F.lit("").alias("db_name"),
+        F.when(k % 3 != 0, F.concat(F.lit("coll"), k % 3)).alias("collection"), F.when(k % 7 == 0, "Shown").alias("display"), F.concat(F.lit("ds"), k % 5).alias("dataset"),
+        F.when(F.col("event_id") % 20 != 3, k.cast("string")).alias("sample"), F.when(F.col("event_id") % 50 == 0, "").otherwise(F.col("event_type")).alias("tool"), F.when(F.col("event_id") % 10 != 9, F.concat(F.lit("/db"), F.col("event_id") % 3, F.lit("/x"), k % 2)).alias("db"),
+        F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("x"), k % 2)).when(F.col("event_id") % 8 == 0, "").alias("db_name"),
         (F.col("event_id") % 2).alias("source"), F.col("event_id").alias("ord"), F.col("value").alias("elapsed"), (F.col("event_id") % 5 * 1048576).alias("max_rss_kb"), metrics.alias("metrics"),
         F.when(F.col("event_id") % 6 == 0, F.lit(1)).when(F.col("event_id") % 6 < 4, F.lit(0)).cast("int").alias("return_code"), F.concat(F.lit("exp"), k % 2).alias("exp"),
     )
 
 
-RUNS = """runs as (select case when user_id % 3 <> 0 then 'coll' || (user_id % 3) end as collection, 'ds' || (user_id % 5) as dataset, user_id::varchar as sample, event_type as tool,
-  case when event_id % 10 <> 9 then '/db/x' || (user_id % 2) end as db, event_id % 2 as source, event_id as ord, value as elapsed, event_id % 5 * 1048576 as max_rss_kb,
-  case when event_id % 4 <> 0 then value end as m_elapsed, case when event_id % 3 = 0 then value / 2 end as m_rss, event_id % 100 / 100 as m_f1, case when event_id % 2 = 0 then event_id % 50 / 100 end as m_exact,
+RUNS = """runs as (select case when user_id % 3 <> 0 then 'coll' || (user_id % 3) end as collection, 'ds' || (user_id % 5) as dataset, case when event_id % 20 <> 3 then user_id::varchar end as sample, case when event_id % 50 = 0 then '' else event_type end as tool, case when user_id % 7 = 0 then 'Shown' end as display,
+  case when event_id % 10 <> 9 then '/db' || (event_id % 3) || '/x' || (user_id % 2) end as db, case when event_id % 4 <> 0 then 'x' || (user_id % 2) when event_id % 8 = 0 then '' end as db_name, event_id % 2 as source, event_id as ord, value as elapsed, event_id % 5 * 1048576 as max_rss_kb,
+  case when event_id % 4 <> 0 then value end as m_elapsed, case when event_id % 3 = 0 then value / 2 end as m_rss, case when event_id % 5 <> 1 then event_id % 100 / 100 end as m_f1, case when event_id % 9 = 0 then 0.5::double end as m_purity, case when event_id % 18 = 0 then 2.0::double end as m_version, case when event_id % 2 = 0 then event_id % 50 / 100 end as m_exact,
   case when event_id % 6 = 0 then 1 when event_id % 6 < 4 then 0 end as rc, 'exp' || (user_id % 2) as exp from events)"""
 
 
-@query("prefer_later", with_sql(RUNS) + """select ord from runs where db is null union all
-select arg_max(ord, source * 1000000000 + ord) as ord from runs where db is not null group by coalesce(collection, dataset), case when collection is not null then sample end, tool, db""")
+@query("prefer_later", with_sql(RUNS) + """select ord from runs where tool = '' union all
+select arg_max(ord, source * 1000000000 + ord) as ord from runs where tool <> '' group by coalesce(collection, display, dataset), case when collection is not null then coalesce(sample, dataset) end, tool, coalesce(db_name, '')""")
 def q_prefer(b: Bound) -> DataFrame:
     return runs.prefer_later(records(b)).select("ord")
 
@@ -45,28 +47,33 @@ def q_alias(b: Bound) -> DataFrame:
     return rounded(records(b).select("ord", m["per_read_f1_species"].alias("f1")))
 
 
-@query("run_fields", with_sql(RUNS) + "select ord, round(coalesce(m_elapsed, elapsed), 6) as elapsed, round(coalesce(m_rss, case when max_rss_kb > 0 then (max_rss_kb / 1048576)::double end), 6) as rss_gb, regexp_extract(db, '[^/]*$') as db_name, case tool when 'click' then 'Click!' else tool end as tool_name from runs")
+@query("run_fields", with_sql(RUNS) + "select ord, round(coalesce(m_elapsed, elapsed), 6) as elapsed, round(coalesce(m_rss, case when max_rss_kb > 0 then (max_rss_kb / 1048576)::double end), 6) as rss_gb, coalesce(nullif(db_name, ''), regexp_extract(db, '[^/]*$')) as db_name, case tool when 'click' then 'Click!' else tool end as tool_name from runs")
 def q_fields(b: Bound) -> DataFrame:
     made = runs.run_fields(records(b), {"click": "Click!"})
     return rounded(made.select("ord", F.col("metrics")["run_elapsed_seconds"].alias("elapsed"), F.col("metrics")["resource_max_rss_gb"].alias("rss_gb"), "db_name", "tool_name"))
 
 
-COLLECTION = """select collection, tool, coalesce(db, '') as db, metric, round(case metric when 'run_elapsed_seconds' then sum(v) when 'resource_max_rss_gb' then max(v) else avg(v) end, 4) as value, max(n) as sample_count from (
-  select collection, tool, db, unnest(['run_elapsed_seconds', 'resource_max_rss_gb', 'per_read_f1_species', 'exact_per_read_f1_species']) as metric, unnest([m_elapsed, m_rss, m_f1, m_exact]) as v, count(distinct sample) over (partition by collection, tool, coalesce(db, '')) as n from runs where collection is not null)
-where v is not null group by 1, 2, 3, 4"""
+METRICS = ["run_elapsed_seconds", "resource_max_rss_gb", "per_read_f1_species", "exact_per_read_f1_species", "purity_genus", "profile_metric_version"]
+COLLECTION = f"""long as (select *, unnest([{', '.join(f"'{m}'" for m in METRICS)}]) as metric, unnest([m_elapsed, m_rss, m_f1, m_exact, m_purity, m_version]) as v from runs),
+g as (select collection, tool, coalesce(db_name, '') as db_name, coalesce(arg_min(display, source * 1000000000 + ord) filter (display is not null), collection) as display_dataset, list_sort(list(distinct coalesce(sample, dataset))) as ids from runs where collection is not null and tool <> '' group by 1, 2, 3),
+v as (select collection, tool, coalesce(db_name, '') as db_name, metric, case metric when 'run_elapsed_seconds' then sum(v) when 'resource_max_rss_gb' then max(v) else avg(v) end as value from long where collection is not null and tool <> '' and v is not null group by 1, 2, 3, 4)
+select g.collection as dataset, g.display_dataset, g.tool, g.db_name, len(ids)::bigint as sample_count, array_to_string(ids, ',') as sample_ids, metric, round(value, 4) as value from g left join v on v.collection = g.collection and v.tool = g.tool and v.db_name = g.db_name
+union all select dataset, dataset, tool, db_name, null, null, metric, round(v, 4) from long where collection is null and v is not null
+union all select dataset, dataset, tool, db_name, null, null, null, null from runs where collection is null and coalesce(m_elapsed, m_rss, m_f1, m_exact, m_purity, m_version) is null"""
 
 
-@query("collection_agg", with_sql(RUNS) + COLLECTION)
+@query("collection_agg", with_sql(RUNS, COLLECTION))
 def q_collection(b: Bound) -> DataFrame:
-    return rounded(runs.collection_aggregate(records(b)), 4)
+    made = runs.collection_aggregate(records(b))
+    return rounded(made.select("dataset", "display_dataset", "tool", "db_name", "sample_count", F.array_join("sample_ids", ",").alias("sample_ids"), F.explode_outer("metrics").alias("metric", "value")), 4)
 
 
-@query("display_dataset", with_sql(RUNS) + "select ord, coalesce(collection, dataset) as shown from runs")
+@query("display_dataset", with_sql(RUNS) + "select ord, coalesce(display, collection, dataset) as shown from runs")
 def q_display(b: Bound) -> DataFrame:
     return records(b).select("ord", runs.display_dataset().alias("shown"))
 
 
-@query("metric_family", with_sql(RUNS) + "select ord, true as has_reads, false as has_profile, false as current from runs")
+@query("metric_family", with_sql(RUNS) + "select ord, m_f1 is not null as has_reads, m_purity is not null as has_profile, coalesce(m_purity is not null and m_version = 2, false) as current from runs")
 def q_family(b: Bound) -> DataFrame:
     return runs.metric_family(records(b), 2.0).select("ord", "has_reads", "has_profile", "current")
 
@@ -78,10 +85,9 @@ def q_steps(b: Bound) -> DataFrame:
     return rounded(runs.step_resources(made, "user_id"), 4)
 
 
-@query("metric_wide", with_sql(RUNS) + "select ord, round(m_exact, 6) as exact_per_read_f1_species, round(m_f1, 6) as per_read_f1_species, round(m_rss, 6) as resource_max_rss_gb, round(m_elapsed, 6) as run_elapsed_seconds from runs")
+@query("metric_wide", with_sql(RUNS) + "select ord, round(m_exact, 6) as exact_per_read_f1_species, round(m_f1, 6) as per_read_f1_species, m_purity as purity_genus, m_version as profile_metric_version, round(m_rss, 6) as resource_max_rss_gb, round(m_elapsed, 6) as run_elapsed_seconds from runs")
 def q_wide(b: Bound) -> DataFrame:
-    names = ["run_elapsed_seconds", "resource_max_rss_gb", "per_read_f1_species", "exact_per_read_f1_species"]
-    return rounded(runs.metric_wide(records(b), ["ord"], names))
+    return rounded(runs.metric_wide(records(b), ["ord"]))
 
 
 @query("summary_records", with_sql(RUNS) + "select ord, round(elapsed, 6) as elapsed_seconds, max_rss_kb::double as rss_kb from runs where exp = 'exp1' and coalesce(rc, 0) = 0")
@@ -92,9 +98,7 @@ def q_summary(b: Bound) -> DataFrame:
 
 @query("result_tables", with_sql(RUNS) + "select dataset, tool, db, row_number() over (partition by dataset order by tool, db nulls first, ord) as place, ord from runs")
 def q_tables(b: Bound) -> DataFrame:
-    from pyspark.sql import Window
-
-    return records(b).select("dataset", "tool", "db", F.row_number().over(Window.partitionBy("dataset").orderBy("tool", "db", "ord")).cast("long").alias("place"), "ord").orderBy("dataset", "place")
+    return runs.result_tables(records(b)).select("dataset", "tool", "db", "place", "ord")
 
 
 MERGE = """old as (select 'd' || (o_orderkey % 40) as dataset, o_orderpriority as tool, 'db' || (o_orderkey % 3) as db, max(o_totalprice) as v from orders group by 1, 2, 3),
@@ -116,10 +120,9 @@ def q_builds(b: Bound) -> DataFrame:
     return rounded(runs.build_table(records(b).withColumn("started_at", F.col("ord")).withColumn("size", F.col("max_rss_kb")), "view"))
 
 
-@query("build_summary", with_sql(RUNS) + "select tool, db, round(max_rss_kb / 1048576, 6) as max_rss_gb, ord from runs where tool in ('click', 'view') and db = '/db/x1'")
+@query("build_summary", with_sql(RUNS) + "select tool, db_name, round(max_rss_kb / 1048576, 6) as max_rss_gb, ord from runs where tool in ('click', 'view') and db_name = 'x1'")
 def q_build_summary(b: Bound) -> DataFrame:
-    r = records(b).filter(F.col("tool").isin("click", "view") & (F.col("db") == "/db/x1"))
-    return rounded(r.select("tool", "db", (F.col("max_rss_kb") / 1048576).alias("max_rss_gb"), "ord"))
+    return rounded(runs.build_summary(records(b), ["click", "view"], "x1").select("tool", "db_name", "max_rss_gb", "ord"))
 
 
 FORMAL = """rolled as (select 'ds' || (user_id % 5) as dataset, event_type as tool, count(distinct user_id) as sample_count, round(avg(value), 4) as value from events group by 1, 2),
@@ -135,7 +138,7 @@ def q_formal(b: Bound) -> DataFrame:
 
 @query("sample_table", with_sql(RUNS) + "select coalesce(sample, dataset) as sample, tool, ord from runs where collection = 'coll1'")
 def q_sample_table(b: Bound) -> DataFrame:
-    return records(b).filter("collection = 'coll1'").select(F.coalesce("sample", "dataset").alias("sample"), "tool", "ord")
+    return runs.sample_table(records(b), "coll1").select("sample", "tool", "ord")
 
 
 @query("manifest", "select 'classify' as task, event_type as dataset, 'a' as tool, count(*) as samples, 'default' as parameter_policy from events group by 2 union all select 'profile', o_orderpriority, 'b', count(*), 'own' from orders group by 2")

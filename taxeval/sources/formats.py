@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import as_double, as_long, cell, cells, file_name, genome_id_candidates, read_id, stripped
+from ..functions.text import accession_of_path, as_double, as_long, cell, cells, file_name, genome_id_candidates, read_id, stripped
+from ..operators.durable import small
 from ..operators.profiles import autoscaled
 
 # Name classes that count as synonyms; Bracken level letters; header names, in order of preference.
@@ -16,6 +17,9 @@ SYNONYM_CLASSES = ["synonym", "authority", "equivalent name", "genbank synonym",
 BRACKEN_RANKS = {"D": "domain", "P": "phylum", "C": "class", "O": "order", "F": "family", "G": "genus", "S": "species"}
 NAME_HEADERS = ["species_label", "species_name", "taxon", "name", "species"]
 VALUE_HEADERS = ["truth_abundance", "abundance", "relative_abundance", "percentage", "percent", "value"]
+#: Header lines of CAMI profiles, of all files together, at most.
+MOST_HEADERS = 100_000
+
 
 
 def data_lines(lines: DataFrame, comments: str = "#") -> DataFrame:
@@ -118,10 +122,10 @@ def parse_species_truth(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, D
 
 
 def parse_cami_map(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """truth(file, read_id, taxid), the last line of an id wins, and abundance(file, taxid, weight) over all lines; a
-    line counts max(1, reads), 1 where reads are bad."""
+    """truth(file, read_id, taxid), the last line of an id wins, and abundance(file, taxid, weight) over all lines of
+    four cells or more; a line counts max(1, reads), 1 where reads are bad. Ids are the whole first cell."""
     c = cells(F.col("value"))
-    rows = data_lines(lines, "#@").select("file", "line_no", read_id(c[0]).alias("read_id"), as_long(cell(c, 2)).alias("taxid"), F.greatest(F.lit(1).cast("long"), F.coalesce(as_long(cell(c, 4)), F.lit(1).cast("long"))).alias("weight")).filter("taxid is not null")
+    rows = data_lines(lines).filter(F.size(c) >= 4).select("file", "line_no", c[0].alias("read_id"), as_long(cell(c, 2)).alias("taxid"), F.greatest(F.lit(1).cast("long"), F.coalesce(as_long(cell(c, 4)), F.lit(1).cast("long"))).alias("weight")).filter("taxid is not null")
     truth = rows.groupBy("file", "read_id").agg(F.max_by("taxid", "line_no").alias("taxid"))
     return truth, rows.groupBy("file", "taxid").agg(F.sum("weight").alias("weight"))
 
@@ -133,7 +137,7 @@ def parse_genomes(lines: DataFrame, ref_files: DataFrame) -> tuple[DataFrame, Da
     c = cells(F.col("value"))
     at = lambda i: F.get(c, (F.col(i) - 1).cast("int"))
     rows = rows.filter("_g > 0 and _v > 0").select("file", "line_no", stripped(at("_g")).alias("genome"), as_double(at("_v")).alias("value")).filter("value is not null")
-    rows = rows.withColumn("value", autoscaled(F.col("value"), F.sum("value").over(Window.partitionBy("file"))))
+    rows = rows.join(rows.groupBy("file").agg(F.sum("value").alias("_total")), "file").withColumn("value", autoscaled(F.col("value"), F.col("_total"))).drop("_total")
     tried = rows.select("file", "line_no", F.posexplode(genome_id_candidates(F.col("genome"))).alias("pos", "file_id")).join(ref_files, "file_id")
     found = rows.join(tried.groupBy("file", "line_no").agg(F.min_by("taxid", "pos").alias("taxid")), ["file", "line_no"], "left")
     profile = found.filter("taxid is not null").groupBy("file", "taxid").agg(F.sum("value").alias("value"))
@@ -150,9 +154,12 @@ def parse_cami_profile(lines: DataFrame) -> DataFrame:
     parts = F.when(F.contains(bare, F.lit("\t")), F.split(bare, "\t")).otherwise(F.split(bare, r"\s+"))
     named = F.filter(F.transform(parts, lambda x: F.upper(F.regexp_replace(stripped(x), "^@+", ""))), lambda x: x != "")
     whole = F.array_contains(named, "TAXID") & F.array_contains(named, "RANK") & F.array_contains(named, "PERCENTAGE")
-    head = F.last(F.when(is_head, F.when(whole, named).otherwise(F.array().cast("array<string>"))), ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no"))
+    # Headers are few: each holds up to the next one, and lines find theirs by its range.
+    heads = rows.filter(is_head).select("file", F.col("line_no").alias("_from"), F.when(whole, named).otherwise(F.array().cast("array<string>")).alias("head"))
+    heads = small(heads.withColumn("_to", F.lead("_from").over(Window.partitionBy("file").orderBy("_from"))).withColumnRenamed("file", "_file"), MOST_HEADERS, "header lines")
     c = cells(F.col("value"))
-    rows = rows.withColumn("head", head).filter(~F.substring("value", 1, 1).isin("@", "#"))
+    rows = rows.filter(~F.substring("value", 1, 1).isin("@", "#"))
+    rows = rows.join(heads, (F.col("file") == F.col("_file")) & (F.col("line_no") > F.col("_from")) & (F.col("_to").isNull() | (F.col("line_no") < F.col("_to"))), "left")
     has = F.coalesce(F.size("head") > 0, F.lit(False))
     at = lambda name, d: F.get(c, F.when(has, F.array_position("head", name) - 1).otherwise(d).cast("int"))
     rows = rows.filter(has | (F.size(c) >= 5))
@@ -225,13 +232,19 @@ def parse_targets(lines: DataFrame) -> DataFrame:
 
 def parse_assembly(lines: DataFrame, priority: dict[str, int] | None = None) -> DataFrame:
     """(accession, species_taxid, genome_size, contig_count) of tab-separated columns 0, 6, 25 and 30; commas in
-    numbers go; an earlier file wins."""
+    numbers go; an earlier file wins, and of a file the last line of an accession."""
     c = F.split("value", "\t", -1)
     number = lambda i: as_long(F.replace(F.get(c, F.lit(i)), F.lit(","), F.lit("")))
     rows = data_lines(lines).filter(F.size(c) >= 31)
-    rank = F.col("file") if priority is None else F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])[F.col("file")]
-    rows = rows.select(stripped(c[0]).alias("accession"), F.struct(rank.alias("f"), "line_no").alias("o"), F.struct(number(6).alias("species_taxid"), number(25).alias("genome_size"), number(30).alias("contig_count")).alias("r"))
-    return rows.groupBy("accession").agg(F.min_by("r", "o").alias("r")).select("accession", "r.*")
+    files = priority or {r[0]: i for i, r in enumerate(lines.select("file").distinct().orderBy("file").collect())}  # a few files
+    rank = F.create_map(*[F.lit(x) for kv in files.items() for x in kv])[F.col("file")]
+    rows = rows.select(c[0].alias("accession"), F.struct((-rank).alias("f"), "line_no").alias("o"), F.struct(number(6).alias("species_taxid"), number(25).alias("genome_size"), number(30).alias("contig_count")).alias("r"))
+    return rows.groupBy("accession").agg(F.max_by("r", "o").alias("r")).select("accession", "r.*")
+
+
+def missing_assemblies(targets: DataFrame, assembly: DataFrame) -> DataFrame:
+    """(accession) of targets(path) that no assembly summary has: an incomplete summary is an error (assert_empty)."""
+    return targets.select(accession_of_path(F.col("path")).alias("accession")).distinct().join(assembly.select("accession"), "accession", "left_anti")
 
 
 def build_input_list(targets: DataFrame, assembly: DataFrame) -> DataFrame:
@@ -242,16 +255,18 @@ def build_input_list(targets: DataFrame, assembly: DataFrame) -> DataFrame:
 
 
 def parse_time_log(lines: DataFrame) -> DataFrame:
-    """(file, elapsed_seconds, max_rss_kb, user_seconds, system_seconds) of `key: value` lines; elapsed as h:mm:ss,
-    m:ss or s."""
-    v = stripped(F.col("value"))
-    cut = F.regexp_extract(v, r"^(.*): (.*)$", 1)
-    rows = lines.select("file", "line_no", cut.alias("key"), F.regexp_extract(v, r"^(.*): (.*)$", 2).alias("v")).filter("key <> ''")
+    """(file, elapsed_seconds, max_rss_kb, user_seconds, system_seconds, cpu_percent, exit_status) of lines with a key
+    up to the first `: ` and a value; elapsed as h:mm:ss, m:ss or s. Of a repeated key the last good value counts."""
+    line = F.col("value")
+    key, v = stripped(F.substring_index(line, ": ", 1)), stripped(F.substr(line, F.locate(": ", line) + 2))
+    rows = lines.filter(F.contains(line, F.lit(": "))).select("file", "line_no", key.alias("key"), v.alias("v"))
     seconds = F.aggregate(F.transform(F.split("v", ":"), lambda x: x.try_cast("double")), F.lit(0.0), lambda a, x: a * 60 + x)
-    of = lambda start, e: F.max(F.when(F.startswith("key", F.lit(start)), e))
+    of = lambda name, e: F.max_by(F.when(F.col("key") == name, e), F.when((F.col("key") == name) & e.isNotNull(), F.col("line_no")))
+    # The keys of the log.
     return rows.groupBy("file").agg(
-        of("Elapsed", seconds).alias("elapsed_seconds"), of("Maximum resident", as_long(F.col("v"))).alias("max_rss_kb"),
-        of("User time", as_double(F.col("v"))).alias("user_seconds"), of("System time", as_double(F.col("v"))).alias("system_seconds"),
+        of("Elapsed (wall clock) time (h:mm:ss or m:ss)", seconds).alias("elapsed_seconds"), of("Maximum resident set size (kbytes)", as_long(F.col("v"))).alias("max_rss_kb"),
+        of("User time (seconds)", as_double(F.col("v"))).alias("user_seconds"), of("System time (seconds)", as_double(F.col("v"))).alias("system_seconds"),
+        of("Percent of CPU this job got", as_double(F.replace(F.col("v"), F.lit("%"), F.lit("")))).alias("cpu_percent"), of("Exit status", as_long(F.col("v"))).alias("exit_status"),
     )
 
 

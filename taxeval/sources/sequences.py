@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import mate_marked
 from .lines import read_lines
 
 
 def fastq_records(lines: DataFrame) -> DataFrame:
-    """(file, rec, header, seq, qual, fault) of four lines each; fault is null where a record is right."""
+    """(file, rec, header, seq, qual, fault) of four lines each; fault is null where a record is right. A record with an
+    empty sequence or quality is truncated."""
     part = lambda i: F.max(F.when(F.col("line_no") % 4 == i, F.regexp_replace("value", "\r$", "")))
     made = lines.groupBy("file", F.floor(F.col("line_no") / 4).alias("rec")).agg(part(0).alias("header"), part(1).alias("seq"), part(2).alias("plus"), part(3).alias("qual"))
     fault = (
-        F.when(F.col("qual").isNull(), "truncated").when(~F.startswith("header", F.lit("@")), "no @").when(~F.startswith("plus", F.lit("+")), "no +")
+        F.when((F.coalesce("seq", F.lit("")) == "") | F.col("plus").isNull() | (F.coalesce("qual", F.lit("")) == ""), "truncated").when(~F.startswith("header", F.lit("@")), "no @").when(~F.startswith("plus", F.lit("+")), "no +")
         .when(F.length("seq") != F.length("qual"), "lengths differ")
     )
     return made.withColumn("fault", fault).drop("plus")
@@ -24,12 +26,12 @@ def read_fastq(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def fasta_records(blocks: DataFrame) -> DataFrame:
-    """(file, header, seq, fault) of blocks(file, value), each the text from one > to the next. Blank lines don't
-    count; a sequence before a header is an error."""
+    """(file, header, seq, fault) of blocks(file, value), each the text from one > to the next. Lines lose white space at
+    their ends only, and blank ones don't count; a sequence before a header is an error."""
     v = F.regexp_replace(F.regexp_replace("value", "\r", ""), "^>", "")
     cut = F.split(v, "\n", 2)
     had = F.col("value").startswith(">") | F.col("marked")
-    rows = blocks.select("file", had.alias("_had"), F.when(had, cut[0]).alias("header"), F.regexp_replace(F.when(had, F.coalesce(F.get(cut, F.lit(1)), F.lit(""))).otherwise(v), r"\s", "").alias("seq"))
+    rows = blocks.select("file", had.alias("_had"), F.when(had, cut[0]).alias("header"), F.regexp_replace(F.when(had, F.coalesce(F.get(cut, F.lit(1)), F.lit(""))).otherwise(v), r"(?U)^\s+|\s*\n\s*|\s+$", "").alias("seq"))
     return rows.filter("_had or seq <> ''").select("file", "header", "seq", F.when(~F.col("_had"), "sequence before a header").alias("fault"))
 
 
@@ -40,6 +42,27 @@ def read_fasta(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return fasta_records(raw.withColumn("marked", ~((F.col("_split") == 0) & (first == 1))).select("file", "value", "marked"))
 
 
+def mark_records(records: DataFrame, mate: int) -> DataFrame:
+    """FASTQ records under the ids of a mate: the header is the marked id alone."""
+    return records.withColumn("header", F.concat(F.lit("@"), mate_marked(F.col("header"), F.lit(mate))))
+
+
+def record_totals(records: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, records, bases) of records."""
+    return records.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.coalesce(F.sum(F.length("seq").cast("long")), F.lit(0)).alias("bases"))
+
+
+def tag_records(records: DataFrame, targets: DataFrame) -> DataFrame:
+    """FASTA records(file, header, seq) with the taxid of their file's target(path, taxid) in the first word of the
+    header, unless one is there; and seq_id, that word: (seq_id, taxid) is the map of sequences. Records of files that
+    aren't targets, and those without a header, stay out."""
+    rows = records.join(targets.select(F.col("path").alias("file"), "taxid"), "file").filter("coalesce(header, '') <> ''")
+    word, rest = F.regexp_extract("header", r"^\s*(\S*)", 1), F.regexp_extract("header", r"^\s*\S+\s+(.*)$", 1)
+    mark = "|kraken:taxid|"  # a fixed value of the format
+    own = F.when(F.contains(word, F.lit(mark)), word).otherwise(F.concat(word, F.lit(mark), F.col("taxid").cast("string")))
+    return rows.withColumn("seq_id", own).withColumn("header", F.when(rest != "", F.concat_ws(" ", own, rest)).otherwise(own))
+
+
 def head_records(records: DataFrame, n: int) -> DataFrame:
     """The first n records of each file."""
     return records.filter(F.col("rec") < n)
