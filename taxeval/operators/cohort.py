@@ -41,6 +41,7 @@ def sample_manifest(samples: DataFrame, metadata: DataFrame, depth: DataFrame, s
     assert_empty(same_samples(samples, depth, "sample"), "sample/depth coverage")
     meta = metadata.select("cohort", F.col("paper_sample").cast("string").alias("id"), *[F.col(c).alias(f"_{c}") for c in ("condition", "age", "sex", "bmi", "source_reads", "c1", "c2")])
     key = F.concat_ws("/", "cohort", "id").alias("key")
+    assert_empty(meta.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "sample metadata")
     pairs = token_match(samples.select("cohort", "sample"), meta.select("cohort", "id"))
     assert_empty(one_match(pairs.select("sample", key), samples.select("sample"), meta.select(key), "sample", "key"), "sample metadata")
     rows = samples.join(pairs, ["cohort", "sample"]).join(meta, ["cohort", "id"])

@@ -108,7 +108,7 @@ def inner_depths(closed: DataFrame, nodes: DataFrame) -> DataFrame:
     top = closed.join(known, "anc", "left_semi").groupBy("seed").agg(F.max("dist").alias("_top"))
     on = nodes.filter("parent <> taxid").select(F.col("taxid").alias("last"))
     around = closed.groupBy("seed").agg(F.max_by("anc", "dist").alias("last")).join(on, "last", "left_semi").select("seed")
-    depth = closed.join(top, "seed").groupBy(F.col("anc").alias("taxid")).agg(F.max(F.col("_top") - F.col("dist")).alias("depth"))
+    depth = closed.join(top, "seed").groupBy(F.col("anc").alias("taxid")).agg(F.max(F.col("_top") - F.col("dist")).alias("depth")).filter("depth >= 0")
     if around.isEmpty():
         return depth
     inside = closed.join(around, "seed", "left_semi").select("anc").distinct()

@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import perread, taxonomy
 from ..operators import reads as read_ops
 from ..sources import formats, sequences
+from ..sources.lines import lines_of
 from .bindings import CLOSURE, NODES, Bound, with_sql
 from .registry import query, rounded
 
@@ -18,7 +19,7 @@ def tabbed(*cols: Column | str) -> Column:
 
 
 def lines(df: DataFrame, value: Column, order: str | Column, file: Column | None = None) -> DataFrame:
-    return df.select((F.lit("f") if file is None else file).alias("file"), (F.col(order) if isinstance(order, str) else order).cast("long").alias("line_no"), value.alias("value"))
+    return lines_of(df, F.lit("f") if file is None else file, F.col(order) if isinstance(order, str) else order, value)
 
 
 def segment_file() -> Column:

@@ -8,8 +8,3 @@ from pyspark.sql import DataFrame
 def write_tsv(df: DataFrame, path: str, columns: list[str]) -> None:
     """The columns in this order, with a header, tab-separated; nulls are blank."""
     df.select(*columns).write.csv(path, sep="\t", header=True, nullValue="", emptyValue="")
-
-
-def write_lines(df: DataFrame, path: str) -> None:
-    """Text lines from the column value."""
-    df.select("value").write.text(path)

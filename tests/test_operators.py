@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxeval.functions import text
-from taxeval.operators import cohort, gates, perread, profiles, reads, runs, taxonomy
+from taxeval.operators import catalog, cohort, evaluation, gates, perread, profiles, reads, runs, taxonomy
 from taxeval.sources import formats, lines, records, sequences, sinks
 
 
@@ -39,6 +39,59 @@ def test_descendants_and_exact_ranks_differ_where_a_rank_is_nested(spark, nodes)
     assert (r["exact_tp"], r["exact_fp"], r["exact_fn"]) == (0, 2, 3)
 
 
+def test_paths_have_no_limit(spark):
+    deep = spark.createDataFrame([(i, i + 1, "species" if i == 0 else "x") for i in range(100)] + [(100, 100, "genus")], "taxid long, parent long, rank string")
+    closed = taxonomy.closure(deep, deep.filter("taxid = 0").select("taxid"))
+    assert closed.agg(F.max("dist"), F.count("*")).first()[:] == (100, 101)
+    assert rows(taxonomy.lifts(closed, deep, ["genus"])) == [(0, "genus", 100)]
+    assert rows(taxonomy.depths(closed, deep)) == [(0, 100)]
+
+
+def test_depths_of_ancestors_are_those_of_their_own_paths(spark, nodes):
+    closed = taxonomy.closure(nodes, spark.createDataFrame([(40,), (50,), (60,), (91,)], "taxid long"))
+    inside = closed.select("anc").distinct()
+    want = rows(taxonomy.depths(taxonomy.closure(nodes, inside), nodes))
+    assert rows(profiles.inner_depths(closed, nodes).filter("depth is not null")) == [r for r in want if r[1] is not None]
+
+
+def test_reads_are_counted_before_they_meet_the_taxonomy(spark, nodes, monkeypatch):
+    facts = spark.createDataFrame([("t", 20, 40)] * 500 + [("t", 20, None)] * 300, "tool string, taxid long, pred long")
+    seen = []
+    lift = perread.lifted_pairs
+    monkeypatch.setattr(perread, "lifted_pairs", lambda pairs, *a, **k: seen.append(pairs) or lift(pairs, *a, **k))
+    r = perread.combined(facts, nodes, ["tool"], ["genus"]).first()
+    assert (r["reads"], r["classified"], r["tp"], r["fn"]) == (800, 500, 500, 300)
+    assert seen[0].count() == 2  # no join holds reads
+
+
+def test_evaluation_of_runs_with_and_without_profiles(spark, nodes):
+    reads_ = spark.createDataFrame([("a", 20, 40, 2), ("a", 50, 50, 1), ("b", 20, None, 5)], "run string, taxid long, pred long, weight long")
+    pred = spark.createDataFrame([("a", "native", "species", 40, 2.0), ("a", "native", "genus", 50, 1.0), ("a", "cami", "genus", 20, 9.0)], "run string, source string, rank string, taxid long, value double")
+    source = spark.createDataFrame([("a", "native", True, True), ("a", "cami", True, True), ("b", "native", True, True), ("c", "native", True, True)], "run string, source string, configured boolean, exists boolean")
+    made = evaluation.evaluate(nodes, ["run"], ["genus"], reads=reads_, sources=source, predicted=pred)
+    got = {(r["run"], r["metric"]): r["value"] for r in made.collect()}
+    assert got["a", "per_read_recall_genus"] == 1.0 and got["b", "per_read_recall_genus"] == 0.0 and got["b", "per_read_unclassified_rate"] == 1.0
+    assert got["a", "l1_norm_genus"] == pytest.approx(2.0) and got["a", "purity_genus"] == 0.0  # only the most specific rank of the first source: 40, whose genus is 30
+    assert got["b", "l1_norm_genus"] == pytest.approx(1.0) and got["b", "completeness_genus"] == 0.0  # there but empty
+    assert not [m for r, m in got if r == "c"]  # no truth
+    assert {r["version"] for r in made.select("version").distinct().collect()} == {evaluation.VERSION}
+
+
+def test_named_profiles_keep_what_has_no_taxon(spark, nodes):
+    named = spark.createDataFrame([("r", "x", 2.0, 40), ("r", "y", 3.0, None), ("r", "z", 1.0, 60)], "run string, name string, value double, taxid long")
+    full, lost = profiles.named_to_ranks(named.withColumn("rank", F.lit("")), nodes, ["run"], ["genus"])
+    assert rows(full) == sorted([("r", "genus", 30, None, 2.0, 2.0), ("r", "genus", 60, None, None, 1.0), ("r", "genus", None, "y", None, 3.0)], key=str)
+    assert rows(lost) == [("r", 1, 3.0)]
+    none = spark.createDataFrame([("r", "x", 0.0, None)], "run string, name string, value double, taxid long")
+    r = profiles.truth_coverage(none, ["run"]).first()
+    assert r["species_unmapped_rate"] == 1.0 and r["mass_mapped_rate"] is None
+
+
+def test_most_specific_rank_else_the_first_seen(spark):
+    df = spark.createDataFrame([("a", "z", 1, 0), ("a", "b", 2, 1), ("c", "genus", 3, 0), ("c", "species", 4, 1)], "run string, rank string, taxid int, at int")
+    assert rows(profiles.most_specific(df, ["run"], "at"), "run", "taxid") == [("a", 1), ("c", 4)]
+
+
 def test_no_mapped_truth_has_no_scores(spark, nodes):
     r = perread.combined(spark.createDataFrame([("t", 7, 40)], "tool string, taxid long, pred long"), nodes, ["tool"], ["genus"]).first()
     assert r["precision"] is None and r["truth_mapped_rate"] == 0.0
@@ -107,6 +160,10 @@ def test_lines_fastq_and_fasta_across_splits(spark, tmp_path):
 def test_faulty_records(spark):
     df = spark.createDataFrame([("f", i, v) for i, v in enumerate(["@a", "AC", "+", "I", "@b", "AC"])], "file string, line_no long, value string")
     assert rows(sequences.fastq_records(df), "rec", "fault") == [(0, "lengths differ"), (1, "truncated")]
+    empty = spark.createDataFrame([("f", i, v) for i, v in enumerate(["@a", "", "+", "", "@b", "AC", "+", ""])], "file string, line_no long, value string")
+    assert rows(sequences.fastq_records(empty), "rec", "fault") == [(0, "truncated"), (1, "truncated")]
+    inner = spark.createDataFrame([("f", ">h\n A C \n\tGT\r\n", True)], "file string, value string, marked boolean")
+    assert rows(sequences.fasta_records(inner), "seq") == [("A CGT",)]
     fa = spark.createDataFrame([("f", "AC\n", False), ("f", "\n", False), ("f", ">h\nA\nC\n", False)], "file string, value string, marked boolean")
     assert rows(sequences.fasta_records(fa), "seq", "fault") == [("AC", "sequence before a header"), ("AC", None)]
 
@@ -118,6 +175,75 @@ def test_bad_rows_are_skipped_and_the_right_line_wins(spark):
     assert rows(formats.parse_centrifuger(two), "read_id", "taxid") == [("a", 4), ("b", None)]
 
 
+def test_formats_keep_to_their_rules(spark):
+    of = lambda *values: spark.createDataFrame([("f", i, v) for i, v in enumerate(values)], "file string, line_no long, value string")
+    truth, weight = formats.parse_cami_map(of("@a b\tg\t5\ts\t3", "c\tg\t5", "#x\tg\t5\ts", "d\tg\t5\ts\t-2"))
+    assert rows(truth, "read_id") == [("@a b",), ("d",)] and rows(weight, "taxid", "weight") == [(5, 4)]
+    row = lambda acc, size: "\t".join([acc, *["x"] * 5, "7", *["x"] * 18, size, *["x"] * 4, "2"])
+    two = of(row("A", "1,000"), row("A", "2"), "short").union(of(row("A", "3"), row("B", "4")).withColumn("file", F.lit("g")))
+    assert rows(formats.parse_assembly(two, {"f": 0, "g": 1}), "accession", "genome_size") == [("A", 2), ("B", 4)]
+    log = formats.parse_time_log(of("\tCommand being timed: \"a Exit status: 9\"", "\tPercent of CPU this job got: 99%", "\tExit status: 1", "\tElapsed (wall clock) time (h:mm:ss or m:ss): 1:02")).first()
+    assert (log["cpu_percent"], log["exit_status"], log["elapsed_seconds"]) == (99.0, 1, 62.0)
+    paths = spark.createDataFrame([("/x/GCF_1.1_a.fna",), ("/x/GCF_2.1_a.fna",)], "path string")
+    known = spark.createDataFrame([("GCF_1.1",)], "accession string")
+    assert rows(formats.missing_assemblies(paths, known)) == [("GCF_2.1",)]
+    with pytest.raises(Exception, match="no assembly accession"):
+        spark.createDataFrame([("/x/my_GCF_1.1.fna",)], "path string").select(text.accession_of_path(F.col("path"))).collect()
+
+
+def test_databases_need_their_assemblies(spark):
+    builds = spark.createDataFrame([(0, "/i/x.hixf", "l")], "ord int, path string, list string")
+    targets = spark.createDataFrame([("l", "A", 5), ("l", "B", 6)], "list string, accession string, bytes long")
+    assembly = spark.createDataFrame([("A", 1, 10, 2)], "accession string, species_taxid long, genome_size long, contig_count long")
+    with pytest.raises(Exception, match="no assembly for B"):
+        catalog.db_catalog(builds, targets, assembly).collect()
+    assert rows(catalog.db_catalog(builds, targets.filter("accession = 'A'"), assembly)) == [("x", 5, 2, 10, 1, 1)]
+
+
+def test_files_without_records_have_zeros(spark):
+    df = spark.createDataFrame([("a", "GCAT", "IIII")], "file string, seq string, qual string")
+    sizes = spark.createDataFrame([("a", 9), ("b", 0)], "file string, bytes long")
+    got = {r["file"]: r for r in catalog.seq_stats(df, ["file"], "seq", "qual", sizes).collect()}
+    assert (got["a"]["bytes"], got["a"]["gc_percent"], got["a"]["q30_percent"]) == (9, 50.0, 100.0)
+    assert (got["b"]["records"], got["b"]["gc_percent"], got["b"]["n50"]) == (0, 0.0, 0)
+
+
+def cohort_tables(spark):
+    samples = spark.createDataFrame([("run_1_x", "c", "Case", "positive", "e1", 1.0, 2.0, None), ("run_2_x", "c", "Control", "zero", "e2", 0.0, 0.0, 0.5)], "sample string, cohort string, condition string, role string, run_accession string, c1 double, c2 double, total double")
+    metadata = spark.createDataFrame([("c", 1, "case", 50, "F", 20.5, 100, 1.0, 2.0), ("c", 2, "control", 60, "M", 21.0, 200, 0.0, 0.0)], "cohort string, paper_sample int, condition string, age int, sex string, bmi double, source_reads long, c1 double, c2 double")
+    return samples, metadata, spark.createDataFrame([("run_1_x", 10, 3.0), ("run_2_x", 20, 0.0)], "sample string, input_reads long, expected double")
+
+
+def test_a_cohort_manifest_is_checked(spark):
+    samples, metadata, depth = cohort_tables(spark)
+    made = cohort.sample_manifest(samples, metadata, depth, "all")
+    assert len(made.columns) == 17 and rows(made, "sample", "paper_sample_id", "condition", "sex", "paper_fna_total_percent") == [("run_1_x", "1", "case", "f", 3.0), ("run_2_x", "2", "control", "m", 0.5)]
+    for bad, what in (((samples, metadata.filter("paper_sample = 1"), depth), "metadata"), ((samples, metadata.withColumn("condition", F.lit("case")), depth), "published"), ((samples, metadata.withColumn("c2", F.col("c2") + 1e-6), depth), "published"), ((samples, metadata, depth.limit(1)), "coverage"), ((samples, metadata.union(metadata), depth), "metadata")):
+        with pytest.raises(ValueError, match=what):
+            cohort.sample_manifest(*bad, "all")
+    sig = spark.createDataFrame([("run_1_x", "a"), ("run_2_x", "b")], "sample string, tool string")
+    assert [r["tool"] for r in cohort.signals(sig, made.select("sample", "role"), {"a": "A", "b": "B"}).collect()] == ["A", "B"]
+    with pytest.raises(Exception, match="no such tool: b"):
+        cohort.signals(sig, made.select("sample", "role"), {"a": "A"}).collect()
+    with pytest.raises(Exception, match="no such sample"):
+        cohort.signals(sig, made.select("sample", "role").limit(1), {"a": "A", "b": "B"}).collect()
+    parts = spark.createDataFrame([(None, 5.0, 100, 1, 1, 2, 1, 1, 4, 0)], "expected double, percent double, input_reads long, strict long, tied long, supported long, non_target long, unmapped long, candidate long, missing long")
+    assert rows(cohort.audit(parts), "expected", "supported_rate", "supported_rpm") == [(5.0, 0.5, 20000.0)]
+    for bad in (parts.withColumn("supported", F.lit(3)), parts.withColumn("candidate", F.lit(5)), parts.withColumn("missing", F.lit(1))):
+        with pytest.raises(Exception, match="add up"):
+            cohort.audit(bad).collect()
+
+
+def test_sums_below_in_ranges(spark):
+    import random
+
+    rnd = random.Random(2)
+    data = sorted({(rnd.choice("ab"), rnd.randint(0, 300)): rnd.randint(0, 5) for _ in range(400)}.items())
+    df = spark.createDataFrame([(k, v, n) for (k, v), n in data], "k string, v int, n int")
+    want = [(k, v, sum(n for (j, w), n in data if j == k and w < v)) for (k, v), _ in data]
+    assert sorted(tuple(r) for r in cohort.sum_below(df, ["k"], "v", "n", "s").select("k", "v", "s").collect()) == want
+
+
 def test_conflicting_species_truth_is_an_error(spark):
     r = spark.createDataFrame([("f", "a", "x"), ("f", "a", "y")], "file string, read_id string, label string")
     k = spark.createDataFrame([("x", 1), ("y", 2)], "name string, taxid long")
@@ -150,9 +276,20 @@ def test_tsv_round_trip(spark, tmp_path):
 
 
 def test_roll_up_of_published_kind(spark):
-    df = spark.createDataFrame([("c", "s1", "t", "d", {"run_elapsed_seconds": 2.0, "resource_max_rss_gb": 1.0, "f1": 0.5}), ("c", "s2", "t", "d", {"run_elapsed_seconds": 3.0, "resource_max_rss_gb": 4.0, "f1": 1.0}), (None, "s3", "t", "d", {"f1": 9.0})], "collection string, sample string, tool string, db string, metrics map<string,double>").withColumn("dataset", F.lit("x"))
-    got = {r["metric"]: (r["value"], r["sample_count"]) for r in runs.collection_aggregate(df).collect()}
-    assert got == {"run_elapsed_seconds": (5.0, 2), "resource_max_rss_gb": (4.0, 2), "f1": (0.75, 2)}
+    data = [("c", "s1", "t", "d", {"run_elapsed_seconds": 2.0, "resource_max_rss_gb": 1.0, "f1": 0.5}), ("c", "s2", "t", "d", {"run_elapsed_seconds": 3.0, "resource_max_rss_gb": 4.0, "f1": 1.0}), (None, "s3", "t", "d", {"f1": 9.0}), ("c", "s1", "u", None, {}), ("c", "s1", "", "d", {})]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(data)], "collection string, sample string, tool string, db_name string, metrics map<string,double>, ord int")
+    df = df.withColumn("dataset", F.lit("x")).withColumn("source", F.lit(0)).withColumn("display", F.when(F.col("sample") == "s2", "Shown"))
+    got = {(r["dataset"], r["tool"]): r for r in runs.collection_aggregate(df).collect()}
+    assert set(got) == {("c", "t"), ("c", "u"), ("x", "t")}
+    assert got["c", "t"]["metrics"] == {"run_elapsed_seconds": 5.0, "resource_max_rss_gb": 4.0, "f1": 0.75} and got["c", "t"]["sample_ids"] == ["s1", "s2"] and got["c", "t"]["display_dataset"] == "Shown"
+    assert got["c", "u"]["metrics"] == {} and got["c", "u"]["db_name"] == "" and got["c", "u"]["sample_count"] == 1
+    assert got["x", "t"]["metrics"] == {"f1": 9.0} and got["x", "t"]["sample_count"] is None
+
+
+def test_a_later_run_replaces_an_earlier_one_by_database_name(spark):
+    data = [(0, None, "d", None, "t", "/a/x", "x"), (1, None, "d", None, "t", "/b/x", "x"), (2, None, "d", None, "t", "/c", None), (3, None, "d", None, "t", "/e", ""), (4, None, "d", None, "", "/e", "x"), (5, "c", "d", None, "t", "", "x"), (6, "c", "d", "d", "t", "", "x"), (7, "c", "d", "e", "t", "", "x")]
+    df = spark.createDataFrame(data, "ord int, collection string, dataset string, sample string, tool string, db string, db_name string").withColumn("source", F.lit(0)).withColumn("display", F.lit(""))
+    assert [r[0] for r in rows(runs.prefer_later(df), "ord")] == [1, 3, 4, 6, 7]
 
 
 def test_auc_is_antisymmetric(spark):
@@ -172,6 +309,7 @@ def test_meta_analysis_matches_published_numbers(spark):
     r = cohort.meta(df, ["k"]).first()
     for name, want in META.items():
         assert r[name] == pytest.approx(want, abs=2e-5), name
+    assert r["p"] == pytest.approx(0.603870, abs=1e-3)  # by the normal distribution, of the effect over its error
 
 
 def test_standardised_effect_and_p_match_published_numbers(spark):
