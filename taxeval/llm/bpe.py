@@ -325,7 +325,8 @@ def tokenize(docs: DataFrame, path: str, text_col: str = "text", keep: list[str]
     with `decoded`, also the text decoded from them.
 
     Null texts count as empty: no ids, decoded text empty. Special tokens in a text get their ids. `path` is a file
-    that each executor has. An input column named ids or decoded is replaced.
+    that each executor has. An input column named ids or decoded, in any case, is replaced. Whole texts are encoded, of
+    whatever length; repeated rows get equal results. No rows: no rows.
     """
     fields = [T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.StringType())] * decoded
 

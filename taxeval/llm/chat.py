@@ -54,7 +54,8 @@ def format_chats(turns: DataFrame, template: Template = CHATML, conv_col: str =
     Turns are taken by turn (nulls first); ties by role, then text. Null roles and texts count as empty. Rows with a
     null conversation id are one conversation. first_error is the index of the first turn whose role may not follow,
     n_turns if the last role may not be final, null if valid. Every conversation is formatted, valid or not. Repeated
-    rows are turns like others. A conversation is one output row, so its turns meet in one task; nothing larger does.
+    rows are turns like others. Texts of any length are whole; columns that aren't named here, whatever they are called,
+    play no part. No rows: no rows. A conversation is one output row, so its turns meet in one task; nothing larger does.
     """
     t = template
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))

@@ -14,6 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Texts handled together inside a task: about so many characters, so that memory doesn't depend on the batch size.
 BLOCK_CHARS = 2_000_000
+#: Keys that are broadcast since each has over a 1/HOT of all rows: at most so many.
+HOT = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, spread: str) -> DataFrame:
+    """rows with the columns of table, which has a row for each key; rows without one go.
+
+    weight: of the table, how many rows have this key. Keys of which each has over a 1/HOT of all rows are at most HOT:
+    they are broadcast, and their rows are dealt by `spread` in the join with the others, so that no key is a hot one.
+    """
+    made = [c for c in table.columns if c not in keys]
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = table.filter(F.col(weight) * HOT > total).select(*keys, F.struct(*made).alias("_hot"))
+    met = rows.join(F.broadcast(hot), list(keys), "left").withColumn("_deal", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 30))))
+    rest = table.select(*keys, F.struct(*made).alias("_rest"), F.lit(0).cast("long").alias("_deal"))
+    joined = met.join(rest, [*keys, "_deal"], "left").withColumn("_found", F.coalesce("_hot", "_rest")).filter("_found is not null")
+    return joined.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in made])
+
+
 def arrow_map(
     df: DataFrame,
     keep: Sequence[str],

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import looked_up, materialize, table
 
 SALTS = 16
 
@@ -35,7 +35,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts count as empty. Of equal texts the row with the largest id stays; null ids lose, and where all ids
     of a text are null, keep_id is null and one of the rows stays. Of repeated rows (same id and text) one is kept.
-    No rows in: no rows out. Other columns play no part. `digest` may be any function of the text: if it isn't
+    No rows in: no rows out. Whole texts count, of whatever length. Other columns, of whatever name, play no part.
+    `digest` may be any function of the text: if it isn't
     injective, rows of texts that share a digest find their text by its whole content.
     """
     groups = winners(docs, id_col, text_col, salts, digest)
@@ -47,7 +48,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sha = F.lower(F.hex("_digest")) if digest is sha256 else F.sha2("_text", 256)
     copy = F.row_number().over(Window.partitionBy("_digest", "_id").orderBy(F.lit(1)))
     slim = rows.select("_id", "_digest", *([] if digest is sha256 else [sha.alias("_sha")])).withColumn("_copy", copy)
-    found = slim.join(few.filter("_texts = 1"), "_digest").withColumn("_sha", sha if digest is sha256 else F.col("_sha"))
+    found = looked_up(slim, few.filter("_texts = 1"), ["_digest"], "_size", "_id").withColumn("_sha", sha if digest is sha256 else F.col("_sha"))
     clashing = few.filter("_texts > 1")
     if not clashing.isEmpty():  # a digest that isn't injective: only its rows are matched by whole texts
         shared = rows.join(clashing.select("_digest"), "_digest", "left_semi")
@@ -66,17 +67,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows that stay, with all columns of docs: a row for each distinct text, the one with the largest id.
+    """The rows that stay, with all columns of docs, of whatever name and type: a row for each distinct text, the one
+    with the largest id; null ids lose.
 
     The same stages as winners(), with the whole row as what is combined; ties of the id are broken by the other
-    columns, in order. A null text is returned as it was in the row that stays.
+    columns as text, in order. A null text counts as empty, and is returned as it was in the row that stays. Of
+    repeated rows one stays. No rows: no rows.
     """
+    quoted = lambda c: F.col(f"`{c}`")
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    row = F.struct(F.col(id_col).alias("_0"), F.col(text_col).isNotNull().alias("_1"), *[F.col(c).alias(f"_{i + 2}") for i, c in enumerate(rest)])
-    rows = docs.select(sha256(text).alias("_digest"), text.alias("_text"), F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("_salt"), row.alias("_row"))
-    salted = rows.groupBy("_digest", "_text", "_salt").agg(F.max("_row").alias("_row"))
-    last = salted.groupBy("_digest", "_text").agg(F.max("_row").alias("_row"))
+    text = F.coalesce(quoted(text_col), F.lit(""))
+    order = F.struct(quoted(id_col), quoted(text_col).isNotNull(), *[quoted(c).cast("string") for c in rest])
+    row = F.struct(quoted(id_col).alias("_0"), quoted(text_col).isNotNull().alias("_1"), *[quoted(c).alias(f"_{i + 2}") for i, c in enumerate(rest)])
+    rows = docs.select(sha256(text).alias("_digest"), text.alias("_text"), F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("_salt"), F.struct(order.alias("order"), row.alias("row")).alias("_row"))
+    best = F.max_by("_row", F.col("_row.order")).alias("_row")
+    last = rows.groupBy("_digest", "_text", "_salt").agg(best).groupBy("_digest", "_text").agg(best).select("_text", F.col("_row.row").alias("_row"))
     back = {id_col: F.col("_row._0"), text_col: F.when(F.col("_row._1"), F.col("_text"))} | {c: F.col(f"_row._{i + 2}") for i, c in enumerate(rest)}
     return last.select(*[back[c].alias(c) for c in docs.columns])
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 from itertools import combinations
 
@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, blocks, materialize, table
+from .common import arrow_map, blocks, fresh, looked_up, materialize, table
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
 #: Most fingerprints in a BK-tree.
 LIMIT = 2048
+#: Fingerprints that a shard may have without any being alike.
+FEW = 64
 #: Pairs of a search and a node that are held at once.
 FRONTIER = 400_000
 ZERO = b"\0"
@@ -44,14 +46,14 @@ TURNS, CELLS = 4, 1 << 22
 @dataclass(frozen=True)
 class Scheme:
     """shingle: words in a shingle; bits: of the fingerprint; radius: most differing bits of linked fingerprints.
-    key_shingle: None: shards by blocks of the fingerprint, exact. Otherwise: by `keys` samples of `key_bits` of the
+    key_shingle: None: shards by blocks of the fingerprint, exact; blocks: None: by the number of fingerprints. Otherwise: by `keys` samples of `key_bits` of the
     bits of a second fingerprint, over shingles of so many words, and with it links are found with a probability that
     grows with the likeness."""
 
     shingle: int = 4
     bits: int = 64
     radius: int = 4
-    blocks: int = 6
+    blocks: int | None = None
     key_shingle: int | None = None
     keys: int = 24
     key_bits: int = 20
@@ -59,12 +61,21 @@ class Scheme:
     def shards(self) -> list[np.ndarray]:
         """The bit positions that make up each key."""
         if self.key_shingle is None:
-            parts = np.array_split(np.arange(self.bits), self.blocks)
-            return [np.concatenate(c) for c in combinations(parts, self.blocks - self.radius)]
+            parts = np.array_split(np.arange(self.bits), self.blocks or self.radius + 2)
+            return [np.concatenate(c) for c in combinations(parts, len(parts) - self.radius)]
         rnd = random.Random(SEED)
         return [np.array(sorted(rnd.sample(range(self.bits), self.key_bits))) for _ in range(self.keys)]
 
 
+    def sized(self, n: int) -> "Scheme":
+        """With as many blocks as make keys long enough that a shard has about FEW of n fingerprints at most, were they
+        random: exact with any number. More blocks give longer keys, and more of them."""
+        blocks = self.blocks or self.radius + 2
+        while self.blocks is None and n >> (self.bits // blocks * (blocks - self.radius)) > FEW and blocks < self.radius + 8:
+            blocks += 1
+        return replace(self, blocks=blocks)
+
+
 EXACT = Scheme()
 #: For five-word shingles at a similarity of 0.8 of the bits.
 WIDE = Scheme(shingle=5, bits=256, radius=51, key_shingle=1)
@@ -314,14 +325,16 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_
     """A row for each row of docs: the id, fp and component_id, the smallest id that links reach, itself included.
 
     Equal fingerprints are linked, also those of texts without words (all zero). Null ids are passed over when the
-    smallest is taken; component_id is null where a component has no other. Repeated rows stay. No rows: no rows.
+    smallest is taken; component_id is null where a component has no other. Whole texts count, of whatever length; null
+    texts are texts without words. Repeated rows stay; other columns, of whatever name, play no part. No rows: no rows.
     """
     cols = ["fp"] + ["key_fp"] * (scheme.key_shingle is not None)
     made = materialize(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), scheme, keep=["id"]), "simhash")
     lanes, radius = scheme.bits // 64, scheme.radius
     # A node for each distinct fingerprint (and key); its name is the smallest id, or a negative number where all are null.
-    nodes = made.groupBy(*cols).agg(F.min("id").alias("rep")).withColumn("node", F.coalesce("rep", -1 - F.abs(F.shiftright(F.xxhash64(*cols), 1))))
+    nodes = made.groupBy(*cols).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows")).withColumn("node", F.coalesce("rep", -1 - F.abs(F.shiftright(F.xxhash64(*cols), 1))))
     nodes = materialize(nodes, "simhash-nodes")
+    scheme = scheme.sized(nodes.count())
     search = lambda t: t.repartition("shard", "a", "b").sortWithinPartitions("shard", "a", "b").mapInArrow(lambda it: tile_links(it, radius, lanes), "u long, v long")
     tiles, hot = shard_rows(nodes, scheme, limit)
     found = components(search(tiles))
@@ -330,8 +343,8 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_
     joined = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # One join by root with a table, so that a large component can be split; ids are combined before they are dealt out.
     ids = materialize(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-ids")
-    named = joined.select(*cols, "root").join(ids, "root").select(*cols, "component_id")
-    return made.join(named, cols).select(F.col("id").alias(id_col), "fp", "component_id")
+    named = joined.select(*cols, "rows", "root").join(ids, "root").select(*cols, "rows", "component_id")
+    return looked_up(made, named, cols, "rows", "id").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -459,8 +472,9 @@ def alike_components(docs: DataFrame, more: DataFrame | None = None, shingle: in
 
 
 def drop_near_copies(docs: DataFrame, scheme: Scheme = WIDE, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, with all columns; null ids stay only where a
-    component has no other.
+    """The rows of docs whose id is the smallest of their component, with all columns, of whatever name; null ids stay
+    only where a component has no other. Null texts count as empty; texts without words are alike. Repeated rows of the
+    one that stays all stay. No rows: no rows.
 
     Links are the pairs of a Jaccard similarity of likeness or more of their sets of shingles, all of them: what the
     BK-trees link is tried first, and each link is confirmed by the whole sets.
@@ -474,7 +488,8 @@ def drop_near_copies(docs: DataFrame, scheme: Scheme = WIDE, id_col: str = "doc_
     # The smallest id of a component: null ids (below) give way to others.
     least = materialize(named.groupBy("root").agg(F.min("_id").alias("_least")), "alike-ids")
     stay = named.join(least, "root").filter(F.col("_id").eqNullSafe(F.col("_least"))).select("node").distinct()
-    return docs.withColumn("_node", node).join(stay, F.col("_node") == stay["node"], "left_semi").drop("_node")
+    own = fresh(docs, "_node")
+    return docs.withColumn(own, node).join(stay.withColumnRenamed("node", f"{own}_"), F.col(own) == F.col(f"{own}_"), "left_semi").drop(own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from taxeval.llm import bpe, chat, entries, exact_dedup, langid, licenses, packing, pii, secrets, simhash, topk
+from taxeval.llm import common as shared
 
 LONG = "word " * 40000
 TEXTS = [(1, "a b c d e"), (2, None), (3, ""), (4, "a b c d e"), (4, "a b c d e"), (5, LONG), (None, "null id"), (6, "\n\t  \n"), (7, "ünï 中文 🙂 <|endoftext|> &amp;")]
@@ -156,6 +157,11 @@ def test_components_against_brute_force(spark, sf_dir, duck):
     want = brute_components(rows)
     assert near(docs) == want
     assert near(docs, limit=5) == want  # shards in tiles
+    assert near(docs, scheme=simhash.Scheme(blocks=8)) == want  # longer keys
+    sizes = [simhash.EXACT.sized(n).blocks for n in (1, 10**6, 10**8, 10**10, 10**12)]
+    assert sizes[0] == 6 and sizes == sorted(sizes) and sizes[-1] > sizes[2]
+    for n in (10**6, 10**9, 10**11):
+        assert n >> min(len(p) for p in simhash.EXACT.sized(n).shards()) <= 2 * simhash.FEW
 
 
 def test_near_copies_on_odd_rows(odd, none):
@@ -467,6 +473,21 @@ def test_texts_that_share_a_digest_stay_apart(odd):
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0 and a.count() == b.count()
 
 
+def test_hot_keys_are_found_beside_others(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT", 3)  # a key with over a third of the rows is hot
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i % 6}") for i in range(60)] + [(99, "none"), (None, "hot")], "id long, k string")
+    found = rows.filter("k <> 'none'").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("most"))
+    got = shared.looked_up(rows, found, ["k"], "n", "id")
+    want = rows.join(found, "k").select("id", "k", "n", "most")
+    assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count() and got.count() == 61
+
+
+def test_exact_copies_with_maps_and_ties(spark):
+    df = spark.createDataFrame([(1, "a", {"x": 1}), (1, "a", {"x": 2}), (2, "b", None)], "doc_id long, text string, tags map<string,int>")
+    got = sorted([tuple(r) for r in exact_dedup.drop_exact_copies(df).collect()])
+    assert got == [(1, "a", {"x": 2}), (2, "b", None)]
+
+
 # 7 packing
 
 
