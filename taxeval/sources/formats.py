@@ -5,11 +5,14 @@ Bad numbers skip the row. Where a key repeats, the first or the last line wins,
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import accession_of_path, as_double, as_long, cell, cells, file_name, genome_id_candidates, read_id, stripped
 from ..operators.durable import small
+from ..operators.gates import required_columns
 from ..operators.profiles import autoscaled
 
 # Name classes that count as synonyms; Bracken level letters; header names, in order of preference.
@@ -286,7 +289,9 @@ def expand_datasets(df: DataFrame) -> DataFrame:
     return made.withColumn("_n", n).withColumn("expanded", F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("repeated dataset "), F.col("expanded")))).otherwise(F.col("expanded"))).drop("_n")
 
 
-def project_metadata(df: DataFrame, cohorts: dict[str, str]) -> DataFrame:
-    """Rows of known cohorts, under their short names."""
+def project_metadata(df: DataFrame, cohorts: dict[str, str], required: Sequence[str] = ()) -> DataFrame:
+    """Rows of known cohorts, under their short names. A table without all required columns is an error."""
+    if missing := required_columns(df, list(required)):
+        raise ValueError(f"metadata without columns {missing}")
     short = F.create_map(*[F.lit(x) for kv in cohorts.items() for x in kv])[F.col("cohort")]
     return df.withColumn("cohort", short).filter("cohort is not null")

@@ -259,6 +259,26 @@ def test_gates_raise(spark):
     assert gates.required_columns(df, ["k", "z"]) == ["z"]
 
 
+def test_metadata_needs_its_columns_and_samples_two_files(spark):
+    df = spark.createDataFrame([("long name", 1), ("other", 2)], "cohort string, age int")
+    assert rows(formats.project_metadata(df, {"long name": "L"}, ["age"])) == [("L", 1)]
+    with pytest.raises(ValueError, match="bmi"):
+        formats.project_metadata(df, {"long name": "L"}, ["age", "bmi"])
+    files = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "sample string, path string")
+    assert rows(gates.paired_files(files)) == [("b", 1)]
+
+
+def test_written_tables_can_be_removed(spark):
+    import os
+
+    from taxeval.operators import durable
+
+    durable.written(spark.range(3), "here")
+    folder = durable.shared_folder(spark).removeprefix("file://")
+    assert [x for x in os.listdir(folder) if x.startswith("here-")] and durable.remove_written(spark) >= 1
+    assert not [x for x in os.listdir(folder) if x.startswith("here-")]
+
+
 def test_run_records_from_files(spark, tmp_path):
     for name, meta, metrics in (("a", '{"exp": "e", "return_code": 0}', '{"x": 1.5, "v": "text"}'), ("b", '{"exp": "e", "return_code": 1}', "{}"), ("c", '{"exp": "e"}', "{}"), ("d", "{broken", "{}")):
         (tmp_path / name).mkdir()
