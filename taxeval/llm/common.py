@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..operators.durable import written as materialize  # noqa: F401
+
 #: Texts handled together inside a task: about so many characters, so that memory doesn't depend on the batch size.
 BLOCK_CHARS = 2_000_000
 #: Keys that are broadcast since each has over a 1/HOT of all rows: at most so many.
@@ -23,22 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets
-    a folder of its own; on a cluster that is an error, as each executor would write to its own disk."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        known = sc._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else None
-        if not found:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            found = tempfile.mkdtemp(prefix="spark-shared-")
-            sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever the case."""
     have = {c.lower() for c in df.columns}
@@ -47,13 +31,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: lineage ends here and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def looked_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, spread: str) -> DataFrame:
     """rows with the columns of table, which has a row for each key; rows without one go.
 
