@@ -12,21 +12,19 @@ def lookup_predictions(truth: DataFrame, pred: DataFrame, keys: list[str]) -> Da
     """truth(keys, read_id, taxid) with `pred` and `found`, from pred(keys, read_id, taxid).
 
     1. the read's own id, even if unclassified; 2. the id without /1 or /2, even if unclassified; 3. the mate's id,
-    only if both mates are in truth with the same taxon. All three meet in one shuffle by the id without suffix.
+    only if both mates are in truth with the same taxon. Truth and predictions meet in one aggregation by the id without
+    suffix, which has three of each at most: without suffix, /1 and /2. Of repeated ids the largest taxon counts.
     """
-    t = truth.select(*keys, "read_id", F.col("taxid").alias("truth")).withColumn("_base", pair_base(F.col("read_id")))
     side = F.regexp_extract("read_id", "/([12])$", 1)
-    p = pred.select(*keys, "read_id", F.col("taxid").alias("pred")).withColumn("_base", pair_base(F.col("read_id")))
-    # A base id has at most three predictions: without suffix, /1 and /2.
-    own = lambda s, v: F.max(F.when(side == s, v))
-    hits = p.groupBy(*keys, "_base").agg(
-        *[own(s, F.struct(F.lit(True).alias("hit"), F.col("pred").alias("taxid"))).alias(f"p{s}") for s in ("", "1", "2")]
-    )
-    mates = t.groupBy(*keys, "_base").agg(*[own(s, F.struct(F.lit(True).alias("hit"), F.col("truth").alias("taxid"))).alias(f"t{s}") for s in ("1", "2")])
-    same = F.coalesce(F.col("t1.hit") & F.col("t2.hit") & (F.col("t1.taxid") == F.col("t2.taxid")), F.lit(False))
-    joined = t.join(hits, [*keys, "_base"], "left").join(mates, [*keys, "_base"], "left")
-    pick = F.when(side == "1", F.coalesce("p1", "p", F.when(same, F.col("p2")))).when(side == "2", F.coalesce("p2", "p", F.when(same, F.col("p1")))).otherwise(F.col("p"))
-    return joined.withColumnRenamed("p", "p").select(*keys, "read_id", F.col("truth").alias("taxid"), pick["taxid"].alias("pred"), F.coalesce(pick["hit"], F.lit(False)).alias("found"))
+    part = lambda df, of_truth: df.select(*keys, pair_base(F.col("read_id")).alias("_base"), side.alias("_side"), F.lit(of_truth).alias("_truth"), F.struct(F.lit(True).alias("hit"), "taxid").alias("_v"))
+    both = part(truth, True).unionByName(part(pred, False))
+    own = lambda s, of_truth: F.max(F.when((F.col("_side") == s) & (F.col("_truth") == of_truth), F.col("_v")))
+    met = both.groupBy(*keys, "_base").agg(*[own(s, of).alias(f"{name}{s}") for name, of in (("t", True), ("p", False)) for s in ("", "1", "2")])
+    same = F.coalesce(F.col("t1.taxid") == F.col("t2.taxid"), F.lit(False))
+    row = lambda s, found: F.struct(F.lit(f"/{s}" if s else "").alias("end"), F.col(f"t{s}").alias("t"), found.alias("p"))
+    found = F.array(row("", F.col("p")), row("1", F.coalesce("p1", "p", F.when(same, F.col("p2")))), row("2", F.coalesce("p2", "p", F.when(same, F.col("p1")))))
+    rows = met.select(*keys, "_base", F.explode(F.filter(found, lambda x: x["t"].isNotNull())).alias("_r"))
+    return rows.select(*keys, F.concat("_base", "_r.end").alias("read_id"), F.col("_r.t.taxid").alias("taxid"), F.col("_r.p.taxid").alias("pred"), F.coalesce("_r.p.hit", F.lit(False)).alias("found"))
 
 
 def single_read_truth(rows: DataFrame) -> DataFrame:
