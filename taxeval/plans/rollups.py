@@ -18,7 +18,7 @@ def records(b: Bound) -> DataFrame:
     entry = lambda name, v: F.struct(F.lit(name).alias("key"), v.cast("double").alias("value"))
     metrics = F.map_from_entries(F.filter(F.array(
         entry("run_elapsed_seconds", F.when(F.col("event_id") % 4 != 0, F.col("value"))), entry("resource_max_rss_gb", F.when(F.col("event_id") % 3 == 0, F.col("value") / 2)),
-        entry("per_read_f1_species", F.when(F.col("event_id") % 5 != 1, F.col("event_id") % 100 / 100)), entry("purity_genus", F.when(F.col("event_id") % 9 == 0, F.lit(0.5))), entry("profile_metric_version", F.when(F.col("event_id") % 18 == 0, F.lit(2.0))), entry("exact_per_read_f1_species", F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 50 / 100)),
+        entry("per_read_f1_species", F.when(F.col("event_id") % 5 != 1, F.col("event_id") % 97 / 97)), entry("purity_genus", F.when(F.col("event_id") % 9 == 0, F.lit(0.5))), entry("profile_metric_version", F.when(F.col("event_id") % 18 == 0, F.lit(2.0))), entry("exact_per_read_f1_species", F.when(F.col("event_id") % 2 == 0, F.col("event_id") % 89 / 89)),
     ), lambda x: x["value"].isNotNull()))
     return e.select(
         F.when(k % 3 != 0, F.concat(F.lit("coll"), k % 3)).alias("collection"), F.when(k % 7 == 0, "Shown").alias("display"), F.concat(F.lit("ds"), k % 5).alias("dataset"),
@@ -31,7 +31,7 @@ def records(b: Bound) -> DataFrame:
 
 RUNS = """runs as (select case when user_id % 3 <> 0 then 'coll' || (user_id % 3) end as collection, 'ds' || (user_id % 5) as dataset, case when event_id % 20 <> 3 then user_id::varchar end as sample, case when event_id % 50 = 0 then '' else event_type end as tool, case when user_id % 7 = 0 then 'Shown' end as display,
   case when event_id % 10 <> 9 then '/db' || (event_id % 3) || '/x' || (user_id % 2) end as db, case when event_id % 4 <> 0 then 'x' || (user_id % 2) when event_id % 8 = 0 then '' end as db_name, event_id % 2 as source, event_id as ord, value as elapsed, event_id % 5 * 1048576 as max_rss_kb,
-  case when event_id % 4 <> 0 then value end as m_elapsed, case when event_id % 3 = 0 then value / 2 end as m_rss, case when event_id % 5 <> 1 then event_id % 100 / 100 end as m_f1, case when event_id % 9 = 0 then 0.5::double end as m_purity, case when event_id % 18 = 0 then 2.0::double end as m_version, case when event_id % 2 = 0 then event_id % 50 / 100 end as m_exact,
+  case when event_id % 4 <> 0 then value end as m_elapsed, case when event_id % 3 = 0 then value / 2 end as m_rss, case when event_id % 5 <> 1 then event_id % 97 / 97 end as m_f1, case when event_id % 9 = 0 then 0.5::double end as m_purity, case when event_id % 18 = 0 then 2.0::double end as m_version, case when event_id % 2 = 0 then event_id % 89 / 89 end as m_exact,
   case when event_id % 6 = 0 then 1 when event_id % 6 < 4 then 0 end as rc, 'exp' || (user_id % 2) as exp from events)"""
 
 
