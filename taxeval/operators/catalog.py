@@ -63,6 +63,7 @@ def described_datasets(datasets: DataFrame, formats: DataFrame) -> DataFrame:
     read files. input_type: what is given; paired FASTQ if (all samples are) paired; single FASTQ or contig FASTA if
     all files are one of these; else mixed. truth: what is given, else by the files that are there.
     """
+    # Fixed values (below): input types, truth labels, and the kind of collection that counts by its sample ids.
     listed = F.size("samples") > 0
     files = F.when(listed, F.flatten(F.transform("samples", lambda x: F.coalesce(x["reads"], F.array().cast("array<string>"))))).otherwise(F.coalesce("reads", F.array().cast("array<string>")))
     kinds = datasets.select("dataset", F.explode_outer(files).alias("path")).join(formats, "path", "left").groupBy("dataset").agg(F.collect_set("format").alias("_formats"))
