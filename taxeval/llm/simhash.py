@@ -39,8 +39,8 @@ FRONTIER = 400_000
 ZERO = b"\0"
 #: Jaccard similarity of linked texts of the pipeline; texts whose shingles tell which are common, and most of these.
 LIKENESS, SAMPLE, COMMON = 0.8, 20_000, 200_000
-#: Rounds in which buckets meet one member only; cells by which texts are looked up.
-TURNS, CELLS = 4, 1 << 22
+#: Rounds at most in which buckets meet one member only; cells by which texts are looked up; steps of sizes.
+TURNS, CELLS, BAND = 4, 1 << 22, 1.05
 
 
 @dataclass(frozen=True)
@@ -419,51 +419,71 @@ def alike(pairs: DataFrame, docs: DataFrame, shingle: int, likeness: float) -> D
     return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "_u", "_v").mapInArrow(run, "u long, v long")
 
 
+def partners(few: DataFrame, likeness: float) -> DataFrame:
+    """few(node, n, pos, ...) with a row for each band of sizes (column `band`) in which a partner may lie that shares the
+    token at pos as the first of its set in the common order.
+
+    What is before pos isn't shared, so of n at most n - pos is; a partner of size m then has a likeness of at most
+    (n - pos) / (n + m - (n - pos)), which bounds m from above, as the sizes alone bound it from below.
+    """
+    n = F.col("n")
+    low, high = n * likeness, F.least(n / likeness, (n - F.col("pos")) * ((1 + likeness) / likeness) - n)
+    return few.withColumn("band", F.explode(F.when(high >= low - 1e-6, F.sequence(band_of(low - 1e-6), band_of(high + 1e-6))).otherwise(F.array().cast("array<int>"))))
+
+
+def band_of(size) -> "F.Column":
+    """Sizes in steps of BAND."""
+    return F.floor(F.log(F.greatest(size, F.lit(1.0))) / F.lit(float(np.log(BAND)))).cast("int")
+
+
 def alike_components(docs: DataFrame, more: DataFrame | None = None, shingle: int = WIDE.shingle, likeness: float = LIKENESS) -> DataFrame:
     """(node, root) of all linked nodes of docs (node, text): links are the pairs of a Jaccard similarity of likeness
     or more of their sets of shingles, all of them; root is the smallest node of a component. more: pairs (u, v) to try
     first.
 
-    Nodes that share a prefix token form a bucket. Each is held against its bucket's smallest member first; only
-    those that are outside their bucket's largest component afterwards meet all of the bucket.
+    Nodes that share a prefix token form a bucket. Each is held against its bucket's most central member first, the one
+    with the fewest rarer shingles; only those that are outside their bucket's largest component afterwards meet others
+    of the bucket, and of these only what sizes and places in the common order leave possible. If that is much work,
+    some rounds with other members come first.
     """
     bucket = Window.partitionBy("token").orderBy("node")
     rows = prefixes(docs, shingle, likeness).withColumn("_b", F.lag("node").over(bucket)).withColumn("_a", F.lead("node").over(bucket))
-    rows = materialize(rows.filter("_a is not null or _b is not null").drop("_a", "_b"), "alike-buckets")
+    rows = materialize(rows.filter("_a is not null or _b is not null").drop("_a", "_b").withColumn("band", band_of(F.col("n").cast("double"))), "alike-buckets")
 
     size = rows.count()
     links, found = None, None
-    need = F.ceil(F.greatest("n", "m") * F.lit(likeness) - F.lit(1e-9)) - 1  # at most so many lie behind a prefix
+    share = likeness / (1 + likeness)
+    fits = lambda x, y: (F.least(x, y) + F.lit(1e-9) >= F.greatest(x, y) * F.lit(likeness))
+    pair = (F.greatest("node", "w").alias("u"), F.least("node", "w").alias("v"))
     for turn in range(TURNS + 1):
         at = rows if found is None else rows.join(found, "node", "left")
         at = at.withColumn("root", F.col("node") if found is None else F.coalesce("root", "node"))
-        fits = lambda x, y: (F.least(x, y) + F.lit(1e-9) >= F.greatest(x, y) * F.lit(likeness))
-        pair = (F.greatest("node", "w").alias("u"), F.least("node", "w").alias("v"), "n", "m")
+        last = False
         if turn:
             per = at.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
             open_ = per.groupBy("token").agg(F.max_by("root", "c").alias("main"), F.sum("c").alias("all"), F.max("c").alias("most")).filter("`all` > most")
-            open_ = materialize(open_, "alike-open")
-            work = open_.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-            at = at.join(open_.select("token", "main"), "token")
+            at = materialize(at.join(open_.select("token", "main"), "token"), "alike-open")
+            few = partners(at.filter(F.col("root") != F.col("main")), likeness)
+            sizes = at.groupBy("token", "band").agg(F.count(F.lit(1)).alias("c"))
+            work = few.groupBy("token", "band").agg(F.count(F.lit(1)).alias("f")).join(sizes, ["token", "band"]).agg(F.sum(F.col("f") * F.col("c"))).first()[0] or 0
             last = work <= 4 * size or turn == TURNS
-        else:
-            last = False
         if last:  # exact: of two that aren't joined, at least one is outside
-            few = at.filter(F.col("root") != F.col("main"))
-            others = at.select("token", F.col("node").alias("w"), F.col("n").alias("m"), F.col("root").alias("other"))
-            tries = few.join(others, "token").filter((F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m"))).select(*pair)
+            others = at.select("token", "band", F.col("node").alias("w"), F.col("n").alias("m"), F.col("pos").alias("place"), F.col("root").alias("other"))
+            tries = few.join(others, ["token", "band"])
         else:
-            order = F.struct("node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
-            hub = at.groupBy("token").agg(F.min_by(F.struct("node", "n", "root"), order).alias("hub"))
-            hub = hub.select("token", F.col("hub.node").alias("w"), F.col("hub.n").alias("m"), F.col("hub.root").alias("other"))
-            tries = at.join(hub, "token").filter((F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m"))).select(*pair)
-        # As many shared prefix tokens as a pair that is alike has at least; in rounds of one member it may have more.
-        tries = tries.filter("u > v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
-        tries = tries.filter(F.col("c") + need >= F.lit(likeness / (1 + likeness)) * (F.col("n") + F.col("m")) - F.lit(1e-6)).select("u", "v")
+            order = F.struct("pos", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+            hub = at.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "root"), order).alias("hub"))
+            hub = hub.select("token", F.col("hub.node").alias("w"), F.col("hub.n").alias("m"), F.col("hub.pos").alias("place"), F.col("hub.root").alias("other"))
+            tries = at.join(hub, "token")
+        # Shared at most, if this is the first shared token: pairs that are alike pass there, if not at others.
+        most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("place"))
+        tries = tries.filter((F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m")) & (most >= F.lit(share) * (F.col("n") + F.col("m")) - F.lit(1e-6)))
+        tries = tries.select(*pair).filter("u > v").distinct()
         if turn == 0 and more is not None:
             tries = tries.unionByName(more.select("u", "v")).distinct()
         new = materialize(alike(materialize(tries, "alike-pairs"), docs, shingle, likeness), "alike-links")
-        links = new if links is None else links.unionByName(new)
+        # What is linked already is taken along as one link a node.
+        links = new if found is None else found.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new)
         if turn == 0 or not new.isEmpty():
             found = components(links)
         if last:
