@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +75,23 @@ def arrow_map(
     return src.mapInArrow(run, schema)
 
 
+def finite_vectors(df: DataFrame, vector_col: str) -> DataFrame:
+    """The rows whose vector isn't null and holds no null and no non-finite component."""
+    fine = F.forall(F.col(f"`{vector_col}`"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return df.filter(F.coalesce(fine, F.lit(False)))
+
+
+def list_matrix(column: pa.Array, width: int, kind: type = np.float64) -> np.ndarray:
+    """Lists of numbers as rows, shorter ones filled up with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, sizes = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+    if (sizes == width).all():
+        return flat.reshape(-1, width).astype(kind)
+    out = np.zeros((len(sizes), width), kind)
+    out[np.arange(width) < sizes[:, None]] = flat
+    return out
+
+
 def blocks(texts: Iterable[str | None], most: int = BLOCK_CHARS) -> Iterator[list[str]]:
     """Runs of texts (null: empty) with about `most` characters; a longer text is a block of its own."""
     block: list[str] = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, licenses, packing, pii, secrets, simhash, topk
+from . import bpe, chat, clustering, decontaminate, exact_dedup, langid, licenses, packing, pii, secrets, simhash, topk, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_license_scan": licenses.query,
         "op9_voronoi_topk": topk.query,
         "op10_bpe": bpe.query,
+        "op11_embedding_whitening": whitening.query,
+        "op12_centroid_clustering": clustering.query,
+        "op13_benchmark_decontamination": decontaminate.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_voronoi_topk": topk.SQL}
+    return {"op4_chat_formatting": chat.SQL, "op6_exact_dedup": exact_dedup.SQL, "op9_voronoi_topk": topk.SQL, "op12_centroid_clustering": clustering.SQL, "op13_benchmark_decontamination": decontaminate.SQL}
