@@ -21,34 +21,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import finite_vectors, list_matrix, materialize, table
 
 #: Pivots at most (they are broadcast); vectors in a block; queries in a group; scores held at once in a task.
 PIVOTS, BLOCK, CHUNK, SCORES = 8192, 8192, 4096, 2_000_000
-#: Squared lengths, after scaling, from which on scores might not fit in 64 bits.
-LONGEST = 9e18
+#: The score that stands for no bound, and for scores below the range of 64 bits.
 LOWEST = -(2**63)
 
 
 def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v): floor(scale * x) of each component; without rows whose id or vector is null, that hold a null or
-    non-finite component, or whose squared length is LONGEST or more."""
-    finite = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    size = F.aggregate(F.col(vector_col), F.lit(0.0), lambda a, x: a + (F.abs(x.cast("double")) * scale + 1) * (F.abs(x.cast("double")) * scale + 1))
-    v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
-    fine = F.when(F.coalesce(finite, F.lit(False)), size < LONGEST).otherwise(False)
-    return vectors.filter(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-
-
-def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Lists of numbers as rows, shorter ones filled up with zeros."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat, sizes = column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
-    if (sizes == width).all():
-        return flat.reshape(-1, width).astype(np.int64)
-    out = np.zeros((len(sizes), width), np.int64)
-    out[np.arange(width) < sizes[:, None]] = flat
-    return out
+    """(id, v): floor(scale * x) of each component, a whole number as double; without rows whose id or vector is null,
+    or that hold a null or non-finite component."""
+    v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: F.lit(scale) * x)
+    fits = F.forall(v, lambda x: F.abs(x) < F.lit(float("inf")))
+    # Doubles from 2^53 on are whole, and floor() is for those that fit in a long.
+    v = F.transform(v, lambda x: F.when(F.abs(x) < F.lit(2.0**53), F.floor(x).cast("double")).otherwise(x))
+    v = F.when(fits, v).otherwise(F.raise_error(F.lit("a scaled component isn't finite")).cast("array<double>"))
+    return finite_vectors(vectors, vector_col).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+
+
+def different(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A place of each pair of an id and a vector, in order of the ids."""
+    order = np.argsort(ids, kind="stable")
+    if (ids[order][1:] != ids[order][:-1]).all():
+        return order
+    order = np.lexsort((*x.T[::-1], ids))
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[order][1:] != ids[order][:-1]) | (x[order][1:] != x[order][:-1]).any(1)
+    return order[new]
 
 
 def assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -56,18 +56,20 @@ def assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     held = vectors.sparkSession.sparkContext.broadcast(pivots)  # at most PIVOTS vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = held.value.astype(float)
-        sizes = (p * p).sum(1)
+        p = held.value
         step = max(16, SCORES // len(p))
         for batch in batches:
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
-                x = matrix(part.column(1), p.shape[1]).astype(float)
-                cell = (sizes - 2 * x @ p.T).argmin(1)
-                dist = np.sqrt(((x - p[cell]) ** 2).sum(1))
+                x = list_matrix(part.column(1), p.shape[1])
+                some = np.sort(different(part.column(0).to_numpy(), x))  # of repeated rows one goes on
+                part, x = part.take(pa.array(some)), x[some]
+                with np.errstate(over="ignore", invalid="ignore"):  # any cell will do for what is too far for floats
+                    cell = ((p * p).sum(1) - 2 * x @ p.T).argmin(1)
+                    dist = np.sqrt(((x - p[cell]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell, pa.int32()), pa.array(dist)], names=["id", "v", "cell", "dist"])
 
-    return vectors.mapInArrow(run, "id long, v array<long>, cell int, dist double")
+    return vectors.mapInArrow(run, "id long, v array<double>, cell int, dist double")
 
 
 def grouped_cells(pivots: np.ndarray, asking: np.ndarray, most: int) -> np.ndarray:
@@ -102,33 +104,36 @@ def solve(asked: DataFrame, sent: DataFrame, sizes: DataFrame, k: int, width: in
     blocks = sizes.select("grp", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks"))
     # A row for each group of about CHUNK queries: Spark's own size check decides if these are broadcast.
     left = asked.join(blocks, "grp").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = sent.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    right = sent.join(blocks, "grp").withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
 
     def local(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, x = right.column("id").to_numpy(), matrix(right.column("v"), width)
-        queries, q = left.column("query_id").to_numpy(), matrix(left.column("q"), width)
+        ids, x = right.column("id").to_numpy(), list_matrix(right.column("v"), width)
+        queries, q = left.column("query_id").to_numpy(), list_matrix(left.column("q"), width)
         bound = left.column("bound").to_numpy(zero_copy_only=False)
-        order = np.argsort(ids, kind="stable")
+        order = different(ids, x)  # repeated rows count once
         ids, x = ids[order], x[order]
-        if len(ids) and len(np.unique(ids)) < len(ids):  # repeated rows count once
-            both = np.unique(np.c_[ids, x], axis=0)
-            ids, x = both[:, 0], both[:, 1:]
         out: list[list[np.ndarray]] = [[], [], []]
         step = max(1, SCORES // max(1, len(ids)))
-        small = max(1, float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * width) < 2**53
-        if small:
-            q, x = q.astype(float), x.astype(float)
+        small = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * width < 2**53  # exact in floats
         for lo in range(0, len(queries) if len(ids) else 0, step):
-            s = (q[lo : lo + step] @ x.T).astype(np.int64)
-            for i, row in enumerate(s):
-                fine = np.flatnonzero((row >= bound[lo + i]) & (ids != queries[lo + i]))
+            part = q[lo : lo + step]
+            scores = (part @ x.T).astype(np.int64) if small else None
+            about, off = (None, None) if small else rounded(part, x)
+            for i in range(len(part)):
+                others = ids != queries[lo + i]
+                if small:
+                    fine = np.flatnonzero((scores[i] >= bound[lo + i]) & others)
+                    mine = scores[i][fine]
+                else:
+                    fine, mine = exact(part[i], x, about[i], off[i], np.flatnonzero(others), int(bound[lo + i]), k)
                 if len(fine) > k:
-                    cut = np.partition(row[fine], len(fine) - k)[len(fine) - k]
-                    fine = fine[row[fine] >= cut]
-                    fine = fine[np.argsort(-row[fine], kind="stable")[:k]]  # ids ascend, so ties go to smaller ones
+                    cut = np.partition(mine, len(fine) - k)[len(fine) - k]
+                    fine, mine = fine[mine >= cut], mine[mine >= cut]
+                    top = np.lexsort((ids[fine], np.invert(mine)))[:k]  # ties go to smaller ids
+                    fine, mine = fine[top], mine[top]
                 out[0].append(np.full(len(fine), queries[lo + i]))
                 out[1].append(ids[fine])
-                out[2].append(row[fine])
+                out[2].append(mine)
         return pa.table([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
     keys = ["grp", "block"]
@@ -136,6 +141,29 @@ def solve(asked: DataFrame, sent: DataFrame, sizes: DataFrame, k: int, width: in
     return left.cogroup(right).applyInArrow(local, "query_id long, vec_id long, score long")
 
 
+def rounded(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores in floats, and how far off they may be; what floats can't hold is off without limit."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        about = q @ x.T
+        off = 4 * q.shape[1] * np.finfo(float).eps * (np.abs(q) @ np.abs(x).T)
+    lost = ~np.isfinite(about) | ~np.isfinite(off)
+    return np.where(lost, 0, about), np.where(lost, np.inf, off)
+
+
+def exact(q: np.ndarray, x: np.ndarray, about: np.ndarray, off: np.ndarray, among: np.ndarray, bound: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places among which the k best scores are, and these, as whole numbers of 64 bits: of what floats leave
+    possible. Scores over their range are an error, those below count as LOWEST."""
+    low, high = (about - off)[among], (about + off)[among]
+    least = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+    fine = among[high >= max(least, bound - 1e-15 * abs(bound) if bound > LOWEST else -np.inf)]
+    factors = [int(c) for c in q]
+    scores = [sum(a * int(b) for a, b in zip(factors, x[i], strict=True)) for i in fine]
+    if max(scores, default=0) >= 2**63:
+        raise OverflowError("a score doesn't fit in 64 bits")
+    whole = np.array([max(s, LOWEST) for s in scores], np.int64)
+    return fine[whole >= bound], whole[whole >= bound]
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query. A query has at most k rows of each block that it met."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -159,19 +187,23 @@ def needs(asked: DataFrame, cells: np.ndarray, centre: np.ndarray, radius: np.nd
             for lo in range(0, batch.num_rows, step):
                 part = batch.slice(lo, step)
                 grp, home = part.column(0).to_numpy(), part.column(3).to_numpy()
-                q = matrix(part.column(2), width).astype(float)
+                q = list_matrix(part.column(2), width)
                 low = part.column(4).to_numpy(zero_copy_only=False).astype(float)
-                size = np.sqrt((q * q).sum(1))[:, None]
-                slack = 1e-9 * size * (sizes + r) + 1e-6  # rounding
-                at_pivot = q @ p.T
+                with np.errstate(over="ignore", invalid="ignore"):
+                    size = np.sqrt((q * q).sum(1))[:, None]
+                    slack = 1e-9 * size * (sizes + r) + 1e-6  # rounding
+                    at_pivot = q @ p.T
+                    worst = at_pivot - size * r - slack
+                worst[~np.isfinite(worst)] = -np.inf
                 for i in np.flatnonzero(low == float(LOWEST)):
-                    surely = at_pivot[i] - size[i] * r - slack[i]
+                    surely = worst[i]
                     order = np.argsort(-surely)
                     enough = np.searchsorted(np.cumsum(n[order]), k + 1)  # one of them may be the query itself
-                    if enough < len(order):
-                        low[i] = surely[order[enough]]
-                short = low[:, None] - at_pivot - slack
-                least = np.where(size > 0, short / np.where(size > 0, size, 1), np.where(short <= 0, -np.inf, np.inf))
+                    low[i] = surely[order[enough]] if enough < len(order) else -np.inf
+                with np.errstate(over="ignore", invalid="ignore"):
+                    short = low[:, None] - at_pivot - slack
+                    least = np.where(size > 0, short / np.where(size > 0, size, 1), np.where(short <= 0, -np.inf, np.inf))
+                least[~np.isfinite(worst)] = -np.inf  # what is beyond floats rules nothing out
                 least[own == home[:, None]] = np.inf
                 order = np.argsort(grp, kind="stable")
                 first = np.flatnonzero(np.r_[True, grp[order][1:] != grp[order][:-1]])
@@ -187,8 +219,8 @@ def top_k(vectors: DataFrame, queries: "F.Column", k: int = 10, id_col: str = "v
 
     `queries` is a condition on the id that says which rows ask. A row doesn't find rows with its own id; ties go to
     the smaller id; all rows come where there are fewer. Rows with a null id, a null vector, or a null or non-finite
-    component take no part, nor do vectors so long that scores might not fit in 64 bits (squared length of LONGEST
-    after scaling). Shorter vectors are filled up with zeros. Rows equal in id and vector count once; of different
+    component take no part; all others do, however long they are. Scores are exact; one of a result that doesn't fit in
+    64 bits is an error. Shorter vectors are filled up with zeros. Rows equal in id and vector count once; of different
     vectors with a query's id the largest asks. Other columns, of whatever name, play no part. No rows: no rows.
 
     report, if given, receives the numbers of vectors, queries, pivots and groups, and `sent`, the vectors sent to
@@ -203,7 +235,7 @@ def top_k(vectors: DataFrame, queries: "F.Column", k: int = 10, id_col: str = "v
     width = max(1, width)
     some = min(pivots, max(16, math.ceil(4 * math.sqrt(n))))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(some).collect()  # at most `pivots` vectors
-    p = np.zeros((len(sample), width), np.int64)
+    p = np.zeros((len(sample), width))
     for i, r in enumerate(sample):
         p[i, : len(r["v"])] = r["v"]
     p = np.unique(p, axis=0)
@@ -232,12 +264,14 @@ def top_k(vectors: DataFrame, queries: "F.Column", k: int = 10, id_col: str = "v
     bounds = home.filter(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
     asked = materialize(asked.join(bounds, "query_id", "left").select("grp", "query_id", "q", "cell", F.coalesce("bound", F.lit(LOWEST).cast("long")).alias("bound")), "voronoi-asked")
     own, radius, ids = (np.array([r[c] for r in summary]) for c in ("cell", "r", "ids"))
-    need = materialize(needs(asked, own, p[own].astype(float), radius, ids, k, width), "voronoi-needs")
+    need = materialize(needs(asked, own, p[own], radius, ids, k, width), "voronoi-needs")
     sent = data.join(need, "cell").filter(F.col("dist") >= F.col("least")).select("grp", "id", "v")
-    far = solve(asked.select("grp", "query_id", "q", "bound"), sent, need.join(F.broadcast(counts), "cell").groupBy("grp").agg(F.sum("n").alias("n")), k, width)
+    received = data.select("cell", "dist").join(need, "cell").filter(F.col("dist") >= F.col("least")).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    far = solve(asked.select("grp", "query_id", "q", "bound"), sent, received, k, width)
     if report is not None:
         report.update(vectors=n, queries=int(asking.sum()), pivots=len(p), groups=int(parts.sum()), sent=sent.count())
-    return best(home.select("query_id", "vec_id", "score").unionByName(far), k).select("query_id", "rank", "vec_id", "score")
+    fits = F.when(F.col("score") > LOWEST, F.col("score")).otherwise(F.raise_error(F.lit("a score doesn't fit in 64 bits")).cast("long"))
+    return best(home.select("query_id", "vec_id", "score").unionByName(far), k).select("query_id", "rank", "vec_id", fits.alias("score"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taxeval.llm import clustering, whitening
+from taxeval.llm import clustering, topk, whitening
 
 NAN, INF = float("nan"), float("inf")
 CLASHES = ("id", "v", "n", "w", "k", "whitened", "deviation", "component", "cluster", "distance", "d", "h")
@@ -152,3 +152,48 @@ def test_clusters_on_odd_rows(spark):
     assert clustering.clusters(df.limit(0)).collect() == [] == clustering.clusters(df).collect()
     with pytest.raises(Exception, match="64 bits"):
         clustering.clusters(spark.createDataFrame([(0, [1e300])], "vec_id long, embedding array<double>"), dims=1).collect()
+
+
+def plain_top(rows, asks, k):
+    x = [(i, [math.floor(1024 * c) for c in v]) for i, v in rows]
+    out = {}
+    for i, v in x:
+        if asks(i):
+            scores = {(-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in x if j != i}
+            out[i] = [(j, -s) for s, j in sorted(scores)[:k]]
+    return out
+
+
+def top(spark, rows, k):
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2), lambda i: i % 100 == 0, k=k).collect()
+    out = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return out
+
+
+def test_long_vectors_take_part_in_searches(spark):
+    rows = [(0, [1.0, 0.0]), (100, [4e6, 0.0]), (1, [1.0, 1.0])]
+    assert top(spark, rows, 10) == {0: [(100, 4_194_304_000_000), (1, 1024**2)], 100: [(0, 4_194_304_000_000), (1, 4_194_304_000_000)]}
+    rng = np.random.default_rng(8)
+    some = (rng.normal(size=(300, 3)) * 10.0 ** rng.integers(-2, 5, (300, 1))).tolist()
+    rows = [(i, v) for i, v in enumerate(some)]
+    assert top(spark, rows, 7) == plain_top(rows, lambda i: i % 100 == 0, 7)
+    # Differences far beyond the precision of floats decide, and what floats can't hold is exact too.
+    near = [(0, [2.0**20, 1.0, 0.0]), (1, [2.0**22, 0.0, 0.0]), (2, [2.0**22, 1.0 / 1024, 0.0]), (3, [2.0**22, -1.0 / 1024, 0.0]), (4, [0.0, 0.0, 1e200]), (100, [0.0, 5.0, 0.0])]
+    assert top(spark, near, 5) == plain_top(near, lambda i: i % 100 == 0, 5)
+
+
+def test_scores_beyond_64_bits_are_errors(spark):
+    for far in (4e12, -4e12, 1e300, 1e308):
+        with pytest.raises(Exception, match="64 bits|finite"):
+            top(spark, [(0, [4e12, 1.0]), (1, [far, 0.0])], 3)
+    # One that isn't among the best doesn't matter.
+    assert top(spark, [(0, [4e12, 1.0]), (1, [-4e12, 0.0]), (2, [1.0, 0.0])], 1) == {0: [(2, math.floor(4e12 * 1024) * 1024)]}
+
+
+def test_repeated_rows_of_one_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rows = [(7, [float(i % 40), 1.0]) for i in range(400)] + [(100, [1.0, 0.5])] * 3 + [(200, [0.5, 0.25])]
+    want = plain_top(list(dict.fromkeys((i, tuple(v)) for i, v in rows)), lambda i: i % 100 == 0, 5)
+    assert top(spark, rows, 5) == want
