@@ -1,7 +1,7 @@
 """Language identification by interpolated Kneser-Ney models over characters.
 
-Fitted on a bounded sample of labelled rows: about `train_rows` rows of each of the `most` most frequent languages,
-chosen by a hash; both bounds are parameters. The counts of all character 4-grams of the sample come from Spark; lower
+Fitted on a bounded sample of labelled rows: about `train_rows` rows of each language (fewer, if there are many),
+chosen by a hash; the bounds are parameters. The counts of all character 4-grams of the sample come from Spark; lower
 orders follow from them (continuation counts). Each language has sorted hash arrays of its own n-grams, so what is
 broadcast grows with the sample alone. The language with the lowest cross-entropy a character is chosen; a text whose
 cross-entropy lies over what rows show that the counts haven't seen is rejected.
@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from .common import arrow_map, blocks, fresh, materialize, table
 
 ORDER = 4
-#: Bounds of the labelled sample: rows of a language (about), and languages, the most frequent ones.
-TRAIN_ROWS, LANGUAGES = 2000, 1000
+#: Bounds of the labelled sample: rows and characters of a language, and rows of all languages together (all about).
+TRAIN_ROWS, TRAIN_CHARS, ALL_ROWS = 2000, 20_000_000, 2_000_000
 #: Rejection: bits a character that a text may lie over what is usual, and what short texts may add to it.
 MARGIN, SHORT = 1.0, 8.0
 #: Rows that each language's usual entropy borrows from all languages together.
@@ -173,18 +173,20 @@ def held_out(id_col: str) -> "F.Column":
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, most: int = LANGUAGES) -> Model:
-    """A model from a sample of the rows of docs that have a language and a text: about train_rows of each (all, if
-    fewer) of the `most` most frequent languages, chosen by a hash of id and text. In the order of the hash, every
-    fourth row of a language only calibrates the rejection. No such rows: a model without languages. Repeated rows
-    count as often as they come; other columns play no part."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS, all_rows: int = ALL_ROWS) -> Model:
+    """A model of all languages that rows of docs with a text have, from a sample of these rows: about train_rows of
+    each language, with about train_chars characters (all, if there are fewer), chosen by a hash of id and text; with so
+    many languages that this makes more than about all_rows, fewer of each. In the order of the hash, every fourth row
+    of a language only calibrates the rejection. No such rows: a model without languages. Repeated rows count as often
+    as they come; other columns play no part."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"))
-    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
-    langs = sorted(found)
+    found = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("long")).alias("chars")), "language-rows")
+    langs = found.count()
     if not langs:
         return Model([], [])
-    share = F.create_map(*[x for l in langs for x in (F.lit(l), F.lit(min(1.0, train_rows / found[l])))])
-    sample = rows.filter(F.shiftrightunsigned("draw", 11) < F.try_element_at(share, F.col("lang")) * F.lit(2.0**53))
+    each = min(train_rows, all_rows / langs)
+    share = found.select("lang", F.least(F.lit(each) / F.col("n"), F.lit(train_chars) / F.greatest("chars", F.lit(1)), F.lit(1.0)).alias("share"))
+    sample = rows.join(share, "lang").filter(F.shiftrightunsigned("draw", 11) < F.col("share") * F.lit(2.0**53)).drop("share")
     sample = materialize(sample.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).select("lang", "text", (F.col("rank") % 4 != 0).alias("fits")), "language-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
