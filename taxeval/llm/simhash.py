@@ -39,8 +39,9 @@ FRONTIER = 400_000
 ZERO = b"\0"
 #: Jaccard similarity of linked texts of the pipeline; texts whose shingles tell which are common, and most of these.
 LIKENESS, SAMPLE, COMMON = 0.8, 20_000, 200_000
-#: Rounds at most in which buckets meet one member only; cells by which texts are looked up; steps of sizes.
-TURNS, CELLS, BAND = 4, 1 << 22, 1.05
+#: Rounds at most in which buckets meet one member only; cells by which texts are looked up; steps of sizes; sets that
+#: meet another one together.
+TURNS, CELLS, BAND, TOGETHER = 4, 1 << 22, 1.05, 256
 
 
 @dataclass(frozen=True)
@@ -354,9 +355,10 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, shingle: int, likeness: float) -> DataFrame:
-    """Rows (token, node, n, pos) of docs (node, text): of each set of n shingles the first n - ceil(likeness n) + 1,
+    """Rows (token, node, n, pos, marks) of docs (node, text): of each set of n shingles the first n - ceil(likeness n) + 1,
     those that are common in a sample last. Sets of a Jaccard similarity of likeness share one of these, by whatever
-    order of the shingles; the order only keeps the groups that share one small."""
+    order of the shingles; the order only keeps the groups that share one small. marks, on a set's first row: a bit for
+    each of 256 cells, one where the number of shingles in the cell is odd."""
     million = 1_000_000
     share = min(million, million * SAMPLE // max(1, docs.count()) + 1)
 
@@ -374,10 +376,11 @@ def prefixes(docs: DataFrame, shingle: int, likeness: float) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                tokens, nodes, sizes, places = [], [], [], []
+                tokens, nodes, sizes, places, marks = [], [], [], [], []
                 for node, text in zip(batch.column(0).to_numpy(zero_copy_only=False)[lo : lo + 512], batch.column(1)[lo : lo + 512].to_pylist(), strict=True):
                     found = shingle_set(text, shingle)
                     n = len(found)
+                    odd = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1
                     if len(keys):
                         at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
                         found = found[np.argsort(np.where(keys[at] == found, often[at], 0), kind="stable")]
@@ -386,15 +389,28 @@ def prefixes(docs: DataFrame, shingle: int, likeness: float) -> DataFrame:
                     nodes.append(np.full(k, node, np.int64))
                     sizes.append(np.full(k, n, np.int32))
                     places.append(np.arange(k, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (nodes, sizes, places)]], names=["token", "node", "n", "pos"])
+                    marks += [np.packbits(odd).view(np.int64).tolist()] + [None] * (k - 1)
+                arrays = [pa.array(np.concatenate(tokens).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (nodes, sizes, places)], pa.array(marks, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["token", "node", "n", "pos", "marks"])
 
-    return docs.select("node", "text").mapInArrow(first, "token long, node long, n int, pos int")
+    return docs.select("node", "text").mapInArrow(first, "token long, node long, n int, pos int, marks array<long>")
+
+
+def buckets(docs: DataFrame, shingle: int, likeness: float) -> DataFrame:
+    """The rows of prefixes() whose token more than one node has, with the node's marks and its size's band. Tokens are
+    counted where they are before they are dealt out."""
+    rows = materialize(prefixes(docs, shingle, likeness), "alike-prefixes")
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
+    own = rows.filter("pos = 0").select("node", "marks").distinct()
+    kept = rows.drop("marks").join(shared, "token", "left_semi").join(own, "node")
+    return materialize(kept.withColumn("band", band_of(F.col("n").cast("double"))), "alike-buckets")
 
 
 def alike(pairs: DataFrame, docs: DataFrame, shingle: int, likeness: float) -> DataFrame:
     """The pairs (u, v) of docs (node, text) whose sets have a Jaccard similarity of likeness or more.
 
-    Sets are made of texts whose node falls in a marked cell, so that few others are dealt out.
+    Sets are made of texts whose node falls in a marked cell, so that few others are dealt out. The set of a u goes to
+    its v, whose own set goes once to each block of about TOGETHER of them.
     """
     marked = np.zeros(CELLS, bool)
     marked[pairs.select(F.explode(F.array("u", "v")).alias("x")).select(F.pmod("x", F.lit(CELLS)).cast("int").alias("x")).distinct().toArrow().column("x").to_numpy()] = True
@@ -407,16 +423,26 @@ def alike(pairs: DataFrame, docs: DataFrame, shingle: int, likeness: float) -> D
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), assume_unique=True))
-                keep.append(both >= likeness * ((len(a) + len(b)) // 8 - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        key, held = None, []
+        for batch in batches:  # (v, block, u, shingles) in order; rows without u are v's own and come first
+            out: list[tuple[int, int]] = []
+            for v, block, u, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = np.frombuffer(shingles, np.int64)
+                if u is None:
+                    held = [*held, mine] if key == (v, block) else [mine]
+                    key = (v, block)
+                elif key == (v, block):
+                    shared = [(len(np.intersect1d(mine, x, assume_unique=True)), len(x)) for x in held]
+                    if any(both >= likeness * (len(mine) + n - both) - 1e-9 for both, n in shared):
+                        out.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
     sets = materialize(docs.select("node", "text").mapInArrow(make, "node long, shingles binary"), "alike-sets")
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"_{c}"))
-    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "_u", "_v").mapInArrow(run, "u long, v long")
+    per = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("blocks"))
+    asking = pairs.join(per, "v").select("v", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("block"), "u")
+    asking = asking.join(sets.withColumnRenamed("node", "u"), "u").select("v", "block", "u", "shingles")
+    own = per.join(sets.withColumnRenamed("node", "v"), "v").select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("u"), "shingles")
+    return asking.unionByName(own).repartition("v", "block").sortWithinPartitions("v", "block", F.asc_nulls_first("u")).mapInArrow(run, "u long, v long")
 
 
 def partners(few: DataFrame, likeness: float) -> DataFrame:
@@ -443,17 +469,17 @@ def alike_components(docs: DataFrame, more: DataFrame | None = None, shingle: in
 
     Nodes that share a prefix token form a bucket. Each is held against its bucket's most central member first, the one
     with the fewest rarer shingles; only those that are outside their bucket's largest component afterwards meet others
-    of the bucket, and of these only what sizes and places in the common order leave possible. If that is much work,
-    some rounds with other members come first.
+    of the bucket, and of these only what sizes, places in the common order, and marks leave possible: marks differ in at
+    most as many bits as sets do in shingles. If that is much work, some rounds with other members come first.
     """
-    bucket = Window.partitionBy("token").orderBy("node")
-    rows = prefixes(docs, shingle, likeness).withColumn("_b", F.lag("node").over(bucket)).withColumn("_a", F.lead("node").over(bucket))
-    rows = materialize(rows.filter("_a is not null or _b is not null").drop("_a", "_b").withColumn("band", band_of(F.col("n").cast("double"))), "alike-buckets")
+    rows = buckets(docs, shingle, likeness)
 
     size = rows.count()
     links, found = None, None
     share = likeness / (1 + likeness)
     fits = lambda x, y: (F.least(x, y) + F.lit(1e-9) >= F.greatest(x, y) * F.lit(likeness))
+    apart = F.lit((1 - likeness) / (1 + likeness)) * (F.col("n") + F.col("m")) + F.lit(1e-6)  # shingles that only one of the two has, at most
+    differ = sum((F.bit_count(F.get("marks", F.lit(i)).bitwiseXOR(F.get("other_marks", F.lit(i)))) for i in range(4)), F.lit(0))
     pair = (F.greatest("node", "w").alias("u"), F.least("node", "w").alias("v"))
     for turn in range(TURNS + 1):
         at = rows if found is None else rows.join(found, "node", "left")
@@ -468,16 +494,16 @@ def alike_components(docs: DataFrame, more: DataFrame | None = None, shingle: in
             work = few.groupBy("token", "band").agg(F.count(F.lit(1)).alias("f")).join(sizes, ["token", "band"]).agg(F.sum(F.col("f") * F.col("c"))).first()[0] or 0
             last = work <= 4 * size or turn == TURNS
         if last:  # exact: of two that aren't joined, at least one is outside
-            others = at.select("token", "band", F.col("node").alias("w"), F.col("n").alias("m"), F.col("pos").alias("place"), F.col("root").alias("other"))
+            others = at.select("token", "band", F.col("node").alias("w"), F.col("n").alias("m"), F.col("pos").alias("place"), F.col("root").alias("other"), F.col("marks").alias("other_marks"))
             tries = few.join(others, ["token", "band"])
         else:
             order = F.struct("pos", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
-            hub = at.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "root"), order).alias("hub"))
-            hub = hub.select("token", F.col("hub.node").alias("w"), F.col("hub.n").alias("m"), F.col("hub.pos").alias("place"), F.col("hub.root").alias("other"))
+            hub = at.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "root", "marks"), order).alias("hub"))
+            hub = hub.select("token", F.col("hub.node").alias("w"), F.col("hub.n").alias("m"), F.col("hub.pos").alias("place"), F.col("hub.root").alias("other"), F.col("hub.marks").alias("other_marks"))
             tries = at.join(hub, "token")
         # Shared at most, if this is the first shared token: pairs that are alike pass there, if not at others.
         most = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("place"))
-        tries = tries.filter((F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m")) & (most >= F.lit(share) * (F.col("n") + F.col("m")) - F.lit(1e-6)))
+        tries = tries.filter((F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m")) & (most >= F.lit(share) * (F.col("n") + F.col("m")) - F.lit(1e-6)) & (differ <= apart))
         tries = tries.select(*pair).filter("u > v").distinct()
         if turn == 0 and more is not None:
             tries = tries.unionByName(more.select("u", "v")).distinct()
