@@ -488,6 +488,14 @@ def test_exact_copies_with_maps_and_ties(spark):
     assert got == [(1, "a", {"x": 2}), (2, "b", None)]
 
 
+def test_many_repeated_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "RUN", 1000)
+    df = spark.range(10_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text")).unionByName(spark.createDataFrame([(1, "same"), (2, "other"), (2, "other"), (None, "")], "doc_id long, text string"))
+    for digest in (exact_dedup.sha256, F.length):
+        got = exact_dedup.exact_dedup(df, digest=digest).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(None, 1, 10_001, False, 10_000), (1, 1, 10_001, True, 1), (2, 2, 2, True, 1), (2, 2, 2, False, 1), (None, None, 1, True, 1)], key=str)
+
+
 # 7 packing
 
 
@@ -631,6 +639,38 @@ def test_whole_licenses_are_found_among_others():
     assert held.scan("a license is what permits; the terms and conditions of use apply to the work. " * 20) == []
 
 
+@pytest.mark.parametrize("name", sorted(licenses.whole_texts()))
+def test_long_licenses_with_blocks_put_in_and_moved(name):
+    texts = licenses.TEMPLATES | licenses.whole_texts()
+    held = licenses.Templates(texts)
+    ws = texts[name].split()
+    n = len(ws)
+    found = lambda text: [x for x in held.scan(text) if x[0] in licenses.whole_texts()]  # noqa: E731 (what is left of one may hold its notice)
+    for at in (0.1, 0.5, 0.9):
+        cut = int(at * n)
+        text = " ".join(["Before.", *ws[:cut], *(f"foreign{i} the of" for i in range(n // 6)), *ws[cut:], "after"])
+        got = found(text)
+        assert [x[0] for x in got] == [name] and got[0][1] > (0.98 if at == 0.5 else 0.85), (name, at, got)  # a tenth beyond a long block isn't worth its words
+    moved = ws[: n // 3] + ws[n // 3 + n // 8 : n - 20] + ws[n // 3 : n // 3 + n // 8] + ws[n - 20 :]
+    got = found(" ".join(moved))
+    assert [x[0] for x in got] == [name] and 0.85 < got[0][1] < 0.99, (name, got)
+    half = [*ws[: n // 2], *["foreign"] * (n // 3), *ws[n // 2 :]]
+    assert [x[0] for x in found(" ".join([*half, "or", *half]))] == [name, name]
+
+
+def test_notices_and_tags_have_their_own_names():
+    held = licenses.Templates(licenses.TEMPLATES | licenses.tags() | licenses.whole_texts(), frozenset(licenses.tags()))
+    for name in ("GPL-2.0 notice (long)", "GPL-3.0 notice (long)", "LGPL-2.1 notice (long)", "AGPL-3.0 notice (long)", "MPL-2.0 notice"):
+        assert [x[:2] for x in held.scan(f"// {licenses.TEMPLATES[name]} int main")] == [(name, 1.0)]
+    assert [x[0] for x in held.scan(licenses.TEMPLATES["GPL-3.0 notice (long)"].split(" If not, see")[0])] == ["GPL-3.0 notice (long)"]
+    assert [x[0] for x in held.scan(licenses.TEMPLATES["GPL-2.0 notice (long)"].split("; if not, write")[0])] == ["GPL-2.0 notice (long)"]
+    for name in licenses.TAGS:
+        assert [x[0] for x in held.scan(f"x\n// SPDX-License-Identifier: {name}\n\nint main")] == [f"{name} tag"], name
+    assert held.scan("# SPDX-License-Identifier: WTFPL-2.0") == [] == held.scan("# SPDX-License-Identifier: OFL-1.1")
+    whole = licenses.whole_texts()["GPL-2.0"]
+    assert [x[0] for x in held.scan(whole[whole.index("How to Apply") if "How to Apply" in whole else -1200 :])][:1] in ([], ["GPL-2.0 notice (long)"])
+
+
 def test_custom_templates_need_no_word_list(spark):
     texts = {"one": "frobnicate", "two": "glorp zib", "note": "this frog may leap under the stars of march", "none": "?!"}
     df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(texts.values())], "doc_id long, text string")
@@ -678,7 +718,9 @@ def test_stretches_against_all_stretches():
         ws = [rnd.choice("abcdefghxyz") if rnd.random() < 0.5 else template[i % 10] for i in range(rnd.randint(0, 40))]
         want = any(licenses.passes(10, common(template, ws[s:e]), e - s) for s in range(len(ws)) for e in range(s + 1, len(ws) + 1))
         got = held.stretches(0, ws, 0, len(ws))
-        assert bool(got) == want and all(licenses.passes(10, common(template, ws[s : e + 1]), e - s + 1) for s, e in got)
+        assert all(held.tightest(0, ws, a, b, len(ws)) is None or want for a, b in ((0, len(ws) - 1), (3, 17)) if a <= b < len(ws))
+        assert bool(got) == want and (held.tightest(0, ws, 0, len(ws) - 1, len(ws)) is not None) == want if ws else not want
+        assert all(licenses.passes(10, common(template, ws[s : e + 1]), e - s + 1) for s, e in got)
         pairs = licenses.common_pairs(template, ws)
         assert len(pairs) == common(template, ws) and all(template[i] == ws[j] for i, j in pairs)
 
