@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import looked_up, materialize, table
 
 SALTS = 16
+#: Repeated rows that one task writes out together.
+RUN = 10_000
 
 
 def sha256(text: Column) -> Column:
@@ -45,19 +47,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     few = materialize(groups.groupBy("_digest").agg(F.max("_keep").alias("_keep"), F.max("_size").alias("_size"), F.count(F.lit(1)).alias("_texts")), "dedup-groups")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     rows = rows.select("_id", "_text", digest(F.col("_text")).alias("_digest"))
-    sha = F.lower(F.hex("_digest")) if digest is sha256 else F.sha2("_text", 256)
-    copy = F.row_number().over(Window.partitionBy("_digest", "_id").orderBy(F.lit(1)))
-    slim = rows.select("_id", "_digest", *([] if digest is sha256 else [sha.alias("_sha")])).withColumn("_copy", copy)
-    found = looked_up(slim, few.filter("_texts = 1"), ["_digest"], "_size", "_id").withColumn("_sha", sha if digest is sha256 else F.col("_sha"))
+    own = [] if digest is sha256 else [F.sha2("_text", 256).alias("_sha")]
+    # Repeated rows are one row with their number from here on.
+    slim = materialize(rows.groupBy("_digest", "_id", *own).agg(F.count(F.lit(1)).alias("_rows")), "dedup-rows")
+    found = looked_up(slim, few.filter("_texts = 1"), ["_digest"], "_size", "_id")
+    found = found.withColumn("_sha", F.lower(F.hex("_digest")) if digest is sha256 else F.col("_sha"))
     clashing = few.filter("_texts > 1")
     if not clashing.isEmpty():  # a digest that isn't injective: only its rows are matched by whole texts
-        shared = rows.join(clashing.select("_digest"), "_digest", "left_semi")
-        shared = shared.withColumn("_sha", F.sha2("_text", 256)).withColumn("_copy", F.row_number().over(Window.partitionBy("_digest", "_id", "_text").orderBy(F.lit(1))))
+        shared = rows.join(clashing.select("_digest"), "_digest", "left_semi").groupBy("_digest", "_text", "_id").agg(F.count(F.lit(1)).alias("_rows"))
         same = groups.withColumn("_n", F.count(F.lit(1)).over(by_digest)).filter("_n > 1").drop("_n")
-        more = shared.join(same, ["_digest", "_text"])
-        cols = ["_id", "_sha", "_copy", "_keep", "_size"]
+        more = shared.join(same, ["_digest", "_text"]).withColumn("_sha", F.sha2("_text", 256))
+        cols = ["_id", "_sha", "_rows", "_keep", "_size"]
         found = found.select(*cols).unionByName(more.select(*cols))
-    return found.select(
+    return written_out(found, slim).select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
         F.col("_size").alias("group_size"),
@@ -66,6 +68,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def written_out(found: DataFrame, slim: DataFrame) -> DataFrame:
+    """found with a row, numbered by _copy, for each of its _rows. slim has these numbers too: if one is large, rows are
+    dealt out in runs before they are written out."""
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_rows - 1) div {RUN}")))
+    runs = found.withColumn("_run", first)
+    if not slim.filter(F.col("_rows") > RUN).isEmpty():
+        runs = runs.repartition("_id", "_run")
+    return runs.withColumn("_copy", F.explode(F.sequence(F.col("_run") * RUN + 1, F.least(F.col("_rows"), (F.col("_run") + 1) * RUN))))
+
+
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows that stay, with all columns of docs, of whatever name and type: a row for each distinct text, the one
     with the largest id; null ids lose.
