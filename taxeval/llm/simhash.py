@@ -37,8 +37,9 @@ FEW = 64
 #: Pairs of a search and a node that are held at once.
 FRONTIER = 400_000
 ZERO = b"\0"
-#: Jaccard similarity of linked texts of the pipeline; texts whose shingles tell which are common, and most of these.
-LIKENESS, SAMPLE, COMMON = 0.8, 20_000, 200_000
+#: Jaccard similarity of linked texts of the pipeline, and words of a shingle; texts whose shingles tell which are
+#: common, and most of these.
+LIKENESS, SHINGLE, SAMPLE, COMMON = 0.8, 5, 20_000, 200_000
 #: Rounds at most in which buckets meet one member only; cells by which texts are looked up; steps of sizes; sets that
 #: meet another one together.
 TURNS, CELLS, BAND, TOGETHER = 4, 1 << 22, 1.05, 256
@@ -355,10 +356,10 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, shingle: int, likeness: float) -> DataFrame:
-    """Rows (token, node, n, pos, marks) of docs (node, text): of each set of n shingles the first n - ceil(likeness n) + 1,
-    those that are common in a sample last. Sets of a Jaccard similarity of likeness share one of these, by whatever
-    order of the shingles; the order only keeps the groups that share one small. marks, on a set's first row: a bit for
-    each of 256 cells, one where the number of shingles in the cell is odd."""
+    """Rows (token, node, n, pos, common, marks) of docs (node, text): of each set of n shingles the first
+    n - ceil(likeness n) + 1, those that are common in a sample last. Sets of a Jaccard similarity of likeness share one
+    of these, by whatever order of the shingles; the order only keeps the groups that share one small. A row with pos -1
+    brings the marks of a set: a bit for each of 256 cells, one where the number of shingles in the cell is odd."""
     million = 1_000_000
     share = min(million, million * SAMPLE // max(1, docs.count()) + 1)
 
@@ -376,33 +377,41 @@ def prefixes(docs: DataFrame, shingle: int, likeness: float) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                tokens, nodes, sizes, places, marks = [], [], [], [], []
+                tokens, nodes, sizes, places, known, marks = [], [], [], [], [], []
                 for node, text in zip(batch.column(0).to_numpy(zero_copy_only=False)[lo : lo + 512], batch.column(1)[lo : lo + 512].to_pylist(), strict=True):
                     found = shingle_set(text, shingle)
                     n = len(found)
                     odd = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+                    rank = np.zeros(n, np.int64)
                     if len(keys):
                         at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                        found = found[np.argsort(np.where(keys[at] == found, often[at], 0), kind="stable")]
+                        rank = np.where(keys[at] == found, often[at], 0)
                     k = n - int(np.ceil(likeness * n - 1e-9)) + 1
-                    tokens.append(found[:k])
-                    nodes.append(np.full(k, node, np.int64))
-                    sizes.append(np.full(k, n, np.int32))
-                    places.append(np.arange(k, dtype=np.int32))
-                    marks += [np.packbits(odd).view(np.int64).tolist()] + [None] * (k - 1)
-                arrays = [pa.array(np.concatenate(tokens).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (nodes, sizes, places)], pa.array(marks, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["token", "node", "n", "pos", "marks"])
+                    order = np.argsort(rank, kind="stable")[:k]
+                    tokens.append(np.r_[found[:1], found[order]])
+                    nodes.append(np.full(k + 1, node, np.int64))
+                    sizes.append(np.full(k + 1, n, np.int32))
+                    places.append(np.arange(-1, k, dtype=np.int32))
+                    known.append(np.r_[True, rank[order] > 0])
+                    marks += [np.packbits(odd).view(np.int64).tolist()] + [None] * k
+                arrays = [pa.array(np.concatenate(tokens).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (nodes, sizes, places, known)], pa.array(marks, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["token", "node", "n", "pos", "common", "marks"])
 
-    return docs.select("node", "text").mapInArrow(first, "token long, node long, n int, pos int, marks array<long>")
+    return docs.select("node", "text").mapInArrow(first, "token long, node long, n int, pos int, common boolean, marks array<long>")
 
 
 def buckets(docs: DataFrame, shingle: int, likeness: float) -> DataFrame:
-    """The rows of prefixes() whose token more than one node has, with the node's marks and its size's band. Tokens are
-    counted where they are before they are dealt out."""
-    rows = materialize(prefixes(docs, shingle, likeness), "alike-prefixes")
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    own = rows.filter("pos = 0").select("node", "marks").distinct()
-    kept = rows.drop("marks").join(shared, "token", "left_semi").join(own, "node")
+    """The rows of prefixes() whose token more than one node has, with the node's marks and its size's band.
+
+    Tokens that the sample knows are shared, and stay wherever their nodes deal them. For the others, of which none is
+    hot, neighbours in one order by token and node tell if there is another node.
+    """
+    deal = F.when(F.col("common"), 1 + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).otherwise(0)
+    near = Window.partitionBy("token", "_deal").orderBy("node")
+    rows = prefixes(docs, shingle, likeness).withColumn("_deal", deal).withColumn("_b", F.lag("node").over(near)).withColumn("_a", F.lead("node").over(near))
+    rows = materialize(rows.filter("common or _a is not null or _b is not null").select("token", "node", "n", "pos", "marks"), "alike-shared")
+    own = rows.filter("pos < 0").select("node", "marks").distinct()
+    kept = rows.filter("pos >= 0").drop("marks").join(own, "node")
     return materialize(kept.withColumn("band", band_of(F.col("n").cast("double"))), "alike-buckets")
 
 
@@ -462,7 +471,7 @@ def band_of(size) -> "F.Column":
     return F.floor(F.log(F.greatest(size, F.lit(1.0))) / F.lit(float(np.log(BAND)))).cast("int")
 
 
-def alike_components(docs: DataFrame, more: DataFrame | None = None, shingle: int = WIDE.shingle, likeness: float = LIKENESS) -> DataFrame:
+def alike_components(docs: DataFrame, more: DataFrame | None = None, shingle: int = SHINGLE, likeness: float = LIKENESS) -> DataFrame:
     """(node, root) of all linked nodes of docs (node, text): links are the pairs of a Jaccard similarity of likeness
     or more of their sets of shingles, all of them; root is the smallest node of a component. more: pairs (u, v) to try
     first.
@@ -517,25 +526,35 @@ def alike_components(docs: DataFrame, more: DataFrame | None = None, shingle: in
     raise AssertionError
 
 
-def drop_near_copies(docs: DataFrame, scheme: Scheme = WIDE, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS) -> DataFrame:
+def with_nodes(docs: DataFrame, id_col: str, text: "F.Column", name: str) -> DataFrame:
+    """docs with a number for each id, itself if ids are whole numbers, and for each text whose id is null."""
+    anonymous = -1 - F.abs(F.shiftright(F.xxhash64(text), 1))
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return docs.withColumn(name, F.coalesce(F.col(f"`{id_col}`").cast("long"), anonymous))
+    number = fresh(docs, "_number")
+    ids = materialize(docs.select(F.col(f"`{id_col}`").alias(number)).filter(F.col(number).isNotNull()).distinct().withColumn(f"{number}_", F.monotonically_increasing_id()), "alike-numbers")
+    return docs.join(ids, F.col(f"`{id_col}`") == F.col(number), "left").withColumn(name, F.coalesce(f"{number}_", anonymous)).drop(number, f"{number}_")
+
+
+def drop_near_copies(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs whose id is the smallest of their component, with all columns, of whatever name; null ids stay
-    only where a component has no other. Null texts count as empty; texts without words are alike. Repeated rows of the
-    one that stays all stay. No rows: no rows.
+    only where a component has no other. Ids may be of any type that has an order. Null texts count as empty; texts
+    without words are alike. Repeated rows of the one that stays all stay. No rows: no rows.
 
-    Links are the pairs of a Jaccard similarity of likeness or more of their sets of shingles, all of them: what the
-    BK-trees link is tried first, and each link is confirmed by the whole sets.
+    Links are the pairs of a Jaccard similarity of likeness or more of their sets of `shingle` words, all of them: what
+    the BK-trees link by fingerprints is tried first, and each link is confirmed by the whole sets.
     """
-    near = near_duplicates(docs, scheme, id_col, text_col)
-    more = near.filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).cast("long").alias("u"), F.col("component_id").cast("long").alias("v"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    node = F.coalesce(F.col(id_col).cast("long"), -1 - F.abs(F.shiftright(F.xxhash64(text), 1)))
-    found = alike_components(docs.select(node.alias("node"), text.alias("text")), more, scheme.shingle, likeness)
-    named = docs.select(F.col(id_col).alias("_id"), node.alias("node")).distinct().join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = fresh(docs, "_node")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = with_nodes(docs, id_col, text, own)
+    near = near_duplicates(rows.select(F.col(own).alias("id"), text.alias("text")), scheme, "id")
+    more = near.filter("id > component_id").select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+    found = alike_components(rows.select(F.col(own).alias("node"), text.alias("text")), more, shingle, likeness)
+    named = rows.select(F.col(f"`{id_col}`").alias("_id"), F.col(own).alias("node")).distinct().join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # The smallest id of a component: null ids (below) give way to others.
     least = materialize(named.groupBy("root").agg(F.min("_id").alias("_least")), "alike-ids")
-    stay = named.join(least, "root").filter(F.col("_id").eqNullSafe(F.col("_least"))).select("node").distinct()
-    own = fresh(docs, "_node")
-    return docs.withColumn(own, node).join(stay.withColumnRenamed("node", f"{own}_"), F.col(own) == F.col(f"{own}_"), "left_semi").drop(own)
+    gone = named.join(least, "root").filter(~F.col("_id").eqNullSafe(F.col("_least"))).select(F.col("node").alias(f"{own}_")).distinct()
+    return rows.join(gone, F.col(own) == F.col(f"{own}_"), "left_anti").drop(own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

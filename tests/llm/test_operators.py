@@ -172,6 +172,18 @@ def test_near_copies_on_odd_rows(odd, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+def test_near_copies_with_ids_of_other_types(spark):
+    some = " ".join(f"w{i}" for i in range(60))
+    data = [("b", some), ("a", some + " more"), ("c", "something else"), (None, some), ("d", None), (None, ""), ("b", some)]
+    for kind, want in (("string", ["a", "c", "d"]), ("int", [1, 3, 4])):
+        ids = {"a": 1, "b": 2, "c": 3, "d": 4, None: None} if kind == "int" else {x: x for x in (*"abcd", None)}
+        df = spark.createDataFrame([(ids[i], t) for i, t in data], f"doc_id {kind}, text string").withColumn("_node", F.lit("clash")).withColumn("_number", F.lit(1))
+        got = simhash.drop_near_copies(df)
+        assert got.columns == df.columns and sorted(r["doc_id"] for r in got.collect()) == want
+        kept = simhash.drop_near_copies(df.filter("doc_id is null or text = 'something else'"))
+        assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str) == sorted([(ids["c"], "something else"), (None, some), (None, "")], key=str)
+
+
 def test_bk_tree_against_all_pairs():
     rnd = np.random.default_rng(5)
     group = np.sort(rnd.integers(0, 6, 400))
