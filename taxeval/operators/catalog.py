@@ -24,7 +24,11 @@ def seq_stats(records: DataFrame, keys: list[str], seq: str = "seq", qual: str |
     size = F.length(seq).cast("long")
     gc = F.length(F.regexp_replace(seq, "[^GCgc]", "")).cast("long")
     q30 = F.length(F.regexp_replace(qual, "[^?-~]", "")).cast("long") if qual else F.lit(None).cast("long")
-    rows = records.select(*keys, size.alias("length"), gc.alias("gc"), q30.alias("q30"))
+    return length_stats(records.select(*keys, size.alias("length"), gc.alias("gc"), q30.alias("q30")), keys, files)
+
+
+def length_stats(rows: DataFrame, keys: list[str], files: DataFrame | None = None) -> DataFrame:
+    """seq_stats() of rows(keys, length, gc, q30), which need no sequences: what is known of long ones, or of many."""
     made = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.sum("length").alias("bases"), F.min("length").alias("min_length"), F.max("length").alias("max_length"), F.sum("gc").alias("gc"), F.sum("q30").alias("q30"))
     some = F.col("bases") > 0
     made = made.withColumn("mean_length", F.col("bases") / F.col("records")).withColumn("gc_percent", F.when(some, 100 * F.col("gc") / F.col("bases")).otherwise(0.0)).withColumn("q30_percent", F.when(F.col("q30").isNotNull(), F.when(some, 100 * F.col("q30") / F.col("bases")).otherwise(0.0)))

@@ -41,7 +41,11 @@ def deinterleave(records: DataFrame) -> DataFrame:
     be base/1 and base/2; fault says what is wrong, null if nothing is."""
     pair = F.floor(F.col("rec") / 2).alias("pair")
     first = F.col("rec") % 2 == 0
-    made = records.groupBy("file", pair).agg(F.max(F.when(first, F.col("header"))).alias("r1"), F.max(F.when(~first, F.col("header"))).alias("r2"))
+    return checked_pairs(records.groupBy("file", pair).agg(F.max(F.when(first, F.col("header"))).alias("r1"), F.max(F.when(~first, F.col("header"))).alias("r2")))
+
+
+def checked_pairs(made: DataFrame) -> DataFrame:
+    """made(r1, r2), the headers of pairs, with fault; pairs that are read together need not meet by a key."""
     word = lambda c: F.regexp_extract(c, r"^@?(\S*)", 1)
     right = F.endswith(word("r1"), F.lit("/1")) & F.endswith(word("r2"), F.lit("/2")) & (pair_base(word("r1")) == pair_base(word("r2")))
     return made.withColumn("fault", F.when(F.col("r2").isNull(), "odd number of records").when(~right, "not a pair"))

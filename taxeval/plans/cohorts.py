@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import catalog, cohort, profiles, taxonomy
+from ..operators import reads as read_ops
+from ..operators.durable import shared_folder
 from ..sources import sequences
 from .bindings import CLOSURE, LIFTS, NODES, Bound, with_sql
 from .registry import query, rounded
@@ -109,6 +113,38 @@ def q_head(b: Bound) -> DataFrame:
     return sequences.head_records(fastq(b), 50).select("file", "rec", "fault", F.length("seq").cast("long").alias("n"))
 
 
+def as_files(rows: DataFrame, name: str) -> str:
+    """A folder of text files with the lines of rows."""
+    base = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.text(base)
+    return base
+
+
+@query("fastq_source", "select doc_id, length(text)::bigint as n, case when text = '' then 'truncated' end as fault, doc_id % 2 = 0 as paired from documents where text is not null and text not like '%' || chr(13) || '%'")
+def q_fastq_source(b: Bound) -> DataFrame:
+    """Documents as FASTQ files, read back; in a second set of files each even one has a mate."""
+    d = b.t("documents").filter(~F.contains("text", F.lit("\r")))
+    seq = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    of = lambda head: F.concat_ws("\n", F.concat(F.lit("@"), F.col("doc_id"), F.lit(head)), seq, F.lit("+"), seq)
+    read = sequences.read_fastq(b.spark, as_files(d.select(of(" x")), "fastq"))
+    pairs = sequences.read_pairs(b.spark, as_files(d.filter("doc_id % 2 = 0").select(F.concat_ws("\n", of("/1"), of("/2"))), "fastq-pairs"))
+    heads = read_ops.checked_pairs(pairs.select(F.col("r1.header").alias("r1"), F.col("r2.header").alias("r2"))).filter("fault is null")
+    mates = heads.select(F.regexp_extract("r1", "[0-9]+", 0).cast("long").alias("doc_id"), F.lit(True).alias("paired"))
+    made = read.select(F.regexp_extract("header", "[0-9]+", 0).cast("long").alias("doc_id"), F.length("seq").cast("long").alias("n"), "fault")
+    return made.join(mates, "doc_id", "left").fillna(False, ["paired"])
+
+
+@query("fasta_source", r"""with t as (select lang, doc_id, regexp_replace(text, '\s', '', 'g') as s from documents where text is not null)
+select lang, count(*) as records, sum(length(s))::bigint as bases, min(length(s))::bigint as min_length, max(length(s))::bigint as max_length, sum(length(regexp_replace(s, '[^GCgc]', '', 'g')))::bigint as gc from t group by 1""")
+def q_fasta_source(b: Bound) -> DataFrame:
+    """Documents as FASTA files in lines of 60 letters: lengths of records without their sequences."""
+    d = b.t("documents").filter("text is not null")
+    rows = F.regexp_replace(F.regexp_replace("text", r"\s", ""), "(.{60})", "$1\n")
+    got = sequences.fasta_lengths(b.spark, as_files(d.select(F.concat(F.lit(">"), F.col("lang"), F.lit(" "), F.col("doc_id"), F.lit("\n"), rows)), "fasta"))
+    made = got.filter("fault is null").groupBy(F.split("header", " ")[0].alias("lang"))
+    return made.agg(F.count(F.lit(1)).alias("records"), F.sum("length").alias("bases"), F.min("length").alias("min_length"), F.max("length").alias("max_length"), F.sum("gc").alias("gc"))
+
+
 @query("fasta_check", r"""select source as file, 'd' || doc_id || ' x' as header, length(regexp_replace(text, '^\s+|\s*\n\s*|\s+$', '', 'g'))::bigint as n, null::varchar as fault from documents where doc_id % 10 <> 0
 union all select source, null, length(regexp_replace(text, '^\s+|\s*\n\s*|\s+$', '', 'g')), 'sequence before a header' from documents where doc_id % 10 = 0""")
 def q_fasta(b: Bound) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators on small hand-made relations."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +159,70 @@ def test_lines_fastq_and_fasta_across_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_lengths_of_records_over_many_splits(spark, tmp_path):
+    rnd = random.Random(4)
+    sequence = {"a": 40_000, "b x": 3, "c": 0, "d": 90_000, "e": 61}
+    texts, want = [], []
+    for f in range(2):
+        lines_ = ["", " AC ", "GGT"] if f else []
+        if f:
+            want.append((None, 5, 3, "sequence before a header"))
+        for name, n in sequence.items():
+            seq = "".join(rnd.choice("ACGTacgtN") for _ in range(n))
+            lines_ += [f">{name}", *(seq[i : i + 60] for i in range(0, n, 60)), *([""] if n % 2 else [])]
+            want.append((name, n, sum(c in "GCgc" for c in seq), None))
+        texts.append("\n".join(lines_))
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}.fa").write_text(t)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("16000", "100000", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = sequences.fasta_lengths(spark, str(tmp_path))
+            assert sorted(map(str, [tuple(r)[1:] for r in got.collect()])) == sorted(map(str, want))
+            stats = catalog.length_stats(got.filter("fault is null").select("file", "length", "gc", F.lit(None).cast("long").alias("q30")), ["file"])
+            whole = catalog.seq_stats(sequences.read_fasta(spark, str(tmp_path)).filter("fault is null"), ["file"])
+            assert rows(stats.select(*whole.columns)) == rows(whole)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def text_exchanges(df):
+    """The exchanges of a plan that move texts."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+
+
+def test_records_are_put_together_where_they_are_read(spark, tmp_path):
+    for f in range(3):
+        text = "".join(f"@r{f}.{i // 2}/{i % 2 + 1}\n{'ACGT' * (i % 9 + 1)}\n+\n{'IIII' * (i % 9 + 1)}\n" for i in range(1501 + f))
+        (tmp_path / f"{f}.fastq").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")
+    try:
+        got = sequences.read_fastq(spark, str(tmp_path))
+        assert got.filter("fault is null and header = concat('@r', regexp_extract(file, '([0-9]).fastq', 1), '.', rec div 2, '/', rec % 2 + 1)").count() == 4506 == got.count()
+        per = sequences.read_units(spark, str(tmp_path), 4)
+        assert len(text_exchanges(per)) == 1  # of the lines at edges
+        splits = lines.scanned(spark, str(tmp_path)).select("file", "_split").distinct().count()
+        assert splits > 20 and rows(per.groupBy(F.size("lines")).count()) == [(4, 4506)]
+        pairs = sequences.read_pairs(spark, str(tmp_path)).select("file", "pair", F.col("r1.header").alias("r1"), F.col("r2.header").alias("r2"))
+        assert pairs.count() == 751 + 751 + 752 and rows(reads.checked_pairs(pairs).groupBy("fault").count(), "fault", "count") == sorted([(None, 750 + 751 + 751), ("odd number of records", 2)], key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_many_tables_with_different_headers_are_one_scan(spark, tmp_path):
+    for i in range(300):
+        cols = [f"c{i % 7}", "k", f"c{i % 5}"] if i % 3 else ["k"]
+        (tmp_path / f"{i:03}.tsv").write_text("\t".join(cols) + "\n" + "".join("\t".join(f"{i}-{r}-{c}" if c != "k" else '"a\tb"' for c in cols) + "\n" for r in range(3)) + "\n")
+    (tmp_path / "x.tsv").write_text("")
+    got = lines.read_tsv(spark, str(tmp_path))
+    assert got.columns == ["k", "c1", "c2", "c4", "c5", "c0", "c3", "c6"] and got.count() == 900
+    assert got.filter("k = 'a\tb'").count() == 900 and got.filter("c6 like '6-%'").count() == 0 and got.filter("c6 is not null").count() == sum(3 for i in range(300) if i % 3 and i % 7 == 6)
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_faulty_records(spark):
     df = spark.createDataFrame([("f", i, v) for i, v in enumerate(["@a", "AC", "+", "I", "@b", "AC"])], "file string, line_no long, value string")
     assert rows(sequences.fastq_records(df), "rec", "fault") == [(0, "lengths differ"), (1, "truncated")]
