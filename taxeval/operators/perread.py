@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import f1, ratio
+from ..functions.text import as_long, f1, ratio, stripped
 from .durable import written
 from .taxonomy import closure
 
@@ -96,15 +96,18 @@ def combined(facts: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[st
 
 
 def run_summary(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Of lines(keys, cells): total, unclassified, classified and distinct taxa; rows with fewer than two cells count
-    in the total only; taxid 0 and `unclassified` are unclassified here."""
-    taxid = F.split(F.get("cells", F.lit(1)), ":")[0]
+    """Of lines(keys, cells), without comments: total, unclassified, classified and distinct taxa.
+
+    A line's taxon is its first later cell that isn't empty, up to a colon or bar; none, 0, -, NA, unclassified and what
+    isn't a whole number are unclassified. Lines of one cell count in the total, and as neither; what isn't unclassified
+    is classified.
+    """
+    cell = F.get(F.filter(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(1))), lambda x: x != ""), F.lit(0))
+    name = stripped(F.split(F.split(cell, ":")[0], r"\|")[0])
+    taxid = F.when(~name.isin("unclassified", "-", "0", "NA"), as_long(name))
     short = F.size("cells") < 2
-    none = taxid.isin("0", "unclassified", "")
-    return lines.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"), F.sum((~short & none).cast("long")).alias("unclassified"),
-        F.sum((~short & ~none).cast("long")).alias("classified"), F.count_distinct(F.when(~short & ~none, taxid)).alias("taxa"),
-    )
+    made = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.sum((~short & taxid.isNull()).cast("long")).alias("unclassified"), F.count_distinct(F.when(~short, taxid)).alias("taxa"))
+    return made.select(*keys, "total", "unclassified", (F.col("total") - F.col("unclassified")).alias("classified"), "taxa")
 
 
 def tre_summary(rows: DataFrame, keys: list[str]) -> DataFrame:

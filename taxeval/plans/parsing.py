@@ -170,21 +170,27 @@ def q_tre_summary(b: Bound) -> DataFrame:
     return perread.tre_summary(tre_lines(b), ["file"])
 
 
-@query("classify_summary", """select l_linestatus as file, count(*) as total, count(*) filter (l_linenumber % 4 in (0, 1)) as unclassified, count(*) filter (l_linenumber % 4 = 2) as classified,
+@query("classify_summary", """select l_linestatus as file, count(*) as total, count(*) filter (l_linenumber % 4 in (0, 1)) as unclassified, count(*) filter (l_linenumber % 4 in (2, 3)) as classified,
 count(distinct l_suppkey) filter (l_linenumber % 4 = 2) as taxa from lineitem group by 1""")
 def q_classify_summary(b: Bound) -> DataFrame:
     n = F.col("l_linenumber") % 4
-    v = F.when(n == 0, tabbed("l_orderkey", F.lit("unclassified"))).when(n == 1, tabbed("l_orderkey", F.lit("0"))).when(n == 2, tabbed("l_orderkey", F.concat(F.col("l_suppkey") + 1, F.lit(":3")))).otherwise(F.col("l_orderkey").cast("string"))
+    k = F.col("l_orderkey") % 3
+    none = F.when(k == 0, "0").when(k == 1, "NA|7").otherwise("x9")
+    taxon = F.when(k == 0, tabbed("l_orderkey", F.lit(""), F.concat(F.col("l_suppkey") + 1, F.lit("|3")))).otherwise(tabbed("l_orderkey", F.concat(F.col("l_suppkey") + 1, F.lit(":3"))))
+    v = F.when(n == 0, tabbed("l_orderkey", F.lit("unclassified"))).when(n == 1, tabbed("l_orderkey", none)).when(n == 2, taxon).otherwise(F.col("l_orderkey").cast("string"))
     return perread.run_summary(b.t("lineitem").select(F.col("l_linestatus").alias("file"), tx.cells(v).alias("cells")), ["file"])
 
 
-@query("bracken_profile", """select c_custkey as line_no, 'p' || (c_custkey % 3) as file, c_custkey as taxid, case c_custkey % 4 when 0 then 'genus' when 1 then 'p1' when 2 then 'species' else '?' end as rank, c_acctbal as value from customer where c_acctbal > 0""")
+@query("bracken_profile", """select c_custkey as line_no, 'p' || (c_custkey % 3) as file, c_custkey as taxid, case c_custkey % 4 when 0 then 'genus' when 1 then 'p1' when 2 then 'species' else '?' end as rank, c_acctbal as value from customer where c_acctbal > 0 and c_custkey > 0""")
 def q_bracken(b: Bound) -> DataFrame:
     c, k = b.t("customer"), F.col("c_custkey")
     level = F.when(k % 4 == 0, "G").when(k % 4 == 1, "P1").when(k % 4 == 2, "S").otherwise("?")
-    v = F.when(k % 3 == 0, tabbed("c_acctbal", k, level)).otherwise(tabbed("c_name", k, level, F.lit(1), F.lit(2), "c_acctbal", F.lit(0.5)))
+    bad = c.select("*").filter(k % 7 == 0).withColumn("c_custkey", -k)  # signed and other odd taxids don't count
+    t = F.when(k < 0, F.when(k % 2 == 0, k.cast("string")).when(k % 3 == 0, "0").otherwise(F.concat(F.lit("+"), -k))).otherwise(k.cast("string"))
+    v = F.when(k % 3 == 0, tabbed("c_acctbal", t, level)).otherwise(tabbed("c_name", t, level, F.lit(1), F.lit(2), "c_acctbal", F.lit(0.5)))
     head = c.limit(1).select(F.lit("p0").alias("file"), F.lit(-1).cast("long").alias("line_no"), F.lit("new_est_reads\ttaxonomy_id\ttaxonomy_lvl").alias("value"))
-    return formats.parse_bracken(lines(c, v, "c_custkey", segment_file()).union(head)).select("line_no", "file", "taxid", "rank", "value")
+    rows = lines(c.union(bad.select(*c.columns)), v, "c_custkey", segment_file()).withColumn("line_no", F.when(F.col("line_no") < 0, 10**9).otherwise(0) + F.col("line_no"))
+    return formats.parse_bracken(rows.union(head)).select("line_no", "file", "taxid", "rank", "value")
 
 
 @query("kraken2_pred", "select o_orderkey as line_no, 'r' || o_orderkey as read_id, case when o_orderkey % 3 = 0 or o_orderkey % 5 = 0 then null else nullif(o_custkey, 0) end as taxid from orders")
@@ -194,13 +200,15 @@ def q_kraken2(b: Bound) -> DataFrame:
     return formats.parse_kraken2(lines(b.t("orders"), v, "o_orderkey")).select("line_no", "read_id", "taxid")
 
 
-@query("centrifuger_pred", """select 'r' || (o_orderkey % 700) as read_id, arg_min({'t': case when o_orderkey % 4 = 0 then null else nullif(o_custkey, 0) end}, o_orderkey).t as taxid from orders group by 1""")
+@query("centrifuger_pred", """select 'r' || (o_orderkey % 700) as read_id, arg_min({'t': case when o_orderkey % 4 = 0 then null else nullif(o_custkey, 0) end}, o_orderkey).t as taxid from orders group by 1 union all select 'ReadID', 77 union all select 'seq', 9""")
 def q_centrifuger(b: Bound) -> DataFrame:
     k = F.col("o_orderkey")
     v = tabbed(F.concat(F.lit("r"), k % 700), F.lit("seq"), F.when(k % 4 == 0, "-").otherwise(F.col("o_custkey").cast("string")), F.lit("9"))
     rows = lines(b.t("orders"), v, "o_orderkey")
     head = rows.limit(1).select("file", F.lit(-1).cast("long").alias("line_no"), F.lit("readID\tseqID\ttaxID\tscore").alias("value"))
-    return formats.parse_centrifuger(rows.union(head)).select("read_id", "taxid")
+    odd = rows.limit(3).select("file", "line_no", F.lit("\tseq\t5\t9").alias("value"))  # without its first blank, seq is the read
+    named = rows.limit(1).select("file", F.lit(-2).cast("long").alias("line_no"), F.lit("ReadID\tseq\t77\t9").alias("value"))  # a read of that name
+    return formats.parse_centrifuger(rows.union(head).union(odd).union(named)).select("read_id", "taxid")
 
 
 @query("lineage_fill", with_sql(NODES, "seeds as (select 1000000 + c_custkey as taxid from customer)", CLOSURE, "l as (select seed, string_agg(anc::varchar, '|' order by dist desc) as ids from closure group by 1)") + """
@@ -241,10 +249,19 @@ def q_assembly(b: Bound) -> DataFrame:
     return assembly(b)
 
 
-@query("input_list", f"with {ASSEMBLY} select accession, 'd/' || accession || '_x.fna' as path, species_taxid as taxid from asm join part on accession = 'GCF_' || lpad((p_partkey * 2)::varchar, 9, '0') || '.1'")
+@query("input_list", """with p as (select p_partkey as k, 'GCF_' || lpad(p_partkey::varchar, 9, '0') || case when p_partkey % 5 = 0 then 'v2' else '.1' end as accession from part),
+t as (select accession, case when k % 3 = 0 then 'd/my-' || accession || '.fna' else 'd/' || accession || '_x.fna' end as path, k from p),
+a as (select 'GCF_' || lpad(p_partkey::varchar, 9, '0') || case when p_partkey % 5 = 0 then 'v2' else '.1' end as accession, (p_size + 1)::bigint as taxid from part where p_partkey % 4 <> 0)
+select accession, path, taxid from t join a using (accession) where k % 3 <> 0 or k % 5 <> 0""")
 def q_input_list(b: Bound) -> DataFrame:
-    t = b.t("part").select(F.concat(F.lit("d/GCF_"), F.lpad((F.col("p_partkey") * 2).cast("string"), 9, "0"), F.lit(".1_x.fna")).alias("path"))
-    return formats.build_input_list(t, assembly(b))
+    """Summaries of 20 columns; some accessions have no number after their dot, some names don't begin with theirs."""
+    k = F.col("p_partkey")
+    acc = F.concat(F.lit("GCF_"), F.lpad(k.cast("string"), 9, "0"), F.when(k % 5 == 0, "v2").otherwise(".1"))
+    t = b.t("part").select(F.when(k % 3 == 0, F.concat(F.lit("d/my-"), acc, F.lit(".fna"))).otherwise(F.concat(F.lit("d/"), acc, F.lit("_x.fna"))).alias("path"))
+    row = lambda size: F.array_join(F.concat(F.array(acc), F.array_repeat(F.lit("x"), 5), F.array(size.cast("string")), F.array_repeat(F.lit("x"), 13)), "\t")
+    some = b.t("part").filter(k % 4 != 0)
+    rows = lines(some, row(F.col("p_size") - 1000), "p_partkey").unionByName(lines(some, row(F.col("p_size") + 1), "p_partkey").withColumn("line_no", F.col("line_no") + 10**9))
+    return formats.build_input_list(t, formats.parse_assembly_taxa(rows))
 
 
 @query("time_log", """select 'e' || event_id as file, (case when event_id % 2 = 0 then user_id * 3600 + 65 else event_id % 60 * 60 end)::double + 1.5 as elapsed_seconds, user_id as max_rss_kb, round(value, 4) as user_seconds, null::double as system_seconds, (event_id % 400)::double as cpu_percent, event_id % 3 as exit_status from events""")
@@ -342,9 +359,11 @@ def q_select(b: Bound) -> DataFrame:
     return read_ops.select_runs(runs, ["click", "1", "2"]).select("event_id")
 
 
-@query("cami_write", "select concat_ws(chr(9), o_custkey, 'species', '-', '-', max(o_orderkey)) as value from orders group by o_custkey")
+@query("cami_write", """select 0::bigint as line_no, array_to_string(['@@TAXID', 'RANK', 'TAXPATH', 'TAXPATHSN', 'PERCENTAGE'], chr(9)) as value
+union all select o_custkey + 1, concat_ws(chr(9), o_custkey, 'species', '-', '-', max(o_orderkey)) from orders group by o_custkey""")
 def q_cami_write(b: Bound) -> DataFrame:
-    return formats.cami_lines(b.t("orders").groupBy(F.col("o_custkey").alias("taxid")).agg(F.max("o_orderkey").alias("value")).withColumn("rank", F.lit("species")))
+    made = b.t("orders").groupBy(F.col("o_custkey").alias("taxid")).agg(F.max("o_orderkey").alias("value")).withColumn("rank", F.lit("species"))
+    return formats.cami_lines(made.withColumn("line_no", F.col("taxid")))
 
 
 @query("expand_datasets", """select r_name || case when n_nationkey is null then '' else '-' || n_name end as expanded, r_name as collection, n_name as sample_id, case when n_nationkey % 2 = 0 then 'own' else 'db' || r_regionkey end as db, 'inherited' as label from region join nation on n_regionkey = r_regionkey""")

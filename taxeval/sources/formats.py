@@ -7,22 +7,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import accession_of_path, as_double, as_long, cell, cells, file_name, genome_id_candidates, read_id, stripped
-from ..operators.durable import small
+from ..functions.text import accession_by_parts, accession_of_path, as_double, as_long, cell, cells, genome_id_candidates, read_id, stripped
+from ..operators.durable import written
 from ..operators.gates import required_columns
 from ..operators.profiles import autoscaled
+from .lines import SPLITS
 
 # Name classes that count as synonyms; Bracken level letters; header names, in order of preference.
 SYNONYM_CLASSES = ["synonym", "authority", "equivalent name", "genbank synonym", "genbank anamorph", "genbank common name", "common name", "includes"]
 BRACKEN_RANKS = {"D": "domain", "P": "phylum", "C": "class", "O": "order", "F": "family", "G": "genus", "S": "species"}
 NAME_HEADERS = ["species_label", "species_name", "taxon", "name", "species"]
 VALUE_HEADERS = ["truth_abundance", "abundance", "relative_abundance", "percentage", "percent", "value"]
-#: Header lines of CAMI profiles, of all files together, at most.
-MOST_HEADERS = 100_000
-
+CAMI_COLUMNS = ["@@TAXID", "RANK", "TAXPATH", "TAXPATHSN", "PERCENTAGE"]
+#: Lines that look for their header together.
+RUN = 4096
 
 
 def data_lines(lines: DataFrame, comments: str = "#") -> DataFrame:
@@ -110,7 +111,8 @@ def parse_truth_profile(lines: DataFrame) -> DataFrame:
     rows = rows.filter((~has | (F.col("line_no") > F.col("_at"))) & (name_at != value_at))
     rows = rows.select("file", stripped(F.get(c, name_at.cast("int"))).alias("name"), as_double(F.get(c, value_at.cast("int"))).alias("value"))
     sums = rows.filter("name <> '' and value is not null").groupBy("file", "name").agg(F.sum("value").alias("value"))
-    return sums.withColumn("value", autoscaled(F.col("value"), F.sum("value").over(Window.partitionBy("file"))))
+    totals = sums.groupBy("file").agg(F.sum("value").alias("_total"))
+    return sums.join(totals, "file").withColumn("value", autoscaled(F.col("value"), F.col("_total"))).drop("_total")
 
 
 def parse_species_truth(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,6 +150,22 @@ def parse_genomes(lines: DataFrame, ref_files: DataFrame) -> tuple[DataFrame, Da
     return profile, found.groupBy("file").agg(F.sum(lost.cast("long")).alias("unmapped"), F.sum(F.when(lost, F.col("value")).otherwise(0.0)).alias("unmapped_mass"))
 
 
+def carried(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """rows(file, line_no, ...) with what the last one of heads(file, line_no, head) before them says; null before any.
+
+    A head holds from its line to the next one's, as a row for each run of RUN lines that it reaches into: rows meet the
+    few heads of their run. These are broadcast up to SPLITS of them; beyond that, rows and heads are dealt by runs.
+    """
+    run = lambda c: F.expr(f"{c} div {RUN}")
+    span = heads.select(F.col("file").alias("_file"), F.col("line_no").alias("_from"), "head").withColumn("_to", F.lead("_from").over(Window.partitionBy("_file").orderBy("_from")))
+    last = rows.groupBy(F.col("file").alias("_file")).agg(F.max("line_no").alias("_end"))
+    span = span.join(last, "_file").withColumn("_to", F.coalesce("_to", F.col("_end") + 1)).filter("_to > _from + 1")
+    span = written(span.withColumn("_run", F.explode(F.sequence(run("_from"), run("(_to - 1)")))).drop("_end"), "heads")
+    held = F.broadcast(span) if span.count() <= SPLITS else span
+    same = (F.col("file") == F.col("_file")) & (run("line_no") == F.col("_run")) & (F.col("line_no") > F.col("_from")) & (F.col("line_no") < F.col("_to"))
+    return rows.join(held, same, "left").drop("_file", "_from", "_to", "_run")
+
+
 def parse_cami_profile(lines: DataFrame) -> DataFrame:
     """(file, rank, taxid, value), summed. @@ lines name the columns of what follows; without all three names they are the
     first, the second and the last of at least five cells. Taxids like 123:x, 123|x and 123.1 are 123."""
@@ -157,12 +175,9 @@ def parse_cami_profile(lines: DataFrame) -> DataFrame:
     parts = F.when(F.contains(bare, F.lit("\t")), F.split(bare, "\t")).otherwise(F.split(bare, r"\s+"))
     named = F.filter(F.transform(parts, lambda x: F.upper(F.regexp_replace(stripped(x), "^@+", ""))), lambda x: x != "")
     whole = F.array_contains(named, "TAXID") & F.array_contains(named, "RANK") & F.array_contains(named, "PERCENTAGE")
-    # Headers are few: each holds up to the next one, and lines find theirs by its range.
-    heads = rows.filter(is_head).select("file", F.col("line_no").alias("_from"), F.when(whole, named).otherwise(F.array().cast("array<string>")).alias("head"))
-    heads = small(heads.withColumn("_to", F.lead("_from").over(Window.partitionBy("file").orderBy("_from"))).withColumnRenamed("file", "_file"), MOST_HEADERS, "header lines")
+    heads = rows.filter(is_head).select("file", "line_no", F.when(whole, named).otherwise(F.array().cast("array<string>")).alias("head"))
     c = cells(F.col("value"))
-    rows = rows.filter(~F.substring("value", 1, 1).isin("@", "#"))
-    rows = rows.join(heads, (F.col("file") == F.col("_file")) & (F.col("line_no") > F.col("_from")) & (F.col("_to").isNull() | (F.col("line_no") < F.col("_to"))), "left")
+    rows = carried(rows.filter(~F.substring("value", 1, 1).isin("@", "#")), heads)
     has = F.coalesce(F.size("head") > 0, F.lit(False))
     at = lambda name, d: F.get(c, F.when(has, F.array_position("head", name) - 1).otherwise(d).cast("int"))
     rows = rows.filter(has | (F.size(c) >= 5))
@@ -195,8 +210,13 @@ def parse_bracken(lines: DataFrame) -> DataFrame:
     level = stripped(at(F.when(place("taxonomy_lvl") > 0, place("taxonomy_lvl")).otherwise(F.nullif(place("taxonomy_level"), F.lit(0).cast("long"))), 2))
     known = F.create_map(*[F.lit(x) for kv in BRACKEN_RANKS.items() for x in kv])[level]
     rank = F.when(F.coalesce(level, F.lit("")) == "", "species").otherwise(F.coalesce(known, F.lower(level)))
-    rows = rows.filter(~has | (F.col("line_no") > F.col("_at"))).select("file", "line_no", as_long(at(place("taxonomy_id"), 1)).alias("taxid"), rank.alias("rank"), as_double(at(place("new_est_reads"), 5)).alias("value"))
-    return rows.filter("taxid is not null and value > 0")
+    rows = rows.filter(~has | (F.col("line_no") > F.col("_at"))).select("file", "line_no", digits(at(place("taxonomy_id"), 1)).alias("taxid"), rank.alias("rank"), as_double(at(place("new_est_reads"), 5)).alias("value"))
+    return rows.filter("taxid > 0 and value > 0")
+
+
+def digits(c: Column) -> Column:
+    """The number that a cell of digits alone is."""
+    return F.when(stripped(c).rlike("^[0-9]+$"), as_long(c))
 
 
 def parse_kraken2(lines: DataFrame) -> DataFrame:
@@ -208,10 +228,12 @@ def parse_kraken2(lines: DataFrame) -> DataFrame:
 
 
 def parse_centrifuger(lines: DataFrame) -> DataFrame:
-    """(file, read_id, taxid): without the header row; the first line of a read wins."""
+    """(file, read_id, taxid): without the header row (readID and taxID at their places) and rows without an id; the
+    first line of a read wins."""
     c = cells(F.col("value"))
     t = cell(c, 2)
-    rows = data_lines(lines, "").filter((F.size(c) >= 3) & (F.lower(cell(c, 0)) != "readid"))
+    head = (F.lower(cell(c, 0)) == "readid") & (F.lower(t) == "taxid")
+    rows = data_lines(lines, "").filter((F.size(c) >= 3) & ~head & (cell(c, 0) != ""))
     rows = rows.select("file", "line_no", cell(c, 0).alias("read_id"), F.when(~t.isin("0", "-", "unclassified", ""), as_long(t)).alias("taxid"))
     return rows.groupBy("file", "read_id").agg(F.min_by(F.struct("taxid"), "line_no").alias("r")).select("file", "read_id", "r.taxid")
 
@@ -250,11 +272,18 @@ def missing_assemblies(targets: DataFrame, assembly: DataFrame) -> DataFrame:
     return targets.select(accession_of_path(F.col("path")).alias("accession")).distinct().join(assembly.select("accession"), "accession", "left_anti")
 
 
+def parse_assembly_taxa(lines: DataFrame) -> DataFrame:
+    """(accession, species_taxid) of assembly summaries with 20 columns or more; the last line of an accession wins."""
+    c = cells(F.col("value"))
+    rows = data_lines(lines).filter(F.size(c) >= 20).select(c[0].alias("accession"), "file", "line_no", as_long(c[6]).alias("species_taxid"))
+    return rows.filter("accession <> '' and species_taxid is not null").groupBy("accession").agg(F.max_by("species_taxid", F.struct("file", "line_no")).alias("species_taxid"))
+
+
 def build_input_list(targets: DataFrame, assembly: DataFrame) -> DataFrame:
-    """(accession, path, taxid) of targets whose file name holds a known accession with a species taxon."""
-    acc = F.regexp_extract(file_name(F.col("path")), r"^(GC[AF]_\d+\.\d+)", 1)
+    """(accession, path, taxid) of targets whose file name has an accession (text.accession_by_parts) that
+    assembly(accession, species_taxid) knows, with a species taxon."""
     known = assembly.filter("species_taxid is not null").select("accession", F.col("species_taxid").alias("species"))
-    return targets.select(acc.alias("accession"), "path").filter("accession <> ''").join(known, "accession").select("accession", "path", F.col("species").alias("taxid"))
+    return targets.select(accession_by_parts(F.col("path")).alias("accession"), "path").filter("accession is not null").join(known, "accession").select("accession", "path", F.col("species").alias("taxid"))
 
 
 def parse_time_log(lines: DataFrame) -> DataFrame:
@@ -274,8 +303,11 @@ def parse_time_log(lines: DataFrame) -> DataFrame:
 
 
 def cami_lines(profile: DataFrame) -> DataFrame:
-    """Lines of a CAMI profile from (taxid, rank, value)."""
-    return profile.select(F.concat_ws("\t", F.col("taxid").cast("string"), "rank", F.lit("-"), F.lit("-"), F.col("value").cast("string")).alias("value"))
+    """Lines (line_no, value) of a CAMI profile from (taxid, rank, value, and line_no, if there is an order): the header
+    is line 0."""
+    order = F.col("line_no") + 1 if "line_no" in profile.columns else 1 + F.monotonically_increasing_id()
+    rows = profile.select(order.cast("long").alias("line_no"), F.concat_ws("\t", F.col("taxid").cast("string"), "rank", F.lit("-"), F.lit("-"), F.col("value").cast("string")).alias("value"))
+    return profile.sparkSession.range(1).select(F.col("id").alias("line_no"), F.lit("\t".join(CAMI_COLUMNS)).alias("value")).unionByName(rows)
 
 
 def expand_datasets(df: DataFrame) -> DataFrame:

@@ -345,13 +345,73 @@ def test_written_tables_can_be_removed(spark):
     assert not [x for x in os.listdir(folder) if x.startswith("here-")]
 
 
+def values(m):
+    """A map of values as Python's."""
+    return {k: v.toPython() for k, v in m.items()}
+
+
 def test_run_records_from_files(spark, tmp_path):
-    for name, meta, metrics in (("a", '{"exp": "e", "return_code": 0}', '{"x": 1.5, "v": "text"}'), ("b", '{"exp": "e", "return_code": 1}', "{}"), ("c", '{"exp": "e"}', "{}"), ("d", "{broken", "{}")):
-        (tmp_path / name).mkdir()
-        (tmp_path / name / "meta.json").write_text(meta)
-        (tmp_path / name / "metrics.json").write_text(metrics)
-    got = {r["dir"].rsplit("/", 1)[1]: r["metrics"] for r in records.read_runs(spark, str(tmp_path)).collect()}
-    assert set(got) == {"a", "c"} and got["a"] == {"x": 1.5}
+    meta = '{"exp": "e", "tool": "t", "dataset": "d%s", "return_code": %s, "elapsed_seconds": 2.5, "resource": {"max_rss_kb": 2097152, "user_time_seconds": 1.5}}'
+    for name, head, metrics in (
+        ("one/a", meta % (1, 0), '{"x": 1.5, "n": 3, "v": "text", "flag": true, "none": null, "quoted": "3.5", "purity_genus": 1, "profile_metric_version": "%s"}' % evaluation.VERSION), ("one/b", meta % (2, 1), "{}"),
+        ("one/c", meta % (3, "null"), "[1]"), ("one/d", "{broken", "{}"), ("two/e", meta % (1, 0), '{"x": 9}'), ("one/f", meta % (4, 0), None),
+    ):
+        (tmp_path / name).mkdir(parents=True)
+        (tmp_path / name / "meta.json").write_text(head)
+        if metrics is not None:
+            (tmp_path / name / "metrics.json").write_text(metrics)
+    df = records.read_runs(spark, [str(tmp_path / "one"), str(tmp_path / "two")])
+    got = {r["dir"].rsplit("/", 1)[1]: r for r in df.collect()}
+    assert set(got) == {"a", "c", "e", "f"} and {k: r["source"] for k, r in got.items()} == {"a": 0, "c": 0, "e": 1, "f": 0}
+    a = values(got["a"]["metrics"])
+    assert a == {"x": 1.5, "n": 3, "v": "text", "flag": True, "none": None, "quoted": "3.5", "purity_genus": 1, "profile_metric_version": evaluation.VERSION} and isinstance(a["flag"], bool)
+    assert got["c"]["metrics"] == {} == got["f"]["metrics"]
+    family = {r["dir"].rsplit("/", 1)[1]: (r["has_profile"], r["current"]) for r in runs.metric_family(df, evaluation.VERSION).collect()}
+    assert family == {"a": (True, True), "c": (False, False), "e": (False, False), "f": (False, False)}
+    named = df.select("*", F.lit("c").alias("collection"), F.lit("").alias("display"), F.col("sample_id").alias("sample"), F.col("elapsed_seconds").alias("elapsed"))
+    assert [r["dir"].rsplit("/", 1)[1] for r in runs.prefer_later(named.drop("collection").withColumn("collection", F.lit(""))).orderBy("dir").collect()] == ["c", "f", "e"]
+    rolled = runs.collection_aggregate(named).first()
+    assert values(rolled["metrics"]) == {"x": 5.25, "n": 3.0, "purity_genus": 1.0}  # texts, booleans and nulls aren't averaged
+    summed = {r["dir"].rsplit("/", 1)[1]: values(r["metrics"]) for r in runs.summary_records(named, "e").collect()}
+    assert summed["e"] == {"x": 9, "run_elapsed_seconds": 2.5, "resource_max_rss_kb": 2097152, "resource_user_time_seconds": 1.5}
+
+
+def test_runs_with_equal_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([("a", {"x": 1.0}), ("a", {"x": 2.0, "y": 3.0}), ("b", {})], "k string, metrics map<string,double>")
+    wide = runs.metric_wide(df, ["k"])
+    assert wide.columns == ["k", "x", "y"] and rows(wide.select("k", *[F.to_json(c).alias(c) for c in "xy"])) == sorted([("a", "1.0", None), ("a", "2.0", "3.0"), ("b", None, None)], key=str)
+
+
+def test_names_of_databases(spark):
+    df = spark.createDataFrame([("/a/b/", ""), ("/a/b", None), ("b/.", ""), ("/", ""), (None, "x"), ("/q", "own")], "db string, db_name string").withColumn("metrics", F.create_map().cast("map<string,double>")).withColumn("elapsed", F.lit(1.0)).withColumn("max_rss_kb", F.lit(0)).withColumn("tool", F.lit("t"))
+    assert [r["db_name"] for r in runs.run_fields(df, {"t": "T"}).collect()] == ["b", "b", "b", None, "x", "own"]
+
+
+def test_summary_of_predictions(spark):
+    text_lines = ["r1\t12:3", "r2\t\t7|x", "r3\t-", "r4\tNA:1", "r5\tname", "r6", "r7\t12"]
+    df = spark.createDataFrame([("f", x.split("\t")) for x in text_lines], "file string, cells array<string>")
+    assert rows(perread.run_summary(df, ["file"])) == [("f", 7, 3, 4, 2)]
+
+
+def test_headers_hold_until_the_next_one(spark, monkeypatch):
+    rnd = random.Random(3)
+    data = []
+    for f in range(30):
+        for i in range(rnd.choice([1, 40, 200])):
+            head = rnd.random() < (0.5 if f % 2 else 0.02)
+            data.append((f"f{f}", i, f"h{i}" if head else None))
+    df = spark.createDataFrame(data, "file string, line_no long, head string")
+    want, last = [], {}
+    for f, i, h in data:
+        if h:
+            last[f] = h
+        else:
+            want.append((f, i, last.get(f)))
+    for run, most in ((7, 10**6), (64, 0), (4096, 10**6)):
+        monkeypatch.setattr(formats, "RUN", run)
+        monkeypatch.setattr(formats, "SPLITS", most)
+        got = formats.carried(df.filter("head is null").drop("head"), df.filter("head is not null"))
+        assert rows(got, "file", "line_no", "head") == sorted(want, key=str)
 
 
 def test_tsv_round_trip(spark, tmp_path):
@@ -365,9 +425,9 @@ def test_roll_up_of_published_kind(spark):
     data = [("c", "s1", "t", "d", {"run_elapsed_seconds": 2.0, "resource_max_rss_gb": 1.0, "f1": 0.5}), ("c", "s2", "t", "d", {"run_elapsed_seconds": 3.0, "resource_max_rss_gb": 4.0, "f1": 1.0}), (None, "s3", "t", "d", {"f1": 9.0}), ("c", "s1", "u", None, {}), ("c", "s1", "", "d", {})]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(data)], "collection string, sample string, tool string, db_name string, metrics map<string,double>, ord int")
     df = df.withColumn("dataset", F.lit("x")).withColumn("source", F.lit(0)).withColumn("display", F.when(F.col("sample") == "s2", "Shown"))
-    got = {(r["dataset"], r["tool"]): r for r in runs.collection_aggregate(df).collect()}
+    got = {(r["dataset"], r["tool"]): r.asDict() | {"metrics": values(r["metrics"])} for r in runs.collection_aggregate(df).collect()}
     assert set(got) == {("c", "t"), ("c", "u"), ("x", "t")}
-    assert got["c", "t"]["metrics"] == {"run_elapsed_seconds": 5.0, "resource_max_rss_gb": 4.0, "f1": 0.75} and got["c", "t"]["sample_ids"] == ["s1", "s2"] and got["c", "t"]["display_dataset"] == "Shown"
+    assert got["c", "t"]["metrics"] == {"run_elapsed_seconds": 5, "resource_max_rss_gb": 4.0, "f1": 0.75} and isinstance(got["c", "t"]["metrics"]["run_elapsed_seconds"], int) and got["c", "t"]["sample_ids"] == ["s1", "s2"] and got["c", "t"]["display_dataset"] == "Shown"
     assert got["c", "u"]["metrics"] == {} and got["c", "u"]["db_name"] == "" and got["c", "u"]["sample_count"] == 1
     assert got["x", "t"]["metrics"] == {"f1": 9.0} and got["x", "t"]["sample_count"] is None
 
