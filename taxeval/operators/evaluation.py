@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import perread, profiles
+from .durable import written
 from .taxonomy import closure
 
-# The version of the metrics.
+# The version of the metrics; sources as in profiles.chosen_source.
 VERSION = "per-read-descendant-aware-v1+profile-opal-v2"
+#: Sources whose profiles are of several ranks.
+RANKED = ("abundance_tre", "reads_tre", "cami")
 
 
 def long(df: DataFrame, keys: Sequence[str], columns: dict[str, str], by_rank: bool) -> DataFrame:
@@ -40,70 +43,137 @@ def coverage_metrics(resolved: DataFrame, keys: list[str]) -> DataFrame:
 
 def evaluate(
     nodes: DataFrame, keys: list[str], ranks: list[str], reads: DataFrame | None = None, truth: DataFrame | None = None, named_truth: DataFrame | None = None, sources: DataFrame | None = None,
-    predicted: DataFrame | None = None, covered: DataFrame | None = None,
+    predicted: DataFrame | None = None, covered: DataFrame | None = None, files: DataFrame | None = None, labels: DataFrame | None = None,
 ) -> DataFrame:
-    """(keys, metric, value, version) of all runs.
+    """(keys, metric, value, text) of all runs: numbers in value; metric_version, of runs with any metric, and
+    profile_metric_version, of runs whose profile was scored, in text.
 
     reads(keys, taxid, pred, weight): truth and prediction of each read. named_truth(keys, name, value, taxid): truth
     profiles with resolved names, or truth(keys, taxid, value); runs with neither take the weighted counts of their
     reads. predicted(keys, source, rank, taxid, value): profiles of any sources; of sources(keys, source, configured,
-    exists) the one that takes precedence counts, at its most specific rank. A source that is there but empty scores
-    zeros; runs without one have no profile metrics, nor have runs whose truth has no mass at any rank.
+    exists) the one that takes precedence counts, trees and CAMI profiles at their most specific rank, profiles of other
+    sources whole. A source that is there but empty scores zeros; runs without one have no profile metrics, nor have runs
+    whose truth has no mass at any rank. files(keys, output, exists): configured outputs, of which missing ones that a
+    run needs are told (missing_metrics). labels(keys, rows, unmapped_rows, unmapped_names): of truth by species labels.
 
-    Reads are counted before anything else, and one closure of the taxa in use serves all parts.
+    Reads are counted before anything else, weights too; one closure of the taxa in use serves all parts, and truth and
+    predictions are lifted together, once.
     """
-    out, pairs, parts = [], None, []
+    out, pairs, seeds = [], None, []
     if reads is not None:
         pairs = perread.pair_counts(reads, keys)
-        parts.append(pairs.select(F.explode(F.array("taxid", "pred")).alias("taxid")))
+        seeds.append(pairs.select(F.explode(F.array("taxid", "pred")).alias("taxid")))
     profile = None
     if named_truth is not None:
         profile = profiles.named_to_taxids(named_truth, keys)[0]
         out.append(coverage_metrics(named_truth, keys))
     if truth is not None:
         profile = truth.select(*keys, "taxid", "value") if profile is None else profile.unionByName(truth.select(*keys, "taxid", "value"))
-    if reads is not None and predicted is not None:
-        own = profiles.from_reads(reads, keys)
-        have = [df.select(*keys) for df in (truth, named_truth) if df is not None]
-        for df in have:
-            own = own.join(df.distinct(), keys, "left_anti")
-        profile = own if profile is None else profile.unionByName(own)
-    if predicted is not None and profile is not None:
-        parts += [profile.select("taxid"), predicted.select("taxid")]
-    if not parts:
+    both = None
+    if predicted is not None and (profile is not None or pairs is not None):
+        if pairs is not None and "weight" in pairs.columns:
+            own = profiles.from_reads(pairs, keys)
+            for df in (truth, named_truth):
+                if df is not None:
+                    own = own.join(df.select(*keys).distinct(), keys, "left_anti")
+            profile = own if profile is None else profile.unionByName(own)
+        if profile is not None:
+            runs, chosen = chosen_profiles(sources, predicted, keys)
+            sides = profile.groupBy(*keys, "taxid").agg(F.sum("value").alias("value")).withColumn("side", F.lit("t")).unionByName(chosen.withColumn("side", F.lit("p")))
+            both = written(sides, "profiles")
+            runs = written(runs.distinct(), "profile-runs")
+            seeds.append(both.select("taxid"))
+    if not seeds:
         raise ValueError("nothing to evaluate: neither reads nor profiles")
-    seeds = parts[0]
-    for p in parts[1:]:
-        seeds = seeds.union(p)
-    closed = closure(nodes, seeds)
+    in_use = seeds[0]
+    for more in seeds[1:]:
+        in_use = in_use.union(more)
+    closed = closure(nodes, in_use)
+    scored = None
     if pairs is not None:
         out.append(read_metrics(perread.counts(perread.lifted_pairs(pairs, nodes, ranks, covered, closed), keys, ranks), keys))
-    if predicted is not None and profile is not None:
-        out.append(profile_metrics(profile, sources, predicted, nodes, keys, ranks, covered, closed))
+    if both is not None:
+        made, scored = profile_metrics(both, runs, nodes, keys, ranks, covered, closed)
+        out.append(made)
+    if files is not None:
+        out.append(missing_metrics(files, sources, pairs, keys))
+    if labels is not None:
+        names = {"mapped_rows": "truth_map_species_label_mapped_rows", "unmapped_rows": "truth_map_species_label_unmapped_rows", "unmapped_names": "truth_map_species_label_unmapped_names"}
+        out.append(long(labels.withColumn("mapped_rows", F.col("rows") - F.col("unmapped_rows")), keys, names, False))
     made = out[0]
     for m in out[1:]:
         made = made.unionByName(m)
-    return made.withColumn("version", F.lit(VERSION))
-
-
-def profile_metrics(truth: DataFrame, sources: DataFrame | None, predicted: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[str], covered: DataFrame | None, closed: DataFrame) -> DataFrame:
-    """(keys, metric, value) of L1 norm, purity, completeness at each rank, and weighted UniFrac."""
+    made = made.withColumn("text", F.lit(None).cast("string"))
+    tag = lambda df, name: df.select(*keys, F.lit(name).alias("metric"), F.lit(None).cast("double").alias("value"), F.lit(VERSION).alias("text"))
+    # Which runs have a metric follows from what there is of them, without the metrics.
+    known = [df.select(*keys) for df in (pairs, named_truth, labels, scored) if df is not None]
+    if files is not None:
+        known.append(out[-1 if labels is None else -2].select(*keys))
+    have = known[0]
+    for more in known[1:]:
+        have = have.union(more)
+    made = made.unionByName(tag(have.distinct(), "metric_version"))
+    return made if scored is None else made.unionByName(tag(scored, "profile_metric_version"))
+
+
+def chosen_profiles(sources: DataFrame | None, predicted: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Runs that have a source, and (keys, taxid, value) of the one that counts."""
     if sources is None:
-        runs, chosen = predicted.select(*keys).distinct(), predicted
+        runs, chosen = predicted.select(*keys), predicted
     else:
         source = profiles.chosen_source(sources, keys).filter("source is not null")
         runs, chosen = source.select(*keys), predicted.join(source, [*keys, "source"], "left_semi")
     if "rank" in chosen.columns:
+        if "source" in chosen.columns:  # ranks of other sources play no part
+            chosen = chosen.withColumn("rank", F.when(F.col("source").isin(*RANKED), F.col("rank")))
         chosen = profiles.most_specific(chosen, keys)
-    pred = chosen.groupBy(*keys, "taxid").agg(F.sum("value").alias("value"))
-    side = lambda df, column: profiles.to_ranks(df, nodes, keys, ranks, covered, closed).filter(F.col(column).isNotNull()).select(*keys, "rank", "taxid", F.col(column).alias("value"))
-    at_truth = side(truth, "mapped")
-    # Truth counts where it is mapped, predictions in full; a rank that neither side has is left out.
-    runs = runs.join(at_truth.select(*keys).distinct(), keys, "left_semi")
-    mine = lambda df: df.join(runs, keys, "left_semi")
-    at_truth, at_pred = mine(at_truth), mine(side(pred, "full"))
-    there = at_truth.select(*keys, "rank").union(at_pred.select(*keys, "rank")).distinct()
+    return runs, chosen.groupBy(*keys, "taxid").agg(F.sum("value").alias("value"))
+
+
+def profile_metrics(both: DataFrame, runs: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[str], covered: DataFrame | None, closed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keys, metric, value) of L1 norm, purity, completeness at each rank, and weighted UniFrac; and the runs that were
+    scored. both(keys, side, taxid, value): truth (t) and predictions (p); runs(keys): those with a prediction.
+
+    Truth counts where it is mapped, predictions in full; a rank that neither side has is left out.
+    """
+    by = [*keys, "rank", "side"]
+    lifted = profiles.to_ranks(both, nodes, [*keys, "side"], ranks, covered, closed)
+    value = F.when(F.col("side") == "t", F.col("mapped")).otherwise(F.col("full"))
+    lifted = written(lifted.select(*by, "taxid", value.alias("value")).filter("value is not null"), "profiles-at-ranks")
+    scored = written(runs.join(lifted.filter("side = 't'").select(*keys).distinct(), keys, "left_semi"), "profiles-scored")
+    mine = lifted.join(scored, keys, "left_semi")
     zero = {c: 0.0 for c in ("l1_norm", "purity", "completeness")}
-    scored = there.join(profiles.opal(at_truth, at_pred, keys), [*keys, "rank"], "left").fillna(zero)
-    tree = runs.join(profiles.unifrac(mine(truth), mine(pred), nodes, keys, closed), keys, "left").fillna(0.0, ["weighted_unifrac"])
-    return long(scored, keys, {c: c for c in zero}, True).unionByName(long(tree, keys, {"weighted_unifrac": "weighted_unifrac"}, False))
+    sides = [mine.filter(F.col("side") == s).drop("side") for s in "tp"]
+    at_ranks = mine.select(*keys, "rank").distinct().join(profiles.opal(*sides, keys), [*keys, "rank"], "left").fillna(zero)
+    truth, pred = (both.filter(F.col("side") == s).drop("side").join(scored, keys, "left_semi") for s in "tp")
+    tree = scored.join(profiles.unifrac(truth, pred, nodes, keys, closed), keys, "left").fillna(0.0, ["weighted_unifrac"])
+    return long(at_ranks, keys, {c: c for c in zero}, True).unionByName(long(tree, keys, {"weighted_unifrac": "weighted_unifrac"}, False)), scored
+
+
+def missing_metrics(files: DataFrame, sources: DataFrame | None, pairs: DataFrame | None, keys: list[str]) -> DataFrame:
+    """(keys, metric, value): 1 for each configured output of a run that it needs and that is missing.
+
+    files(keys, output, exists), with the outputs classify_tsv, classify_one, truth_profile and named_profile. Of runs
+    with truth reads, predictions are needed: the first of the two that is configured. A named profile is needed where
+    no source before it was taken: no tree is there, no native and no CAMI profile is configured.
+    """
+    has = lambda name: F.bool_or(F.col("output") == name)
+    lost = lambda name: F.bool_or((F.col("output") == name) & ~F.col("exists"))
+    per = files.groupBy(*keys).agg(has("classify_tsv").alias("_tsv"), *[lost(n).alias(n) for n in ("classify_tsv", "classify_one", "truth_profile", "named_profile")])
+    read = pairs.select(*keys, F.lit(True).alias("_read")).distinct() if pairs is not None else None
+    per = per.join(read, keys, "left") if read is not None else per.withColumn("_read", F.lit(None).cast("boolean"))
+    if sources is not None:
+        tree = F.bool_or(F.col("source").isin("abundance_tre", "reads_tre") & F.col("configured") & F.col("exists"))
+        hidden = F.bool_or((F.col("source") == "abundance_tre") & F.col("configured") & ~F.col("exists"))
+        reads = F.bool_or((F.col("source") == "reads_tre") & F.col("configured") & F.col("exists"))
+        abundance = F.bool_or((F.col("source") == "abundance_tre") & F.col("configured") & F.col("exists"))
+        other = F.bool_or(F.col("source").isin("native", "cami") & F.col("configured"))
+        taken = sources.groupBy(*keys).agg((tree & (abundance | (reads & ~hidden)) | other).alias("_taken"))
+        per = per.join(taken, keys, "left")
+    else:
+        per = per.withColumn("_taken", F.lit(False))
+    needed = {
+        "classify_tsv_missing": F.col("_read") & F.col("classify_tsv"), "classify_one_missing": F.col("_read") & ~F.col("_tsv") & F.col("classify_one"),
+        "truth_profile_missing": F.col("truth_profile"), "named_profile_missing": ~F.coalesce("_taken", F.lit(False)) & F.col("named_profile"),
+    }
+    return long(per.withColumns({m: F.when(c, 1.0) for m, c in needed.items()}), keys, {m: m for m in needed}, False)

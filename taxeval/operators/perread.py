@@ -11,9 +11,11 @@ from .taxonomy import closure
 
 
 def pair_counts(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, taxid, pred, n): how many reads have this truth and prediction. Counted where the reads are, so that a hot
-    taxon or the unclassified reads travel as one row a task; all scores follow from it."""
-    return written(facts.groupBy(*keys, "taxid", "pred").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    """(keys, taxid, pred, n, and weight, if facts have weights): how many reads have this truth and prediction. Counted
+    where the reads are, so that a hot taxon or the unclassified reads travel as one row a task; all scores follow from
+    it."""
+    weight = [F.sum("weight").alias("weight")] if "weight" in facts.columns else []
+    return written(facts.groupBy(*keys, "taxid", "pred").agg(F.count(F.lit(1)).alias("n"), *weight), "pairs")
 
 
 def lifted_pairs(pairs: DataFrame, nodes: DataFrame, ranks: list[str], covered: DataFrame | None = None, closed: DataFrame | None = None) -> DataFrame:

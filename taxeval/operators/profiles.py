@@ -26,12 +26,14 @@ def autoscaled(value: Column, total: Column) -> Column:
 
 def most_specific(profile: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """The rows of each profile's most specific rank; other ranks than the known ones come last, of these the one seen
-    first by the column `order` (by name, if there is none)."""
+    first by the column `order` (by name, if there is none). Profiles without ranks stay whole."""
     at = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("rank"))
     seen = F.min(order) if order else F.min("rank")
-    ranks = profile.groupBy(*keys, "rank").agg(seen.alias("_seen")).withColumn("_at", F.when(at > 0, at).otherwise(len(PRIORITY) + 1))
-    best = ranks.groupBy(*keys).agg(F.min_by("rank", F.struct("_at", "_seen")).alias("rank"))
-    return profile.join(best, [*keys, "rank"], "left_semi")
+    place = F.when(at > 0, at).when(F.col("rank").isNotNull(), len(PRIORITY) + 1).otherwise(len(PRIORITY) + 2)
+    ranks = profile.groupBy(*keys, "rank").agg(seen.alias("_seen")).withColumn("_at", place)
+    best = ranks.groupBy(*keys).agg(F.min_by(F.struct("rank"), F.struct("_at", "_seen")).alias("_best"))
+    same = [profile[k].eqNullSafe(best[k]) for k in keys] + [profile["rank"].eqNullSafe(best["_best.rank"])]
+    return profile.join(best, same, "left_semi")
 
 
 def to_ranks(profile: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[str], covered: DataFrame | None = None, closed: DataFrame | None = None) -> DataFrame:

@@ -273,11 +273,14 @@ def evaluated_parts(b: Bound) -> dict:
     value = b.t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("value"))
     named = value.join(c, "c_custkey").select(F.col("c_name").alias("name"), "value", F.when(F.col("c_custkey") % 11 != 0, F.col("c_custkey") + 1000000).alias("taxid"))
     tree = reads.filter("pred is not null").groupBy("tool", F.col("pred").alias("taxid")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    rows = lambda df, source: df.select("tool", F.lit(source).alias("source"), F.lit("species").alias("rank"), "taxid", "value")
+    rows = lambda df, source, rank: df.select("tool", F.lit(source).alias("source"), F.lit(rank).cast("string").alias("rank"), "taxid", "value")
     source = lambda name, configured, exists: F.struct(F.lit(name).alias("source"), configured.alias("configured"), exists.alias("exists"))
     yes, f = F.lit(True), F.col("tool") == "F"
     sources = tools(b).select("tool", F.explode(F.array(source("abundance_tre", f, ~yes), source("reads_tre", yes, yes), source("native", yes, yes), source("cami", ~yes, ~yes))).alias("s")).select("tool", "s.*")
-    return {"reads": reads, "named_truth": named.crossJoin(tools(b)), "sources": sources, "predicted": rows(tree, "reads_tre").unionByName(rows(b.pred_profile(), "native"))}
+    output = lambda name, exists: F.struct(F.lit(name).alias("output"), exists.alias("exists"))
+    files = tools(b).select("tool", F.explode(F.array(output("classify_tsv", f), output("classify_one", ~yes), output("truth_profile", ~f), output("named_profile", ~yes))).alias("s")).select("tool", "s.*")
+    labels = reads.groupBy("tool").agg(F.count(F.lit(1)).alias("rows"), F.sum((F.col("taxid") >= 900000000).cast("long")).alias("unmapped_rows"), F.count_distinct(F.when(F.col("taxid") >= 900000000, F.col("taxid"))).alias("unmapped_names"))
+    return {"reads": reads, "named_truth": named.crossJoin(tools(b)), "sources": sources, "predicted": rows(tree, "reads_tre", "species").unionByName(rows(tree, "reads_tre", "genus")).unionByName(rows(b.pred_profile(), "native", None)), "files": files, "labels": labels}
 
 
 def metric_rows() -> str:
@@ -291,11 +294,15 @@ def metric_rows() -> str:
     mass = {"mass_total": "sum(value)", "mass_mapped": "sum(value) filter (taxid is not null)", "mass_unmapped": "sum(value) filter (taxid is null)", "mass_mapped_rate": "sum(value) filter (taxid is not null) / sum(value)"}
     out += [f"select tool, 'truth_profile_{m}', {e} from named, (select distinct tool from facts) group by 1" for m, e in (species | mass).items()]
     out += ["select tool, 'l1_norm_' || rank, l1 from o", "select tool, 'purity_' || rank, coalesce(tp / nullif(tp + fp, 0), 0) from o", "select tool, 'completeness_' || rank, coalesce(tp / nullif(tp + fn, 0), 0) from o", "select tool, 'weighted_unifrac', u from uf"]
+    out += ["select 'O', 'classify_tsv_missing', 1.0::double", "select 'F', 'truth_profile_missing', 1.0::double"]
+    labels = {"mapped_rows": "count(*) filter (taxid < 900000000)", "unmapped_rows": "count(*) filter (taxid >= 900000000)", "unmapped_names": "count(distinct taxid) filter (taxid >= 900000000)"}
+    out += [f"select tool, 'truth_map_species_label_{m}', {e}::double from facts group by 1" for m, e in labels.items()]
     return " union all ".join(out)
 
 
 @query("evaluate", with_sql(NODES, READS, EVALUATED, "seeds as (select taxid from facts union select pred from facts union select taxid from truth union select taxid from pred)", CLOSURE, LIFTS)
     + perread_sql().split("lifts as")[1].split("group by seed, rank)", 1)[1] + OPAL.split("\nselect tool, rank, round(l1")[0] + UNIFRAC + f"""
-select tool, metric, round(value, 4) as value, '{evaluation.VERSION}' as version from ({metric_rows()})""")
+select tool, metric, round(value, 4) as value, null as text from ({metric_rows()})
+union all select tool, m, null, '{evaluation.VERSION}' from (select distinct tool from facts), (values ('metric_version'), ('profile_metric_version')) v(m)""")
 def q_evaluate(b: Bound) -> DataFrame:
     return rounded(evaluation.evaluate(b.nodes(), ["tool"], RANKS, **evaluated_parts(b)), 4)

@@ -67,16 +67,23 @@ def test_reads_are_counted_before_they_meet_the_taxonomy(spark, nodes, monkeypat
 
 
 def test_evaluation_of_runs_with_and_without_profiles(spark, nodes):
-    reads_ = spark.createDataFrame([("a", 20, 40, 2), ("a", 50, 50, 1), ("b", 20, None, 5)], "run string, taxid long, pred long, weight long")
-    pred = spark.createDataFrame([("a", "native", "species", 40, 2.0), ("a", "native", "genus", 50, 1.0), ("a", "cami", "genus", 20, 9.0)], "run string, source string, rank string, taxid long, value double")
-    source = spark.createDataFrame([("a", "native", True, True), ("a", "cami", True, True), ("b", "native", True, True), ("c", "native", True, True)], "run string, source string, configured boolean, exists boolean")
-    made = evaluation.evaluate(nodes, ["run"], ["genus"], reads=reads_, sources=source, predicted=pred)
-    got = {(r["run"], r["metric"]): r["value"] for r in made.collect()}
+    reads_ = spark.createDataFrame([("a", 20, 40, 2), ("a", 50, 50, 1), ("b", 20, None, 5), ("d", 40, 40, 3), ("d", 50, 40, 1), ("e", 40, 40, 3), ("e", 50, 50, 1)], "run string, taxid long, pred long, weight long")
+    pred = spark.createDataFrame([
+        ("a", "native", "species", 40, 2.0), ("a", "native", "genus", 50, 1.0), ("a", "cami", "genus", 20, 9.0), ("d", "reads_tre", "genus", 30, 7.0), ("d", "reads_tre", "species", 40, 2.0), ("e", "named", None, 40, 0.75), ("e", "named", None, 50, 0.25),
+    ], "run string, source string, rank string, taxid long, value double")
+    source = spark.createDataFrame([("a", "native", True, True), ("a", "cami", True, True), ("b", "native", True, True), ("c", "native", True, True), ("d", "reads_tre", True, True), ("e", "named", True, True), ("f", "named", True, False)], "run string, source string, configured boolean, exists boolean")
+    files = spark.createDataFrame([("a", "classify_tsv", True), ("a", "named_profile", False), ("b", "classify_one", False), ("d", "classify_tsv", False), ("d", "classify_one", False), ("f", "classify_tsv", False), ("f", "named_profile", False), ("e", "truth_profile", False)], "run string, output string, exists boolean")
+    made = evaluation.evaluate(nodes, ["run"], ["genus"], reads=reads_, sources=source, predicted=pred, files=files).collect()
+    got = {(r["run"], r["metric"]): r["value"] for r in made if r["text"] is None}
     assert got["a", "per_read_recall_genus"] == 1.0 and got["b", "per_read_recall_genus"] == 0.0 and got["b", "per_read_unclassified_rate"] == 1.0
-    assert got["a", "l1_norm_genus"] == pytest.approx(2.0) and got["a", "purity_genus"] == 0.0  # only the most specific rank of the first source: 40, whose genus is 30
+    assert got["a", "l1_norm_genus"] == pytest.approx(4 / 3) and got["a", "purity_genus"] == 0.5  # a native profile counts whole: 40, whose genus is 30, and 50
     assert got["b", "l1_norm_genus"] == pytest.approx(1.0) and got["b", "completeness_genus"] == 0.0  # there but empty
+    assert got["d", "l1_norm_genus"] == pytest.approx(0.5) and got["d", "purity_genus"] == 1.0  # the tree's most specific rank alone
+    assert (got["e", "l1_norm_genus"], got["e", "purity_genus"], got["e", "weighted_unifrac"]) == (0.0, 1.0, 0.0)  # a perfect profile without ranks
     assert not [m for r, m in got if r == "c"]  # no truth
-    assert {r["version"] for r in made.select("version").distinct().collect()} == {evaluation.VERSION}
+    assert {x for x in got if x[1].endswith("_missing")} == {("b", "classify_one_missing"), ("d", "classify_tsv_missing"), ("f", "named_profile_missing"), ("e", "truth_profile_missing")}
+    tags = {(r["run"], r["metric"], r["text"]) for r in made if r["text"] is not None}
+    assert tags == {(r, "metric_version", evaluation.VERSION) for r in "abdef"} | {(r, "profile_metric_version", evaluation.VERSION) for r in "abde"}
 
 
 def test_named_profiles_keep_what_has_no_taxon(spark, nodes):
