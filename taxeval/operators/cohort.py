@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,9 @@ from pyspark.sql import types as T
 from .durable import written
 from .gates import assert_empty, one_match, same_samples, tolerance
 
+#: Rounds of a bootstrap that share a vector; draws that a task makes of a stratum.
+ROUNDS, DRAWS = 1000, 16_000_000
+
 
 def token_match(samples: DataFrame, metadata: DataFrame) -> DataFrame:
     """(cohort, sample, id): samples of a cohort whose name holds `_id_` between underscores. Names fall into their
@@ -124,34 +130,140 @@ def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> Da
     return rows.join(ranks, [*keys, value])
 
 
+def percentiles(rows: DataFrame, keys: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """(keys, and a column for each wanted share from 0 to 1): exact percentiles, between two values in proportion; nulls
+    don't count. Equal values are counted and their counts summed in ranges of values, so that a group may be larger than
+    any task's memory."""
+    per = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = sum_below(per, keys, value, "_c", "_cb")
+    totals = per.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    joined = ranked.join(totals, keys)
+    at = lambda share: (F.col("_n") - 1) * F.lit(float(share))
+    holds = lambda place: (F.col("_cb") <= place) & (place < F.col("_cb") + F.col("_c"))
+    picked = [F.max(F.when(holds(f(at(q))), F.col(value).cast("double"))).alias(f"_{side}_{name}") for name, q in wanted.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    made = joined.groupBy(*keys).agg(F.max("_n").alias("_n"), *picked)
+    between = {name: F.col(f"_low_{name}") + (F.col(f"_high_{name}") - F.col(f"_low_{name}")) * (at(q) - F.floor(at(q))) for name, q in wanted.items()}
+    return made.select(*keys, *[e.alias(name) for name, e in between.items()])
+
+
 def signal_summary(rows: DataFrame, keys: list[str], value: str, expected: str, positive: str) -> DataFrame:
     """Means and exact medians by role, their difference, AUC, Pearson and Spearman against the expected value."""
     p, v = F.col(positive), F.col(value)
     ranked = average_ranks(average_ranks(rows, keys, value, "_rv"), keys, expected, "_re")
     made = ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.when(p, v)).alias("mean_positive"), F.avg(F.when(~p, v)).alias("mean_zero"), F.median(F.when(p, v)).alias("median_positive"), F.median(F.when(~p, v)).alias("median_zero"),
+        F.count(F.lit(1)).alias("n"), F.avg(F.when(p, v)).alias("mean_positive"), F.avg(F.when(~p, v)).alias("mean_zero"),
         F.corr(value, expected).alias("pearson"), F.corr("_rv", "_re").alias("spearman"),
     )
-    return made.withColumn("difference", F.col("mean_positive") - F.col("mean_zero")).join(auc(rows, keys, value, positive), keys)
+    medians = percentiles(rows, [*keys, positive], value, {"median": 0.5}).groupBy(*keys).agg(F.max(F.when(p, F.col("median"))).alias("median_positive"), F.max(F.when(~p, F.col("median"))).alias("median_zero"))
+    return made.withColumn("difference", F.col("mean_positive") - F.col("mean_zero")).join(medians, keys, "left").join(auc(rows, keys, value, positive), keys)
+
+
+def draw_weights(units: DataFrame, strata: list[str], rounds: int, seed: int) -> tuple[DataFrame, int]:
+    """(strata, _i, chunk, w) and the rounds of a chunk: how often each unit (strata, _i, _n) is drawn in each round, as a
+    vector of 32-bit numbers.
+
+    Draw (seed, round, stratum, slot) takes the unit at md5 mod n of the stratum. A task makes all draws of a stratum for
+    a chunk of rounds, at most DRAWS of them (or one round's).
+    """
+    sizes = units.groupBy(*strata).agg(F.max("_n").alias("_n"))
+    most = sizes.agg(F.max("_n")).first()[0] or 1
+    each = max(1, min(rounds, ROUNDS, DRAWS // most))
+    chunks = sizes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // each) - 1))))
+    names = chunks.select(*[F.col(c).cast("string").alias(f"_{i}") for i, c in enumerate(strata)], "*")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                n, chunk = one.column("_n")[0].as_py(), one.column("chunk")[0].as_py()
+                middle = "".join(f"{t}|" for t in (one.column(f"_{i}")[0].as_py() for i in range(len(strata))) if t is not None)
+                lo, hi = chunk * each, min(rounds, chunk * each + each)
+                counts = np.zeros((n, hi - lo), "<u4")
+                for r in range(lo, hi):
+                    head = f"{seed}|{r}|{middle}"
+                    taken = [int(hashlib.md5(f"{head}{slot}".encode()).hexdigest()[:8], 16) % n for slot in range(n)]
+                    counts[:, r - lo] = np.bincount(taken, minlength=n)
+                whole = pa.array(np.zeros(n, np.int64))
+                kept = [one.column(c).take(whole) for c in strata]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.arange(n)), one.column("chunk").take(whole), pa.array([row.tobytes() for row in counts], pa.binary())], names=[*strata, "_i", "chunk", "w"])
+
+    schema = T.StructType([*chunks.select(*strata).schema.fields, T.StructField("_i", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("w", T.BinaryType())])
+    dealt = names.repartition(max(1, names.sparkSession.sparkContext.defaultParallelism), *strata, "chunk")
+    return written(dealt.mapInArrow(draw, schema), "draws"), each
+
+
+def weighted_parts(rows: DataFrame, keys: list[str], value: str, positive: str) -> DataFrame:
+    """Of rows(keys, chunk, _range, value, positive, w), those of a range together and in order of the value: (keys, chunk,
+    _range, p, z, u), sums of the weights of positives and others, and of positives times others below them (equal ones
+    count half), a vector over the rounds each."""
+    by = [*keys, "chunk", "_range"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key, at = None, None, None  # sums of the range; of the value that is open: p and z
+
+        def closed(held: list, at: list | None) -> None:
+            if at is not None:
+                held[2] += at[1] * (held[1] + at[2] / 2)
+                held[0] += at[1]
+                held[1] += at[2]
+
+        def told(key: tuple, held: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.array([k], schema.field(i).type) for i, k in enumerate(key)], *[pa.array([x.tolist()], pa.list_(pa.float64())) for x in held]], names=[*by, "p", "z", "u"])
+
+        schema = None
+        for batch in batches:
+            schema = schema or batch.schema
+            columns = [c.to_pylist() for c in batch.columns]
+            for *own, v, is_positive, w in zip(*columns, strict=True):
+                vector = np.frombuffer(w, "<u4").astype(float)
+                if tuple(own) != key:
+                    if key is not None:
+                        closed(held, at)
+                        yield told(key, held)
+                    key, at = tuple(own), None
+                    held = [np.zeros(len(vector)) for _ in range(3)]
+                if at is None or at[0] != v:
+                    closed(held, at)
+                    at = [v, np.zeros(len(vector)), np.zeros(len(vector))]
+                at[1 if is_positive else 2] += vector
+        if key is not None:
+            closed(held, at)
+            yield told(key, held)
+
+    src = rows.select(*by, value, positive, "w").repartition(*by).sortWithinPartitions(*by, value)
+    vectors = [T.StructField(c, T.ArrayType(T.DoubleType())) for c in "pzu"]
+    return src.mapInArrow(run, T.StructType([*rows.select(*by).schema.fields, *vectors]))
 
 
 def bootstrap_auc(rows: DataFrame, keys: list[str], strata: list[str], sample: str, value: str, positive: str, rounds: int, seed: int) -> DataFrame:
-    """(keys, round, auc) of samples drawn anew within strata, the same draws for all keys (tools).
+    """(keys, round, auc) of samples drawn anew within strata, the same draws for all keys (tools); null where a round
+    has no positive or no other one.
 
-    Draw (seed, round, stratum, slot) takes the sample at md5 mod n of the stratum; the weights are counted once a
-    round and joined with the values of each key, so no round is a job of its own.
+    A sample's weights in all rounds are a vector (several, by chunks of ROUNDS), so that one pass over the values of a
+    key, in order, gives the AUC of all rounds. Values are dealt in ranges, and ranges are put together by their sums: no
+    relation has a row for each sample and round, and no task needs all values of a key.
     """
     units = rows.select(*strata, sample).distinct()
     units = sum_below(units.withColumn("_one", F.lit(1)), strata, sample, "_one", "_i").drop("_one")
-    units = units.join(units.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")), strata)
-    slots = units.select(*strata, "_n", F.col("_i").alias("_slot")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    text = F.concat_ws("|", F.lit(str(seed)), F.col("round"), *[F.col(s).cast("string") for s in strata], F.col("_slot"))
-    drawn = slots.withColumn("_i", F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.col("_n")))
-    weights = drawn.groupBy(*strata, "_i", "round").agg(F.count(F.lit(1)).alias("_w")).join(units.select(*strata, "_i", sample), [*strata, "_i"]).select(sample, "round", "_w")
-    joined = rows.join(weights, sample)
-    per = joined.groupBy(*keys, "round", value).agg(F.sum(F.when(F.col(positive), F.col("_w")).otherwise(0)).alias("p"), F.sum(F.when(~F.col(positive), F.col("_w")).otherwise(0)).alias("z"))
-    u = sum_below(per, [*keys, "round"], value, "z", "_zb").withColumn("u", F.col("p") * (F.col("_zb") + F.col("z") / 2))
-    return u.groupBy(*keys, "round").agg((F.sum("u") / F.sum("p") / F.sum("z")).alias("auc"))
+    units = written(units.join(units.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")), strata).withColumn("_i", F.col("_i").cast("long")), "units")
+    drawn, each = draw_weights(units, strata, rounds, seed)
+    weights = drawn.join(units.select(*strata, "_i", sample), [*strata, "_i"]).select(sample, "chunk", "w")
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = written(rows.select(*keys, sample, F.col(value).alias("_value"), F.col(positive).alias("_positive")).filter("_value is not null and _positive is not null").repartitionByRange(n, *keys, "_value").withColumn("_range", F.spark_partition_id()), "ranges")
+    parts = weighted_parts(ranged.join(weights, sample), keys, "_value", "_positive")
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:  # a row for each range
+        pdf = pdf.sort_values("_range")
+        p, z, u = (np.stack(pdf[c].to_list()) for c in "pzu")
+        before = np.cumsum(z, 0) - z
+        pairs = p.sum(0) * z.sum(0)
+        total = (u + p * before).sum(0)
+        chunk = int(pdf["chunk"].iloc[0])
+        made = {k: [pdf[k].iloc[0]] * len(total) for k in keys}
+        return pd.DataFrame({**made, "round": chunk * each + np.arange(len(total)), "auc": [float(t / q) if q else None for t, q in zip(total, pairs, strict=True)]})
+
+    schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("round", T.IntegerType()), T.StructField("auc", T.DoubleType())])
+    return parts.groupBy(*keys, "chunk").applyInPandas(together, schema)
 
 
 def bootstrap_interval(draws: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,8 +1,10 @@
 """Operators on small hand-made relations."""
 
+import hashlib
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from taxeval.functions import text
@@ -452,6 +454,55 @@ def test_auc_is_antisymmetric(spark):
     assert a == pytest.approx(3.5 / 6) and a + b == pytest.approx(1.0)
 
 
+def drawn_plainly(data, strata_of, rounds, seed):
+    """{(tool, round): auc} of rows (tool, sample, value, positive) by counting pairs."""
+    groups = {}
+    for sample, stratum in sorted(strata_of.items()):
+        groups.setdefault(stratum, []).append(sample)
+    out = {}
+    for r in range(rounds):
+        weight = dict.fromkeys(strata_of, 0)
+        for stratum, samples in groups.items():
+            for slot in range(len(samples)):
+                text = "|".join([str(seed), str(r), *(str(x).lower() if isinstance(x, bool) else str(x) for x in stratum), str(slot)])
+                weight[samples[int(hashlib.md5(text.encode()).hexdigest()[:8], 16) % len(samples)]] += 1
+        for tool in {t for t, *_ in data}:
+            p = [(v, weight[s]) for t, s, v, q in data if t == tool and q]
+            z = [(v, weight[s]) for t, s, v, q in data if t == tool and not q]
+            total = sum(w for _, w in p) * sum(w for _, w in z)
+            out[tool, r] = sum(a * b * (1 if v > u else 0.5 if v == u else 0) for v, a in p for u, b in z) / total if total else None
+    return out
+
+
+def test_bootstrap_by_vectors_against_plain_draws(spark, monkeypatch):
+    rnd = random.Random(5)
+    data = [(t, f"s{i:02}", float(rnd.choice([1, 2, 2, 3, 5])), i % 3 == 0) for t in "ab" for i in range(14)]
+    strata_of = {s: (q, "x" if int(s[1:]) % 2 else "y") for _, s, _, q in data}
+    df = spark.createDataFrame([(*r, strata_of[r[1]][1]) for r in data], "tool string, sample string, value double, positive boolean, cohort string")
+    for rounds, chunk in ((60, 1000), (60, 7)):
+        monkeypatch.setattr(cohort, "ROUNDS", chunk)
+        got = {(r["tool"], r["round"]): r["auc"] for r in cohort.bootstrap_auc(df, ["tool"], ["positive", "cohort"], "sample", "value", "positive", rounds, 7).collect()}
+        assert got == pytest.approx(drawn_plainly(data, strata_of, rounds, 7))
+
+
+def test_many_rounds_make_no_rows_of_samples_and_rounds(spark):
+    df = spark.createDataFrame([("a", f"s{i}", float(i % 7), i % 2 == 0, "x") for i in range(40)], "tool string, sample string, value double, positive boolean, cohort string")
+    units = df.select("positive", "sample", F.row_number().over(Window.partitionBy("positive").orderBy("sample")).cast("long").alias("_i")).withColumn("_n", F.lit(20).cast("long")).withColumn("_i", F.col("_i") - 1)
+    weights, each = cohort.draw_weights(units, ["positive"], 10_000, 3)
+    assert each == 1000 and weights.count() == 40 * 10
+    draws = cohort.bootstrap_auc(df, ["tool"], ["positive"], "sample", "value", "positive", 10_000, 3)
+    assert rows(draws.groupBy("tool").agg(F.count("auc"), F.max("round"))) == [("a", 10_000, 9999)]
+
+
+def test_percentiles_of_counted_values(spark):
+    rnd = random.Random(2)
+    data = [(k, float(rnd.choice([1, 2, 3, 50, 7.5]) if k == "few" else rnd.random())) for k in ("few", "many") for _ in range(501 if k == "few" else 800)] + [("one", 4.0), ("few", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    got = cohort.percentiles(df, ["k"], "v", {"low": 0.025, "middle": 0.5, "high": 0.975, "least": 0, "most": 1})
+    want = df.groupBy("k").agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975), ("least", 0.0), ("most", 1.0))])
+    assert [[x if isinstance(x, str) else pytest.approx(x) for x in r] for r in rows(want)] == [list(r) for r in rows(got)]
+
+
 # Published effects, standard errors and meta-analysis of one tool and metric, three cohorts.
 EFFECTS = [(0.252721, 0.179609), (-0.210661, 0.180845), (0.112878, 0.088982)]
 META = {"effect": 0.064306, "low": -0.178626, "high": 0.307238, "tau2": 0.025053, "q": 3.642451, "i2": 0.450919}
