@@ -37,9 +37,9 @@ FEW = 64
 #: Pairs of a search and a node that are held at once.
 FRONTIER = 400_000
 ZERO = b"\0"
-#: Jaccard similarity of linked texts of the pipeline, and words of a shingle; texts whose shingles tell which are
-#: common, and most of these.
-LIKENESS, SHINGLE, SAMPLE, COMMON = 0.8, 5, 20_000, 200_000
+#: Jaccard similarity of linked texts of the pipeline, and words of a shingle; the share of texts whose shingles tell
+#: which are common, and most of these.
+LIKENESS, SHINGLE, SAMPLE, COMMON = 0.8, 5, 0.2, 1_000_000
 #: Rounds at most in which buckets meet one member only; cells by which texts are looked up; steps of sizes; sets that
 #: meet another one together.
 TURNS, CELLS, BAND, TOGETHER = 4, 1 << 22, 1.05, 256
@@ -361,14 +361,13 @@ def prefixes(docs: DataFrame, shingle: int, likeness: float) -> DataFrame:
     of these, by whatever order of the shingles; the order only keeps the groups that share one small. A row with pos -1
     brings the marks of a set: a bit for each of 256 cells, one where the number of shingles in the cell is odd."""
     million = 1_000_000
-    share = min(million, million * SAMPLE // max(1, docs.count()) + 1)
 
     def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, shingle).view(np.int64))], names=["token"])
 
-    sample = docs.filter(F.pmod(F.xxhash64("node", F.lit("shingle sample")), F.lit(million)) < share).select("text")
+    sample = docs.filter(F.pmod(F.xxhash64("node", F.lit("shingle sample")), F.lit(million)) < int(million * SAMPLE)).select("text")
     common = sample.mapInArrow(all_of, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
     top = common.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     keys, often = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
@@ -415,43 +414,82 @@ def buckets(docs: DataFrame, shingle: int, likeness: float) -> DataFrame:
     return materialize(kept.withColumn("band", band_of(F.col("n").cast("double"))), "alike-buckets")
 
 
-def alike(pairs: DataFrame, docs: DataFrame, shingle: int, likeness: float) -> DataFrame:
-    """The pairs (u, v) of docs (node, text) whose sets have a Jaccard similarity of likeness or more.
-
-    Sets are made of texts whose node falls in a marked cell, so that few others are dealt out. The set of a u goes to
-    its v, whose own set goes once to each block of about TOGETHER of them.
-    """
+def made_of(pairs: DataFrame, docs: DataFrame, make, name: str) -> DataFrame:
+    """(node, made) of the docs (node, text) that pairs (u, v) hold, make(text) as bytes; also of a few others, whose node
+    falls in the same cell, so that no text is moved."""
     marked = np.zeros(CELLS, bool)
     marked[pairs.select(F.explode(F.array("u", "v")).alias("x")).select(F.pmod("x", F.lit(CELLS)).cast("int").alias("x")).distinct().toArrow().column("x").to_numpy()] = True
     bits = np.packbits(marked)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = np.unpackbits(bits).astype(bool)
         for batch in batches:
             some = batch.filter(pa.array(have[batch.column(0).to_numpy(zero_copy_only=False) % CELLS]))
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["node", "shingles"])
+            for lo in range(0, some.num_rows, 512):
+                part = some.slice(lo, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([make(t) for t in part.column(1).to_pylist()], pa.binary())], names=["node", "made"])
+
+    return materialize(docs.select("node", "text").mapInArrow(run, "node long, made binary"), name)
+
+
+def held_together(pairs: DataFrame, made: DataFrame, alike_of) -> DataFrame:
+    """The pairs (u, v) of which alike_of(made of u, made of v) holds. What is made of a u goes to its v, whose own goes
+    once to each block of about TOGETHER of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
-        for batch in batches:  # (v, block, u, shingles) in order; rows without u are v's own and come first
+        for batch in batches:  # (v, block, u, made) in order; rows without u are v's own and come first
             out: list[tuple[int, int]] = []
-            for v, block, u, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = np.frombuffer(shingles, np.int64)
+            for v, block, u, mine in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if u is None:
                     held = [*held, mine] if key == (v, block) else [mine]
                     key = (v, block)
-                elif key == (v, block):
-                    shared = [(len(np.intersect1d(mine, x, assume_unique=True)), len(x)) for x in held]
-                    if any(both >= likeness * (len(mine) + n - both) - 1e-9 for both, n in shared):
-                        out.append((u, v))
+                elif key == (v, block) and any(alike_of(mine, x) for x in held):
+                    out.append((u, v))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
-    sets = materialize(docs.select("node", "text").mapInArrow(make, "node long, shingles binary"), "alike-sets")
     per = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("blocks"))
     asking = pairs.join(per, "v").select("v", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int").alias("block"), "u")
-    asking = asking.join(sets.withColumnRenamed("node", "u"), "u").select("v", "block", "u", "shingles")
-    own = per.join(sets.withColumnRenamed("node", "v"), "v").select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("u"), "shingles")
-    return asking.unionByName(own).repartition("v", "block").sortWithinPartitions("v", "block", F.asc_nulls_first("u")).mapInArrow(run, "u long, v long")
+    asking = asking.join(made.withColumnRenamed("node", "u"), "u").select("v", "block", "u", "made")
+    own = per.join(made.withColumnRenamed("node", "v"), "v").select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("u"), "made")
+    dealt = asking.unionByName(own).repartition("v", "block").sortWithinPartitions("v", "block", F.asc_nulls_first("u"))
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def parities(found: np.ndarray) -> bytes:
+    """The number of shingles of a set, and a bit for each of so many cells that shingles seldom share one, 4 a shingle
+    or more: one where a cell's number of shingles is odd. Cells are by the last bits of a shingle, so that the two
+    halves of the bits, combined, are those for half as many cells."""
+    cells = 1 << max(8, int(4 * len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1
+    return np.int64(len(found)).tobytes() + np.packbits(odd).tobytes()
+
+
+def may_be_alike(a: bytes, b: bytes, likeness: float) -> bool:
+    """Whether two sets may have a Jaccard similarity of likeness, by their parities(): these differ in at most as many
+    cells as the sets do in shingles."""
+    n, m = (int(np.frombuffer(x, np.int64, 1)[0]) for x in (a, b))
+    x, y = (np.frombuffer(t, np.uint8, offset=8) for t in (a, b))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return min(n, m) >= likeness * max(n, m) - 1e-9 and int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= (n + m) * (1 - likeness) / (1 + likeness) + 1e-6
+
+
+def alike(pairs: DataFrame, docs: DataFrame, shingle: int, likeness: float) -> DataFrame:
+    """The pairs (u, v) of docs (node, text) whose sets have a Jaccard similarity of likeness or more: first those that
+    may be by their parities(), a sixteenth of the sets in size, then by the whole sets."""
+
+    def same(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= likeness * (len(x) + len(y) - both) - 1e-9
+
+    bits = made_of(pairs, docs, lambda t: parities(shingle_set(t, shingle)), "alike-bits")
+    left = materialize(held_together(pairs, bits, lambda a, b: may_be_alike(a, b, likeness)), "alike-left")
+    sets = made_of(left, docs, lambda t: shingle_set(t, shingle).tobytes(), "alike-sets")
+    return held_together(left, sets, same)
 
 
 def partners(few: DataFrame, likeness: float) -> DataFrame:

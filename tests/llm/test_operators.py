@@ -172,6 +172,25 @@ def test_near_copies_on_odd_rows(odd, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+def test_parities_rule_out_no_similar_sets():
+    rng = np.random.default_rng(4)
+    kept = far = 0
+    for _ in range(400):
+        n = int(rng.choice([1, 5, 60, 300, 3000]))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        change = int(rng.integers(0, max(1, n // 2) + 1))
+        b = np.unique(np.r_[a[change:], rng.integers(0, 2**63, int(rng.integers(0, change + 2))).astype(np.uint64)])
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        like = both / (len(a) + len(b) - both)
+        may = simhash.may_be_alike(simhash.parities(a), simhash.parities(b), 0.8)
+        assert may or like < 0.8
+        kept += may and like < 0.75
+        far += like < 0.75
+    assert far > 50 and kept < far / 10
+
+
 def test_near_copies_with_ids_of_other_types(spark):
     some = " ".join(f"w{i}" for i in range(60))
     data = [("b", some), ("a", some + " more"), ("c", "something else"), (None, some), ("d", None), (None, ""), ("b", some)]
