@@ -27,18 +27,39 @@ def seq_stats(records: DataFrame, keys: list[str], seq: str = "seq", qual: str |
     return length_stats(records.select(*keys, size.alias("length"), gc.alias("gc"), q30.alias("q30")), keys, files)
 
 
-def length_stats(rows: DataFrame, keys: list[str], files: DataFrame | None = None) -> DataFrame:
-    """seq_stats() of rows(keys, length, gc, q30), which need no sequences: what is known of long ones, or of many."""
-    made = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("records"), F.sum("length").alias("bases"), F.min("length").alias("min_length"), F.max("length").alias("max_length"), F.sum("gc").alias("gc"), F.sum("q30").alias("q30"))
+def length_states(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, length, n, gc, q30): what is needed of rows(keys, length, gc, q30), a row for each length. States of
+    different files add up by their union, so that only new files have to be scanned."""
+    return rows.groupBy(*keys, "length").agg(F.count(F.lit(1)).alias("n"), F.sum("gc").alias("gc"), F.sum("q30").alias("q30"))
+
+
+def stats_of_states(states: DataFrame, keys: list[str], files: DataFrame | None = None) -> DataFrame:
+    """seq_stats() of length_states(), of one or more scans."""
+    size = F.col("length").cast("long")
+    hist = states.groupBy(*keys, "length").agg(F.sum("n").alias("n"), F.sum("gc").alias("gc"), F.sum("q30").alias("q30")).withColumn("b", F.col("n") * size)
+    w = Window.partitionBy(*keys)
+    run = hist.withColumn("cum", F.sum("b").over(w.orderBy(F.desc("length")))).withColumn("total", F.sum("b").over(w))
+    half = F.max(F.when((F.col("cum") * 2 >= F.col("total")) & (F.col("total") > 0), size))
+    made = run.groupBy(*keys).agg(F.sum("n").alias("records"), F.sum("b").alias("bases"), F.min(size).alias("min_length"), F.max(size).alias("max_length"), F.sum("gc").alias("gc"), F.sum("q30").alias("q30"), F.coalesce(half, F.lit(0)).cast("long").alias("n50"))
     some = F.col("bases") > 0
     made = made.withColumn("mean_length", F.col("bases") / F.col("records")).withColumn("gc_percent", F.when(some, 100 * F.col("gc") / F.col("bases")).otherwise(0.0)).withColumn("q30_percent", F.when(F.col("q30").isNotNull(), F.when(some, 100 * F.col("q30") / F.col("bases")).otherwise(0.0)))
-    made = made.drop("gc", "q30").join(n50(rows, keys), keys)
+    made = made.select(*keys, "records", "bases", "min_length", "max_length", "mean_length", "gc_percent", "q30_percent", "n50")
     if files is None:
         return made
     sizes = files.groupBy(*keys).agg(F.sum("bytes").alias("bytes"))
     return sizes.join(made, keys, "left").fillna(0, [c for c in made.columns if c not in (*keys, "q30_percent")])
 
 
+def length_stats(rows: DataFrame, keys: list[str], files: DataFrame | None = None) -> DataFrame:
+    """seq_stats() of rows(keys, length, gc, q30), which need no sequences: what is known of long ones, or of many."""
+    return stats_of_states(length_states(rows, keys), keys, files)
+
+
+def not_scanned(files: DataFrame, scanned: DataFrame) -> DataFrame:
+    """files(file, bytes, modified) that stored states have not seen, or in another version: those to scan."""
+    return files.join(scanned, ["file", "bytes", "modified"], "left_anti")
+
+
 def exact_copies(records: DataFrame, clade: str, seq: str) -> DataFrame:
     """Input, retained and duplicate records and bases of each clade; equal sequences of different clades are kept."""
     size = F.length(seq).cast("long")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, cohort, profiles, taxonomy
 from ..operators import reads as read_ops
-from ..operators.durable import shared_folder
+from ..operators.durable import shared_folder, written
 from ..sources import sequences
 from .bindings import CLOSURE, LIFTS, NODES, Bound, with_sql
 from .registry import query, rounded
@@ -19,6 +19,15 @@ h as (select file, n, count(*) * n as b from d group by 1, 2), r as (select *, s
 n50 as (select file, coalesce(max(n) filter (cum * 2 >= total and total > 0), 0)::bigint as n50 from r group by 1)"""
 
 
+@query("seq_stats_states", f"with {STATS} select file, count(*) as records, sum(n)::bigint as bases, min(n) as min_length, max(n) as max_length, round(sum(n) / count(*), 6) as mean_length, round(100 * sum(gc) / sum(n), 6) as gc_percent, round(100 * sum(q30) / sum(n), 6) as q30_percent, max(n50) as n50 from d join n50 using (file) group by file")
+def q_seq_states(b: Bound) -> DataFrame:
+    """seq_stats of two scans whose states are stored and added up."""
+    d = b.t("documents")
+    size, gc, q30 = (F.length(c).cast("long") for c in ("text", F.regexp_replace("text", "[^GCgc]", ""), F.regexp_replace("text", "[^?-~]", "")))
+    scan = lambda rows: written(catalog.length_states(rows.select(F.col("source").alias("file"), size.alias("length"), gc.alias("gc"), q30.alias("q30")), ["file"]), "states")
+    return rounded(catalog.stats_of_states(scan(d.filter("doc_id % 3 = 0")).unionByName(scan(d.filter("doc_id % 3 <> 0"))), ["file"]))
+
+
 @query("seq_stats", f"with {STATS} select file, count(*) as records, sum(n)::bigint as bases, min(n) as min_length, max(n) as max_length, round(sum(n) / count(*), 6) as mean_length, round(100 * sum(gc) / sum(n), 6) as gc_percent, round(100 * sum(q30) / sum(n), 6) as q30_percent, max(n50) as n50 from d join n50 using (file) group by file")
 def q_stats(b: Bound) -> DataFrame:
     return rounded(catalog.seq_stats(b.t("documents").select(F.col("source").alias("file"), "text"), ["file"], "text", "text"))

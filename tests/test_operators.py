@@ -294,8 +294,12 @@ def test_a_cohort_manifest_is_checked(spark):
     made = cohort.sample_manifest(samples, metadata, depth, "all")
     assert len(made.columns) == 17 and rows(made, "sample", "paper_sample_id", "condition", "sex", "paper_fna_total_percent") == [("run_1_x", "1", "case", "f", 3.0), ("run_2_x", "2", "control", "m", 0.5)]
     for bad, what in (((samples, metadata.filter("paper_sample = 1"), depth), "metadata"), ((samples, metadata.withColumn("condition", F.lit("case")), depth), "published"), ((samples, metadata.withColumn("c2", F.col("c2") + 1e-6), depth), "published"), ((samples, metadata, depth.limit(1)), "coverage"), ((samples, metadata.union(metadata), depth), "metadata")):
-        with pytest.raises(ValueError, match=what):
-            cohort.sample_manifest(*bad, "all")
+        with pytest.raises(Exception, match=what):
+            cohort.sample_manifest(*bad, "all").select("age").collect()
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("manifest", "definition")
+    cohort.sample_manifest(samples, metadata, depth, "all")
+    assert not jobs.getJobIdsForGroup("manifest")  # all checks ride on the job that computes the rows
     sig = spark.createDataFrame([("run_1_x", "a"), ("run_2_x", "b")], "sample string, tool string")
     assert [r["tool"] for r in cohort.signals(sig, made.select("sample", "role"), {"a": "A", "b": "B"}).collect()] == ["A", "B"]
     with pytest.raises(Exception, match="no such tool: b"):
@@ -503,6 +507,68 @@ def test_percentiles_of_counted_values(spark):
     assert [[x if isinstance(x, str) else pytest.approx(x) for x in r] for r in rows(want)] == [list(r) for r in rows(got)]
 
 
+def test_partial_association_by_cohort_and_pooled(spark):
+    rnd = random.Random(6)
+    data = []
+    for c in "xyz":
+        for _ in range(40):
+            a, b, age = rnd.gauss(0, 1), rnd.gauss(0, 1), rnd.gauss(50, 9)
+            data.append(("t", c, 2 * a + 0.1 * b + 0.02 * age + rnd.gauss(0, 0.5), a, b, age))
+    df = spark.createDataFrame(data, "tool string, cohort string, y double, c2 double, c1 double, age double")
+    got = {(r["scope"], r["cohort"], r["predictor"]): r for r in cohort.partial_association(df, ["tool"], "cohort", "y", ["c2", "c1"], ["age"]).collect()}
+    assert len(got) == 8 and {k[:2] for k in got} == {("cohort", c) for c in "xyz"} | {("pooled", None)}
+    own = cohort.partial_effects(df, ["tool", "cohort"], "y", ["c2", "c1"], ["age"]).collect()
+    for r in own:
+        one = got["cohort", r["cohort"], r["term"]]
+        assert one["standardized_beta"] == r["beta"] and one["samples"] == 40 and one["ci_high"] - one["ci_low"] == pytest.approx(2 * 1.959964 * r["se"], rel=1e-6) and one["tau_squared"] is None
+    pooled = got["pooled", None, "c2"]
+    assert pooled["samples"] == 120 and 0.9 < pooled["standardized_beta"] < 1 and pooled["p_value"] < 1e-10 and pooled["ci_low"] < pooled["standardized_beta"] < pooled["ci_high"] and pooled["i_squared"] is not None
+    assert got["pooled", None, "c1"]["p_value"] > 1e-4 or abs(got["pooled", None, "c1"]["standardized_beta"]) < 0.3
+
+
+def test_association_tells_means_and_auc(spark):
+    df = spark.createDataFrame([("a", float(v), c, float(i)) for i, (v, c) in enumerate([(1, 0), (2, 0), (3, 1), (2, 1), (5, 1), (0, 0)])], "tool string, y double, x int, age double")
+    r = cohort.association(df, ["tool"], "y", "x", ["age"]).first()
+    assert (r["n_case"], r["n_control"], r["case_mean"], r["control_mean"]) == (3, 3, pytest.approx(10 / 3), 1.0) and r["auc"] == pytest.approx(8.5 / 9)
+
+
+def test_two_appends_equal_one_full_roll_up(spark, tmp_path):
+    rnd = random.Random(3)
+    data = [(i, rnd.choice(["c", "d", None]), f"d{rnd.randrange(5)}", f"s{rnd.randrange(3)}", rnd.choice(["t", "u", ""]), rnd.choice(["x", None]), i % 2, rnd.random()) for i in range(200)]
+    df = spark.createDataFrame(data, "ord int, collection string, dataset string, sample string, tool string, db_name string, source int, v double").withColumn("display", F.lit(""))
+    want = rows(runs.prefer_later(df.filter("tool <> ''")), "ord", "v")
+    store = str(tmp_path / "store")
+    keys = ["tool", "db_name"]  # coarser than what makes runs replace each other
+    first = df.filter("ord < 120 and tool <> ''")
+    assert sinks.append_keyed(spark, store, first, keys, runs.prefer_later, 8) <= 8
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "store").rglob("*.parquet")}
+    assert sinks.append_keyed(spark, store, df.filter("ord >= 120 and tool = 't' and db_name = 'x'"), keys, runs.prefer_later, 8) <= 4
+    assert any(f.exists() and f.stat().st_mtime_ns == t for f, t in before.items())  # buckets without new rows weren't touched
+    sinks.append_keyed(spark, store, df.filter("ord >= 120 and tool <> '' and not (tool = 't' and db_name <=> 'x')"), keys, runs.prefer_later, 8)
+    assert rows(spark.read.parquet(store), "ord", "v") == want
+    assert sinks.append_keyed(spark, store, df.limit(0), keys, runs.prefer_later) == 0
+
+
+def test_digests_of_files(spark, tmp_path):
+    import gzip
+
+    from taxeval.sources import digests
+
+    texts = {"a.fa": b">x\nACGT\r\nAC\n", "b": b"no end", "c": b"", "d": b"\n\n", "e.bin": bytes(range(256)) * 3000, "f.txt": b"\n", "g.fa.gz": gzip.compress(b"ACGT\n")}
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1]: (r["bytes"], r["sha256"]) for r in digests.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in texts.items()}
+
+
+def test_states_of_scans_add_up(spark):
+    df = spark.createDataFrame([("f", i % 7 + 1, 1, None) for i in range(50)] + [("g", 0, 0, 0)], "file string, length int, gc long, q30 long")
+    parts = catalog.length_states(df.limit(20), ["file"]).unionByName(catalog.length_states(df.exceptAll(df.limit(20)), ["file"]))
+    assert rows(catalog.stats_of_states(parts, ["file"])) == rows(catalog.length_stats(df, ["file"]))
+    files = spark.createDataFrame([("a", 1, 5), ("b", 2, 6)], "file string, bytes long, modified long")
+    assert rows(catalog.not_scanned(files, files.filter("file = 'a'").unionByName(files.filter("file = 'b'").withColumn("modified", F.lit(5).cast("long"))))) == [("b", 2, 6)]
+
+
 # Published effects, standard errors and meta-analysis of one tool and metric, three cohorts.
 EFFECTS = [(0.252721, 0.179609), (-0.210661, 0.180845), (0.112878, 0.088982)]
 META = {"effect": 0.064306, "low": -0.178626, "high": 0.307238, "tau2": 0.025053, "q": 3.642451, "i2": 0.450919}
