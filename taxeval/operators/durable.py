@@ -43,10 +43,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_written(spark: SparkSession) -> int:
-    """Deletes the tables that this driver has written, once nothing that reads them is needed any more; their number."""
-    n = len(_WRITTEN)
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def written_so_far() -> int:
+    """How many tables this driver has written and not removed."""
+    return len(_WRITTEN)
+
+
+def remove_written(spark: SparkSession, after: int = 0, keep: int = 0) -> int:
+    """Deletes the tables that this driver has written, but for the first `after` and the last `keep`, once nothing that
+    reads them is needed any more; their number."""
+    gone = _WRITTEN[after : len(_WRITTEN) - keep]
+    del _WRITTEN[after : len(_WRITTEN) - keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    return len(gone)

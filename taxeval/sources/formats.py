@@ -129,12 +129,22 @@ def parse_species_truth(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, D
 def parse_cami_map(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """truth(file, read_id, taxid), the last line of an id wins, and abundance(file, taxid, weight) over all lines of
     four cells or more; a line counts max(1, reads), 1 where reads are bad. Ids are the whole first cell."""
-    c = cells(F.col("value"))
-    rows = data_lines(lines).filter(F.size(c) >= 4).select("file", "line_no", c[0].alias("read_id"), as_long(cell(c, 2)).alias("taxid"), F.greatest(F.lit(1).cast("long"), F.coalesce(as_long(cell(c, 4)), F.lit(1).cast("long"))).alias("weight")).filter("taxid is not null")
+    rows = cami_rows(lines)
     truth = rows.groupBy("file", "read_id").agg(F.max_by("taxid", "line_no").alias("taxid"))
     return truth, rows.groupBy("file", "taxid").agg(F.sum("weight").alias("weight"))
 
 
+def cami_rows(lines: DataFrame) -> DataFrame:
+    c = cells(F.col("value"))
+    weight = F.greatest(F.lit(1).cast("long"), F.coalesce(as_long(cell(c, 4)), F.lit(1).cast("long")))
+    return data_lines(lines).filter(F.size(c) >= 4).select("file", "line_no", c[0].alias("read_id"), as_long(cell(c, 2)).alias("taxid"), weight.alias("weight")).filter("taxid is not null")
+
+
+def cami_weights(lines: DataFrame) -> DataFrame:
+    """(file, read_id, weight) of a CAMI map: how many reads an id (a contig, say) stands for, by its last line."""
+    return cami_rows(lines).groupBy("file", "read_id").agg(F.max_by("weight", "line_no").alias("weight"))
+
+
 def parse_genomes(lines: DataFrame, ref_files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """profile(file, taxid, value) and unmapped(file, count, mass) of native genome profiles; the taxonomic abundance
     is preferred to that of sequences; a genome's taxon by the first of its candidate ids that is known."""

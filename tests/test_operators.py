@@ -434,6 +434,22 @@ def test_tsv_round_trip(spark, tmp_path):
     assert got.columns == ["v", "k"] and rows(got) == sorted([(None, "a"), ("x y", "b")], key=str)
 
 
+def test_cami_profiles_are_written_with_their_header(spark, tmp_path):
+    df = spark.createDataFrame([(7, "species", 0.25), (9, "genus", 3.0)], "taxid long, rank string, value double")
+    sinks.write_cami(df.coalesce(1), str(tmp_path / "p"))
+    (written,) = (tmp_path / "p").glob("*.csv")
+    assert written.read_text().splitlines()[0] == "@@TAXID\tRANK\tTAXPATH\tTAXPATHSN\tPERCENTAGE"
+    back = formats.parse_cami_profile(lines.read_lines(spark, str(tmp_path / "p")))
+    assert rows(back, "taxid", "rank", "value") == rows(df, "taxid", "rank", "value")
+    made = formats.cami_lines(df.withColumn("line_no", F.col("taxid")))
+    assert [r["value"].split("\t")[0] for r in made.orderBy("line_no").collect()] == ["@@TAXID", "7", "9"]
+
+
+def test_weights_of_contigs(spark):
+    df = spark.createDataFrame([("f", i, v) for i, v in enumerate(["a\tx\t5\tx\t3", "a\tx\t5\tx\t7", "b\tx\t6\tx", "c\tx\t6\tx\t-2", "d\tx\tbad\tx\t3"])], "file string, line_no long, value string")
+    assert rows(formats.cami_weights(df), "read_id", "weight") == [("a", 7), ("b", 1), ("c", 1)]
+
+
 def test_roll_up_of_published_kind(spark):
     data = [("c", "s1", "t", "d", {"run_elapsed_seconds": 2.0, "resource_max_rss_gb": 1.0, "f1": 0.5}), ("c", "s2", "t", "d", {"run_elapsed_seconds": 3.0, "resource_max_rss_gb": 4.0, "f1": 1.0}), (None, "s3", "t", "d", {"f1": 9.0}), ("c", "s1", "u", None, {}), ("c", "s1", "", "d", {})]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(data)], "collection string, sample string, tool string, db_name string, metrics map<string,double>, ord int")
