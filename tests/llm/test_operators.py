@@ -115,6 +115,15 @@ def test_secrets_on_odd_rows(odd, none):
     assert got.count() == len(TEXTS) and got.columns.count("findings") == 1
     assert "Findings" not in secrets.scan_secrets(odd.drop("findings").withColumn("Findings", F.lit(1))).columns
     assert secrets.scan_secrets(none).count() == 0
+    assert all(r["findings"] == [] for r in got.collect())
+
+
+def test_secrets_in_long_and_repeated_texts(spark):
+    far = "x " * 300_000 + "token=abcdef1"
+    rows = [(1, far), (2, None), (3, ""), (4, "password: hunter22"), (4, "password: hunter22"), (None, "AKIA" + "A" * 16)]
+    got = sorted([(r["doc_id"], [(f["kind"], f["start"], f["end"]) for f in r["findings"]]) for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()], key=str)
+    want = [(1, [("assign", 600_000, 600_013)]), (2, []), (3, []), (4, [("assign", 0, 18)]), (4, [("assign", 0, 18)]), (None, [("access", 0, 20)])]
+    assert got == sorted(want, key=str)
 
 
 # 2 near copies
@@ -397,6 +406,8 @@ def test_chats_read_back_and_errors(spark):
     assert got[2]["first_error"] == 0 and got[3]["first_error"] == 1 and got[4]["first_error"] == 3
     assert [s["text"] for s in got[4]["segments"] if s["loss"]] == ["a" * 100000, "b"]
     assert chat.format_chats(df.limit(0)).count() == 0
+    twice = chat.format_chats(df.filter("conv_id = 1").union(df.filter("conv_id = 1"))).withColumn("turns", chat.read_back(F.col("formatted"))).first()
+    assert [t["role"] for t in twice["turns"]] == ["user", "user", "assistant", "assistant"] and twice["first_error"] == 1  # repeated rows are turns
 
 
 # 5 personal data
@@ -588,7 +599,21 @@ def test_packing_on_odd_rows(odd, none):
     rows = packing.pack_documents(odd.filter("doc_id is not null").dropDuplicates(["doc_id"]), bpe.default_vocabulary())
     assert rows.filter("doc_id = 2").first()["length"] == 1
     assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
-    assert packing.pack_documents(odd, bpe.default_vocabulary()).count() > 40
+    # Null ids and repeated rows are documents like others: each with all its pieces, and no sequence with a gap.
+    every = packing.pack_documents(odd, bpe.default_vocabulary()).collect()
+    assert Counter((r["doc_id"], r["start"]) for r in every if r["piece"] == 0) == Counter((d, 0) for d, _ in TEXTS)
+    whole = rows.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    tokens, sequences = Counter(), defaultdict(list)
+    for r in every:
+        tokens[r["doc_id"]] += r["length"]
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(tokens[r["doc_id"]] == r["n"] * (2 if r["doc_id"] == 4 else 1) for r in whole) and tokens[None] > 1
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
     assert packing.pack_documents(none, bpe.default_vocabulary()).count() == 0
 
 
