@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from taxeval.llm import bpe, exact_dedup, langid, packing, pii, simhash
 from taxeval.llm.common import materialize, table
+from taxeval.operators.durable import remove_written, written_so_far
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the table documents. Its rows may have nulls anywhere, empty and very long texts, and come several
     times; the stages say what becomes of them. No documents: no pieces."""
     docs = table(spark, sf_dir, "documents")
+    before = written_so_far()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        remove_written(spark, before, keep=1)  # what the stage wrote on its way, and its input
     return docs
