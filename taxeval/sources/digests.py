@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..operators.durable import written
 
+#: Endings of files that Spark unpacks.
+PACKED = ("gz", "bz2", "deflate", "lz4", "snappy", "zst", "zstd", "xz")
 #: A split that no file is larger than, for reading each file in one task.
 WHOLE = str(1 << 60)
 
@@ -39,7 +41,7 @@ def file_digests(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     (those over 2 GB are an error).
     """
     listed = spark.read.format("binaryFile").load(paths).select(F.col("path"), F.col("length").alias("bytes"))
-    packed = F.col("path").rlike("[.](gz|bz2|deflate|lz4|snappy|zst|zstd|xz)$")
+    packed = F.col("path").rlike("[.](" + "|".join(PACKED) + ")$")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, h, seen = None, None, 0
@@ -69,6 +71,11 @@ def file_digests(spark: SparkSession, paths: list[str] | str) -> DataFrame:
         lines = spark.read.option("lineSep", "\n").text([r["path"] for r in listed.filter(~packed & (F.col("bytes") > 0)).select("path").collect()] or paths)
         lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
         plain = written(lines.filter(~packed).mapInArrow(digest, "path string, bytes long, sha256 string"), "digests")
-    whole = spark.read.format("binaryFile").load(paths).filter(packed).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    empty = listed.filter(~packed & (F.col("bytes") == 0)).select("path", "bytes", F.sha2(F.lit(""), 256).alias("sha256"))
+    packs = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(PACKED) + "}").load(paths)  # no other file is read whole
+    whole = packs.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    # Scans leave empty files out, the list of files does not.
+    named = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    every = spark.createDataFrame([(f,) for f in listed.inputFiles()], "path string")
+    seen = listed.filter("bytes > 0").select(named(F.col("path")).alias("_path"))
+    empty = every.join(seen, named(F.col("path")) == F.col("_path"), "left_anti").select("path", F.lit(0).cast("long").alias("bytes"), F.sha2(F.lit(""), 256).alias("sha256"))
     return plain.unionByName(whole).unionByName(empty)
