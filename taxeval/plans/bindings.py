@@ -36,18 +36,31 @@ class Bound:
 
     def reads(self) -> DataFrame:
         """A row for each read: truth taxid and the prediction of the tool (the line status)."""
-        li = self.t("lineitem")
-        rid = F.concat_ws(".", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-        once = li.groupBy(rid.alias("read_id")).agg(*[F.min(c).alias(c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_quantity", "l_linenumber")])
-        o = self.t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+        keys = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+        parts = F.split(F.concat_ws(".", *keys), r"\.")
+        whole = F.col("l_orderkey").isNotNull() & F.col("l_partkey").isNotNull() & F.col("l_suppkey").isNotNull() & F.col("l_linenumber").isNotNull()
+        # A read's id as the numbers that it is made of: a null has no part in it.
+        ids = [F.when(whole, F.col(c).cast("long")).otherwise(F.get(parts, F.lit(i)).try_cast("long")).alias(f"_{i}") for i, c in enumerate(keys)]
+        # Where all four are there, they are the read's own; else the least of its rows count, and the same holds for what decides on its taxa, as numbers in the same order.
+        lost = [F.when(~whole, F.col(c).cast("long")).alias(c) for c in ("l_orderkey", "l_suppkey", "l_linenumber")]
+        sign = lambda c: F.when(F.col(c) < 0, -1).when(F.col(c) == 0, 0).when(F.col(c).isNotNull(), 1).alias(c)
+        flag = F.col("l_returnflag")
+        flag = F.when(flag < "A", 0).when(flag == "A", 1).when(flag < "N", 2).when(flag == "N", 3).when(flag.isNotNull(), 4).alias("l_returnflag")
+        many = F.when(F.col("l_quantity") >= 10, 1).when(F.col("l_quantity").isNotNull(), 0).alias("l_quantity")
+        # Lines are moved once, to their orders: a read's id begins with its order.
+        li = self.t("lineitem").select(*ids, *lost, sign("l_discount"), sign("l_tax"), flag, many, "l_linestatus").filter("_0 is not null").repartition("_0")
+        once = li.groupBy("_0", "_1", "_2", "_3").agg(*[F.min(c).alias(c) for c in ("l_orderkey", "l_suppkey", "l_linenumber", "l_discount", "l_tax", "l_returnflag", "l_quantity", "l_linestatus")])
+        four = F.col("_3").isNotNull()
+        once = once.filter(four | F.col("l_orderkey").isNotNull()).withColumns({"l_suppkey": F.when(four, F.col("_2")).otherwise(F.col("l_suppkey")), "l_linenumber": F.when(four, F.col("_3")).otherwise(F.col("l_linenumber"))})
         c = self.t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
         n = self.t("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+        o = self.t("orders").select(F.col("o_orderkey").alias("_0"), "o_custkey").join(c, "o_custkey").join(n, "c_nationkey").select("_0", "o_custkey", "n_regionkey")
         s = self.t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-        rows = once.join(o, "l_orderkey").join(c, "o_custkey").join(n, "c_nationkey").join(s, "l_suppkey", "left")
-        truth = F.when(F.col("l_discount") == 0, F.col("n_regionkey") + 10).when(F.col("l_tax") == 0, F.col("l_orderkey") + 900000000).otherwise(F.col("l_orderkey") + 100000000)
-        species = F.when(F.col("l_quantity") >= 10, F.col("o_custkey")).otherwise(F.col("l_suppkey")) + 1000000
-        pred = F.when(F.col("l_returnflag") == "A", F.col("s_nationkey") + 1000).when(F.col("l_returnflag") == "N", species)
-        return rows.select("read_id", F.col("l_linestatus").alias("tool"), truth.cast("long").alias("taxid"), pred.cast("long").alias("pred"), F.col("l_linenumber").cast("long").alias("weight"))
+        rows = once.join(o, "_0").join(s, "l_suppkey", "left")
+        truth = F.when(F.col("l_discount") == 0, F.col("n_regionkey") + 10).when(F.col("l_tax") == 0, F.col("_0") + 900000000).otherwise(F.col("_0") + 100000000)
+        species = F.when(F.col("l_quantity") == 1, F.col("o_custkey")).otherwise(F.col("l_suppkey")) + 1000000
+        pred = F.when(F.col("l_returnflag") == 1, F.col("s_nationkey") + 1000).when(F.col("l_returnflag") == 3, species)
+        return rows.select(F.concat_ws(".", "_0", "_1", "_2", "_3").alias("read_id"), F.col("l_linestatus").alias("tool"), truth.cast("long").alias("taxid"), pred.cast("long").alias("pred"), F.col("l_linenumber").alias("weight"))
 
     def truth_profile(self) -> DataFrame:
         return self.t("orders").groupBy((F.col("o_custkey") + 1000000).alias("taxid")).agg(F.sum("o_totalprice").alias("value"))
