@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import perread, profiles
 from .durable import written
-from .taxonomy import closure
+from .taxonomy import paths
 
 # The version of the metrics; sources as in profiles.chosen_source.
 VERSION = "per-read-descendant-aware-v1+profile-opal-v2"
@@ -56,13 +56,13 @@ def evaluate(
     whose truth has no mass at any rank. files(keys, output, exists): configured outputs, of which missing ones that a
     run needs are told (missing_metrics). labels(keys, rows, unmapped_rows, unmapped_names): of truth by species labels.
 
-    Reads are counted before anything else, weights too; one closure of the taxa in use serves all parts, and truth and
+    Reads are counted before anything else, weights too; one table of the paths of taxa in use serves all parts, and truth and
     predictions are lifted together, once.
     """
     out, pairs, seeds = [], None, []
     if reads is not None:
         pairs = perread.pair_counts(reads, keys)
-        seeds.append(pairs.select(F.explode(F.array("taxid", "pred")).alias("taxid")))
+        seeds.append(perread.taxa(pairs))
     profile = None
     if named_truth is not None:
         profile = profiles.named_to_taxids(named_truth, keys)[0]
@@ -82,18 +82,18 @@ def evaluate(
             sides = profile.groupBy(*keys, "taxid").agg(F.sum("value").alias("value")).withColumn("side", F.lit("t")).unionByName(chosen.withColumn("side", F.lit("p")))
             both = written(sides, "profiles")
             runs = written(runs.distinct(), "profile-runs")
-            seeds.append(both.select("taxid"))
+            seeds.append(both.select(F.col("taxid").alias("seed"), F.lit(False).alias("is_pred")))
     if not seeds:
         raise ValueError("nothing to evaluate: neither reads nor profiles")
     in_use = seeds[0]
     for more in seeds[1:]:
         in_use = in_use.union(more)
-    closed = closure(nodes, in_use)
+    up = paths(nodes, in_use)
     scored = None
     if pairs is not None:
-        out.append(read_metrics(perread.counts(perread.lifted_pairs(pairs, nodes, ranks, covered, closed), keys, ranks), keys))
+        out.append(read_metrics(perread.counts(perread.lifted_pairs(pairs, nodes, ranks, covered, up), keys, ranks), keys))
     if both is not None:
-        made, scored = profile_metrics(both, runs, nodes, keys, ranks, covered, closed)
+        made, scored = profile_metrics(both, runs, nodes, keys, ranks, covered, up)
         out.append(made)
     if files is not None:
         out.append(missing_metrics(files, sources, pairs, keys))
@@ -130,14 +130,14 @@ def chosen_profiles(sources: DataFrame | None, predicted: DataFrame, keys: list[
     return runs, chosen.groupBy(*keys, "taxid").agg(F.sum("value").alias("value"))
 
 
-def profile_metrics(both: DataFrame, runs: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[str], covered: DataFrame | None, closed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def profile_metrics(both: DataFrame, runs: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[str], covered: DataFrame | None, up: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(keys, metric, value) of L1 norm, purity, completeness at each rank, and weighted UniFrac; and the runs that were
     scored. both(keys, side, taxid, value): truth (t) and predictions (p); runs(keys): those with a prediction.
 
     Truth counts where it is mapped, predictions in full; a rank that neither side has is left out.
     """
     by = [*keys, "rank", "side"]
-    lifted = profiles.to_ranks(both, nodes, [*keys, "side"], ranks, covered, closed)
+    lifted = profiles.to_ranks(both, nodes, [*keys, "side"], ranks, covered, up)
     value = F.when(F.col("side") == "t", F.col("mapped")).otherwise(F.col("full"))
     lifted = written(lifted.select(*by, "taxid", value.alias("value")).filter("value is not null"), "profiles-at-ranks")
     scored = written(runs.join(lifted.filter("side = 't'").select(*keys).distinct(), keys, "left_semi"), "profiles-scored")
@@ -146,7 +146,7 @@ def profile_metrics(both: DataFrame, runs: DataFrame, nodes: DataFrame, keys: li
     sides = [mine.filter(F.col("side") == s).drop("side") for s in "tp"]
     at_ranks = mine.select(*keys, "rank").distinct().join(profiles.opal(*sides, keys), [*keys, "rank"], "left").fillna(zero)
     truth, pred = (both.filter(F.col("side") == s).drop("side").join(scored, keys, "left_semi") for s in "tp")
-    tree = scored.join(profiles.unifrac(truth, pred, nodes, keys, closed), keys, "left").fillna(0.0, ["weighted_unifrac"])
+    tree = scored.join(profiles.unifrac(truth, pred, nodes, keys, up), keys, "left").fillna(0.0, ["weighted_unifrac"])
     return long(at_ranks, keys, {c: c for c in zero}, True).unionByName(long(tree, keys, {"weighted_unifrac": "weighted_unifrac"}, False)), scored
 
 

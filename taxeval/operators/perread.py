@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import as_long, f1, ratio, stripped
 from .durable import written
-from .taxonomy import closure
+from .taxonomy import nearest, on_path, paths
 
 
 def pair_counts(facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,34 +18,30 @@ def pair_counts(facts: DataFrame, keys: list[str]) -> DataFrame:
     return written(facts.groupBy(*keys, "taxid", "pred").agg(F.count(F.lit(1)).alias("n"), *weight), "pairs")
 
 
-def lifted_pairs(pairs: DataFrame, nodes: DataFrame, ranks: list[str], covered: DataFrame | None = None, closed: DataFrame | None = None) -> DataFrame:
-    """pairs with, for each rank, t_ and p_ (the lifted truth and prediction) and a_ (all ancestors of the prediction
-    that have the rank: more than one where a rank is nested on a lineage).
+def lifted_pairs(pairs: DataFrame, nodes: DataFrame, ranks: list[str], covered: DataFrame | None = None, up: DataFrame | None = None) -> DataFrame:
+    """pairs with, for each rank, t_ and p_ (the lifted truth and prediction), and the prediction's path (on which a
+    truth of the rank may be further up, where a rank is nested on a lineage).
 
-    Only distinct taxa go up the tree (or `closed`, their closure). `covered`(rank, taxid): nodes of a rank outside it
+    Only distinct taxa go up the tree (or `up`, their paths() with a column `is_pred`). `covered`(rank, taxid): nodes of a rank outside it
     aren't mapped.
     """
-    if closed is None:
-        closed = closure(nodes, pairs.select(F.explode(F.array("taxid", "pred")).alias("seed")))
-    ranked = nodes.filter(F.col("rank").isin(*ranks)).select(F.col("taxid").alias("anc"), "rank")
-    if covered is not None:
-        ranked = ranked.join(covered.select(F.col("taxid").alias("anc"), "rank", F.lit(True).alias("in")), ["anc", "rank"], "left")
-    else:
-        ranked = ranked.withColumn("in", F.lit(True))
-    near = closed.join(ranked, "anc")
-    per = []
-    for r in ranks:  # the arrays hold what one lineage has of a rank
-        of = F.col("rank") == r
-        per += [F.min_by(F.when(of, F.struct("anc", "in")), F.when(of, F.col("dist"))).alias(r), F.collect_list(F.when(of, F.col("anc"))).alias(f"a_{r}")]
-    wide = near.groupBy("seed").agg(*per)
-    mapped = lambda r: F.when(F.col(f"{r}.in"), F.col(f"{r}.anc"))
-    t = wide.select(F.col("seed").alias("taxid"), *[mapped(r).alias(f"t_{r}") for r in ranks])
-    p = wide.select(F.col("seed").alias("_seed"), *[mapped(r).alias(f"p_{r}") for r in ranks], *[f"a_{r}" for r in ranks])
+    if up is None:
+        up = paths(nodes, taxa(pairs))
+    wide = nearest(up, ranks, covered)
+    t = wide.select(F.col("seed").alias("taxid"), *[F.col(r).alias(f"t_{r}") for r in ranks])
+    preds = up.filter("is_pred")
+    p = nearest(preds, ranks, covered).join(on_path(preds), "seed").select(F.col("seed").alias("_seed"), *[F.col(r).alias(f"p_{r}") for r in ranks], "path")
     # Unclassified pairs are dealt by their truth and find nothing: a null prediction is never a key.
     dealt = pairs.join(t, "taxid", "left").withColumn("_p", F.coalesce("pred", "taxid"))
     return dealt.join(p, (F.col("_p") == F.col("_seed")) & F.col("pred").isNotNull(), "left").drop("_p", "_seed")
 
 
+def taxa(pairs: DataFrame) -> DataFrame:
+    """(seed, is_pred): truths and predictions, the latter marked."""
+    both = F.array(*[F.struct(F.col(c).alias("seed"), F.lit(c == "pred").alias("is_pred")) for c in ("taxid", "pred")])
+    return pairs.select(F.explode(both).alias("_s")).select("_s.*")
+
+
 def counts(lifted: DataFrame, keys: list[str], ranks: list[str]) -> DataFrame:
     """(keys, rank, reads, classified, truth_mapped, pred_mapped, tp, fp, fn, and exact_* of the last four) of
     lifted pairs with their counts n.
@@ -60,7 +56,7 @@ def counts(lifted: DataFrame, keys: list[str], ranks: list[str]) -> DataFrame:
         t, p = F.col(f"t_{r}"), F.col(f"p_{r}")
         mapped, has = t.isNotNull(), F.col("pred").isNotNull()
         same = F.coalesce(t == p, F.lit(False))
-        under = F.coalesce(F.array_contains(F.col(f"a_{r}"), t) | (F.col("pred") == t), F.lit(False))
+        under = F.coalesce(F.array_contains("path", t), F.lit(False))
         for name, c in (
             ("truth_mapped", mapped), ("pred_mapped", mapped & has), ("tp", mapped & under), ("fp", mapped & has & ~under), ("fn", mapped & ~under),
             ("exact_pred_mapped", p.isNotNull()), ("exact_tp", mapped & same), ("exact_fp", mapped & has & ~same), ("exact_fn", mapped & ~same),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
-from .taxonomy import closure, depths, lifts, tree_mass
+from .taxonomy import by_rank, closure, depths, known_path, nearest, path_depths, paths, tree_mass
 
 # Ranks from the most specific on.
 PRIORITY = ("strain", "species", "genus", "family", "order", "class", "phylum", "superkingdom")
@@ -36,14 +36,11 @@ def most_specific(profile: DataFrame, keys: list[str], order: str | None = None)
     return profile.join(best, same, "left_semi")
 
 
-def to_ranks(profile: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[str], covered: DataFrame | None = None, closed: DataFrame | None = None) -> DataFrame:
+def to_ranks(profile: DataFrame, nodes: DataFrame, keys: list[str], ranks: list[str], covered: DataFrame | None = None, up: DataFrame | None = None) -> DataFrame:
     """(keys, rank, taxid, mapped, full): values by lifted taxon. mapped: of what lifts to the rank (and is covered);
-    full: also what doesn't, under its own taxon. closed: the closure of the taxa, if it is there already."""
-    up = lifts(closure(nodes, profile.select("taxid")) if closed is None else closed, nodes, ranks).withColumnRenamed("seed", "taxid")
-    if covered is not None:
-        up = up.join(covered.select("rank", F.col("taxid").alias("lifted")), ["rank", "lifted"], "left_semi")
-    spread = profile.drop("rank").withColumn("rank", F.explode(F.array(*map(F.lit, ranks))))
-    joined = spread.join(up, ["taxid", "rank"], "left")
+    full: also what doesn't, under its own taxon. up: the paths of the taxa, if they are there already."""
+    wide = nearest(paths(nodes, profile.select("taxid")) if up is None else up, ranks, covered).withColumnRenamed("seed", "taxid")
+    joined = by_rank(profile.drop("rank").join(wide, "taxid", "left"), ranks)
     return joined.groupBy(*keys, "rank", F.coalesce("lifted", "taxid").alias("taxid")).agg(F.sum(F.when(F.col("lifted").isNotNull(), F.col("value"))).alias("mapped"), F.sum("value").alias("full"))
 
 
@@ -89,14 +86,14 @@ def distances(truth: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     return made.withColumns({"presence_f1": F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)), "total_variation": F.col("l1_norm") / 2, "bray_curtis": F.col("l1_norm") / 2})
 
 
-def unifrac(truth: DataFrame, pred: DataFrame, nodes: DataFrame, keys: list[str], closed: DataFrame | None = None) -> DataFrame:
+def unifrac(truth: DataFrame, pred: DataFrame, nodes: DataFrame, keys: list[str], up: DataFrame | None = None) -> DataFrame:
     """(keys, weighted_unifrac): branches of length 1 / depth, the root left out, mass outside the tree dropped after
-    normalising; 0 where both are empty. closed: the closure of all taxa, if it is there already."""
-    if closed is None:
-        closed = closure(nodes, truth.select("taxid").union(pred.select("taxid")))
-    mass = lambda df, name: tree_mass(normalised(df, keys), closed, nodes, keys).withColumnRenamed("mass", name)
+    normalising; 0 where both are empty. up: the paths of all taxa, if they are there already."""
+    if up is None:
+        up = paths(nodes, truth.select("taxid").union(pred.select("taxid")))
+    mass = lambda df, name: tree_mass(normalised(df, keys), up, keys).withColumnRenamed("mass", name)
     both = mass(truth, "t").join(mass(pred, "p"), [*keys, "taxid"], "full_outer")
-    depth = inner_depths(closed, nodes)
+    depth = shared_depths(up, nodes)
     part = F.when(F.col("depth") > 0, F.abs(F.coalesce("t", F.lit(0.0)) - F.coalesce("p", F.lit(0.0))) / F.col("depth")).otherwise(F.lit(0.0))
     scored = both.join(depth, "taxid", "left").groupBy(*keys).agg(F.sum(part).alias("weighted_unifrac"))
     known = truth.select(*keys).union(pred.select(*keys)).distinct()
@@ -118,6 +115,17 @@ def inner_depths(closed: DataFrame, nodes: DataFrame) -> DataFrame:
     return depth.join(own, "taxid", "left_anti").unionByName(own)
 
 
+def shared_depths(up: DataFrame, nodes: DataFrame) -> DataFrame:
+    """inner_depths() of paths()."""
+    own = up.select(F.posexplode(known_path()).alias("at", "taxid"), F.size(known_path()).alias("n"))
+    depth = own.groupBy("taxid").agg(F.max(F.col("n") - 1 - F.col("at")).alias("depth"))
+    inside = up.filter("cycle")
+    if inside.isEmpty():
+        return depth
+    around = path_depths(paths(nodes, inside.select(F.explode("path").alias("seed")))).withColumnRenamed("seed", "taxid")
+    return depth.join(around, "taxid", "left_anti").unionByName(around)
+
+
 def truth_coverage(resolved: DataFrame, keys: list[str]) -> DataFrame:
     """Of resolved(keys, name, value, taxid): species and mass in all, mapped, unmapped, the rate of unmapped species
     and the rate of mapped mass; a rate is null where its total is not positive."""

@@ -1,6 +1,10 @@
 """What is moved to score reads: taxa share their paths, reads are moved once, aggregations need no sort before a shuffle."""
 
-from taxeval.operators import reads
+import random
+
+from pyspark.sql import functions as F
+
+from taxeval.operators import reads, taxonomy
 from taxeval.plans.bindings import READS, Bound
 
 
@@ -9,6 +13,34 @@ def sorts_before_shuffles(df):
     return [b for a, b in zip(lines, lines[1:]) if "Exchange hashpartitioning" in a and "SortAggregate" in b]
 
 
+def test_taxa_share_their_paths(spark, monkeypatch):
+    tree = [(1, 1, "root"), (2, 1, "genus"), (3, 1, "genus")] + [(i, 2 + i % 2, "species") for i in range(10, 210)]
+    nodes = spark.createDataFrame(tree, "taxid long, parent long, rank string")
+    seen = []
+    put = taxonomy.written
+    monkeypatch.setattr(taxonomy, "written", lambda df, name: seen.append((name, put(df, name))) or seen[-1][1])
+    up = taxonomy.paths(nodes, nodes.filter("rank = 'species'").select("taxid"))
+    assert up.count() == 200 and up.filter("size(path) = 3 and ranks[2] = 'root' and known and not cycle").count() == 200
+    assert [df.count() for name, df in seen if name == "parents"] == [2, 1, 0]  # only distinct parents go on
+
+
+def test_paths_of_any_graph(spark):
+    rng = random.Random(5)
+    parent = {i: rng.choice([i // 3, i // 3, i // 3, rng.randrange(400), 10**6 + i]) for i in range(1, 300)} | {200: 201, 201: 202, 202: 200, 7: 21, 21: 7, 61: 61}
+    nodes = spark.createDataFrame([(i, p, f"r{i % 4}") for i, p in parent.items()], "taxid long, parent long, rank string")
+    want = {}
+    for s in range(310):
+        path = [s]
+        while (p := parent.get(path[-1], path[-1])) != path[-1] and p not in path:
+            path.append(p)
+        want[s] = (path, path[-1] in parent, parent.get(path[-1], path[-1]) != path[-1])
+    up = taxonomy.paths(nodes, spark.range(310).select("id", (F.col("id") % 2 == 0).alias("even")))
+    got = {r["seed"]: (r["path"], r["known"], r["cycle"]) for r in up.collect()}
+    assert got == want and any(c for *_, c in want.values())
+    assert up.filter("even <> (seed % 2 = 0)").count() == 0
+    assert up.filter("not forall(sequence(1, size(path)), i -> path[i - 1] not between 1 and 299 or ranks[i - 1] = 'r' || path[i - 1] % 4)").count() == 0
+
+
 def test_lookup_needs_no_sort(spark):
     truth = spark.createDataFrame([("k", "a/1", 5)], "k string, read_id string, taxid long")
     assert not sorts_before_shuffles(reads.lookup_predictions(truth, truth, ["k"]))
